@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Callable
+from pathlib import Path
 
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+sys.path.insert(0, str(Path(__file__).resolve().parent))
+
 import fathomline
 import oracle_queries
 from fathomline.functions import hashing, lexical, parsing
@@ -41,10 +45,12 @@ from fathomline.sources.records import (
     write_json,
 )
 from fathomline.sources.vectors import load_vectors
-from fathomline.storage import scratch_path
+from fathomline.storage import scratch_path, spread
 
 # Ship the package and this file with the tasks, wherever Spark was started.
 cloudpickle.register_pickle_by_value(fathomline)
+if __name__ in sys.modules:
+    cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 CUSTOM_WEIGHTS = {
     "Answer Relevancy": 0.4,
@@ -66,7 +72,7 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return clean_pages(load_pages(documents(spark, sf_dir)))
+    return clean_pages(load_pages(spread(documents(spark, sf_dir), "doc_id")))
 
 
 def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -258,7 +264,7 @@ def retrieval_context(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def hash_embed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    vectors = embed_texts(documents(spark, sf_dir).select("doc_id", "text"))
+    vectors = embed_texts(spread(documents(spark, sf_dir), "doc_id").select("doc_id", "text"))
     return (
         vectors.select("doc_id", F.posexplode("embedding").alias("bucket", "value"))
         .where(F.col("value") > 0)

@@ -33,7 +33,7 @@ def bucket_counts(term_array: Column, dim: int = DIMENSION) -> Column:
 
     every = F.sequence(F.lit(0), F.lit(dim - 1))
     return bind(
-        F.array_sort(F.concat(buckets(term_array, dim), every)),
+        F.sort_array(F.concat(buckets(term_array, dim), every)),
         lambda ordered: bind(
             run_ends(ordered),
             lambda ends: F.transform(
@@ -69,17 +69,23 @@ def hash_embedding(text: Column, dim: int = DIMENSION) -> Column:
 
 def neighbour_similarities(vectors: Column) -> Column:
     """Cosine of each vector with the one before it, to 6 digits; 0 if either is
-    zero, and for the first. ``vectors`` must be a plain column."""
-
-    def compare(vector: Column, at: Column) -> Column:
-        before = F.get(vectors, at - 1)
-        length = F.sqrt(dot(vector, vector)) * F.sqrt(dot(before, before))
-        return F.when(
-            at > 0,
-            bind(
-                length,
-                lambda n: F.when(n > 0, F.round(dot(vector, before) / n, 6)).otherwise(F.lit(0.0)),
-            ),
-        ).otherwise(F.lit(0.0))
+    zero, and for the first."""
+
+    def with_lengths(vector: Column) -> Column:
+        return F.struct(vector.alias("v"), F.sqrt(dot(vector, vector)).alias("length"))
+
+    def compare(every: Column) -> Column:
+        def cosine(here: Column, at: Column) -> Column:
+            return bind(
+                F.get(every, at - 1),
+                lambda before: F.when(
+                    (here["length"] > 0) & (before["length"] > 0),
+                    F.round(dot(here["v"], before["v"]) / (here["length"] * before["length"]), 6),
+                ).otherwise(F.lit(0.0)),
+            )
+
+        return F.transform(
+            every, lambda here, at: F.when(at > 0, cosine(here, at)).otherwise(F.lit(0.0))
+        )
 
-    return F.transform(vectors, compare)
+    return bind(F.transform(vectors, with_lengths), compare)

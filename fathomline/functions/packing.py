@@ -5,8 +5,9 @@ runs over blocks of positions: the inner fold collects the few bounds of its
 block, and the outer fold appends them to the full list once per block. Nothing
 else grows, so a text with very many sentences stays cheap.
 
-``sizes`` and ``similarities`` must be plain columns, because the folds look
-single items up by position.
+The folds look single items up by position. Arrays are therefore bound to a
+variable first: the optimizer would otherwise copy their whole expression into
+the fold and evaluate it at every step.
 """
 
 from __future__ import annotations
@@ -16,6 +17,8 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from fathomline.functions.text import bind
+
 BOUND = "struct<start:int,stop:int,tokens:int>"
 BLOCK = 512
 
@@ -82,7 +85,10 @@ def pack(sizes: Column, limit: int, overlap: int = 0, min_items: int = 1) -> Col
     """
     if limit < 1 or overlap < 0 or min_items < 1:
         raise ValueError("limit and min_items must be positive, overlap not negative")
+    return bind(sizes, lambda bound: _pack(bound, limit, overlap, min_items))
+
 
+def _pack(sizes: Column, limit: int, overlap: int, min_items: int) -> Column:
     def closes(at: Column, start: Column, tokens: Column) -> Column:
         return (at - start >= min_items) & (tokens + F.get(sizes, at) > limit)
 
@@ -119,7 +125,17 @@ def pack_at_breaks(
     """
     if limit < 1 or min_items < 1:
         raise ValueError("limit and min_items must be positive")
+    return bind(
+        similarities,
+        lambda near: bind(
+            sizes, lambda bound: _pack_at_breaks(bound, near, limit, min_items, threshold)
+        ),
+    )
+
 
+def _pack_at_breaks(
+    sizes: Column, similarities: Column, limit: int, min_items: int, threshold: float
+) -> Column:
     def closes(at: Column, start: Column, tokens: Column) -> Column:
         topic_break = (at - start >= min_items) & (F.get(similarities, at) < threshold)
         full = (at - start >= 1) & (tokens + F.get(sizes, at) > limit)
@@ -130,12 +146,15 @@ def pack_at_breaks(
 
 def assemble(items: Column, bounds: Column) -> Column:
     """``array<struct<text, tokens>>``: the items of each chunk joined by a space."""
-    return F.transform(
-        bounds,
-        lambda b: F.struct(
-            F.array_join(
-                F.transform(F.sequence(b["start"], b["stop"] - 1), lambda i: F.get(items, i)), " "
-            ).alias("text"),
-            b["tokens"].alias("tokens"),
+
+    def joined(bound: Column, every: Column) -> Column:
+        positions = F.sequence(bound["start"], bound["stop"] - 1)
+        return F.array_join(F.transform(positions, lambda i: F.get(every, i)), " ")
+
+    return bind(
+        items,
+        lambda every: F.transform(
+            bounds,
+            lambda b: F.struct(joined(b, every).alias("text"), b["tokens"].alias("tokens")),
         ),
     )

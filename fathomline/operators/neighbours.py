@@ -14,7 +14,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -149,15 +149,20 @@ def _by_blocks(
     row is copied to all blocks of the other side. A key that holds a large share
     of the rows thus becomes many tasks of a bounded size, and nothing is dropped.
     """
+
+    def fresh(name: str) -> list[Column]:
+        # both sides may come from one table, so every column gets a new identity
+        return [F.col(c).alias(c) for c in (*keys, "_q", "_v", name, "embedding")]
+
     left = (
         questions.withColumn("_q", F.pmod(F.xxhash64("index"), F.col("_qs")).cast("int"))
         .withColumn("_v", F.explode(F.sequence(F.lit(0), F.col("_vs") - 1)))
-        .select(*keys, "_q", "_v", "index", "embedding")
+        .select(fresh("index"))
     )
     right = (
         vectors.withColumn("_v", F.pmod(F.xxhash64("vec_id"), F.col("_vs")).cast("int"))
         .withColumn("_q", F.explode(F.sequence(F.lit(0), F.col("_qs") - 1)))
-        .select(*keys, "_q", "_v", "vec_id", "embedding")
+        .select(fresh("vec_id"))
     )
 
     def compare(asked: pa.Table, stored: pa.Table) -> pa.Table:
