@@ -213,7 +213,7 @@ def idf(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def tfidf_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
-    weights = indexing.tfidf_index(chunks(spark, sf_dir)).weights
+    weights = indexing.tfidf_weights(indexing.tfidf_index(chunks(spark, sf_dir)))
     return weights.select("chunk_index", "term", F.round("weight", 6).alias("weight"))
 
 
@@ -221,8 +221,8 @@ def tfidf_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     index = indexing.tfidf_index(chunks(spark, sf_dir))
     questions = qa(spark, sf_dir)
     small = retrieval.questions_fit(questions)
-    asked = retrieval.question_weights(questions, index.idf, small)
-    return retrieval.tfidf_scores(asked, index.weights, small)
+    asked = indexing.question_terms(questions, index.idf, small)
+    return retrieval.tfidf_scores(asked, index, small)
 
 
 def tfidf_topk(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,8 +1,8 @@
-"""The keyword index: term frequencies, corpus statistics and TF-IDF weights.
+"""The keyword index: postings, corpus statistics and chunk lengths.
 
-Layout: chunks are hash-partitioned by ``chunk_index`` once. Counting terms,
-normalising and scoring all group by that key, so none of them shuffles the
-postings again.
+Layout: chunks are hash-partitioned by ``chunk_index`` once, and the postings are
+written in buckets of that key. Whatever groups by chunk later (lengths, scores)
+reads them without a shuffle, for any number of question batches.
 """
 
 from __future__ import annotations
@@ -14,15 +14,17 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from fathomline.functions import text as txt
-from fathomline.storage import broadcast_if_small, materialise
+from fathomline.storage import BROADCAST_BYTES, bucketed, fits_in_memory, materialise, place_by
 
 
 @dataclass(frozen=True)
 class TfIdfIndex:
-    """``idf(term, df, idf)`` and ``weights(chunk_index, term, weight)``."""
+    """``postings(chunk_index, term, tf)`` and ``lengths(chunk_index, length)`` in
+    buckets of ``chunk_index``, and ``idf(term, df, idf)``."""
 
+    postings: DataFrame
     idf: DataFrame
-    weights: DataFrame
+    lengths: DataFrame
 
 
 def tokenize(texts: DataFrame, key: str, text: str = "text") -> DataFrame:
@@ -31,8 +33,8 @@ def tokenize(texts: DataFrame, key: str, text: str = "text") -> DataFrame:
 
 
 def term_frequencies(chunks: DataFrame) -> DataFrame:
-    """Count per (chunk, term), partitioned by chunk."""
-    placed = chunks.select("chunk_index", "text").repartition("chunk_index")
+    """Count per (chunk, term). Moving the texts by chunk first is the only shuffle."""
+    placed = place_by(chunks.select("chunk_index", "text"), "chunk_index")
     return (
         tokenize(placed, "chunk_index")
         .groupBy("chunk_index", "term")
@@ -40,11 +42,11 @@ def term_frequencies(chunks: DataFrame) -> DataFrame:
     )
 
 
-def inverse_document_frequency(frequencies: DataFrame, n_chunks: Column) -> DataFrame:
+def inverse_document_frequency(postings: DataFrame, n_chunks: Column) -> DataFrame:
     """``ln((1 + N) / (1 + df)) + 1`` per term. Counts combine before the shuffle,
     so a term in every chunk costs one row per task."""
     return (
-        frequencies.groupBy("term")
+        postings.groupBy("term")
         .agg(F.count("*").alias("df"))
         .withColumn("idf", F.log((n_chunks + 1) / (F.col("df") + 1)) + 1)
     )
@@ -55,28 +57,82 @@ def corpus_size(chunks: DataFrame) -> Column:
     return chunks.select(F.count("*")).scalar()
 
 
-def unit_weights(frequencies: DataFrame, key: str) -> DataFrame:
-    """L2-normalised ``tf * idf`` per ``key``; needs ``tf`` and ``idf`` columns."""
-    raw = frequencies.withColumn("_x", F.col("tf") * F.col("idf"))
-    length = F.sqrt(F.sum(F.col("_x") * F.col("_x")).over(W.partitionBy(key)))
-    return raw.select(key, "term", (F.col("_x") / length).alias("weight"))
+def _term_bytes() -> Column:
+    return F.octet_length("term") + 48
 
 
-def tfidf_weights(frequencies: DataFrame, idf: DataFrame) -> DataFrame:
-    """Chunk weights. The vocabulary is broadcast only if it measures small;
-    otherwise the postings shuffle by term and adaptive execution splits hot terms."""
-    side = idf.select("term", "idf")
-    lookup = broadcast_if_small(side, F.octet_length("term") + 48)
-    return unit_weights(frequencies.join(lookup, "term"), "chunk_index")
+def _broadcastable_df(idf: DataFrame, limit: int) -> int:
+    """The lowest power of two such that all terms at least that frequent fit in
+    ``limit`` bytes. At most 64 rows come back."""
+    level = F.floor(F.log2("df")).cast("int")
+    sizes = idf.groupBy(level.alias("level")).agg(F.sum(_term_bytes()).alias("bytes")).collect()
+    lowest, total = 64, 0
+    for row in sorted(sizes, key=lambda r: -r["level"]):
+        total += row["bytes"]
+        if total > limit:
+            break
+        lowest = row["level"]
+    return 1 << lowest
 
 
-def tfidf_index(chunks: DataFrame, store: bool = False) -> TfIdfIndex:
-    """Build the index of a chunk table.
+def with_idf(postings: DataFrame, idf: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """Add ``idf`` to postings.
 
-    The corpus statistics are written out, because their size decides the join.
-    ``store`` also writes the weights, for an index that answers several batches.
+    A vocabulary that measures small is broadcast. Of a larger one only the most
+    frequent terms are, as many as fit; they make up most postings and all hot
+    keys. Just the postings of rare terms shuffle by term.
     """
-    frequencies = term_frequencies(chunks)
-    idf = materialise(inverse_document_frequency(frequencies, corpus_size(chunks)), "idf")
-    weights = tfidf_weights(frequencies, idf)
-    return TfIdfIndex(idf, materialise(weights, "weights") if store else weights)
+    side = idf.select("term", "df", "idf")
+    if fits_in_memory(side, _term_bytes(), limit):
+        return postings.join(F.broadcast(side.drop("df")), "term")
+    split = _broadcastable_df(side, limit)
+    frequent = F.broadcast(side.where(F.col("df") >= split).drop("df"))
+    rare = side.where(F.col("df") < split).drop("df")
+    looked_up = postings.join(frequent, "term")
+    others = postings.join(frequent.select("term"), "term", "left_anti").join(rare, "term")
+    return looked_up.unionByName(others)
+
+
+def chunk_lengths(postings: DataFrame, idf: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """L2 norm of ``tf * idf`` per chunk. Each task adds up its postings first."""
+    part = F.col("tf") * F.col("idf")
+    return (
+        with_idf(postings, idf, limit)
+        .groupBy("chunk_index")
+        .agg(F.sqrt(F.sum(part * part)).alias("length"))
+    )
+
+
+def tfidf_index(chunks: DataFrame) -> TfIdfIndex:
+    """Build and write the index of a numbered chunk table."""
+    postings = bucketed(term_frequencies(chunks), "chunk_index", "postings")
+    idf = materialise(inverse_document_frequency(postings, corpus_size(chunks)), "idf")
+    lengths = place_by(chunk_lengths(postings, idf), "chunk_index")
+    return TfIdfIndex(postings, idf, bucketed(lengths, "chunk_index", "lengths"))
+
+
+def tfidf_weights(index: TfIdfIndex) -> DataFrame:
+    """``(chunk_index, term, weight)`` with weights of unit length per chunk."""
+    return with_lengths(with_idf(index.postings, index.idf), index.lengths).select(
+        "chunk_index", "term", (F.col("tf") * F.col("idf") / F.col("length")).alias("weight")
+    )
+
+
+def with_lengths(by_chunk: DataFrame, lengths: DataFrame) -> DataFrame:
+    """Add the chunk length. Both sides are in the same buckets, so this hash join
+    needs neither a shuffle nor a sort."""
+    return by_chunk.join(lengths.hint("shuffle_hash"), "chunk_index")
+
+
+def question_terms(questions: DataFrame, idf: DataFrame, small: bool) -> DataFrame:
+    """``(index, term, idf, weight)``: unit weights of the question terms that the
+    corpus has."""
+    counts = (
+        tokenize(questions, "index", "question")
+        .groupBy("index", "term")
+        .agg(F.count("*").alias("tf"))
+    )
+    known = idf.select("term", "idf").join(F.broadcast(counts) if small else counts, "term")
+    raw = known.withColumn("_x", F.col("tf") * F.col("idf"))
+    length = F.sqrt(F.sum(F.col("_x") * F.col("_x")).over(W.partitionBy("index")))
+    return raw.select("index", "term", "idf", (F.col("_x") / length).alias("weight"))

@@ -6,7 +6,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from fathomline.operators.indexing import TfIdfIndex, corpus_size, tokenize, unit_weights
+from fathomline.operators.indexing import (
+    TfIdfIndex,
+    corpus_size,
+    question_terms,
+    with_lengths,
+)
 from fathomline.storage import BROADCAST_BYTES, fits_in_memory
 
 # Fixed value: default number of chunks per question.
@@ -22,26 +27,19 @@ def questions_fit(questions: DataFrame, k: int = 0, limit: int = BROADCAST_BYTES
     return fits_in_memory(questions, F.octet_length("question") * 24 + 64 + 32 * k, limit)
 
 
-def question_weights(questions: DataFrame, idf: DataFrame, small: bool) -> DataFrame:
-    """Unit weights of the question terms that occur in the corpus."""
-    counts = tokenize(questions, "index", "question").groupBy("index", "term").agg(
-        F.count("*").alias("tf")
-    )
-    lookup = idf.select("term", "idf").join(F.broadcast(counts) if small else counts, "term")
-    return unit_weights(lookup, "index")
-
-
-def tfidf_scores(asked: DataFrame, weights: DataFrame, small: bool) -> DataFrame:
+def tfidf_scores(asked: DataFrame, index: TfIdfIndex, small: bool) -> DataFrame:
     """Cosine of every question with every chunk that shares a term.
 
-    With a small question side the postings stay where they are and the sums are
+    With a small question side the postings stay in their buckets and the sums are
     complete within each task. A larger one joins by shuffle on the term.
     """
-    side = asked.select("index", "term", F.col("weight").alias("_asked"))
-    return (
-        weights.join(F.broadcast(side) if small else side, "term")
-        .groupBy("index", "chunk_index")
-        .agg(F.round(F.sum(F.col("weight") * F.col("_asked")), 6).alias("score"))
+    side = asked.select("index", "term", (F.col("weight") * F.col("idf")).alias("_asked"))
+    products = index.postings.join(F.broadcast(side) if small else side, "term")
+    sums = products.groupBy("index", "chunk_index").agg(
+        F.sum(F.col("tf") * F.col("_asked")).alias("_dot")
+    )
+    return with_lengths(sums, index.lengths).select(
+        "index", "chunk_index", F.round(F.col("_dot") / F.col("length"), 6).alias("score")
     )
 
 
@@ -106,8 +104,7 @@ def tfidf_retrieve(
 ) -> DataFrame:
     """``(index, rank, chunk_index, score, text)`` for every question."""
     small = questions_fit(questions, k)
-    asked = question_weights(questions, index.idf, small)
-    scores = tfidf_scores(asked, index.weights, small)
+    scores = tfidf_scores(question_terms(questions, index.idf, small), index, small)
     hits = top_k(scores.where(F.col("score") > 0), k)
     if pad:
         hits = pad_zero_scores(hits, questions, corpus_size(chunks), k)
