@@ -66,7 +66,7 @@ def _broadcastable_df(idf: DataFrame, limit: int) -> int:
     ``limit`` bytes. At most 64 rows come back."""
     level = F.floor(F.log2("df")).cast("int")
     sizes = idf.groupBy(level.alias("level")).agg(F.sum(_term_bytes()).alias("bytes")).collect()
-    lowest, total = 64, 0
+    lowest, total = 62, 0
     for row in sorted(sizes, key=lambda r: -r["level"]):
         total += row["bytes"]
         if total > limit:

@@ -66,8 +66,8 @@ def lexical_critique(kind: str) -> Column:
 def critique(df: DataFrame, kinds: tuple[str, ...] = CRITIQUES, judge: Model | None = None) -> DataFrame:
     """Add ``<kind>_score``, ``<kind>_eval`` and ``<kind>_error`` for each kind.
 
-    ``df`` has ``question, answer, context``. All kinds share one pass: a judge
-    gets every prompt of a row in the same Python step. Without a judge the
+    ``df`` has ``question, answer, context``. All ratings stay on the row of their
+    pair, one model call each, so nothing moves or joins. Without a judge the
     ratings come from shared terms.
     """
     replies = {}

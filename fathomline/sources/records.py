@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from fathomline.schemas import QA_RECORD
+from fathomline.storage import materialise
 
 CORRUPT = "_corrupt"
 
@@ -22,7 +23,8 @@ def read_qa_dataset(
     ``array_files`` reads files that each hold one JSON array. Such a file is one
     task, so large sets should be many files or, with ``array_files=False``, one
     record per line, which Spark splits. An empty file gives no rows. What cannot
-    be parsed lands in the second frame ``(file, raw)`` instead of vanishing.
+    be parsed lands in the second frame ``(file, raw)`` instead of vanishing. The
+    files are parsed once; both frames read the written result.
     """
     with_corrupt = T.StructType([*schema.fields, T.StructField(CORRUPT, T.StringType())])
     everything = (
@@ -32,9 +34,12 @@ def read_qa_dataset(
         .option("columnNameOfCorruptRecord", CORRUPT)
         .json(path)
     )
-    readable = everything.where(F.col(CORRUPT).isNull()).drop(CORRUPT)
-    broken = everything.where(F.col(CORRUPT).isNotNull()).select(
-        F.col("_metadata.file_path").alias("file"), F.col(CORRUPT).alias("raw")
+    parsed = materialise(
+        everything.withColumn("_file", F.col("_metadata.file_path")), "records"
+    )
+    readable = parsed.where(F.col(CORRUPT).isNull()).drop(CORRUPT, "_file")
+    broken = parsed.where(F.col(CORRUPT).isNotNull()).select(
+        F.col("_file").alias("file"), F.col(CORRUPT).alias("raw")
     )
     return readable, broken
 
