@@ -18,12 +18,6 @@ def containment_of(terms: Column, other_terms: Column) -> Column:
     )
 
 
-def containment(a: Column, b: Column) -> Column:
-    return txt.bind(
-        txt.distinct_terms(a), lambda terms: containment_of(terms, txt.distinct_terms(b))
-    )
-
-
 def extractive_answer(question: Column, context: Column) -> Column:
     """The context sentence sharing most distinct terms with the question.
 
@@ -77,9 +71,9 @@ def drafted_pair(text: Column) -> Column:
     return txt.bind(longest_sentence(text), written)
 
 
-def rating(part: Column, whole: Column) -> Column:
-    """1 to 5 from the share of terms of ``part`` that ``whole`` also has."""
-    return (F.floor(containment(part, whole) * 4 + 0.5) + 1).cast("int")
+def rating_of(terms: Column, other_terms: Column) -> Column:
+    """1 to 5 from the share of the first term set that the second also has."""
+    return (F.floor(containment_of(terms, other_terms) * 4 + 0.5) + 1).cast("int")
 
 
 def rating_json(score: Column, reasons: Column) -> Column:

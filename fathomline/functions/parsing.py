@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from fathomline.functions.text import bind
 from fathomline.schemas import LOCATION_RATING, RATING
 
 # The output formats the prompts ask for, and the limits on pairs.
@@ -41,13 +42,16 @@ def parse_judge_json(output: Column, schema: str = RATING) -> Column:
     next to an error message and a null ``parsed``.
     """
     text = F.coalesce(output, F.lit(""))
-    candidate = F.regexp_extract(text, JSON_OBJECT, 0)
-    valid = (candidate != "") & F.try_parse_json(candidate).isNotNull()
-    return F.struct(
-        F.when(valid, F.from_json(candidate, schema)).alias("parsed"),
-        F.when(~valid, F.lit(INVALID_JSON)).alias("error"),
-        F.when(~valid, text).alias("raw_output"),
-    )
+
+    def judged(candidate: Column) -> Column:
+        valid = (candidate != "") & F.try_parse_json(candidate).isNotNull()
+        return F.struct(
+            F.when(valid, F.from_json(candidate, schema)).alias("parsed"),
+            F.when(~valid, F.lit(INVALID_JSON)).alias("error"),
+            F.when(~valid, text).alias("raw_output"),
+        )
+
+    return bind(F.regexp_extract(text, JSON_OBJECT, 0), judged)
 
 
 def parse_location_json(output: Column) -> Column:

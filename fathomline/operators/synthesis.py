@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fathomline.functions import lexical, parsing
+from fathomline.functions import text as txt
 from fathomline.functions.prompts import CLARIFICATION, TEMPLATES, placeholders, render
 from fathomline.operators.cleaning import split_on
 from fathomline.operators.generation import Model, model_column
@@ -44,17 +45,25 @@ def qa_constraints(pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
     return split_on(pairs, parsing.qa_problem(F.col("question"), F.col("answer")))
 
 
+_TERM_SETS = {"_question": "question", "_answer": "answer", "_context": "context"}
+
+
+def with_term_sets(df: DataFrame) -> DataFrame:
+    """Term sets of question, answer and context, computed once for all ratings."""
+    return df.withColumns({n: txt.distinct_terms(F.col(c)) for n, c in _TERM_SETS.items()})
+
+
 def lexical_critique(kind: str) -> Column:
-    """Offline rating text for one critique, from shared terms."""
-    question, answer, context = F.col("question"), F.col("answer"), F.col("context")
+    """Offline rating text for one critique, from the term sets."""
+    question, answer, context = F.col("_question"), F.col("_answer"), F.col("_context")
     if kind == "groundedness":
-        score = lexical.rating(question, context)
+        score = lexical.rating_of(question, context)
     elif kind == "question_relevance":
-        score = lexical.rating(question, F.concat_ws(" ", context, answer))
+        score = lexical.rating_of(question, F.array_union(context, answer))
     elif kind == "faithfulness":
-        score = lexical.rating(answer, context)
+        score = lexical.rating_of(answer, context)
     elif kind == "answer_relevancy":
-        score = lexical.rating(question, answer)
+        score = lexical.rating_of(question, answer)
         return F.concat(
             F.lit("Evaluation: shared terms\nTotal rating: "), score.cast("string")
         )
@@ -76,35 +85,41 @@ def critique(df: DataFrame, kinds: tuple[str, ...] = CRITIQUES, judge: Model | N
             raise ValueError(f"unknown critique {kind!r}")
         if judge is None:
             output, error = lexical_critique(kind), F.lit(None).cast("string")
-            replies[f"_{kind}"] = F.struct(output.alias("output"), error.alias("error"))
+            replies[f"_{kind}_reply"] = F.struct(output.alias("output"), error.alias("error"))
         else:
             names = placeholders(TEMPLATES[kind])
             prompt = render(TEMPLATES[kind], {p: F.col(p) for p in names})
-            replies[f"_{kind}"] = model_column(prompt, judge)
-    asked = df.withColumns(replies)
-    return rate(asked, {kind: f"_{kind}" for kind in kinds}).drop(*replies)
+            replies[f"_{kind}_reply"] = model_column(prompt, judge)
+    asked = df if judge is not None else with_term_sets(df)
+    rated = rate(asked.withColumns(replies), {kind: f"_{kind}_reply" for kind in kinds})
+    return rated.drop(*replies, *_TERM_SETS)
 
 
 def rate(df: DataFrame, replies: dict[str, str]) -> DataFrame:
     """Parse and validate reply columns (``struct<output, error>``)."""
+    # first the parsed structs as columns, so that each reply is parsed once
+    parsed = {
+        f"{column}_judged": parsing.parse_judge_json(F.col(f"{column}.output"))
+        for kind, column in replies.items()
+        if kind != "answer_relevancy"
+    }
     rated = {}
     for kind, column in replies.items():
-        output = F.col(f"{column}.output")
-        failed = F.col(f"{column}.error")
         if kind == "answer_relevancy":
+            output = F.col(f"{column}.output")
             score, reasons = parsing.plain_rating(output), parsing.plain_reasons(output)
             problem = F.when(score.isNull(), F.lit("no rating in the output"))
         else:
-            judged = parsing.parse_judge_json(output)
-            reasons = judged["parsed"]["Evaluation"]
-            score = parsing.valid_score(reasons, judged["parsed"]["Score"])
+            reasons = F.col(f"{column}_judged.parsed.Evaluation")
+            score = parsing.valid_score(reasons, F.col(f"{column}_judged.parsed.Score"))
             problem = F.coalesce(
-                judged["error"], F.when(score.isNull(), F.lit("score or reasons are invalid"))
+                F.col(f"{column}_judged.error"),
+                F.when(score.isNull(), F.lit("score or reasons are invalid")),
             )
         rated[f"{kind}_score"] = score
         rated[f"{kind}_eval"] = reasons
-        rated[f"{kind}_error"] = F.coalesce(failed, problem)
-    return df.withColumns(rated)
+        rated[f"{kind}_error"] = F.coalesce(F.col(f"{column}.error"), problem)
+    return df.withColumns(parsed).withColumns(rated).drop(*parsed)
 
 
 def location_dependency(df: DataFrame, output: str = "output") -> DataFrame:
@@ -113,15 +128,15 @@ def location_dependency(df: DataFrame, output: str = "output") -> DataFrame:
     For 1 the target is the fixed request for more context; for 0 it is the given
     answer and the refined fields are empty. Invalid output leaves nulls and an error.
     """
-    judged = parsing.parse_location_json(F.col(output))
-    parsed = judged["parsed"]
+    judged = df.withColumn("_location", parsing.parse_location_json(F.col(output)))
+    parsed = F.col("_location.parsed")
     score = parsing.valid_score(parsed["Evaluation"], parsed["Score"], "^[01]$")
 
     def for_one(value: Column, otherwise: Column) -> Column:
         return F.when(score == 1, value).when(score == 0, otherwise)
 
     nothing = F.lit("")
-    return df.withColumns(
+    return judged.withColumns(
         {
             "location_score": score,
             "refined_question": for_one(
@@ -132,10 +147,11 @@ def location_dependency(df: DataFrame, output: str = "output") -> DataFrame:
                 F.lit(CLARIFICATION), F.col("answer")
             ),
             "location_error": F.coalesce(
-                judged["error"], F.when(score.isNull(), F.lit("score or reasons are invalid"))
+                F.col("_location.error"),
+                F.when(score.isNull(), F.lit("score or reasons are invalid")),
             ),
         }
-    )
+    ).drop("_location")
 
 
 def assemble_qa_dataset(rated: DataFrame) -> DataFrame:

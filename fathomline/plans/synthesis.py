@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fathomline.functions.lexical import drafted_pair, rating, rating_json
+from fathomline.functions.lexical import drafted_pair, rating_json, rating_of
 from fathomline.functions.prompts import TEMPLATES, placeholders, render
+from fathomline.functions.text import distinct_terms
 from fathomline.operators.generation import Model, model_column
 from fathomline.operators.synthesis import (
     assemble_qa_dataset,
@@ -37,7 +38,10 @@ def location_reply(df: DataFrame, judge: Model | None = None) -> DataFrame:
         names = placeholders(TEMPLATES["location_dependency"])
         prompt = render(TEMPLATES["location_dependency"], {n: F.col(n) for n in names})
         return df.withColumn("location_output", model_column(prompt, judge)["output"])
-    vague = (rating(F.col("question"), F.col("context")) <= 2).cast("int")
+    shared = rating_of(
+        distinct_terms(F.col("question")), distinct_terms(F.col("context"))
+    )
+    vague = (shared <= 2).cast("int")
     return df.withColumn("location_output", rating_json(vague, F.lit("shared terms")))
 
 
@@ -48,9 +52,8 @@ def qa_dataset(
 
     ``chunks`` is whatever should become pairs: all chunks or ``sample_chunks``.
     """
-    drafts = drafted_pairs(chunks, writer)
-    if writer is not None:
-        drafts = materialise(drafts, "drafts")
+    # written once: both results read it, and filters must not repeat the drafting
+    drafts = materialise(drafted_pairs(chunks, writer), "drafts")
     valid, rejected = qa_constraints(parse_pairs(drafts))
     rated = location_dependency(location_reply(critique(valid, judge=judge), judge), "location_output")
     return assemble_qa_dataset(rated), rejected
