@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from fathomline.functions import hashing, packing
 from fathomline.functions import text as txt
+from fathomline.operators.embedding import Embedder, embed_lists
 from fathomline.storage import number_rows
 
 # Chunker defaults.
@@ -75,15 +76,19 @@ def semantic_chunks(
     threshold: float = SIMILARITY_THRESHOLD,
     dim: int = hashing.DIMENSION,
     tokens: str = "words",
+    embedder: Embedder | None = None,
 ) -> DataFrame:
-    """Break where neighbouring sentences differ, or where a chunk is full."""
+    """Break where neighbouring sentences differ, or where a chunk is full.
+
+    Sentence vectors are hashed terms, or come from ``embedder``."""
+    if embedder is None:
+        vectors = F.transform("_items", lambda s: hashing.bucket_counts(txt.terms(s), dim))
+    else:
+        vectors = embed_lists(F.col("_items"), embedder)
     sized = (
         pages.withColumn("_items", txt.sentences(F.col("text")))
         .withColumn("_sizes", _sizes("_items", tokens))
-        .withColumn(
-            "_vectors",
-            F.transform("_items", lambda s: hashing.bucket_counts(txt.terms(s), dim)),
-        )
+        .withColumn("_vectors", vectors)
         .withColumn("_similarities", hashing.neighbour_similarities(F.col("_vectors")))
     )
     bounds = packing.pack_at_breaks(

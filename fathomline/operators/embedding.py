@@ -6,7 +6,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fathomline.functions.hashing import DIMENSION, hash_embedding
@@ -39,3 +39,26 @@ def embed_texts(
             yield pd.Series(list(matrix), index=texts.index)
 
     return df.withColumn(name, embed.asNondeterministic()(F.col(text)))
+
+
+def embed_lists(texts: Column, embedder: Embedder, at_once: int = 1024) -> Column:
+    """Vectors of every text in a list column, ``at_once`` texts per call."""
+
+    @F.pandas_udf("array<array<float>>")
+    def embed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for lists in batches:
+            flat = [text for texts in lists for text in texts]
+            parts = [
+                np.asarray(embedder(flat[i : i + at_once]), dtype=np.float32)
+                for i in range(0, len(flat), at_once)
+            ]
+            vectors = [vector for part in parts for vector in part]
+            if len(vectors) != len(flat):
+                raise ValueError(f"the embedder gave {len(vectors)} vectors to {len(flat)} texts")
+            ends = np.cumsum([len(texts) for texts in lists])
+            yield pd.Series(
+                [vectors[end - len(texts) : end] for end, texts in zip(ends, lists)],
+                index=lists.index,
+            )
+
+    return embed.asNondeterministic()(texts)

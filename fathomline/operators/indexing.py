@@ -14,7 +14,13 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from fathomline.functions import text as txt
-from fathomline.storage import BROADCAST_BYTES, bucketed, fits_in_memory, materialise, place_by
+from fathomline.storage import (
+    BROADCAST_BYTES,
+    bucket_count,
+    bucketed,
+    fits_in_memory,
+    materialise,
+)
 
 
 @dataclass(frozen=True)
@@ -32,9 +38,11 @@ def tokenize(texts: DataFrame, key: str, text: str = "text") -> DataFrame:
     return texts.select(key, F.explode(txt.terms(F.col(text))).alias("term"))
 
 
-def term_frequencies(chunks: DataFrame) -> DataFrame:
+def term_frequencies(chunks: DataFrame, buckets: int | None = None) -> DataFrame:
     """Count per (chunk, term). Moving the texts by chunk first is the only shuffle."""
-    placed = place_by(chunks.select("chunk_index", "text"), "chunk_index")
+    texts = chunks.select("chunk_index", "text")
+    by_chunk = ("chunk_index",) if buckets is None else (buckets, "chunk_index")
+    placed = texts.repartition(*by_chunk)
     return (
         tokenize(placed, "chunk_index")
         .groupBy("chunk_index", "term")
@@ -105,10 +113,11 @@ def chunk_lengths(postings: DataFrame, idf: DataFrame, limit: int = BROADCAST_BY
 
 def tfidf_index(chunks: DataFrame) -> TfIdfIndex:
     """Build and write the index of a numbered chunk table."""
-    postings = bucketed(term_frequencies(chunks), "chunk_index", "postings")
+    buckets = bucket_count(chunks.sparkSession, chunks.count())
+    postings = bucketed(term_frequencies(chunks, buckets), "chunk_index", buckets, "postings")
     idf = materialise(inverse_document_frequency(postings, corpus_size(chunks)), "idf")
-    lengths = place_by(chunk_lengths(postings, idf), "chunk_index")
-    return TfIdfIndex(postings, idf, bucketed(lengths, "chunk_index", "lengths"))
+    lengths = chunk_lengths(postings, idf).repartition(buckets, "chunk_index")
+    return TfIdfIndex(postings, idf, bucketed(lengths, "chunk_index", buckets, "lengths"))
 
 
 def tfidf_weights(index: TfIdfIndex) -> DataFrame:

@@ -16,6 +16,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 BROADCAST_BYTES = 64 * 1024 * 1024
+ROWS_PER_BUCKET = 20_000
 
 
 _local_root: str | None = None
@@ -49,29 +50,31 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def bucketed(df: DataFrame, key: str, label: str, path: str | None = None) -> DataFrame:
+def bucket_count(spark: SparkSession, rows: int) -> int:
+    """Buckets for a table of ``rows`` chunks: the configured shuffle partitions,
+    or fewer for a small table, but at least one per core."""
+    configured = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    cores = spark.sparkContext.defaultParallelism
+    return max(1, min(configured, max(cores, -(-rows // ROWS_PER_BUCKET))))
+
+
+def bucketed(df: DataFrame, key: str, buckets: int, label: str) -> DataFrame:
     """Write ``df`` as a table bucketed by ``key`` and return it.
 
-    Grouping or joining such a table by ``key`` needs no shuffle. ``df`` should
-    come out of ``place_by``, so that each task writes one file.
+    Grouping or joining such a table by ``key`` needs no shuffle. ``df`` should be
+    hash-partitioned by ``key`` into ``buckets``, so that each task writes one file.
     """
     spark = df.sparkSession
-    count = int(spark.conf.get("spark.sql.shuffle.partitions"))
     name = f"fathomline_{label}_{uuid.uuid4().hex}"
     (
         df.write.format("parquet")
-        .bucketBy(count, key)
-        .option("path", path or scratch_path(spark, label))
+        .bucketBy(buckets, key)
+        .option("path", scratch_path(spark, label))
         .saveAsTable(name)
     )
     return spark.table(name)
 
 
-def place_by(df: DataFrame, key: str) -> DataFrame:
-    """Hash-partition like the buckets of ``bucketed``."""
-    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
-
-
 def spread(df: DataFrame, *keys: str) -> DataFrame:
     """Spread a scan with too few splits for this cluster; leave others alone."""
     wanted = df.sparkSession.sparkContext.defaultParallelism

@@ -180,3 +180,16 @@ def test_validate_records(spark):
         validate_records(df, ["docs"])
     with pytest.raises(TypeError):
         validate_records(df, [], ["question"])
+
+
+def test_semantic_chunks_with_an_embedder(spark):
+    import numpy as np
+
+    def about(texts):
+        return np.array([[1.0, 0.0] if "cat" in t else [0.0, 1.0] for t in texts])
+
+    pages = spark.createDataFrame(
+        [(1, 0, "A cat. My cat. Your dog. A dog. Old dog."), (2, 0, "")], "doc_id long, page_no int, text string"
+    )
+    chunks = chunking.chunk_documents(pages, "semantic_chunker", 100, min_sentences=1, embedder=about)
+    assert [r.text for r in chunks.orderBy("chunk_pos").collect()] == ["A cat. My cat.", "Your dog. A dog. Old dog."]
