@@ -16,7 +16,7 @@ import fathomline
 import oracle_queries
 from fathomline.functions import hashing, lexical, parsing
 from fathomline.functions import text as txt
-from fathomline.functions.prompts import TEMPLATES, placeholders, render, render_prompt
+from fathomline.functions.prompts import TEMPLATES, render, render_prompt
 from fathomline.operators import chunking, indexing, metrics, reporting, retrieval, synthesis
 from fathomline.operators.cleaning import clean_pages, project_page_text, validate_records
 from fathomline.operators.embedding import embed_texts
@@ -32,8 +32,7 @@ from fathomline.operators.testcases import (
 from fathomline.plans.corpus import chunk_table
 from fathomline.plans.evaluation import EvaluationSet, Scorer
 from fathomline.plans.rag import DenseRag, TfIdfRag
-from fathomline.plans.synthesis import drafted_pairs, location_reply, qa_dataset
-from fathomline.schemas import QA_RECORD
+from fathomline.plans.synthesis import qa_dataset
 from fathomline.sources.config import DEFAULT_CONFIG, select_metrics
 from fathomline.sources.delimited import read_delimited, write_delimited
 from fathomline.sources.documents import list_documents, load_pages
