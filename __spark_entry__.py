@@ -46,8 +46,19 @@ from fathomline.sources.records import (
 from fathomline.sources.vectors import load_vectors
 from fathomline.storage import scratch_path, spread
 
+# The training-data operators are a part that can be left out as a whole.
+try:
+    import corpus_pipeline
+    from fathomline.llm import queries as llm_queries
+except ModuleNotFoundError as error:
+    if error.name not in ("corpus_pipeline", "fathomline.llm", "fathomline.llm.queries"):
+        raise
+    corpus_pipeline = llm_queries = None
+
 # Ship the package and this file with the tasks, wherever Spark was started.
-cloudpickle.register_pickle_by_value(fathomline)
+for part in (fathomline, corpus_pipeline):
+    if part is not None:
+        cloudpickle.register_pickle_by_value(part)
 if __name__ in sys.modules:
     cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -595,6 +606,16 @@ def judge_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return own_queries() | training_queries()
+
+
+def training_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    if llm_queries is None:
+        return {}
+    return llm_queries.queries() | {"pipeline": corpus_pipeline.run}
+
+
+def own_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "json_roundtrip": json_roundtrip,
         "read_qa_head": read_qa_head,
@@ -663,4 +684,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return oracle_queries.oracle_sql()
+    if llm_queries is None:
+        return oracle_queries.oracle_sql()
+    whole = {"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {}
+    return oracle_queries.oracle_sql() | llm_queries.oracle_sql() | whole
