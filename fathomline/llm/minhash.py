@@ -17,6 +17,9 @@ from fathomline.storage import fits_in_memory, materialise
 SLOTS = 120
 BANDS = 24
 SHINGLE_WORDS = 5
+TILE_SETS = 512
+TILE_SHINGLES = 1_000_000
+COLUMNS = 4096
 _RANK_BITS = np.uint64(48)
 _STEP = np.uint64(0xD1B54A32D192ED03)
 _UNSET = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -74,11 +77,11 @@ def superminhash(elements: np.ndarray, bounds: np.ndarray, slots: int = SLOTS) -
     return signature.reshape(rows, slots)
 
 
-_SIGNED = "doc_id long, key long, n long, set_id binary, buckets array<long>, bits array<long>"
+_SIGNED = "doc_id long, key long, n long, set_id binary, buckets array<long>"
 
 
 def _signed(slots: int, bands: int, words: int):
-    """Task function: rows ``(doc_id, key, text)`` to sets, bucket values and sketch bits."""
+    """Task function: rows ``(doc_id, key, text)`` to set sizes, set ids and bucket values."""
     width = slots // bands
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -98,9 +101,6 @@ def _signed(slots: int, bands: int, words: int):
                     if len(full):
                         total[full, 0] = np.add.reduceat(mix(grams), bounds[:-1][full])
                         total[full, 1] = np.add.reduceat(mix(grams ^ _STEP), bounds[:-1][full])
-                sketch = np.zeros((chunk.rows, -(-slots // 64) * 64), np.uint8)
-                sketch[:, :slots] = (mix(signature) & np.uint64(1)).astype(np.uint8)
-                packed = np.packbits(sketch, axis=1).view(np.int64)
                 yield pa.RecordBatch.from_arrays(
                     [
                         ids.slice(chunk.first, chunk.rows),
@@ -108,9 +108,8 @@ def _signed(slots: int, bands: int, words: int):
                         pa.array(sizes.astype(np.int64)),
                         pa.array([t.tobytes() for t in total], pa.binary()),
                         _lists(value.view(np.int64)),
-                        _lists(packed),
                     ],
-                    ["doc_id", "key", "n", "set_id", "buckets", "bits"],
+                    ["doc_id", "key", "n", "set_id", "buckets"],
                 )
 
     return sign
@@ -121,35 +120,70 @@ def _lists(matrix: np.ndarray) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.ascontiguousarray(matrix).ravel()))
 
 
-def _overlap(words: int):
-    """Task function: pairs with both texts to the sizes of their intersection and union."""
+def linked_pairs(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, percent: int):
+    """Positions of all pairs of ``left`` and ``right`` sets that are linked.
 
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            left = _sets(batch.column("a_text"), words)
-            right = _sets(batch.column("b_text"), words)
-            common, both = [], []
-            for x, y in zip(left, right):
-                common.append(len(np.intersect1d(x, y, assume_unique=True)))
-                both.append(len(x) + len(y) - common[-1])
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column("a"),
-                    batch.column("b"),
-                    pa.array(common, pa.int64()),
-                    pa.array(both, pa.int64()),
-                ],
-                ["a", "b", "common", "both"],
-            )
-
-    return compare
-
-
-def _sets(column: pa.Array, words: int) -> Iterator[np.ndarray]:
-    for chunk in text_chunks(column):
-        grams, bounds = shingle_sets(chunk, words)
-        for low, high in zip(bounds[:-1], bounds[1:]):
-            yield grams[low:high]
+    Intersections of all pairs come from products of 0/1 matrices over the elements that
+    occur more than once, a few thousand elements at a time.
+    """
+    rows = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    values, column, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    common = times > 1
+    number = np.cumsum(common) - 1
+    shared = common[column]
+    rows, column = rows[shared], number[column[shared]]
+    order = np.argsort(column, kind="stable")
+    rows, column = rows[order], column[order]
+    size = np.array([len(s) for s in sets])
+    place = np.full((2, len(sets)), -1)
+    place[0, left], place[1, right] = np.arange(len(left)), np.arange(len(right))
+    both = np.zeros((len(left), len(right)), np.float32)
+    for low in range(0, int(common.sum()), COLUMNS):
+        at, end = np.searchsorted(column, [low, low + COLUMNS])
+        sides = []
+        for side, many in ((0, len(left)), (1, len(right))):
+            matrix = np.zeros((many, COLUMNS), np.float32)
+            own = place[side, rows[at:end]]
+            matrix[own[own >= 0], column[at:end][own >= 0] - low] = 1.0
+            sides.append(matrix)
+        both += sides[0] @ sides[1].T
+    union = size[left][:, None] + size[right][None, :] - both
+    i, j = np.nonzero((both * 100 >= union * percent) & (both > 0))
+    a, b = left[i], right[j]
+    return (a[a < b], b[a < b]) if left is right else (a, b)
+
+
+def least_reachable(count: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """For each of ``count`` positions the least one it reaches by links ``(a, b)``."""
+    root = np.arange(count)
+    while True:
+        before = root.copy()
+        least = np.minimum(root[a], root[b])
+        np.minimum.at(root, a, least)
+        np.minimum.at(root, b, least)
+        root = root[root]
+        if (root == before).all():
+            return root
+
+
+def _tile(percent: int, words: int):
+    """Group function: the texts of a pair of blocks to links ``(a, b)`` that form a forest."""
+
+    def link(group: pa.Table) -> pa.Table:
+        own = group.column("own").to_numpy()
+        low, high = group.column("low")[0].as_py(), group.column("high")[0].as_py()
+        sets = []
+        for chunk in text_chunks(group.column("text")):
+            grams, bounds = shingle_sets(chunk, words)
+            sets += [grams[x:y] for x, y in zip(bounds[:-1], bounds[1:])]
+        left = np.flatnonzero(own == low)
+        right = left if low == high else np.flatnonzero(own == high)
+        root = least_reachable(len(sets), *linked_pairs(sets, left, right, percent))
+        moved = np.flatnonzero(root != np.arange(len(sets)))
+        names = group.column("set_id").combine_chunks()
+        return pa.table({"a": names.take(pa.array(moved)), "b": names.take(pa.array(root[moved]))})
+
+    return link
 
 
 def near_copies(
@@ -168,13 +202,11 @@ def near_copies(
     signature. ``component_id`` is the least ``doc_id`` reachable by links. ``key`` is
     ``rows.text_key`` of the text.
 
-    Rows with equal sets are one class from the start. In a bucket, a few pivots are
-    compared with the members of other components; then components are joined, pivots
-    leave, buckets of one component leave, and the rest goes on with four times as many
-    pivots. So each pair of a bucket is either compared or already connected, and a
-    bucket of one large group costs about one comparison per member. Pairs whose set
-    sizes rule a link out are not compared, nor are pairs whose sketches differ in more
-    bits than a linked pair's would at six standard deviations.
+    Rows with equal sets are one class from the start, and buckets with the same members
+    are one bucket. The members of a bucket are dealt into blocks of about ``TILE_SETS``
+    sets or ``TILE_SHINGLES`` shingles; each pair of blocks is one task group that computes
+    all its intersections exactly and hands on a spanning forest. So a hot bucket becomes
+    many groups of bounded size, and no pair is ever a row.
 
     Empty or null texts have no shingles and are linked with nothing: their component is
     their own id. Rows that repeat an id are told apart by their texts. A row without an
@@ -195,11 +227,10 @@ def near_copies(
             F.min("key").alias("key"),
             F.max("n").alias("n"),
             F.max("buckets").alias("buckets"),
-            F.max("bits").alias("bits"),
         ),
         "classes",
     )
-    roots = _linked(plain, signed, classes, percent, slots, words)
+    roots = components(_links(plain, signed, classes, percent, words))
     grouped = classes.join(roots, F.col("set_id") == F.col("node"), "left").select(
         "set_id", "least_id", F.coalesce("root", "set_id").alias("root")
     )
@@ -216,68 +247,48 @@ def near_copies(
     )
 
 
-def _linked(plain, signed, classes, percent: int, slots: int, words: int) -> DataFrame:
-    """``(node, root)`` of the classes that are linked with another class."""
-    spark = plain.sparkSession
-    similarity = percent / 100
-    # bits of unlinked slots differ half the time; six deviations beyond the expected share
-    differing = (1 - similarity) / 2
-    most_bits = slots * differing + 6 * (slots * differing * (1 - differing)) ** 0.5
-    members = classes.select(
-        F.explode("buckets").alias("bucket"), "set_id", F.col("set_id").alias("comp"), "n", "bits"
+def _links(plain, signed, classes, percent: int, words: int) -> DataFrame:
+    """Links ``(a, b)`` between classes that share a bucket, as a forest of each tile."""
+    members = classes.select(F.explode("buckets").alias("bucket"), "set_id", "n")
+    # a bucket's content is told by its size and two sums without carry over its members
+    contents = (
+        members.groupBy("bucket")
+        .agg(
+            F.count("*").alias("size"),
+            F.sum("n").alias("weight"),
+            F.bit_xor(F.xxhash64("set_id")).alias("first"),
+            F.bit_xor(F.xxhash64(F.lit(1), "set_id")).alias("second"),
+        )
+        .where("size > 1")
+        .groupBy("size", "weight", "first", "second")
+        .agg(F.min("bucket").alias("bucket"))
     )
-    shared = materialise(
-        members.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1").select("bucket"),
-        "buckets",
+    blocks = F.greatest(F.ceil(F.col("size") / TILE_SETS), F.ceil(F.col("weight") / TILE_SHINGLES))
+    kept = materialise(contents.select("bucket", blocks.cast("int").alias("blocks")), "buckets")
+    placed = members.join(kept, "bucket").select(
+        "bucket",
+        "set_id",
+        F.pmod(F.xxhash64(F.lit(2), "set_id"), F.col("blocks")).cast("int").alias("own"),
+        F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"),
     )
-    active = materialise(members.join(shared, "bucket", "left_semi"), "members")
-    texts = _candidate_texts(plain, signed, active)
-    roots = spark.createDataFrame([], "node binary, root binary")
-    pivots_per_bucket = 1
-    while not active.isEmpty():
-        pivots = materialise(
-            active.groupBy("bucket", F.pmod(F.xxhash64("set_id"), F.lit(pivots_per_bucket)).alias("part"))
-            .agg(F.min(F.struct("set_id", "comp", "n", "bits")).alias("p"))
-            .select("bucket", "p.*"),
-            "pivots",
-        )
-        p, m = pivots.alias("p"), active.alias("m")
-        differ = sum(
-            (F.bit_count(F.col("p.bits")[i].bitwiseXOR(F.col("m.bits")[i])) for i in range(-(-slots // 64))),
-            F.lit(0),
-        )
-        pairs = m.join(
-            p,
-            (F.col("p.bucket") == F.col("m.bucket"))
-            & (F.col("p.comp") != F.col("m.comp"))
-            & (F.least("p.n", "m.n") * 100 >= F.greatest("p.n", "m.n") * percent)
-            & (differ <= F.lit(most_bits)),
-        ).select(F.least("p.set_id", "m.set_id").alias("a"), F.greatest("p.set_id", "m.set_id").alias("b"))
-        pairs = materialise(pairs.distinct(), "pairs")
-        found = materialise(_confirmed(pairs, texts, percent, words), "confirmed")
-        if not found.isEmpty():
-            moved = components(_relabelled(found, roots))
-            roots = materialise(_composed(roots, moved), "roots")
-            active = _with_component(active, moved)
-        rest = active.join(
-            pivots.select("bucket", "set_id"), ["bucket", "set_id"], "left_anti"
-        )
-        rest = materialise(rest, "rest")
-        mixed = materialise(
-            rest.groupBy("bucket")
-            .agg(F.min("comp").alias("low"), F.max("comp").alias("high"))
-            .where("low != high")
-            .select("bucket"),
-            "mixed",
-        )
-        active = materialise(rest.join(mixed, "bucket", "left_semi"), "members")
-        pivots_per_bucket *= 4
-    return roots
+    placed = materialise(
+        placed.select(
+            "bucket",
+            F.least("own", "other").alias("low"),
+            F.greatest("own", "other").alias("high"),
+            "own",
+            "set_id",
+        ),
+        "placed",
+    )
+    texts = _candidate_texts(plain, signed, placed)
+    tiles = placed.join(texts, "set_id").groupBy("bucket", "low", "high")
+    return materialise(tiles.applyInArrow(_tile(percent, words), "a binary, b binary"), "links")
 
 
-def _candidate_texts(plain: DataFrame, signed: DataFrame, active: DataFrame) -> DataFrame:
+def _candidate_texts(plain: DataFrame, signed: DataFrame, placed: DataFrame) -> DataFrame:
     """``(set_id, text)``: one text of every class that shares a bucket with another."""
-    wanted = materialise(active.select("set_id").distinct(), "wanted")
+    wanted = materialise(placed.select("set_id").distinct(), "wanted")
     chosen = materialise(
         signed.join(wanted, "set_id", "left_semi")
         .groupBy("set_id")
@@ -291,37 +302,6 @@ def _candidate_texts(plain: DataFrame, signed: DataFrame, active: DataFrame) ->
     return materialise(found.dropDuplicates(["set_id"]), "texts")
 
 
-def _confirmed(pairs: DataFrame, texts: DataFrame, percent: int, words: int) -> DataFrame:
-    left = texts.select(F.col("set_id").alias("a"), F.col("text").alias("a_text"))
-    right = texts.select(F.col("set_id").alias("b"), F.col("text").alias("b_text"))
-    kinds = "a binary, b binary, common long, both long"
-    told = pairs.join(left, "a").join(right, "b").select("a", "b", "a_text", "b_text")
-    return told.mapInArrow(_overlap(words), kinds).where(F.col("common") * 100 >= F.col("both") * percent)
-
-
-def _relabelled(links: DataFrame, roots: DataFrame) -> DataFrame:
-    """Links between the components found so far."""
-    for end in ("a", "b"):
-        links = links.join(roots, F.col(end) == F.col("node"), "left").withColumn(
-            end, F.coalesce("root", end)
-        ).select("a", "b")
-    return links
-
-
-def _composed(roots: DataFrame, moved: DataFrame) -> DataFrame:
-    """Roots after the components of ``moved`` have been joined."""
-    step = moved.select(F.col("node").alias("root"), F.col("root").alias("above"))
-    older = roots.join(step, "root", "left").select("node", F.coalesce("above", "root").alias("root"))
-    return older.union(moved)
-
-
-def _with_component(active: DataFrame, moved: DataFrame) -> DataFrame:
-    step = moved.select(F.col("node").alias("comp"), F.col("root").alias("above"))
-    return active.join(step, "comp", "left").select(
-        "bucket", "set_id", F.coalesce("above", "comp").alias("comp"), "n", "bits"
-    )
-
-
 def keep_one(docs: DataFrame, percent: int = 80, **options) -> DataFrame:
     """``docs`` with one row of each group of near-copies: the one whose id names it.
 
