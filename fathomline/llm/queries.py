@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fathomline.llm import minhash
+from fathomline.llm import langid, licences, minhash, quality, toxicity, vectors
+from fathomline.llm.samples import fold
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -50,13 +51,80 @@ FROM sets JOIN least_ids ON doc_id = a
 """
 
 
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    scored = quality.score(docs, quality.train(docs, _table(spark, sf_dir, "labels")))
+    return scored.select(
+        "doc_id",
+        (fold(5) == 0).alias("held_out"),
+        "score",
+        (F.col("score") >= 0.3).cast("int").alias("predicted"),
+    )
+
+
+def op5_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.scan_licences(_table(spark, sf_dir, "documents"))
+
+
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    scored = toxicity.score(docs, toxicity.train(docs, _table(spark, sf_dir, "labels")))
+    return scored.select(
+        "doc_id",
+        (fold(5) == 0).alias("held_out"),
+        "score",
+        (F.col("score") >= 0.5).cast("int").alias("predicted"),
+        "n_sentences",
+        "n_offending",
+    )
+
+
+def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    found = langid.predict(docs, langid.train(docs))
+    return found.select("doc_id", (fold(4) == 2).alias("held_out"), "lang_pred", "score", "rejected")
+
+
+def op9_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = vectors.near_vectors(_table(spark, sf_dir, "embeddings"), cosine=0.98)
+    kept = F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False))
+    return found.select("vec_id", "n_links", "component_id", kept.alias("kept"))
+
+
+OP9_SQL = r"""
+WITH RECURSIVE sound AS (
+  SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+), links AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM sound a JOIN sound b
+  ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.v) = len(b.v)
+  WHERE list_cosine_similarity(a.v, b.v) >= 0.98
+), reach AS (
+  SELECT vec_id AS a, vec_id AS b FROM embeddings
+  UNION
+  SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a
+), least_ids AS (SELECT a, min(b) AS component_id FROM reach GROUP BY a),
+counts AS (SELECT a, count(*) AS n FROM links GROUP BY a)
+SELECT vec_id, coalesce(n, 0)::BIGINT AS n_links, component_id, vec_id = component_id AS kept
+FROM embeddings JOIN least_ids ON vec_id = least_ids.a LEFT JOIN counts ON vec_id = counts.a
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_near_copies": op1_near_copies,
+        "op3_quality": op3_quality,
+        "op5_licences": op5_licences,
+        "op7_toxicity": op7_toxicity,
+        "op8_language": op8_language,
+        "op9_near_vectors": op9_near_vectors,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_near_copies": OP1_SQL,
+        "op9_near_vectors": OP9_SQL,
     }
