@@ -25,16 +25,19 @@ BITS = 18
 PREFIXES = (4, 5, 6, 7, 8)
 KINDS = 1 + len(PREFIXES)
 PER_LABEL = 3000
-EPOCHS = 12
+EPOCHS = 16
 BATCH = 64
-RATE = 0.5
+RATE = 1.0
 DECAY = 1e-4
 START_BIAS = -5.0
-PRIOR_DOCS = 10.0
+#: documents of each class's share that smooth a feature's odds
+PRIOR_DOCS = 1.0
+#: share of the log odds that a weight starts with
 START = 0.5
+#: weight of each class in the loss
 BALANCE = 0.5
-#: features of fewer sample documents keep weight 0, or they would be learned by heart
-LEAST_DOCS = 4
+#: standard deviations that a feature's log odds must be away from chance
+LEAST_DEVIATIONS = 3.0
 
 
 @dataclass
@@ -110,15 +113,17 @@ def _descend(model: Model, bags, truth: np.ndarray, seed: int) -> None:
     seen = np.zeros(1 << BITS, np.int32)
     for words, _ in bags:
         seen[np.unique(words)] += 1
-    common = seen >= LEAST_DOCS
     toxic = truth > 0
     hits = np.zeros(1 << BITS)
     for (words, _), y in zip(bags, toxic):
         if y:
             hits[np.unique(words)] += 1
     base = toxic.mean()
-    odds = (hits + PRIOR_DOCS * base) / (seen - hits + PRIOR_DOCS * (1 - base)) * (1 - base) / base
-    model.weights[common] = START * np.log(odds[common])
+    missed = seen - hits
+    odds = np.log((hits + PRIOR_DOCS * base) / (missed + PRIOR_DOCS * (1 - base)) * (1 - base) / base)
+    # features that differ between the classes beyond chance; others keep weight 0
+    common = np.abs(odds) >= LEAST_DEVIATIONS * np.sqrt(1 / (hits + 1) + 1 / (missed + 1))
+    model.weights[common] = START * odds[common]
     weight = np.where(toxic, BALANCE / base, BALANCE / (1 - base))
     power = np.full(1 << BITS, 1e-6)
     bias_power = 1e-6
@@ -151,7 +156,7 @@ def _descend(model: Model, bags, truth: np.ndarray, seed: int) -> None:
             model.weights[touched] -= RATE * g / np.sqrt(power[touched])
             g = step.sum() / len(chosen)
             bias_power += g * g
-            model.bias -= 0.1 * RATE * g / np.sqrt(bias_power)
+            model.bias -= RATE * g / np.sqrt(bias_power)
 
 
 def _logistic(x: np.ndarray) -> np.ndarray:
