@@ -224,13 +224,13 @@ def near_copies(
         .groupBy("set_id")
         .agg(
             F.min("doc_id").alias("least_id"),
-            F.min("key").alias("key"),
+            F.min(F.struct("doc_id", "key")).alias("row"),
             F.max("n").alias("n"),
             F.max("buckets").alias("buckets"),
         ),
         "classes",
     )
-    roots = components(_links(plain, signed, classes, percent, words))
+    roots = components(_links(plain, classes, percent, words))
     grouped = classes.join(roots, F.col("set_id") == F.col("node"), "left").select(
         "set_id", "least_id", F.coalesce("root", "set_id").alias("root")
     )
@@ -247,7 +247,7 @@ def near_copies(
     )
 
 
-def _links(plain, signed, classes, percent: int, words: int) -> DataFrame:
+def _links(plain, classes, percent: int, words: int) -> DataFrame:
     """Links ``(a, b)`` between classes that share a bucket, as a forest of each tile."""
     members = classes.select(F.explode("buckets").alias("bucket"), "set_id", "n")
     # a bucket's content is told by its size and two sums without carry over its members
@@ -281,18 +281,16 @@ def _links(plain, signed, classes, percent: int, words: int) -> DataFrame:
         ),
         "placed",
     )
-    texts = _candidate_texts(plain, signed, placed)
+    texts = _candidate_texts(plain, classes, placed)
     tiles = placed.join(texts, "set_id").groupBy("bucket", "low", "high")
     return materialise(tiles.applyInArrow(_tile(percent, words), "a binary, b binary"), "links")
 
 
-def _candidate_texts(plain: DataFrame, signed: DataFrame, placed: DataFrame) -> DataFrame:
+def _candidate_texts(plain: DataFrame, classes: DataFrame, placed: DataFrame) -> DataFrame:
     """``(set_id, text)``: one text of every class that shares a bucket with another."""
     wanted = materialise(placed.select("set_id").distinct(), "wanted")
     chosen = materialise(
-        signed.join(wanted, "set_id", "left_semi")
-        .groupBy("set_id")
-        .agg(F.min(F.struct("doc_id", "key")).alias("row"))
+        classes.join(wanted, "set_id", "left_semi")
         .select("set_id", F.col("row.doc_id").alias("_id"), F.col("row.key").alias("_key")),
         "chosen",
     )
