@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fathomline.llm import langid, licences, minhash, quality, toxicity, vectors
+from fathomline.llm import decontaminate, langid, licences, minhash, quality, toxicity, vectors
 from fathomline.llm.samples import fold
 
 
@@ -66,6 +66,18 @@ def op5_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licences.scan_licences(_table(spark, sf_dir, "documents"))
 
 
+def op6_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    return found.select(
+        "doc_id",
+        "n_words",
+        "n_hit",
+        "n_items",
+        F.sha2("item_ids", 256).alias("items_sha256"),
+        (F.col("n_hit") > 0).alias("contaminated"),
+    )
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     scored = toxicity.score(docs, toxicity.train(docs, _table(spark, sf_dir, "labels")))
@@ -91,6 +103,42 @@ def op9_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("vec_id", "n_links", "component_id", kept.alias("kept"))
 
 
+OP6_SQL = r"""
+WITH doc_words AS (
+  SELECT doc_id, regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM documents
+), item_words AS (
+  SELECT item_id, regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM benchmark
+), windows AS (
+  SELECT DISTINCT item_id, size, phrase FROM (
+    SELECT item_id, least(len(w), 10) AS size,
+      unnest(list_transform(range(1, len(w) - least(len(w), 10) + 2),
+        lambda i: array_to_string(w[i:i + least(len(w), 10) - 1], ' '))) AS phrase
+    FROM item_words WHERE len(w) > 0)
+), sizes AS (SELECT DISTINCT size FROM windows),
+runs AS (
+  SELECT doc_id, size, start, array_to_string(w[start:start + size - 1], ' ') AS phrase FROM (
+    SELECT doc_id, w, size, unnest(range(1, len(w) - size + 2)) AS start FROM doc_words, sizes)
+), hits AS (
+  SELECT doc_id, item_id, start, size FROM runs JOIN windows USING (size, phrase)
+), covered AS (
+  SELECT doc_id, count(DISTINCT p) AS n_hit FROM (
+    SELECT doc_id, unnest(range(start, start + size)) AS p FROM hits) GROUP BY doc_id
+), named AS (
+  SELECT doc_id, count(*) AS n_items, string_agg(item_id::VARCHAR, ',' ORDER BY item_id::VARCHAR) AS items
+  FROM (SELECT DISTINCT doc_id, item_id FROM hits) GROUP BY doc_id
+)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit,
+  coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(items, '')) AS items_sha256,
+  coalesce(n_hit, 0) > 0 AS contaminated
+FROM doc_words LEFT JOIN covered USING (doc_id) LEFT JOIN named USING (doc_id)
+"""
+
 OP9_SQL = r"""
 WITH RECURSIVE sound AS (
   SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings
@@ -117,6 +165,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_near_copies": op1_near_copies,
         "op3_quality": op3_quality,
         "op5_licences": op5_licences,
+        "op6_leaks": op6_leaks,
         "op7_toxicity": op7_toxicity,
         "op8_language": op8_language,
         "op9_near_vectors": op9_near_vectors,
@@ -126,5 +175,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_near_copies": OP1_SQL,
+        "op6_leaks": OP6_SQL,
         "op9_near_vectors": OP9_SQL,
     }
