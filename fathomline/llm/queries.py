@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fathomline.llm import decontaminate, langid, licences, minhash, quality, toxicity, vectors
+from fathomline.llm import decontaminate, langid, licences, minhash, quality, sanitise, toxicity, vectors
 from fathomline.llm.samples import fold
 
 
@@ -51,6 +51,21 @@ FROM sets JOIN least_ids ON doc_id = a
 """
 
 
+def op2_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = sanitise.personal_spans(_table(spark, sf_dir, "documents"))
+
+    def count(kind: str):
+        number = sanitise.KINDS.index(kind)
+        return F.size(F.filter("base", lambda s: s["kind"] == number)).cast("long").alias(f"n_{kind}")
+
+    return found.select(
+        "doc_id",
+        *[count(kind) for kind in sanitise.KINDS[:4]],
+        F.sha2(sanitise.told(F.col("base")), 256).alias("base_sha256"),
+        sanitise.told(F.col("spans")).alias("spans"),
+    )
+
+
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     scored = quality.score(docs, quality.train(docs, _table(spark, sf_dir, "labels")))
@@ -163,6 +178,7 @@ FROM embeddings JOIN least_ids ON vec_id = least_ids.a LEFT JOIN counts ON vec_i
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_near_copies": op1_near_copies,
+        "op2_personal_data": op2_personal_data,
         "op3_quality": op3_quality,
         "op5_licences": op5_licences,
         "op6_leaks": op6_leaks,
