@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fathomline.llm import decontaminate, langid, licences, minhash, quality, sanitise, toxicity, vectors
+from fathomline.llm import decontaminate, langid, licences, minhash, mixing, quality, sanitise, toxicity, vectors
 from fathomline.llm.samples import fold
 
 
@@ -77,6 +77,22 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+TARGETS = {"prose": 0.8, "junk": 0.15, "toxic": 0.05}
+
+
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labelled = mixing.quality_domains(_table(spark, sf_dir, "labels"))
+    found = mixing.mix(_table(spark, sf_dir, "documents"), labelled, TARGETS)
+    return found.select(
+        F.col("_id").alias("doc_id"),
+        F.col("n").alias("n_tokens"),
+        "domain",
+        *[F.round(f"p{k}", 6).alias(f"p_{name}") for k, name in enumerate(sorted(TARGETS))],
+        "rate",
+        mixing.copies(F.col("rate"), F.col("_id"), F.col("_key")).alias("copies"),
+    )
+
+
 def op5_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licences.scan_licences(_table(spark, sf_dir, "documents"))
 
@@ -180,6 +196,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_near_copies": op1_near_copies,
         "op2_personal_data": op2_personal_data,
         "op3_quality": op3_quality,
+        "op4_mixing": op4_mixing,
         "op5_licences": op5_licences,
         "op6_leaks": op6_leaks,
         "op7_toxicity": op7_toxicity,
