@@ -17,8 +17,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fathomline.llm import features as ft
+from fathomline.llm.rows import drop_rows, text_key
 from fathomline.llm.samples import agreed_labels, bounded, fold
 from fathomline.llm.words import text_chunks
+from fathomline.storage import materialise
 
 BITS = 18
 #: word beginnings of so many bytes are features besides the whole word
@@ -170,13 +172,13 @@ def _log_not(x: np.ndarray) -> np.ndarray:
 
 
 _SCORED = (
-    "doc_id long, score double, n_sentences long, n_offending long, "
+    "doc_id long, key long, score double, n_sentences long, n_offending long, "
     "offending array<struct<start:long,end:long,score:double>>"
 )
 
 
 def score(docs: DataFrame, model: Model, offends: float = 0.5) -> DataFrame:
-    """``(doc_id, score, n_sentences, n_offending, offending)`` for every row.
+    """``(doc_id, key, score, n_sentences, n_offending, offending)`` for every row.
 
     ``offending`` lists the sentences scored ``offends`` or more, from the first to the
     last word, as byte offsets of the UTF-8 text. Null and empty texts and texts without
@@ -210,12 +212,23 @@ def score(docs: DataFrame, model: Model, offends: float = 0.5) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column("doc_id").slice(chunk.first, chunk.rows),
+                        batch.column("key").slice(chunk.first, chunk.rows),
                         pa.array(np.clip(whole, 0.0, 1.0), pa.float64()),
                         pa.array(np.diff(parts), pa.int64()),
                         pa.array(np.diff(per_row), pa.int64()),
                         pa.ListArray.from_arrays(pa.array(per_row.astype(np.int32)), spans),
                     ],
-                    ["doc_id", "score", "n_sentences", "n_offending", "offending"],
+                    ["doc_id", "key", "score", "n_sentences", "n_offending", "offending"],
                 )
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(apply, _SCORED)
+    rows = docs.select(
+        F.col("doc_id").cast("long").alias("doc_id"), text_key(F.col("text")).alias("key"), "text"
+    )
+    return rows.mapInArrow(apply, _SCORED)
+
+
+def drop_toxic(docs: DataFrame, model: Model, rejects: float = 0.5) -> DataFrame:
+    """``docs`` without the rows that score ``rejects`` or more."""
+    found = score(docs, model).where(F.col("score") >= rejects)
+    gone = materialise(found.select(F.col("doc_id").alias("_id"), F.col("key").alias("_key")).distinct(), "gone")
+    return drop_rows(docs, gone)
