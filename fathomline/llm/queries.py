@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fathomline.llm import decontaminate, langid, licences, minhash, mixing, quality, sanitise, toxicity, vectors
+from fathomline.llm import decontaminate, langid, licences, minhash, mixing, pages, quality, sanitise, toxicity, vectors
 from fathomline.llm.samples import fold
 
 
@@ -21,6 +21,10 @@ def op1_near_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_shingles", "component_id", kept.alias("kept"))
 
 
+def op10_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pages.main_text(_table(spark, sf_dir, "pages"))
+
+
 OP1_SQL = r"""
 WITH RECURSIVE worded AS (
   SELECT doc_id, regexp_extract_all(
@@ -202,6 +206,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op7_toxicity": op7_toxicity,
         "op8_language": op8_language,
         "op9_near_vectors": op9_near_vectors,
+        "op10_main_text": op10_main_text,
     }
 
 
