@@ -138,6 +138,46 @@ def op9_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("vec_id", "n_links", "component_id", kept.alias("kept"))
 
 
+def _canonical_sql(text: str) -> str:
+    text = f"regexp_replace(lower({text}), '{licences.COPYRIGHT_LINE}', '', 'g')"
+    for given, one in licences.SPELLINGS:
+        text = f"replace({text}, '{given}', '{one}')"
+    return rf"trim(regexp_replace({text}, '[\x00-\x2F\x3A-\x60\x7B-\x7F\x{{A9}}]+', ' ', 'g'))"
+
+
+def _op5_sql() -> str:
+    texts = ", ".join(
+        f"({i}, '{name}', '{text.replace(chr(39), chr(39) * 2)}')" for i, (name, text) in enumerate(licences.KNOWN)
+    )
+    return rf"""
+WITH known AS (
+  SELECT form, arg_min(licence, place) AS licence FROM (
+    SELECT place, licence, {_canonical_sql("t")} AS form FROM (VALUES {texts}) AS k(place, licence, t))
+  GROUP BY form
+), docs AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+units AS (
+  SELECT doc_id, true AS whole, t AS unit FROM docs
+  UNION ALL
+  SELECT doc_id, false, unnest(string_split(t, chr(10))) FROM docs
+  UNION ALL
+  SELECT doc_id, false, unnest(list_filter(
+    string_split_regex(t, '
+[ 	]*
+'), lambda p: contains(p, chr(10)))) FROM docs
+), hits AS (
+  SELECT doc_id, whole, licence
+  FROM (SELECT doc_id, whole, {_canonical_sql("unit")} AS form FROM units) JOIN known USING (form)
+  WHERE form <> ''
+), told AS (
+  SELECT doc_id, max(licence) FILTER (WHERE whole) AS licence, count(*) FILTER (WHERE NOT whole) AS n_hits,
+    string_agg(DISTINCT licence, ',' ORDER BY licence) AS licences
+  FROM hits GROUP BY doc_id
+)
+SELECT doc_id, licence, coalesce(n_hits, 0)::BIGINT AS n_hits, coalesce(licences, '') AS licences
+FROM docs LEFT JOIN told USING (doc_id)
+"""
+
+
 OP6_SQL = r"""
 WITH doc_words AS (
   SELECT doc_id, regexp_extract_all(
@@ -213,6 +253,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_near_copies": OP1_SQL,
+        "op5_licences": _op5_sql(),
         "op6_leaks": OP6_SQL,
         "op9_near_vectors": OP9_SQL,
     }
