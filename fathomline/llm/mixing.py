@@ -132,9 +132,9 @@ def fit_rates(members: DataFrame, targets: list[float], steps: int = STEPS) -> D
 
     ``targets`` are shares of all tokens of ``members``; rates start at 1. The least-squares
     gradient of a rate, measured in the document's share of tokens, is its posterior times
-    the domains' excess. Steps follow the two-point rule, so they adapt to the problem's
-    curvature; the driver sees one row of sums per step. Targets no rates can reach are
-    approached as closely as least squares does.
+    the domains' excess. Step sizes take turns between the two two-point rules, so they adapt
+    to the problem's curvature; the driver sees one row of sums per step. Targets that no
+    rates can reach are approached as least squares does, within the number of steps.
     """
     places = range(len(targets))
     total = float(members.agg(F.sum("n").alias("n")).first()["n"] or 0)
@@ -142,8 +142,10 @@ def fit_rates(members: DataFrame, targets: list[float], steps: int = STEPS) -> D
     if not total:
         return state
     share = F.col("n") / total
+    products = [(j, k) for j in places for k in places]
+    curve = members.agg(*[F.sum(share * F.col(f"p{j}") * F.col(f"p{k}")) for j, k in products]).first()
     rate, pending, before, size = F.col("rate"), 0, None, 1.0
-    for _ in range(steps):
+    for number in range(steps):
         moved = F.lit(0.0) if before is None else share * F.pow(rate - before[1], 2)
         sums = state.agg(
             *[F.sum(share * F.col(f"p{k}") * rate).alias(f"t{k}") for k in places], F.sum(moved).alias("moved")
@@ -152,8 +154,12 @@ def fit_rates(members: DataFrame, targets: list[float], steps: int = STEPS) -> D
         if before is not None:
             if sums["moved"] < TOLERANCE**2:
                 break
-            turned = sum((a - b) ** 2 for a, b in zip(excess, before[0]))
-            size = min(max(sums["moved"] / turned if turned else 1.0, 0.1), 1e4)
+            turn = [a - b for a, b in zip(excess, before[0])]
+            length = sum(t * t for t in turn)
+            bent = sum(turn[j] * turn[k] * c for (j, k), c in zip(products, curve))
+            if length and bent > 0:
+                size = sums["moved"] / length if number % 2 else length / bent
+            size = min(max(size, 0.1), 1e4)
         if max(map(abs, excess)) < TOLERANCE:
             break
         before = (excess, rate)
