@@ -23,6 +23,8 @@ PER_DOMAIN = 3000
 VOCABULARY = 20_000
 LEAST_DOCS = 3
 SMOOTHING = 0.5
+#: tokens whose log share differs by less in every domain tell nothing and are not kept
+LEAST_EVIDENCE = 0.2
 #: known tokens after which more evidence counts for less, so long texts stay soft
 EVIDENCE = 200.0
 STEPS = 100
@@ -76,9 +78,10 @@ def _weights(docs: DataFrame, labelled: DataFrame, domains: list[str], per_domai
         return F.log((count + SMOOTHING) / F.lit(float(whole + size or 1)))
 
     overall = share(sum((F.col(f"c{k}") for k in places), F.lit(0)), total)
-    return known.select(
+    ratios = known.select(
         "token", *[(share(F.col(f"c{k}"), sums[f"c{k}"] or 0) - overall).alias(f"w{k}") for k in places]
     )
+    return ratios.where(" or ".join(f"abs(w{k}) >= {LEAST_EVIDENCE}" for k in places))
 
 
 def posteriors(
@@ -91,23 +94,27 @@ def posteriors(
     labelled documents.
     """
     places = range(len(domains))
-    weights = materialise(_weights(docs, labelled, domains, per_domain), "weights")
+    # the empty token stands for the row itself, so every row meets one token at least
+    row_token = docs.sparkSession.createDataFrame([("", *[0.0 for _ in places])]).toDF(
+        "token", *[f"w{k}" for k in places]
+    )
+    weights = materialise(_weights(docs, labelled, domains, per_domain).union(row_token), "weights")
     counts = {r["label"]: r["n"] for r in labelled.where(F.col("label").isin(domains)).groupBy("label").agg(F.count("*").alias("n")).collect()}
     total = sum(counts.values())
     priors = [counts.get(name, 0) / total if total else 1 / len(domains) for name in domains]
     rows = docs.select(
         F.col("doc_id").cast("long").alias("_id"),
         text_key(F.col("text")).alias("_key"),
-        F.explode_outer(_tokens(F.col("text"))).alias("token"),
-    )
+        F.array_append(_tokens(F.col("text")), "").alias("tokens"),
+    ).select("_id", "_key", (F.size("tokens") - 1).cast("long").alias("n"), F.explode("tokens").alias("token"))
     # the vocabulary is bounded by VOCABULARY rows
     summed = (
-        rows.join(F.broadcast(weights), "token", "left")
+        rows.join(F.broadcast(weights), "token")
         .groupBy("_id", "_key")
         .agg(
-            F.count("token").alias("n"),
-            F.count("w0").alias("known"),
-            *[F.coalesce(F.sum(f"w{k}"), F.lit(0.0)).alias(f"s{k}") for k in places],
+            F.sum(F.when(F.col("token") == "", F.col("n")).otherwise(0)).alias("n"),
+            F.count_if(F.col("token") != "").alias("known"),
+            *[F.sum(f"w{k}").alias(f"s{k}") for k in places],
         )
     )
     tempered = F.lit(EVIDENCE) / (F.lit(EVIDENCE) + F.col("known"))
