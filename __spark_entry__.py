@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import sys
 from collections.abc import Callable
+from functools import reduce
 from pathlib import Path
 
 from pyspark import cloudpickle
@@ -35,7 +36,7 @@ from fathomline.plans.rag import DenseRag, TfIdfRag
 from fathomline.plans.synthesis import qa_dataset
 from fathomline.sources.config import DEFAULT_CONFIG, select_metrics
 from fathomline.sources.delimited import read_delimited, write_delimited
-from fathomline.sources.documents import list_documents, load_pages
+from fathomline.sources.documents import load_pages
 from fathomline.sources.records import (
     head_n,
     project_qa_columns,
@@ -63,10 +64,10 @@ if __name__ in sys.modules:
     cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 CUSTOM_WEIGHTS = {
-    "Answer Relevancy": 0.4,
-    "Faithfulness": 0.3,
-    "Contextual Recall": 0.2,
-    "Contextual Precision": 0.1,
+    "Answer Relevancy": 1.0,
+    "Faithfulness": 2.5,
+    "Contextual Recall": 0.0,
+    "Contextual Precision": 0.75,
 }
 
 
@@ -119,8 +120,17 @@ def read_qa_head(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def delimited_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = scratch_path(spark, "pages-tsv")
-    write_delimited(pages(spark, sf_dir).select("doc_id", "text", "source"), path)
+    """Texts with edge spaces, quotes, tabs, empty and null ones come back unchanged."""
+    path, text, kind = scratch_path(spark, "pages-tsv"), F.col("text"), F.col("doc_id") % 7
+    edges = (
+        F.when(kind == 1, F.concat(F.lit(" "), text, F.lit(" ")))
+        .when(kind == 2, F.lit(""))
+        .when(kind == 3, F.lit(None).cast("string"))
+        .when(kind == 4, F.concat(F.lit('"'), text))
+        .when(kind == 5, F.concat(text, F.lit('\t""')))
+        .otherwise(text)
+    )
+    write_delimited(pages(spark, sf_dir).select("doc_id", edges.alias("text"), "source"), path)
     return read_delimited(
         spark, path, "doc_id long, text string, source string", schema_map={"source": "origin"}
     )
@@ -131,12 +141,6 @@ def renamed_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rename_columns(labels, {"quality": "is_good", "toxic": "is_toxic", "absent": "ignored"})
 
 
-def listed_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return list_documents(spark, sf_dir, ".parquet").select(
-        F.element_at(F.split("path", "/"), -1).alias("name"), "length"
-    )
-
-
 def loaded_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = load_vectors(spark, f"{sf_dir}/embeddings.parquet", hashing.DIMENSION)
     return vectors.select("vec_id", F.posexplode("embedding").alias("axis", "value")).select(
@@ -165,7 +169,7 @@ def validated_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     valid, rejected = validate_records(turns, ["role", "text"])
     kept = valid.withColumn("reason", F.lit("valid")).unionByName(rejected)
-    return kept.groupBy("role", "reason").agg(F.count("*").alias("n"))
+    return kept.select("conv_id", "turn", "reason")
 
 
 # -- chunking -------------------------------------------------------------
@@ -296,6 +300,20 @@ def knn_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return knn_exact(*_vector_pairs(spark, sf_dir), k=10, small=False, block_rows=200)
 
 
+def knn_scaled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Long vectors, near each other: the block sizes must not show in the result."""
+    moved = F.transform("embedding", lambda x: x.cast("double") * 1000 + F.col("vec_id") % 3)
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", moved.alias("embedding"))
+    asked = vectors.withColumnRenamed("vec_id", "index")
+    forms = {
+        "small": knn_exact(asked, vectors, 10),
+        "blocks of 100": knn_exact(asked, vectors, 10, small=False, block_rows=100),
+        "blocks of 333": knn_exact(asked, vectors, 10, small=False, block_rows=333),
+    }
+    named = [found.select(F.lit(name).alias("form"), "*") for name, found in forms.items()]
+    return reduce(DataFrame.union, named)
+
+
 def knn_approximate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return knn_approx(*_vector_pairs(spark, sf_dir), k=10, dim=hashing.DIMENSION)
 
@@ -371,9 +389,11 @@ def history(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _drafted_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Model text of every turn; system turns lack the answer marker."""
+    """Model text of every turn; system turns lack the answer marker, and every other
+    turn ends in line breaks."""
     marker = F.when(F.col("role") == "system", F.lit(" Reply: ")).otherwise(F.lit("\nAnswer: "))
-    output = F.concat(F.lit("Factoid question: "), "role", F.lit("?"), marker, "text")
+    tail = F.when(F.col("turn") % 2 == 0, F.lit(" \n\n")).otherwise(F.lit(""))
+    output = F.concat(F.lit("Factoid question: "), "role", F.lit("?"), marker, "text", tail)
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", output.alias("output"))
 
 
@@ -384,7 +404,7 @@ def parse_qa(spark: SparkSession, sf_dir: str) -> DataFrame:
 def qa_constraints(spark: SparkSession, sf_dir: str) -> DataFrame:
     valid, rejected = synthesis.qa_constraints(parse_qa(spark, sf_dir))
     both = valid.withColumn("reason", F.lit("valid")).unionByName(rejected)
-    return both.groupBy("reason").agg(F.count("*").alias("n"))
+    return both.select("conv_id", "turn", "reason")
 
 
 def judge_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -585,11 +605,14 @@ def summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _strict_judge(prompts: list[str]) -> list[str]:
-    """Supports a statement if its text stands in the evidence word for word."""
+    """Supports a statement if its text stands in the evidence word for word; fails on
+    statements of some lengths."""
     replies = []
     for p in prompts:
         body = p.split("Statement: ", 1)[1]
         statement, evidence = body.split("\nEvidence: ", 1)
+        if len(statement) % 11 == 0:
+            raise ValueError("too long")
         replies.append('{"verdict": "%s"}' % ("yes" if statement in evidence else "no"))
     return replies
 
@@ -597,12 +620,28 @@ def _strict_judge(prompts: list[str]) -> list[str]:
 def judge_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A model judges the statements of every assistant answer against the question."""
     cases = turn_pairs(spark, sf_dir).select(
-        F.xxhash64("conv_id", "turn").alias("index"),
+        F.struct("conv_id", "turn").alias("index"),
         F.concat_ws(" ", "answer", "question").alias("actual_output"),
         F.array(txt.clean(F.col("answer"))).alias("retrieval_context"),
     )
     judged = metrics.judge_verdicts(cases, lambda ps: _strict_judge(ps))
-    return judged.groupBy("score").agg(F.count("*").alias("n"))
+    return judged.select("index.conv_id", "index.turn", "score", "n_statements", "n_failed", "error")
+
+
+def judged_scorer(spark: SparkSession, sf_dir: str) -> Scorer:
+    """All four metrics from a scripted judge that fails on some statements."""
+    made = Scorer(evaluation_set(spark, sf_dir).test_cases, make_judge=lambda: _strict_judge)
+    made.calculate_scores()
+    return made
+
+
+def evaluate_judged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judged_scorer(spark, sf_dir).results().select("index", "metric", "score", "success")
+
+
+def overall_judged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = judged_scorer(spark, sf_dir)
+    return made.overall_metrics().join(made.failures(), "metric", "left")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -621,7 +660,6 @@ def own_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "read_qa_head": read_qa_head,
         "delimited_roundtrip": delimited_roundtrip,
         "rename_columns": renamed_columns,
-        "list_documents": listed_documents,
         "load_vectors": loaded_vectors,
         "load_pages": loaded_pages,
         "page_text": page_text,
@@ -646,6 +684,7 @@ def own_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "hash_embed": hash_embed,
         "knn_exact": knn_all,
         "knn_blocks": knn_blocks,
+        "knn_scaled": knn_scaled,
         "knn_approx": knn_approximate,
         "dense_topk": dense_topk,
         "prompt_catalogue": prompt_catalogue,
@@ -680,6 +719,8 @@ def own_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "overall_dense": overall_dense,
         "summary": summary,
         "judge_verdicts": judge_verdicts,
+        "evaluate_judged": evaluate_judged,
+        "overall_judged": overall_judged,
     }
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from fathomline.functions import text as txt
+from fathomline.functions.parsing import MAX_ANSWER
 
 # Fixed value: share of terms from which a statement counts as supported.
 SUPPORT = 0.5
@@ -38,12 +39,16 @@ def extractive_answer(question: Column, context: Column) -> Column:
     return F.coalesce(best["sentence"], F.lit(""))
 
 
-def longest_sentence(text: Column) -> Column:
-    """The sentence with most tokens; the first of equals."""
+def longest_sentence(text: Column, fits: int) -> Column:
+    """The sentence with most tokens of those with at most ``fits`` characters; the
+    first of equals. If none fits, the one with most tokens, whole."""
     sized = F.transform(
         txt.sentences(text),
         lambda s, at: F.struct(
-            txt.count_tokens(s).alias("tokens"), (-at).alias("before"), s.alias("sentence")
+            (F.length(s) <= fits).alias("fits"),
+            txt.count_tokens(s).alias("tokens"),
+            (-at).alias("before"),
+            s.alias("sentence"),
         ),
     )
     return F.coalesce(F.array_max(sized)["sentence"], F.lit(""))
@@ -65,10 +70,10 @@ def drafted_pair(text: Column) -> Column:
             F.lit("Factoid question: What does the text say about "),
             longest_term(sentence),
             F.lit("?\nAnswer: "),
-            F.substring(sentence, 1, 300),
+            sentence,
         )
 
-    return txt.bind(longest_sentence(text), written)
+    return txt.bind(longest_sentence(text, MAX_ANSWER), written)
 
 
 def rating_of(terms: Column, other_terms: Column) -> Column:

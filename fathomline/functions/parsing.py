@@ -9,7 +9,7 @@ from fathomline.functions.text import bind
 from fathomline.schemas import LOCATION_RATING, RATING
 
 # The output formats the prompts ask for, and the limits on pairs.
-PAIR = r"(?s)Factoid question:\s*(.*?)\s*Answer:\s*(.*)"
+PAIR = r"(?s)Factoid question:\s*(.*?)\s*Answer:\s*(.*?)\s*\z"
 PLAIN_RATING = r"Total rating:\s*([1-5])"
 PLAIN_REASONS = r"(?s)Evaluation:\s*(.*?)\s*Total rating:"
 JSON_OBJECT = r"(?s)\{.*\}"

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 
 # Fixed value: attempts per batch.
 ATTEMPTS = 3
+BATCH_SIZE = 256
 
 Model = Callable[[list[str]], list]
 
@@ -21,40 +23,41 @@ def normalise_output(reply: object) -> str:
     return str(getattr(reply, "content", reply))
 
 
-def with_retries(call: Callable[[], list], attempts: int = ATTEMPTS) -> list:
-    for attempt in range(attempts):
+def with_retries(call: Callable[[], list], attempts: int = ATTEMPTS, pause: float = 0.0) -> list:
+    """The first result of up to ``attempts`` calls, with a pause in seconds that doubles
+    after every failure; the last failure is raised."""
+    if attempts < 1:
+        raise ValueError("attempts must be positive")
+    for left in range(attempts - 1, -1, -1):
         try:
             return call()
         except Exception:
-            if attempt == attempts - 1:
+            if not left:
                 raise
-    raise ValueError("attempts must be positive")
+            time.sleep(pause)
+            pause *= 2
 
 
-def _answer_batch(model: Model, prompts: list[str], attempts: int) -> tuple[list, list]:
-    """Outputs and errors. If a batch keeps failing, its prompts are tried one by
-    one, so one bad prompt cannot take its neighbours with it."""
+def _answer_batch(
+    model: Model, prompts: list[str], attempts: int, pause: float = 0.0
+) -> tuple[list, list]:
+    """Outputs and errors. A batch that keeps failing is halved, and so on down to
+    single prompts: a bad prompt fails alone, after about ``2 log2 n`` more batches."""
 
-    def ask(some: list[str]) -> list:
-        replies = list(model(some))
-        if len(replies) != len(some):
-            raise ValueError(f"the model gave {len(replies)} replies to {len(some)} prompts")
+    def ask() -> list:
+        replies = list(model(prompts))
+        if len(replies) != len(prompts):
+            raise ValueError(f"the model gave {len(replies)} replies to {len(prompts)} prompts")
         return [normalise_output(r) for r in replies]
 
     try:
-        return with_retries(lambda: ask(prompts), attempts), [None] * len(prompts)
-    except Exception as batch_error:
+        return with_retries(ask, attempts, pause), [None] * len(prompts)
+    except Exception as error:
         if len(prompts) == 1:
-            return [None], [f"{type(batch_error).__name__}: {batch_error}"]
-    outputs, errors = [], []
-    for prompt in prompts:
-        try:
-            outputs += with_retries(lambda: ask([prompt]), attempts)
-            errors.append(None)
-        except Exception as error:
-            outputs.append(None)
-            errors.append(f"{type(error).__name__}: {error}")
-    return outputs, errors
+            return [None], [f"{type(error).__name__}: {error}"]
+    middle = len(prompts) // 2
+    halves = [_answer_batch(model, part, attempts, pause) for part in (prompts[:middle], prompts[middle:])]
+    return halves[0][0] + halves[1][0], halves[0][1] + halves[1][1]
 
 
 def model_column(
@@ -62,10 +65,12 @@ def model_column(
     model: Model | None = None,
     make_model: Callable[[], Model] | None = None,
     attempts: int = ATTEMPTS,
+    batch_size: int = BATCH_SIZE,
+    pause: float = 0.0,
 ) -> Column:
     """``struct<output, error>`` of a model call on ``prompt``.
 
-    Only the prompt crosses to Python, one Arrow batch per call; a null prompt is
+    Only the prompt crosses to Python, ``batch_size`` prompts per call; a null prompt is
     not sent and gives a null output. ``make_model``
     builds a client once per task; otherwise ``model`` must be picklable. The
     call is marked non-deterministic, so Spark never duplicates it; write the
@@ -81,7 +86,10 @@ def model_column(
             replies = pd.DataFrame(None, prompts.index, ["output", "error"], dtype=object)
             asked = prompts.notna()
             if asked.any():
-                outputs, errors = _answer_batch(client, prompts[asked].tolist(), attempts)
+                waiting, outputs, errors = prompts[asked].tolist(), [], []
+                for at in range(0, len(waiting), batch_size):
+                    told = _answer_batch(client, waiting[at : at + batch_size], attempts, pause)
+                    outputs, errors = outputs + told[0], errors + told[1]
                 replies.loc[asked, "output"] = outputs
                 replies.loc[asked, "error"] = errors
             yield replies.where(replies.notna(), None)
@@ -97,9 +105,11 @@ def generate(
     error: str = "error",
     make_model: Callable[[], Model] | None = None,
     attempts: int = ATTEMPTS,
+    batch_size: int = BATCH_SIZE,
+    pause: float = 0.0,
 ) -> DataFrame:
     """Add the model output and an error column; an output is null on error."""
-    called = df.withColumn("_reply", model_column(F.col(prompt), model, make_model, attempts))
+    called = df.withColumn("_reply", model_column(F.col(prompt), model, make_model, attempts, batch_size, pause))
     return called.withColumns(
         {output: F.col("_reply.output"), error: F.col("_reply.error")}
     ).drop("_reply")

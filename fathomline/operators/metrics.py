@@ -6,6 +6,8 @@ is a column of its row; the long form is an unpivot.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -140,15 +142,18 @@ def metric_success(scores: DataFrame, thresholds: dict[str, float]) -> DataFrame
 
 def judge_verdicts(
     test_cases: DataFrame,
-    judge: Model,
+    judge: Model | None = None,
     statement_of: str = "actual_output",
     evidence: Column | None = None,
     positive: str = "yes",
+    make_judge: Callable[[], Model] | None = None,
 ) -> DataFrame:
-    """``(index, score)``: share of statements a judge model supports.
+    """``(index, score, n_statements, n_failed, error)``: share of statements a judge
+    model supports.
 
-    One row per case and statement goes to the judge; replies that cannot be
-    parsed count as unsupported. Cases without statements score 0.
+    One row per case and statement goes to the judge. A call that fails and a reply
+    that cannot be read are failures: the score is then null and ``error`` tells the
+    first one. Cases without statements score 0.
     """
     known = build_context(F.col("retrieval_context")) if evidence is None else evidence
     asked = test_cases.select(
@@ -163,10 +168,111 @@ def judge_verdicts(
     # no statement, no call
     sent = F.when(F.col("_statement").isNotNull(), prompt)
     written = asked.select("index", "_statement", sent.alias("prompt"))
-    told = generate(written, judge).select("index", "_statement", "output")
-    verdict = parsing.parse_judge_json(F.col("output"), "struct<verdict:string,reason:string>")
-    supported = F.coalesce(F.lower(verdict["parsed"]["verdict"]) == positive, F.lit(False))
-    counted = told.withColumn("_yes", F.col("_statement").isNotNull() & supported)
-    return counted.groupBy("index").agg(
-        F.round(F.avg(F.col("_yes").cast("double")), 6).alias("score")
+    told = generate(written, judge, make_model=make_judge).select("index", "_statement", "output", "error")
+    heard = told.select("index", "_statement", verdict_of(positive).alias("v"))
+    stated = F.col("_statement").isNotNull()
+    failed = F.count_if(stated & F.col("v.error").isNotNull())
+    share = F.avg((stated & F.coalesce(F.col("v.holds"), F.lit(False))).cast("double"))
+    return heard.groupBy("index").agg(
+        F.when(failed == 0, F.round(share, 6)).alias("score"),
+        F.count("_statement").alias("n_statements"),
+        failed.alias("n_failed"),
+        F.min(F.when(stated, F.col("v.error"))).alias("error"),
+    )
+
+
+def verdict_of(positive: str = "yes") -> Column:
+    """``struct<holds, error>`` from the columns ``output`` and ``error`` of a judge call."""
+    told = parsing.parse_judge_json(F.col("output"), "struct<verdict:string,reason:string>")
+
+    def read(judged: Column) -> Column:
+        verdict = judged["parsed"]["verdict"]
+        problem = F.coalesce(
+            F.col("error"), judged["error"], F.when(verdict.isNull(), F.lit("no verdict in the output"))
+        )
+        return F.struct(
+            F.when(problem.isNull(), F.lower(verdict) == positive).alias("holds"), problem.alias("error")
+        )
+
+    return txt.bind(told, read)
+
+
+_ASKED = "array<struct<metric:string,position:int,statement:string,evidence:string>>"
+
+
+def _asked(metrics: list[str]) -> Column:
+    """What a judge is asked about a case: statements with their evidence, and for
+    contextual precision every retrieved text in rank order."""
+    known = build_context(F.col("retrieval_context"))
+
+    def each(metric: str, items: Column, ask) -> Column:
+        return F.transform(
+            items,
+            lambda x, i: F.struct(F.lit(metric).alias("metric"), i.alias("position"), *ask(x)),
+        ).cast(_ASKED)
+
+    def of_statements(metric: str, text: str, evidence: Column) -> Column:
+        return each(
+            metric,
+            statements(F.col(text)),
+            lambda s: (s.alias("statement"), evidence.alias("evidence")),
+        )
+
+    kinds = {
+        "Answer Relevancy": lambda m: of_statements(m, "actual_output", F.col("input")),
+        "Faithfulness": lambda m: of_statements(m, "actual_output", known),
+        "Contextual Recall": lambda m: of_statements(m, "expected_output", known),
+        "Contextual Precision": lambda m: each(
+            m,
+            F.col("retrieval_context"),
+            lambda r: (F.col("expected_output").alias("statement"), r.alias("evidence")),
+        ),
+    }
+    return F.concat(*[F.coalesce(kinds[m](m), F.array().cast(_ASKED)) for m in metrics])
+
+
+def judge_cases(
+    test_cases: DataFrame,
+    metrics: list[str],
+    judge: Model | None = None,
+    make_judge: Callable[[], Model] | None = None,
+    positive: str = "yes",
+) -> DataFrame:
+    """``(index, metric, score, n_calls, n_failed, error)`` from a judge's verdicts.
+
+    One call per case, metric and statement or rank. Contextual precision is the
+    average precision of the verdicts on the ranks, the others are shares of supported
+    statements; nothing to judge scores 0. A failed call or an unreadable reply makes
+    the score of its case and metric null and leaves the error there.
+    """
+    if not metrics:
+        raise ValueError("no metric is selected")
+    asked = test_cases.select("index", F.explode(_asked(metrics)).alias("a")).select("index", "a.*")
+    prompt = render(
+        TEMPLATES["judge_support"], {"statement": F.col("statement"), "evidence": F.col("evidence")}
+    )
+    sent = asked.select("index", "metric", "position", prompt.alias("prompt"))
+    told = generate(sent, judge, make_model=make_judge)
+    heard = told.select("index", "metric", "position", verdict_of(positive).alias("v"))
+    ranks = F.array_sort(F.collect_list(F.struct("position", "v.holds")))
+    failed = F.count_if(F.col("v.error").isNotNull())
+    # a case has as many rows as its texts have statements
+    found = heard.groupBy("index", "metric").agg(
+        ranks.alias("_ranks"),
+        F.avg(F.col("v.holds").cast("double")).alias("_share"),
+        F.count("*").alias("n_calls"),
+        failed.alias("n_failed"),
+        F.min("v.error").alias("error"),
+    )
+    precision = average_precision(F.transform("_ranks", lambda r: F.coalesce(r["holds"], F.lit(False))))
+    score = F.when(F.col("metric") == "Contextual Precision", precision).otherwise(F.col("_share"))
+    every = test_cases.select("index", F.explode(F.array(*[F.lit(m) for m in metrics])).alias("metric"))
+    nothing = F.lit(0).cast("long")
+    return every.join(found, ["index", "metric"], "left").select(
+        "index",
+        "metric",
+        F.when(F.col("n_calls").isNull(), 0.0).when(F.col("n_failed") == 0, F.round(score, 6)).alias("score"),
+        F.coalesce("n_calls", nothing).alias("n_calls"),
+        F.coalesce("n_failed", nothing).alias("n_failed"),
+        "error",
     )

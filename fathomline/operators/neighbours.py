@@ -18,11 +18,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from fathomline.storage import fits_in_memory
+from fathomline.storage import fits_in_memory, materialise
 
 QUESTION_BYTES = 32 * 1024 * 1024
 BLOCK_ROWS = 8192
 ROWS_AT_ONCE = 256
+PAIRS_AT_ONCE = 1 << 15
+#: more than the six digits of a distance can hide
+ROUNDING = 2e-6
 BUCKETS_TO_BROADCAST = 1 << 20
 NEIGHBOURS = "index long, vec_id long, distance double"
 _ARROW = pa.schema(
@@ -55,21 +58,36 @@ def _best(owner: np.ndarray, ids: np.ndarray, distance: np.ndarray, k: int):
 
 
 def _nearest(asked: np.ndarray, vectors: np.ndarray, ids: np.ndarray, k: int):
-    """Positions of questions, vector ids and distances: up to ``k`` per question."""
+    """Positions of questions, vector ids and distances: up to ``k`` per question.
+
+    Products of blocks give squared distances with a known error bound. They only
+    choose the vectors that may be among the first ``k``; the distances of these are
+    computed again from the differences, so they do not depend on the blocks.
+    """
     if vectors.shape[1] != asked.shape[1]:
         raise ValueError(f"dimension {asked.shape[1]} differs from {vectors.shape[1]}")
     found = []
     squares = (vectors**2).sum(axis=1)
     for start in range(0, len(asked), ROWS_AT_ONCE):
         part = asked[start : start + ROWS_AT_ONCE]
-        squared = (part**2).sum(axis=1)[:, None] + squares[None, :] - 2.0 * (part @ vectors.T)
-        distance = np.round(np.sqrt(np.maximum(squared, 0.0)), 6)
+        sums = (part**2).sum(axis=1)[:, None] + squares[None, :]
+        squared = sums - 2.0 * (part @ vectors.T)
         if len(ids) > k:
-            worst = np.partition(distance, k - 1, axis=1)[:, k - 1 : k]
-            rows, cols = np.nonzero(distance <= worst)
+            error = sums * (4 * np.finfo(np.float64).eps * (vectors.shape[1] + 4))
+            reach = np.partition(squared + error, k - 1, axis=1)[:, k - 1 : k]
+            # rounding to six digits may make a slightly farther vector equal
+            reach = (np.sqrt(np.maximum(reach, 0.0)) + ROUNDING) ** 2
+            rows, cols = np.nonzero(squared - error <= reach)
         else:
-            rows, cols = np.nonzero(np.ones_like(distance, dtype=bool))
-        found.append(_best(rows + start, ids[cols], distance[rows, cols], k))
+            rows, cols = np.nonzero(np.ones_like(squared, dtype=bool))
+        distance = np.concatenate(
+            [np.zeros(0)]
+            + [
+                np.sqrt(((part[rows[at : at + PAIRS_AT_ONCE]] - vectors[cols[at : at + PAIRS_AT_ONCE]]) ** 2).sum(axis=1))
+                for at in range(0, len(rows), PAIRS_AT_ONCE)
+            ]
+        )
+        found.append(_best(rows + start, ids[cols], np.round(distance, 6), k))
     return tuple(np.concatenate(parts) for parts in zip(*found))
 
 
@@ -224,8 +242,9 @@ def knn_approx(
     """
     if k < 1 or bits < 1 or bands < 1 or bits > 30:
         raise ValueError("k, bits and bands must be positive, bits at most 30")
-    asked = band_signatures(questions.select("index", "embedding"), dim, bits, bands)
-    stored = band_signatures(vectors.select("vec_id", "embedding"), dim, bits, bands)
+    # written once: bucket sizes and rows must come from one evaluation
+    asked = materialise(band_signatures(questions.select("index", "embedding"), dim, bits, bands), "asked")
+    stored = materialise(band_signatures(vectors.select("vec_id", "embedding"), dim, bits, bands), "stored")
     keys = ("_band", "_signature")
 
     def blocks(df: DataFrame, name: str) -> DataFrame:

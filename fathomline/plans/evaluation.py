@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from fathomline.operators.metrics import metric_success, score_cases, to_long
+from fathomline.operators.generation import Model
+from fathomline.operators.metrics import judge_cases, metric_success, score_cases, to_long
 from fathomline.operators.reporting import metric_means, overall_metrics, save_summary, summary
 from fathomline.operators.testcases import attach_predictions, build_goldens
 from fathomline.plans.rag import Rag
@@ -32,20 +36,55 @@ class EvaluationSet:
 
 
 class Scorer:
-    """Scores of test cases for the first configured service."""
+    """Scores of test cases for the first configured service.
+
+    With ``judge``, or ``make_judge`` that builds one once per task, a model gives the
+    verdicts of all metrics; without, shared terms do. A case and metric for which a
+    judge's call failed has no score; ``failures`` tells how many there are.
+    """
 
-    def __init__(self, test_cases: DataFrame, services: dict = DEFAULT_CONFIG) -> None:
+    def __init__(
+        self,
+        test_cases: DataFrame,
+        services: dict = DEFAULT_CONFIG,
+        judge: Model | None = None,
+        make_judge: Callable[[], Model] | None = None,
+    ) -> None:
         self.thresholds, self.skipped = select_metrics(services)
         self.test_cases = test_cases
+        self.judge, self.make_judge = judge, make_judge
         self._scored: DataFrame | None = None
+        self._judged: DataFrame | None = None
 
     def calculate_scores(self) -> DataFrame:
         """``(index, metric, score, threshold, success)``. Raises if it fails."""
-        self._scored = materialise(
-            score_cases(self.test_cases, list(self.thresholds)), "scored"
-        )
+        names = list(self.thresholds)
+        if self.judge is None and self.make_judge is None:
+            scored = score_cases(self.test_cases, names)
+        else:
+            # written once: no call may run again because a second job reads its result
+            self._judged = materialise(
+                judge_cases(self.test_cases, names, self.judge, self.make_judge), "judged"
+            )
+            wide = self._judged.groupBy("index").agg(
+                *[F.max(F.when(F.col("metric") == m, F.col("score"))).alias(m) for m in names]
+            )
+            scored = self.test_cases.join(wide, "index")
+        self._scored = materialise(scored, "scored")
         return self.results()
 
+    def failures(self) -> DataFrame:
+        """``(metric, n_failed, error)``: cases without a score because a call failed."""
+        self._require_scores()
+        if self._judged is None:
+            return self.results().where("false").select(
+                "metric", F.lit(0).cast("long").alias("n_failed"), F.lit("").alias("error")
+            )
+        failed = self._judged.where("n_failed > 0")
+        return failed.groupBy("metric").agg(
+            F.count("*").alias("n_failed"), F.min("error").alias("error")
+        )
+
     def _require_scores(self) -> DataFrame:
         if self._scored is None:
             raise RuntimeError("calculate the scores first")

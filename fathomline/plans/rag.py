@@ -7,6 +7,7 @@ Both map DataFrames to DataFrames, so a custom step is planned like the rest.
 from __future__ import annotations
 
 from abc import ABC, abstractmethod
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -27,18 +28,26 @@ from fathomline.operators.retrieval import (
 from fathomline.functions.hashing import DIMENSION
 from fathomline.schemas import require
 from fathomline.sources.vectors import checked_vectors
+from fathomline.storage import materialise
 
 
 class Rag(ABC):
-    """``model`` maps a list of prompts to a list of replies. Without a model the
-    answer is the context sentence closest to the question."""
+    """``model`` maps a list of prompts to a list of replies; ``make_model`` builds one
+    once per task. Without either the answer is the context sentence closest to the
+    question."""
 
     template = TEMPLATES["context_answer"]
 
-    def __init__(self, model: Model | None = None, k: int = TOP_K) -> None:
+    def __init__(
+        self,
+        model: Model | None = None,
+        k: int = TOP_K,
+        make_model: Callable[[], Model] | None = None,
+    ) -> None:
         if k < 1:
             raise ValueError("k must be positive")
         self.model = model
+        self.make_model = make_model
         self.k = k
 
     @abstractmethod
@@ -52,8 +61,8 @@ class Rag(ABC):
 
     def generate(self, asked: DataFrame) -> DataFrame:
         """Add ``_reply``, a ``struct<output, error>``, to questions with context."""
-        if self.model is not None:
-            return asked.withColumn("_reply", model_column(self.prompt(), self.model))
+        if self.model is not None or self.make_model is not None:
+            return asked.withColumn("_reply", model_column(self.prompt(), self.model, self.make_model))
         answer = extractive_answer(F.col("question"), F.col("built_context"))
         return asked.withColumn(
             "_reply",
@@ -92,8 +101,9 @@ class TfIdfRag(Rag):
         k: int = TOP_K,
         index: TfIdfIndex | None = None,
         pad: bool = True,
+        make_model: Callable[[], Model] | None = None,
     ) -> None:
-        super().__init__(model, k)
+        super().__init__(model, k, make_model)
         self.chunks = chunks
         self.index = index if index is not None else tfidf_index(chunks)
         self.pad = pad
@@ -120,20 +130,24 @@ class DenseRag(Rag):
         vectors: DataFrame | None = None,
         dim: int = DIMENSION,
         approximate: dict | None = None,
+        make_model: Callable[[], Model] | None = None,
     ) -> None:
-        super().__init__(model, k)
+        super().__init__(model, k, make_model)
         self.chunks = chunks
         self.embedder = embedder
         self.dim = dim
         self.approximate = approximate
         if vectors is None:
             embedded = embed_texts(chunks.select("chunk_index", "text"), "text", embedder, dim)
-            self.vectors = embedded.select(F.col("chunk_index").alias("vec_id"), "embedding")
+            # written once, so that no chunk is embedded again
+            self.vectors = materialise(
+                embedded.select(F.col("chunk_index").alias("vec_id"), "embedding"), "vectors"
+            )
         else:
             self.vectors = checked_vectors(vectors, dim)
 
     def retrieve(self, questions: DataFrame) -> DataFrame:
-        asked = embed_texts(questions, "question", self.embedder, self.dim)
+        asked = materialise(embed_texts(questions, "question", self.embedder, self.dim), "asked")
         if self.approximate is None:
             found = knn_exact(asked, self.vectors, self.k)
         else:

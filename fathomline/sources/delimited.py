@@ -7,6 +7,16 @@ from pyspark.sql import types as T
 
 from fathomline.sources.records import rename_columns
 
+#: how a null is written; a text that equals it reads back as null
+NULL_TEXT = "\\N"
+# without these, edge spaces would go and empty texts become null
+_EXACT = {
+    "ignoreLeadingWhiteSpace": False,
+    "ignoreTrailingWhiteSpace": False,
+    "emptyValue": "",
+    "nullValue": NULL_TEXT,
+}
+
 
 def read_delimited(
     spark: SparkSession,
@@ -20,7 +30,8 @@ def read_delimited(
     """Read with a declared schema. Quoted fields may hold delimiters and quotes.
 
     Line breaks inside fields need ``multi_line``, which makes each file one task;
-    cleaned text has none, so its files stay splittable.
+    cleaned text has none, so its files stay splittable. Edge spaces and empty texts
+    are kept; ``NULL_TEXT`` stands for null.
     """
     df = (
         spark.read.schema(schema)
@@ -30,6 +41,7 @@ def read_delimited(
         .option("quote", '"')
         .option("escape", '"')
         .option("multiLine", multi_line)
+        .options(**_EXACT)
         .csv(path)
     )
     return rename_columns(df, schema_map)
@@ -50,5 +62,6 @@ def write_delimited(
         .option("quote", '"')
         .option("escape", '"')
         .option("quoteAll", True)
+        .options(**_EXACT)
         .csv(path)
     )

@@ -8,7 +8,9 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fathomline.operators.cleaning import validate_records
 from fathomline.schemas import PAGES
+from fathomline.storage import materialise
 
 PAGE_BREAK = "\f"
 
@@ -16,6 +18,8 @@ PAGE_BREAK = "\f"
 def list_documents(spark: SparkSession, root: str, suffix: str = ".pdf") -> DataFrame:
     """Paths and sizes below ``root`` whose names end in ``suffix`` (case matters).
 
+    Spark does not list names that begin with ``_`` or ``.``.
+
     The file content is never read: the column is pruned from the scan.
     """
     return (
@@ -28,23 +32,32 @@ def list_documents(spark: SparkSession, root: str, suffix: str = ".pdf") -> Data
 
 
 def load_pages(documents: DataFrame, page_break: str = PAGE_BREAK) -> DataFrame:
-    """One row per page, in page order. ``documents`` has ``doc_id, text, source``."""
+    """One row per page, in page order. ``documents`` has ``doc_id, text, source``.
+
+    A document without a text has no page; ``checked_documents`` tells which ones.
+    """
     pages = F.split(F.col("text"), page_break)
     return documents.select(
         "doc_id", F.posexplode(pages).alias("page_no", "text"), F.col("source")
     ).select("doc_id", "page_no", "text", "source")
 
 
+def checked_documents(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Documents with a text, and the others with a ``reason``: they have no pages."""
+    return validate_records(documents, ["text"])
+
+
 def load_binary_pages(
     spark: SparkSession,
     root: str | None,
     extract: Callable[[bytes], list[str]],
     suffix: str = ".pdf",
-) -> DataFrame:
+) -> tuple[DataFrame, DataFrame]:
     """One row per page of each binary file, with a caller-supplied extractor.
 
     ``extract(content)`` returns the page texts and must be picklable. The id is
-    a hash of the path. Without ``root`` there is nothing to read.
+    a hash of the path. Without ``root`` there is nothing to read. The second result
+    names the files that the extractor failed on, with a ``reason``.
     """
     if not root:
         raise ValueError("give the folder or file to load")
@@ -52,13 +65,17 @@ def load_binary_pages(
     def extract_pages(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for doc_id, path, content in zip(batch["doc_id"], batch["path"], batch["content"]):
-                texts = extract(content)
+                try:
+                    texts, reason = list(extract(content)), None
+                except Exception as error:
+                    texts, reason = [None], f"{type(error).__name__}: {error}"
                 yield pd.DataFrame(
                     {
                         "doc_id": doc_id,
                         "page_no": range(len(texts)),
                         "text": texts,
                         "source": path,
+                        "reason": reason,
                     }
                 )
 
@@ -69,4 +86,8 @@ def load_binary_pages(
         .load(root)
         .select(F.xxhash64("path").alias("doc_id"), "path", "content")
     )
-    return files.mapInPandas(extract_pages, PAGES)
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in PAGES.fields)
+    # written once: extracting is dear, and both results read it
+    read = materialise(files.mapInPandas(extract_pages, f"{kinds}, reason string"), "extracted")
+    pages = read.where("reason is null").drop("reason")
+    return pages, read.where("reason is not null").select("doc_id", "source", "reason")

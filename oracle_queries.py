@@ -151,7 +151,7 @@ def rendered(template: str, values: dict[str, str]) -> str:
 
 
 def pair_part(group: int) -> str:
-    pattern = r"(?s)Factoid question:\s*(.*?)\s*Answer:\s*(.*)"
+    pattern = r"(?s)Factoid question:\s*(.*?)\s*Answer:\s*(.*?)\s*\z"
     return (
         f"CASE WHEN regexp_matches(output, '{pattern}') "
         f"THEN trim(regexp_extract(output, '{pattern}', {group})) END"
@@ -277,6 +277,11 @@ PARTS |= {
     "vector_distances": """SELECT a.vec_id AS index, b.vec_id,
             round(list_distance(a.v, b.v), 6) AS distance
         FROM vectors a CROSS JOIN vectors b""",
+    "scaled": "SELECT vec_id, list_transform(embedding::DOUBLE[], lambda x: x * 1000 + vec_id % 3) AS v FROM embeddings",
+    "scaled_distances": """SELECT a.vec_id AS index, b.vec_id,
+            round(sqrt(list_sum(list_transform(list_zip(a.v, b.v), lambda p: (p[1] - p[2]) * (p[1] - p[2])))), 6)
+                AS distance
+        FROM scaled a CROSS JOIN scaled b""",
     "planes": """SELECT p AS plane, list(CASE WHEN substr(md5(p || ':' || a), 1, 1) < '8'
             THEN 1.0 ELSE -1.0 END::DOUBLE ORDER BY a) AS w
         FROM range(384) t(p), range(64) u(a) GROUP BY p""",
@@ -292,7 +297,8 @@ PARTS |= {
             FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn))
         WHERE role = 'user' AND next_role = 'assistant'""",
     "drafted_turns": """SELECT conv_id, turn, 'Factoid question: ' || role || '?' ||
-            CASE WHEN role = 'system' THEN ' Reply: ' ELSE chr(10) || 'Answer: ' END || text AS output
+            CASE WHEN role = 'system' THEN ' Reply: ' ELSE chr(10) || 'Answer: ' END || text ||
+            CASE WHEN turn % 2 = 0 THEN ' ' || chr(10) || chr(10) ELSE '' END AS output
         FROM conversations""",
     "parsed_turns": f"""SELECT conv_id, turn, {pair_part(1)} AS question, {pair_part(2)} AS answer
         FROM drafted_turns""",
@@ -317,12 +323,12 @@ PARTS |= {
             CASE WHEN NOT json_valid(found) THEN output END AS raw_output
         FROM judge_found""",
     "drafts": f"""SELECT chunk_index AS index, text AS context, list_max(list_transform(
-            {sentences("text")}, lambda s, i: struct_pack(n := {tokens("s")}, before := -i, s := s))).s
+            {sentences("text")}, lambda s, i: struct_pack(fits := length(s) <= 300, n := {tokens("s")}, before := -i, s := s))).s
             AS longest FROM chunks""",
     "drafted": f"""SELECT index, context, longest, 'Factoid question: What does the text say about ' ||
             coalesce(list_min(list_transform({term_set("longest")},
                 lambda t: struct_pack(shorter := -length(t), t := t))).t, '') ||
-            '?' || chr(10) || 'Answer: ' || substr(longest, 1, 300) AS output FROM drafts""",
+            '?' || chr(10) || 'Answer: ' || longest AS output FROM drafts""",
     "drafted_pairs": f"""SELECT index, context, {pair_part(1)} AS question, {pair_part(2)} AS answer
         FROM drafted""",
     "valid_pairs": """SELECT * FROM drafted_pairs WHERE question <> '' AND answer <> ''
@@ -381,6 +387,33 @@ PARTS |= {
     "dense_means": "SELECT metric, avg(score) AS value FROM dense_long GROUP BY metric",
 }
 
+PARTS |= {
+    "judged": """SELECT index, metric, count(*) FILTER (length(statement) % 11 = 0) AS n_failed,
+            list(contains(evidence, statement) ORDER BY position) AS verdicts
+        FROM judged_rows GROUP BY ALL""",
+    "judged_rows": f"""SELECT index, metric, s[i] AS statement, CASE WHEN len(e) = len(s) AND
+            metric = 'Contextual Precision' THEN e[i] ELSE e[1] END AS evidence, i AS position
+        FROM (SELECT *, unnest(range(1, len(s) + 1)) AS i FROM (SELECT index, unnest([
+            struct_pack(metric := 'Answer Relevancy', s := {sentences(clean("actual_output"))},
+                e := [question]),
+            struct_pack(metric := 'Faithfulness', s := {sentences(clean("actual_output"))},
+                e := [built_context]),
+            struct_pack(metric := 'Contextual Recall', s := {sentences(clean("answer"))},
+                e := [built_context]),
+            struct_pack(metric := 'Contextual Precision',
+                s := list_transform(retrieval_context, lambda c: answer), e := retrieval_context)],
+            recursive := true) FROM answers))""",
+    "judged_long": """SELECT a.index, m.metric, round(CASE WHEN j.index IS NULL THEN 0.0 WHEN n_failed > 0 THEN NULL
+            WHEN m.metric <> 'Contextual Precision' THEN len(list_filter(verdicts, lambda v: v)) / len(verdicts)
+            WHEN len(list_filter(verdicts, lambda v: v)) = 0 THEN 0.0
+            ELSE list_sum(list_transform(verdicts, lambda v, r: CASE WHEN v
+                THEN len(list_filter(verdicts[1:r], lambda w: w)) / r ELSE 0.0 END))
+                / len(list_filter(verdicts, lambda v: v)) END, 6) AS score, coalesce(n_failed, 0) AS n_failed
+        FROM answers a CROSS JOIN (SELECT unnest(['Answer Relevancy', 'Faithfulness', 'Contextual Recall',
+            'Contextual Precision']) AS metric) m
+        LEFT JOIN judged j ON j.index = a.index AND j.metric = m.metric""",
+    "judged_means": "SELECT metric, avg(score) AS value FROM judged_long GROUP BY metric",
+}
 DEFAULT = {
     "Answer Relevancy": 0.20,
     "Faithfulness": 0.30,
@@ -388,10 +421,10 @@ DEFAULT = {
     "Contextual Precision": 0.25,
 }
 CUSTOM = {
-    "Answer Relevancy": 0.4,
-    "Faithfulness": 0.3,
-    "Contextual Recall": 0.2,
-    "Contextual Precision": 0.1,
+    "Answer Relevancy": 1.0,
+    "Faithfulness": 2.5,
+    "Contextual Recall": 0.0,
+    "Contextual Precision": 0.75,
 }
 
 
@@ -445,7 +478,9 @@ def oracle_sql() -> dict[str, str]:
         "json_roundtrip": "SELECT index, context, question, answer FROM qa",
         "read_qa_head": """SELECT index, context, question, answer FROM qa
             ORDER BY index LIMIT 20""",
-        "delimited_roundtrip": """SELECT c.doc_id, c.text, d.source AS origin
+        "delimited_roundtrip": """SELECT c.doc_id, CASE c.doc_id % 7 WHEN 1 THEN ' ' || c.text || ' '
+            WHEN 2 THEN '' WHEN 3 THEN NULL WHEN 4 THEN '"' || c.text WHEN 5 THEN c.text || chr(9) || '""'
+            ELSE c.text END AS text, d.source AS origin
             FROM cleaned c JOIN documents d USING (doc_id)""",
         "rename_columns": "SELECT doc_id, quality AS is_good, toxic AS is_toxic FROM labels",
         "load_vectors": """SELECT vec_id, (i - 1)::INTEGER AS axis,
@@ -456,8 +491,8 @@ def oracle_sql() -> dict[str, str]:
                 FROM (SELECT *, string_split(text, chr(10)) AS parts FROM documents))""",
         "page_text": "SELECT doc_id, 0 AS page_no, text FROM documents",
         "clean_text": f"SELECT doc_id, {clean('''replace(text, '.', '...')''')} AS text FROM documents",
-        "validate_records": """SELECT role, CASE WHEN role <> 'system' THEN 'valid'
-            ELSE 'text is missing' END AS reason, count(*) AS n FROM conversations GROUP BY ALL""",
+        "validate_records": """SELECT conv_id, turn, CASE WHEN role <> 'system' THEN 'valid'
+            ELSE 'text is missing' END AS reason FROM conversations""",
         "split_sentences": """SELECT doc_id, 0 AS page_no, (i - 1)::INTEGER AS pos, sentence,
             n::INTEGER AS tokens FROM sentence_rows""",
         "sentence_chunks": f"SELECT {CHUNK_COLUMNS} FROM standard",
@@ -481,6 +516,9 @@ def oracle_sql() -> dict[str, str]:
             FROM documents_hashed""",
         "knn_exact": ranked("vector_distances", 10, "distance, vec_id"),
         "knn_blocks": ranked("vector_distances", 10, "distance, vec_id"),
+        "knn_scaled": f"""SELECT form, index, rank, vec_id, distance
+            FROM ({ranked("scaled_distances", 10, "distance, vec_id")})
+            CROSS JOIN (SELECT unnest(['small', 'blocks of 100', 'blocks of 333']) AS form)""",
         "knn_approx": ranked("candidate_distances", 10, "distance, vec_id"),
         "dense_topk": "SELECT index, rank, chunk_index, distance FROM near4",
         "prompt_catalogue": catalogue,
@@ -499,12 +537,12 @@ def oracle_sql() -> dict[str, str]:
             (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING), '') AS history
             FROM turn_pairs""",
         "parse_qa": "SELECT conv_id, turn, question, answer FROM parsed_turns",
-        "qa_constraints": """SELECT CASE
+        "qa_constraints": """SELECT conv_id, turn, CASE
             WHEN question IS NULL OR answer IS NULL THEN 'no pair in the output'
             WHEN question = '' OR answer = '' THEN 'empty question or answer'
             WHEN length(question) > 300 THEN 'question too long'
-            WHEN length(answer) > 300 THEN 'answer too long' ELSE 'valid' END AS reason, count(*) AS n
-            FROM parsed_turns GROUP BY ALL""",
+            WHEN length(answer) > 300 THEN 'answer too long' ELSE 'valid' END AS reason
+            FROM parsed_turns""",
         "parse_judge_json": "SELECT doc_id, evaluation, score, error, raw_output FROM judge_parsed",
         "validate_score": """SELECT doc_id, CASE WHEN evaluation IS NOT NULL AND
             regexp_matches(score, '^[1-5]$') THEN score::INTEGER END AS score FROM judge_parsed""",
@@ -564,10 +602,18 @@ def oracle_sql() -> dict[str, str]:
             context AS actual_context, len(retrieval_context)::INTEGER AS n_retrieved,
             answer_relevancy, faithfulness, contextual_recall, contextual_precision
             FROM answers JOIN cases USING (index)""",
-        "judge_verdicts": f"""SELECT score, count(*) AS n FROM (
-            SELECT round(CASE WHEN len(statements) = 0 THEN 0.0 ELSE len(list_filter(statements,
-                lambda s: contains(evidence, s))) / len(statements) END, 6) AS score
-            FROM (SELECT {sentences(clean("answer || ' ' || question"))} AS statements,
-                {clean("answer")} AS evidence FROM turn_pairs)) GROUP BY score""",
+        "evaluate_judged": """SELECT index, metric, score,
+            score >= CASE WHEN metric = 'Answer Relevancy' THEN 0.5 ELSE 0.7 END AS success FROM judged_long""",
+        "overall_judged": f"""SELECT o.metric, o.value, f.n_failed, f.error FROM ({overall("judged_means", DEFAULT)}) o
+            LEFT JOIN (SELECT metric, count(*) AS n_failed, 'ValueError: too long' AS error
+                FROM judged_long WHERE n_failed > 0 GROUP BY metric) f USING (metric)""",
+        "judge_verdicts": f"""SELECT conv_id, turn, round(CASE WHEN len(statements) = 0 THEN 0.0
+                WHEN n_failed > 0 THEN NULL ELSE len(list_filter(statements,
+                lambda s: contains(evidence, s))) / len(statements) END, 6) AS score,
+            len(statements)::BIGINT AS n_statements, n_failed,
+            CASE WHEN n_failed > 0 THEN 'ValueError: too long' END AS error
+            FROM (SELECT *, len(list_filter(statements, lambda s: length(s) % 11 = 0))::BIGINT AS n_failed
+                FROM (SELECT conv_id, turn, {sentences(clean("answer || ' ' || question"))} AS statements,
+                {clean("answer")} AS evidence FROM turn_pairs))""",
     }
     return {name: _query(sql) for name, sql in plain.items()}
