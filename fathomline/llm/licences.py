@@ -8,6 +8,10 @@ of its lines, so a licence that stands inside a document as a block is found as
 
 from __future__ import annotations
 
+import hashlib
+import re
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -84,11 +88,30 @@ def canonical(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, r"[\x00-\x2F\x3A-\x60\x7B-\x7F\x{A9}]+", " "))
 
 
-def known_digests(spark: SparkSession, known: tuple[tuple[str, str], ...] = KNOWN) -> DataFrame:
-    """``(digest, licence)`` of the known texts; of equal digests the first name counts."""
+def known_forms(spark: SparkSession, known: tuple[tuple[str, str], ...] = KNOWN) -> DataFrame:
+    """``(form, licence)`` of the known texts; of equal forms the first name counts."""
     frame = spark.createDataFrame([(i, n, t) for i, (n, t) in enumerate(known)], "place int, licence string, text string")
-    digests = frame.select("place", "licence", F.sha2(canonical(F.col("text")), 256).alias("digest"))
-    return digests.groupBy("digest").agg(F.min(F.struct("place", "licence"))["licence"].alias("licence"))
+    forms = frame.select("place", "licence", canonical(F.col("text")).alias("form"))
+    return forms.groupBy("form").agg(F.min(F.struct("place", "licence"))["licence"].alias("licence"))
+
+
+def telling_words(forms: list[str]) -> list[str]:
+    """Words of which a text has at least one, in lower case, if its form is known.
+
+    Of every form the longest word that no spelling rule can have made or changed; a form
+    without such a word gives the empty word, which every text has.
+    """
+    ruled = {w for _, one in SPELLINGS for w in re.findall(r"[a-z]+", one)}
+    found = set()
+    for form in forms:
+        own = [w for w in form.split(" ") if not any(r in w or w in r for r in ruled)]
+        found.add(max(own, key=lambda w: (len(w), w), default=""))
+    return sorted(found)
+
+
+def _may_hold(text: Column, telling: list[str]) -> Column:
+    lowered = F.lower(text)
+    return reduce(lambda a, b: a | b, (lowered.contains(w) for w in telling), F.lit(False))
 
 
 def scan_licences(docs: DataFrame, known: tuple[tuple[str, str], ...] = KNOWN) -> DataFrame:
@@ -104,21 +127,25 @@ def scan_licences(docs: DataFrame, known: tuple[tuple[str, str], ...] = KNOWN) -
     empty table gives an empty result. Other columns are ignored.
     """
     text = F.coalesce("text", F.lit(""))
+    forms = known_forms(docs.sparkSession, known).collect()  # part of the program
+    telling = telling_words([r["form"] for r in forms])
+    digests = docs.sparkSession.createDataFrame(
+        [(hashlib.sha256(r["form"].encode()).hexdigest(), r["licence"]) for r in forms], "digest string, licence string"
+    )
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key(F.col("text")).alias("key"), text.alias("text"))
     paragraphs = F.filter(F.split("text", r"\n[ \t\r]*\n"), lambda p: p.contains("\n"))
     units = F.concat(
         F.array(F.struct(F.lit(True).alias("whole"), F.col("text").alias("unit"))),
         F.transform(F.concat(paragraphs, F.split("text", "\n")), lambda u: F.struct(F.lit(False).alias("whole"), u.alias("unit"))),
     )
-    looked_up = rows.select("doc_id", "key", F.explode(units).alias("u")).select(
-        "doc_id", "key", "u.whole", canonical(F.col("u.unit")).alias("form")
-    )
-    # as many rows as there are known texts, which are part of the program
-    digests = F.broadcast(known_digests(docs.sparkSession, known))
+    # texts without a telling word cannot have a known form, so they are not brought to it
+    held = rows.where(_may_hold(F.col("text"), telling))
+    looked_up = held.select("doc_id", "key", F.explode(units).alias("u")).select("doc_id", "key", "u.*")
     hits = (
-        looked_up.where("form != ''")
-        .select("doc_id", "key", "whole", F.sha2("form", 256).alias("digest"))
-        .join(digests, "digest")
+        looked_up.where(_may_hold(F.col("unit"), telling))
+        .select("doc_id", "key", "whole", F.sha2(canonical(F.col("unit")), 256).alias("digest"))
+        # as many rows as there are known texts
+        .join(F.broadcast(digests), "digest")
     )
     # rows that repeat id and text meet in one group; the join below divides by their number
     per_row = hits.groupBy("doc_id", "key").agg(

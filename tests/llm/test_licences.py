@@ -43,3 +43,12 @@ def test_scan(spark):
 
 def test_empty_table(spark):
     assert licences.scan_licences(empty(spark)).count() == 0
+
+
+def test_telling_words_miss_nothing(spark):
+    forms = [r["form"] for r in licences.known_forms(spark).collect()]
+    telling = licences.telling_words(forms)
+    assert "" not in telling
+    for _, text in licences.KNOWN:
+        assert any(w in text.lower() for w in telling)
+    assert licences.telling_words(["license"]) == [""]
