@@ -260,6 +260,15 @@ def tfidf_retrieval(spark: SparkSession, sf_dir: str) -> DataFrame:
     return TfIdfRag(chunks(spark, sf_dir), k=5).retrieve(qa(spark, sf_dir))
 
 
+def many_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every user turn is a question; they meet the index block by block."""
+    turns = table(spark, sf_dir, "conversations").where(F.col("role") == "user")
+    asked = turns.select((F.col("conv_id") * 1000 + F.col("turn")).alias("index"), F.col("text").alias("question"))
+    numbered = chunks(spark, sf_dir)
+    index = indexing.tfidf_index(numbered)
+    return retrieval.tfidf_retrieve(asked, numbered, index, 5, small=False).drop("text")
+
+
 def contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieval.gather_context(qa(spark, sf_dir), tfidf_retrieval(spark, sf_dir))
 
@@ -679,6 +688,7 @@ def own_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "tfidf_topk": tfidf_topk,
         "tfidf_topk_padded": tfidf_topk_padded,
         "tfidf_retrieval": tfidf_retrieval,
+        "tfidf_many_questions": many_questions,
         "build_context": build_context,
         "retrieval_context": retrieval_context,
         "hash_embed": hash_embed,

@@ -114,7 +114,7 @@ def chunk_lengths(postings: DataFrame, idf: DataFrame, limit: int = BROADCAST_BY
 def tfidf_index(chunks: DataFrame) -> TfIdfIndex:
     """Build and write the index of a numbered chunk table."""
     buckets = bucket_count(chunks.sparkSession, chunks.count())
-    postings = bucketed(term_frequencies(chunks, buckets), "chunk_index", buckets, "postings")
+    postings = bucketed(term_frequencies(chunks, buckets), "chunk_index", buckets, "postings", "term")
     idf = materialise(inverse_document_frequency(postings, corpus_size(chunks)), "idf")
     lengths = chunk_lengths(postings, idf).repartition(buckets, "chunk_index")
     return TfIdfIndex(postings, idf, bucketed(lengths, "chunk_index", buckets, "lengths"))

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -12,10 +17,15 @@ from fathomline.operators.indexing import (
     question_terms,
     with_lengths,
 )
-from fathomline.storage import BROADCAST_BYTES, fits_in_memory
+from fathomline.storage import BROADCAST_BYTES, ROWS_PER_BUCKET, fits_in_memory
 
 # Fixed value: default number of chunks per question.
 TOP_K = 3
+#: cells of a score matrix at a time
+CELLS = 1 << 22
+#: up to so many question terms are pushed into the scan of the postings
+PUSHED_TERMS = 5000
+QUESTIONS_PER_BLOCK = 1024
 
 
 def questions_fit(questions: DataFrame, k: int = 0, limit: int = BROADCAST_BYTES) -> bool:
@@ -43,6 +53,125 @@ def tfidf_scores(asked: DataFrame, index: TfIdfIndex, small: bool) -> DataFrame:
     )
 
 
+def _best_of(
+    chunk: np.ndarray, term: np.ndarray, tf: np.ndarray, length: np.ndarray, asked: "_Asked", k: int
+) -> pa.Table:
+    """``(index, chunk_index, score)``: up to ``k`` best chunks of every question among
+    some chunks. ``term`` holds places in ``asked.terms``, and every chunk and term is
+    there once."""
+    known = term >= 0
+    chunk, term, tf, length = chunk[known], term[known], tf[known], length[known]
+    chunks, first, row = np.unique(chunk, return_index=True, return_inverse=True)
+    length = length[first]
+    order = np.argsort(term, kind="stable")
+    row, tf = row[order], tf[order].astype(np.float64)
+    bounds = np.searchsorted(term[order], np.arange(len(asked.terms) + 1))
+    found = []
+    width = max(1, CELLS // max(len(chunks), 1))
+    for low in range(0, len(asked.names), width):
+        high = min(low + width, len(asked.names))
+        scores = np.zeros((len(chunks), high - low))
+        for t in np.flatnonzero(np.diff(bounds)):
+            a, b = asked.bounds[t], asked.bounds[t + 1]
+            a, b = a + np.searchsorted(asked.question[a:b], [low, high])
+            if a < b:
+                here = slice(bounds[t], bounds[t + 1])
+                scores[np.ix_(row[here], asked.question[a:b] - low)] += (
+                    tf[here, None] * asked.weight[None, a:b]
+                )
+        scores = np.round(scores / length[:, None], 6)
+        for q in range(high - low):
+            column = scores[:, q]
+            hits = np.flatnonzero(column > 0)
+            if len(hits) > k:
+                worst = np.partition(column[hits], len(hits) - k)[len(hits) - k]
+                hits = hits[column[hits] >= worst]
+            hits = hits[np.lexsort((chunks[hits], -column[hits]))][:k]
+            found.append((np.full(len(hits), asked.names[low + q]), chunks[hits], column[hits]))
+    none = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+    index, best, score = (np.concatenate(parts) for parts in zip(none, *found))
+    return pa.table({"index": index, "chunk_index": best, "score": score})
+
+
+class _Asked:
+    """Questions by term: for term ``t`` of ``terms`` the questions with it and their
+    weights stand at ``bounds[t]:bounds[t + 1]``, in order of the questions."""
+
+    def __init__(self, table: pa.Table) -> None:
+        names = table.column("index").to_numpy()
+        self.names, question = np.unique(names, return_inverse=True)
+        encoded = table.column("term").combine_chunks().dictionary_encode()
+        self.terms = encoded.dictionary
+        term = encoded.indices.to_numpy(zero_copy_only=False)
+        order = np.lexsort((question, term))
+        self.question = question[order]
+        self.weight = table.column("asked").to_numpy()[order]
+        self.bounds = np.searchsorted(term[order], np.arange(len(self.terms) + 1))
+
+    def places(self, terms: pa.Array) -> np.ndarray:
+        found = pc.fill_null(pc.index_in(terms, self.terms), -1)
+        return found.to_numpy(zero_copy_only=False)
+
+
+_HITS = "index long, chunk_index long, score double"
+
+
+def best_chunks(asked: DataFrame, index: TfIdfIndex, k: int, small: bool) -> DataFrame:
+    """``(index, chunk_index, score)``: for every question at least its ``k`` best chunks.
+
+    ``asked`` are question terms. Each task scores its chunks against a block of questions
+    in NumPy and hands on ``k`` rows per question, so no pair of question and chunk is ever
+    a row. A small question side is sent to the buckets of the index, of which only the
+    postings with its terms are read; a larger one meets them block by block.
+    """
+    side = asked.select("index", "term", (F.col("weight") * F.col("idf")).alias("asked"))
+    postings = with_lengths(index.postings, index.lengths)
+    if not small:
+        return _by_blocks(side, postings, k)
+    # measured by the caller
+    shared = side.sparkSession.sparkContext.broadcast(_Asked(side.toArrow()))
+    terms = shared.value.terms.to_pylist()
+    if len(terms) <= PUSHED_TERMS:
+        postings = with_lengths(index.postings.where(F.col("term").isin(terms)), index.lengths)
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        questions, parts = shared.value, []
+        for batch in batches:
+            place = questions.places(batch.column("term"))
+            here = place >= 0
+            parts.append(
+                (place[here], *[batch.column(c).to_numpy()[here] for c in ("chunk_index", "tf", "length")])
+            )
+        if parts:
+            term, chunk, tf, length = (np.concatenate(p) for p in zip(*parts))
+            yield from _best_of(chunk, term, tf, length, questions, k).to_batches()
+
+    return postings.select("chunk_index", "term", "tf", "length").mapInArrow(score, _HITS)
+
+
+def _by_blocks(side: DataFrame, postings: DataFrame, k: int) -> DataFrame:
+    """Blocks of questions against blocks of chunks, each pair in a task of bounded size."""
+    questions = side.select("index").distinct().count()
+    chunks = postings.select(F.max("chunk_index")).first()[0]
+    q_blocks = max(1, -(-questions // QUESTIONS_PER_BLOCK))
+    c_blocks = max(1, -(-((chunks or 0) + 1) // ROWS_PER_BUCKET))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = side.withColumn("_q", F.pmod(F.xxhash64("index"), F.lit(q_blocks)).cast("int")).withColumn(
+        "_c", every(c_blocks)
+    )
+    right = postings.withColumn(
+        "_c", F.pmod(F.xxhash64("chunk_index"), F.lit(c_blocks)).cast("int")
+    ).withColumn("_q", every(q_blocks))
+
+    def score(asked: pa.Table, stored: pa.Table) -> pa.Table:
+        questions = _Asked(asked)
+        place = questions.places(stored.column("term").combine_chunks())
+        columns = [stored.column(c).to_numpy() for c in ("chunk_index", "tf", "length")]
+        return _best_of(columns[0], place, columns[1], columns[2], questions, k)
+
+    return left.groupBy("_q", "_c").cogroup(right.groupBy("_q", "_c")).applyInArrow(score, _HITS)
+
+
 def top_k(scores: DataFrame, k: int = TOP_K, item: str = "chunk_index") -> DataFrame:
     """The first ``min(k, n)`` per question by falling score, then by ``item``.
 
@@ -101,11 +230,12 @@ def tfidf_retrieve(
     index: TfIdfIndex,
     k: int = TOP_K,
     pad: bool = True,
+    small: bool | None = None,
 ) -> DataFrame:
-    """``(index, rank, chunk_index, score, text)`` for every question."""
-    small = questions_fit(questions, k)
-    scores = tfidf_scores(question_terms(questions, index.idf, small), index, small)
-    hits = top_k(scores.where(F.col("score") > 0), k)
+    """``(index, rank, chunk_index, score, text)`` for every question. ``small`` says
+    whether what derives from the questions may be broadcast; by default it is measured."""
+    small = questions_fit(questions, k) if small is None else small
+    hits = top_k(best_chunks(question_terms(questions, index.idf, small), index, k, small), k)
     if pad:
         hits = pad_zero_scores(hits, questions, corpus_size(chunks), k)
     return attach_text(hits, chunks, small).select("index", "rank", "chunk_index", "score", "text")

@@ -50,28 +50,27 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def bucket_count(spark: SparkSession, rows: int) -> int:
-    """Buckets for a table of ``rows`` chunks: the configured shuffle partitions,
-    or fewer for a small table, but at least one per core."""
-    configured = int(spark.conf.get("spark.sql.shuffle.partitions"))
+def bucket_count(spark: SparkSession, rows: int, rows_per_bucket: int = ROWS_PER_BUCKET) -> int:
+    """Buckets for a table of ``rows`` chunks: one per ``rows_per_bucket``, at least one
+    per core, and as many as Spark allows at most."""
+    most = int(spark.conf.get("spark.sql.sources.bucketing.maxBuckets", "100000"))
     cores = spark.sparkContext.defaultParallelism
-    return max(1, min(configured, max(cores, -(-rows // ROWS_PER_BUCKET))))
+    return max(1, min(most, max(cores, -(-rows // rows_per_bucket))))
 
 
-def bucketed(df: DataFrame, key: str, buckets: int, label: str) -> DataFrame:
+def bucketed(df: DataFrame, key: str, buckets: int, label: str, *sort: str) -> DataFrame:
     """Write ``df`` as a table bucketed by ``key`` and return it.
 
     Grouping or joining such a table by ``key`` needs no shuffle. ``df`` should be
-    hash-partitioned by ``key`` into ``buckets``, so that each task writes one file.
+    hash-partitioned by ``key`` into ``buckets``, so that each task writes one file. Rows
+    of a bucket are sorted by ``sort``, so scans that filter by it skip most of them.
     """
     spark = df.sparkSession
     name = f"fathomline_{label}_{uuid.uuid4().hex}"
-    (
-        df.write.format("parquet")
-        .bucketBy(buckets, key)
-        .option("path", scratch_path(spark, label))
-        .saveAsTable(name)
-    )
+    writer = df.write.format("parquet").bucketBy(buckets, key)
+    if sort:
+        writer = writer.sortBy(*sort)
+    writer.option("path", scratch_path(spark, label)).saveAsTable(name)
     return spark.table(name)
 
 

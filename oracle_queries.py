@@ -235,6 +235,11 @@ PARTS |= {
     **scored("rare_scores", "longest"),
     "rare_all": padded("rare_scores", "longest"),
     "rare_hits": ranked("rare_all", 5),
+    "turn_questions": """SELECT conv_id * 1000 + turn AS index, text AS question
+        FROM conversations WHERE role = 'user'""",
+    **scored("turn_scores", "turn_questions"),
+    "turn_all": padded("turn_scores", "turn_questions"),
+    "turn_hits": ranked("turn_all", 5),
     "answers": f"""SELECT *, {best_sentence("question", "built_context")} AS actual_output
         FROM contexts""",
     "documents_hashed": f"""SELECT doc_id, bucket, count(*) AS c FROM (
@@ -508,6 +513,7 @@ def oracle_sql() -> dict[str, str]:
         "tfidf_scores": "SELECT index, chunk_index, score FROM scores",
         "tfidf_topk": "SELECT index, chunk_index, score, rank FROM hits",
         "tfidf_topk_padded": "SELECT index, rank, chunk_index, score FROM rare_hits",
+        "tfidf_many_questions": "SELECT index, rank, chunk_index, score FROM turn_hits",
         "tfidf_retrieval": "SELECT index, rank, chunk_index, score, text FROM found",
         "build_context": "SELECT index, built_context FROM contexts",
         "retrieval_context": "SELECT index, rank - 1 AS position, text FROM found",
