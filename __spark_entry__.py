@@ -518,6 +518,48 @@ def assemble_qa(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dataset
 
 
+def _chunk_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunks with the name of their source as the history told in the prompt."""
+    return chunks(spark, sf_dir).withColumn("history", F.concat(F.lit("Q: "), "source", F.lit("?")))
+
+
+def _writer(prompts: list[str]) -> list[str]:
+    """Pairs that tell the prompt's history and length; every seventh length fails, every
+    fifth gives no pair."""
+    replies = []
+    for p in prompts:
+        if len(p) % 7 == 0:
+            raise RuntimeError("busy")
+        told = p.split("Earlier questions and answers:\n", 1)[1].split("\n", 1)[0]
+        replies.append("none" if len(p) % 5 == 0 else f"Factoid question: {told}\nAnswer: {len(p)}\n")
+    return replies
+
+
+def _rater(prompts: list[str]) -> list[str]:
+    """Valid ratings for even prompt lengths, an invalid score for odd ones."""
+    return [
+        '{"Evaluation": "e", "Score": "%d", "Refined Question": "", "Refined Answer": ""}'
+        % (1 if len(p) % 2 == 0 else 7)
+        for p in prompts
+    ]
+
+
+def _written_dataset(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    return qa_dataset(
+        _chunk_history(spark, sf_dir), make_writer=lambda: _writer, make_judge=lambda: _rater
+    )
+
+
+def assemble_qa_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A dataset from a scripted writer that sees the history, and a scripted judge."""
+    return _written_dataset(spark, sf_dir)[0].select("index", "question", "answer", "groundedness_score")
+
+
+def assemble_qa_rejected(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What that dataset leaves out: failed drafts, no pairs, invalid ratings."""
+    return _written_dataset(spark, sf_dir)[1].select("index", "question", "answer", "reason")
+
+
 # -- evaluation -----------------------------------------------------------
 
 
@@ -714,6 +756,8 @@ def own_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "sample_chunks": sample_chunks,
         "qa_prompts": qa_prompts,
         "assemble_qa": assemble_qa,
+        "assemble_qa_history": assemble_qa_history,
+        "assemble_qa_rejected": assemble_qa_rejected,
         "zip_align": zipped,
         "goldens": goldens,
         "attach_predictions": attached_predictions,

@@ -56,26 +56,24 @@ Question: {question}
 Answer: {answer}
 Context: {context}
 """,
-    "rag_answer": """Answer the question from the context only, briefly and to the point.
-Name the source number where it helps. If the context does not hold the answer, give none.
+    "rag_answer": """You get a question and numbered passages.
+Question: {question}
 
-Context:
+Passages:
 {context}
----
-Question: {question}
-Answer:
+
+Write a short answer that these passages support, with the numbers of those you used. Write
+nothing if they do not answer it.
 """,
     "chat_answer": """Use only facts found in the context.
 {input}
 Context: {context}""",
-    "context_answer": """Answer the question with the help of this context: {context}
+    "context_answer": """Question: {question}
 
-Question: {question}
-
-Answer:""",
-    "retrieval_summary": """Summarise the following context in a short answer and name its source: {context}
+These passages were found for it:
+{context}
 
-Answer:""",
+Your answer:""",
     "groundedness": f"""Rate from 1 to 5 how well the context answers the question.
 1 means not at all, 5 means fully and clearly.
 {_RATING_FORMAT}

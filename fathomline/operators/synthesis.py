@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -27,8 +29,13 @@ def sample_chunks(chunks: DataFrame, n: int = N_GENERATIONS, seed: str = "0") ->
 
 
 def qa_prompts(chunks: DataFrame, template: str = "qa_generation", **columns: str) -> DataFrame:
-    """One prompt per chunk. ``columns`` maps placeholders to columns (``text``)."""
-    names = {p: columns.get(p, "text") for p in placeholders(TEMPLATES[template])}
+    """One prompt per chunk. ``columns`` maps placeholders to columns; ``context`` and
+    ``text`` are the chunk's text by default, any other placeholder needs a column."""
+    known = {"context": "text", "text": "text"} | columns
+    missing = [p for p in placeholders(TEMPLATES[template]) if p not in known]
+    if missing:
+        raise ValueError(f"no column for {', '.join(missing)}")
+    names = {p: known[p] for p in placeholders(TEMPLATES[template])}
     return chunks.withColumn(
         "prompt", render(TEMPLATES[template], {p: F.col(c) for p, c in names.items()})
     )
@@ -72,25 +79,30 @@ def lexical_critique(kind: str) -> Column:
     return lexical.rating_json(score, F.lit("shared terms"))
 
 
-def critique(df: DataFrame, kinds: tuple[str, ...] = CRITIQUES, judge: Model | None = None) -> DataFrame:
+def critique(
+    df: DataFrame,
+    kinds: tuple[str, ...] = CRITIQUES,
+    judge: Model | None = None,
+    make_judge: Callable[[], Model] | None = None,
+) -> DataFrame:
     """Add ``<kind>_score``, ``<kind>_eval`` and ``<kind>_error`` for each kind.
 
     ``df`` has ``question, answer, context``. All ratings stay on the row of their
     pair, one model call each, so nothing moves or joins. Without a judge the
     ratings come from shared terms.
     """
-    replies = {}
+    replies, modelled = {}, judge is not None or make_judge is not None
     for kind in kinds:
         if kind not in TEMPLATES:
             raise ValueError(f"unknown critique {kind!r}")
-        if judge is None:
+        if not modelled:
             output, error = lexical_critique(kind), F.lit(None).cast("string")
             replies[f"_{kind}_reply"] = F.struct(output.alias("output"), error.alias("error"))
         else:
             names = placeholders(TEMPLATES[kind])
             prompt = render(TEMPLATES[kind], {p: F.col(p) for p in names})
-            replies[f"_{kind}_reply"] = model_column(prompt, judge)
-    asked = df if judge is not None else with_term_sets(df)
+            replies[f"_{kind}_reply"] = model_column(prompt, judge, make_judge)
+    asked = df if modelled else with_term_sets(df)
     rated = rate(asked.withColumns(replies), {kind: f"_{kind}_reply" for kind in kinds})
     return rated.drop(*replies, *_TERM_SETS)
 
@@ -154,6 +166,12 @@ def location_dependency(df: DataFrame, output: str = "output") -> DataFrame:
     ).drop("_location")
 
 
+def rating_problem(kinds: tuple[str, ...] = CRITIQUES) -> Column:
+    """The first rating of a row that failed or is invalid, as ``kind: error``; else null."""
+    errors = [F.concat(F.lit(f"{kind}: "), F.col(f"{kind}_error")) for kind in kinds]
+    return F.coalesce(*errors, F.concat(F.lit("location: "), F.col("location_error")))
+
+
 def assemble_qa_dataset(rated: DataFrame) -> DataFrame:
     """The documented eleven columns. All ratings travel on the row of their pair,
     so nothing is joined."""

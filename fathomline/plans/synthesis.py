@@ -2,58 +2,105 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fathomline.functions.lexical import drafted_pair, rating_json, rating_of
 from fathomline.functions.prompts import TEMPLATES, placeholders, render
+from fathomline.functions.parsing import qa_problem
 from fathomline.functions.text import distinct_terms
+from fathomline.operators.cleaning import split_on
 from fathomline.operators.generation import Model, model_column
 from fathomline.operators.synthesis import (
     assemble_qa_dataset,
     critique,
     location_dependency,
     parse_pairs,
-    qa_constraints,
     qa_prompts,
+    rating_problem,
 )
 from fathomline.storage import materialise
 
 
-def drafted_pairs(chunks: DataFrame, writer: Model | None = None) -> DataFrame:
-    """``index, context, output``: one generated pair text per chunk."""
-    if writer is None:
-        output = drafted_pair(F.col("text"))
+def drafted_pairs(
+    chunks: DataFrame,
+    writer: Model | None = None,
+    make_writer: Callable[[], Model] | None = None,
+) -> DataFrame:
+    """``index, context, output, error``: one generated pair text per chunk.
+
+    If the chunks have a column ``history``, the prompt tells the earlier questions and
+    answers in it.
+    """
+    if writer is None and make_writer is None:
+        reply = F.struct(drafted_pair(F.col("text")).alias("output"), F.lit(None).cast("string").alias("error"))
     else:
-        output = model_column(F.col("prompt"), writer)["output"]
-    return qa_prompts(chunks).select(
-        F.col("chunk_index").alias("index"), F.col("text").alias("context"), output.alias("output")
-    )
+        reply = model_column(F.col("prompt"), writer, make_writer)
+    if "history" in chunks.columns:
+        prompted = qa_prompts(chunks, "qa_generation_with_history", history="history")
+    else:
+        prompted = qa_prompts(chunks)
+    return prompted.select(
+        F.col("chunk_index").alias("index"), F.col("text").alias("context"), reply.alias("_reply")
+    ).select("index", "context", "_reply.output", "_reply.error")
+
 
+def location_reply(
+    df: DataFrame,
+    judge: Model | None = None,
+    make_judge: Callable[[], Model] | None = None,
+) -> DataFrame:
+    """Add ``location_output`` and ``_location_call`` with the error of a failed call.
 
-def location_reply(df: DataFrame, judge: Model | None = None) -> DataFrame:
-    """Add ``location_output``. Without a judge, a question rated 1 or 2 for its
-    shared terms with the context counts as depending on more context."""
-    if judge is not None:
+    Without a judge, a question rated 1 or 2 for its shared terms with the context
+    counts as depending on more context.
+    """
+    if judge is not None or make_judge is not None:
         names = placeholders(TEMPLATES["location_dependency"])
         prompt = render(TEMPLATES["location_dependency"], {n: F.col(n) for n in names})
-        return df.withColumn("location_output", model_column(prompt, judge)["output"])
+        asked = df.withColumn("_location_reply", model_column(prompt, judge, make_judge))
+        return asked.select(
+            *df.columns,
+            F.col("_location_reply.output").alias("location_output"),
+            F.col("_location_reply.error").alias("_location_call"),
+        )
     shared = rating_of(
         distinct_terms(F.col("question")), distinct_terms(F.col("context"))
     )
     vague = (shared <= 2).cast("int")
-    return df.withColumn("location_output", rating_json(vague, F.lit("shared terms")))
+    return df.withColumns(
+        {
+            "location_output": rating_json(vague, F.lit("shared terms")),
+            "_location_call": F.lit(None).cast("string"),
+        }
+    )
 
 
 def qa_dataset(
-    chunks: DataFrame, writer: Model | None = None, judge: Model | None = None
+    chunks: DataFrame,
+    writer: Model | None = None,
+    judge: Model | None = None,
+    make_writer: Callable[[], Model] | None = None,
+    make_judge: Callable[[], Model] | None = None,
 ) -> tuple[DataFrame, DataFrame]:
-    """The eleven-column dataset, and the rejected drafts with a reason.
+    """The eleven-column dataset, and the rejected rows with a reason.
 
-    ``chunks`` is whatever should become pairs: all chunks or ``sample_chunks``.
+    ``chunks`` is whatever should become pairs: all chunks or ``sample_chunks``, with a
+    column ``history`` if earlier pairs should be told. Rejected are drafts whose call
+    failed, that are no pair or too long, and pairs with a failed or invalid rating. All
+    model replies are written once, so that no result asks again.
     """
-    # written once: both results read it, and filters must not repeat the drafting
-    drafts = materialise(drafted_pairs(chunks, writer), "drafts")
-    valid, rejected = qa_constraints(parse_pairs(drafts))
-    rated = location_dependency(location_reply(critique(valid, judge=judge), judge), "location_output")
-    return assemble_qa_dataset(rated), rejected
+    drafts = materialise(drafted_pairs(chunks, writer, make_writer), "drafts")
+    pairs = parse_pairs(drafts)
+    failed = F.concat(F.lit("draft: "), F.col("error"))
+    problem = F.coalesce(failed, qa_problem(F.col("question"), F.col("answer")))
+    valid, unfit = split_on(pairs, problem)
+    asked = location_reply(critique(valid.drop("error"), judge=judge, make_judge=make_judge), judge, make_judge)
+    judged = location_dependency(asked, "location_output")
+    judged = judged.withColumn("location_error", F.coalesce("_location_call", "location_error"))
+    rated = materialise(judged.withColumn("reason", rating_problem()), "rated")
+    columns = ["index", "context", "output", "question", "answer", "reason"]
+    rejected = unfit.select(columns).union(rated.where("reason is not null").select(columns))
+    return assemble_qa_dataset(rated.where("reason is null")), rejected

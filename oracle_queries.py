@@ -396,6 +396,23 @@ PARTS |= {
     "judged": """SELECT index, metric, count(*) FILTER (length(statement) % 11 = 0) AS n_failed,
             list(contains(evidence, statement) ORDER BY position) AS verdicts
         FROM judged_rows GROUP BY ALL""",
+    "written": f"""SELECT chunk_index AS index, text AS context, 'Q: ' || source || '?' AS history,
+            length({rendered(TEMPLATES["qa_generation_with_history"], {"context": "text", "history": "('Q: ' || source || '?')"})}) AS n
+        FROM chunks""",
+    "written_pairs": """SELECT index, context, n, CASE WHEN n % 7 <> 0 AND n % 5 <> 0 THEN history END AS question,
+            CASE WHEN n % 7 <> 0 AND n % 5 <> 0 THEN n::VARCHAR END AS answer FROM written""",
+    "written_rated": f"""SELECT *, CASE
+            WHEN n % 7 = 0 THEN 'draft: RuntimeError: busy'
+            WHEN n % 5 = 0 THEN 'no pair in the output'
+            WHEN length({rendered(TEMPLATES["groundedness"], {"question": "question", "context": "context"})}) % 2 = 1
+                THEN 'groundedness: score or reasons are invalid'
+            WHEN length({rendered(TEMPLATES["question_relevance"], {"question": "question"})}) % 2 = 1
+                THEN 'question_relevance: score or reasons are invalid'
+            WHEN length({rendered(TEMPLATES["faithfulness"], {"question": "question", "context": "context", "answer": "answer"})}) % 2 = 1
+                THEN 'faithfulness: score or reasons are invalid'
+            WHEN length({rendered(TEMPLATES["location_dependency"], {"question": "question", "context": "context", "answer": "answer"})}) % 2 = 1
+                THEN 'location: score or reasons are invalid' END AS reason
+        FROM written_pairs""",
     "judged_rows": f"""SELECT index, metric, s[i] AS statement, CASE WHEN len(e) = len(s) AND
             metric = 'Contextual Precision' THEN e[i] ELSE e[1] END AS evidence, i AS position
         FROM (SELECT *, unnest(range(1, len(s) + 1)) AS i FROM (SELECT index, unnest([
@@ -584,6 +601,9 @@ def oracle_sql() -> dict[str, str]:
             'shared terms' AS question_relevancy_eval,
             {rating("answer", "context")} AS faithfulness_score, 'shared terms' AS faithfulness_eval
             FROM valid_pairs""",
+        "assemble_qa_history": """SELECT index, question, answer, 1::INTEGER AS groundedness_score
+            FROM written_rated WHERE reason IS NULL""",
+        "assemble_qa_rejected": "SELECT index, question, answer, reason FROM written_rated WHERE reason IS NOT NULL",
         "zip_align": """SELECT q.index, q.question, e.label
             FROM qa q JOIN embeddings e ON e.vec_id = q.index""",
         "goldens": """SELECT index, question AS input, answer AS expected_output, context FROM qa""",

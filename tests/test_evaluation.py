@@ -176,5 +176,12 @@ def test_judge_verdicts(spark):
         assert all("Evidence: ctx" in p for p in prompts)
         return ["what?" if "Odd" in p else '{"verdict": "%s"}' % ("Yes" if "Good" in p else "no") for p in prompts]
 
-    rows = {r["index"]: r.score for r in metrics.judge_verdicts(cases, judge).collect()}
-    assert rows == {0: 0.5, 1: 0.0, 2: 0.0}
+    rows = {r["index"]: tuple(r)[1:] for r in metrics.judge_verdicts(cases, judge).collect()}
+    unread = "Invalid JSON from model"
+    assert rows == {0: (0.5, 2, 0, None), 1: (0.0, 0, 0, None), 2: (None, 1, 1, unread)}
+
+    def down(prompts):
+        raise OSError("down")
+
+    failed = metrics.judge_verdicts(cases, make_judge=lambda: down).where("n_statements > 0").collect()
+    assert [(r.score, r.error) for r in failed] == [(None, "OSError: down")] * 2

@@ -38,7 +38,6 @@ def test_catalogue_placeholders():
         "rag_answer": {"context", "question"},
         "chat_answer": {"input", "context"},
         "context_answer": {"context", "question"},
-        "retrieval_summary": {"context"},
         "groundedness": {"question", "context"},
         "question_relevance": {"question"},
         "faithfulness": {"context", "question", "answer"},
@@ -63,6 +62,41 @@ def test_retries():
         with_retries(flaky, attempts=2)
 
 
+def test_a_bad_prompt_costs_few_calls():
+    from fathomline.operators.generation import _answer_batch
+
+    calls = []
+
+    def model(prompts):
+        calls.append(len(prompts))
+        if "bad" in prompts:
+            raise ValueError("no")
+        return prompts
+
+    prompts = [str(i) for i in range(1000)] + ["bad"]
+    outputs, errors = _answer_batch(model, prompts, 3)
+    assert outputs == [*prompts[:-1], None] and errors[-1] == "ValueError: no" and not any(errors[:-1])
+    assert len(calls) <= 3 * (1 + 2 * 10)
+
+
+def test_other_placeholders_need_a_column(spark):
+    chunks = spark.createDataFrame([(0, "t", "h")], "chunk_index long, text string, past string")
+    with pytest.raises(ValueError, match="history"):
+        synthesis.qa_prompts(chunks, "qa_generation_with_history")
+    prompt = synthesis.qa_prompts(chunks, "qa_generation_with_history", history="past").first()["prompt"]
+    assert "answers:\nh\n" in prompt and "Passage:\nt\n" in prompt
+
+
+def test_drafts_keep_whole_sentences(spark):
+    long, fits = "word " * 70 + "end.", "short words here."
+    df = spark.createDataFrame([(f"{long} {fits}",), (long,)], "t string")
+    drafts = [r[0] for r in df.select(lexical.drafted_pair(F.col("t"))).collect()]
+    assert drafts[0].endswith(f"Answer: {fits}") and drafts[1].endswith(f"Answer: {long}")
+    answers = [parsing.parse_qa(F.lit(d + "\n \n"))["answer"] for d in drafts]
+    problem = [parsing.qa_problem(F.lit("q"), a) for a in answers]
+    assert list(spark.range(1).select(*problem).first()) == [None, "answer too long"]
+
+
 def test_normalised_output():
     class Reply:
         content = "text"

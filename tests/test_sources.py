@@ -62,7 +62,9 @@ def test_pages(spark, tmp_path):
     docs = spark.createDataFrame([(1, "one\ftwo\f", "s")], "doc_id long, text string, source string")
     assert [r.text for r in load_pages(docs).orderBy("page_no").collect()] == ["one", "two", ""]
     (tmp_path / "a.pdf").write_bytes(b"p1|p2")
-    pages = load_binary_pages(spark, str(tmp_path), lambda content: content.decode().split("|"))
+    (tmp_path / "broken.pdf").write_bytes(b"\xff\xfe")
+    pages, failed = load_binary_pages(spark, str(tmp_path), lambda content: content.decode().split("|"))
+    assert [(r.source.endswith("broken.pdf"), r.reason[:18]) for r in failed.collect()] == [(True, "UnicodeDecodeError")]
     assert [(r.page_no, r.text) for r in pages.orderBy("page_no").collect()] == [(0, "p1"), (1, "p2")]
     with pytest.raises(ValueError):
         load_binary_pages(spark, None, lambda content: [])
