@@ -91,11 +91,10 @@ def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def qa(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Benchmark items as questions: the first sentence asks for the whole item."""
-    first = F.get(txt.sentences(txt.clean(F.col("text"))), 0)
+    """Benchmark items as questions, each for its own text."""
     return table(spark, sf_dir, "benchmark").select(
         F.col("item_id").alias("index"),
-        F.coalesce(first, F.lit("")).alias("question"),
+        F.coalesce(txt.clean(F.col("text")), F.lit("")).alias("question"),
         F.col("text").alias("answer"),
         F.col("text").alias("context"),
     )
@@ -324,7 +323,7 @@ def knn_scaled(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def knn_approximate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return knn_approx(*_vector_pairs(spark, sf_dir), k=10, dim=hashing.DIMENSION)
+    return knn_approx(*_vector_pairs(spark, sf_dir), k=10)
 
 
 def dense_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -379,14 +378,14 @@ def generate_with_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     replied = error_to_empty(generate(asked, make_model=lambda: _moody_model))
     return replied.select(
-        "index", "output", "error", F.size("retrieval_context").alias("n_retrieved")
+        "index", "output", "error", F.array_join("retrieval_context", "\n").alias("retrieved")
     )
 
 
 def answered_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     answered = TfIdfRag(chunks(spark, sf_dir), k=5).answer(qa(spark, sf_dir))
     return answered.select(
-        "index", "actual_output", F.size("retrieval_context").alias("n_retrieved"), "error"
+        "index", "actual_output", F.array_join("retrieval_context", "\n").alias("retrieved"), "error"
     )
 
 
@@ -599,7 +598,7 @@ def attached_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     joined = attach_predictions(goldens_, predictions)
     return joined.select(
-        "index", "source", "actual_output", F.size("retrieval_context").alias("n_retrieved")
+        "index", "source", "actual_output", F.array_join("retrieval_context", "\n").alias("retrieved")
     )
 
 
@@ -647,7 +646,7 @@ def summary(spark: SparkSession, sf_dir: str) -> DataFrame:
         "actual_output",
         "expected_output",
         F.get("actual_context", 0).alias("actual_context"),
-        F.size("retrieval_context").alias("n_retrieved"),
+        F.array_join("retrieval_context", "\n").alias("retrieved"),
         scored["Answer Relevancy"].alias("answer_relevancy"),
         scored["Faithfulness"].alias("faithfulness"),
         scored["Contextual Recall"].alias("contextual_recall"),

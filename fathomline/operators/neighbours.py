@@ -7,12 +7,10 @@ a row: NumPy compares blocks and each block hands on at most ``k`` per question.
 
 from __future__ import annotations
 
-import hashlib
 import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -26,7 +24,7 @@ ROWS_AT_ONCE = 256
 PAIRS_AT_ONCE = 1 << 15
 #: more than the six digits of a distance can hide
 ROUNDING = 2e-6
-BUCKETS_TO_BROADCAST = 1 << 20
+PROBES = 8
 NEIGHBOURS = "index long, vec_id long, distance double"
 _ARROW = pa.schema(
     [("index", pa.int64()), ("vec_id", pa.int64()), ("distance", pa.float64())]
@@ -201,63 +199,72 @@ def _by_blocks(
     return left.groupBy(*group).cogroup(right.groupBy(*group)).applyInArrow(compare, NEIGHBOURS)
 
 
-def plane_weight(plane: int, axis: int) -> int:
-    """Seeded random sign: +1 or -1 from the first hex digit of an MD5."""
-    return 1 if hashlib.md5(f"{plane}:{axis}".encode()).hexdigest()[0] < "8" else -1
+def centres(vectors: DataFrame, cells: int) -> DataFrame:
+    """``cells`` vectors in a fixed pseudo-random order of their ids, as ``(cell, embedding)``."""
+    key = F.md5(F.col("vec_id").cast("string"))
+    chosen = vectors.select("vec_id", "embedding").orderBy(key, "vec_id").limit(cells)
+    return chosen.select(F.col("vec_id").alias("cell"), "embedding")
 
 
-def band_signatures(df: DataFrame, dim: int, bits: int, bands: int) -> DataFrame:
-    """One row per band, with the sign pattern of ``bits`` random hyperplanes."""
-    planes = np.array(
-        [[plane_weight(p, a) for a in range(dim)] for p in range(bits * bands)], dtype=np.float64
-    )
-    places = 1 << np.arange(bits)
+def _nearest_cells(df: DataFrame, name: str, shared, count: int) -> DataFrame:
+    """Every row of ``(name, embedding)`` with each of its ``count`` nearest centres."""
+    kind = dict(df.dtypes)["embedding"]
 
-    @F.pandas_udf("array<int>")
-    def sign_patterns(vectors: pd.Series) -> pd.Series:
-        matrix = np.stack(vectors.to_numpy()).astype(np.float64)
-        if matrix.shape[1] != dim:
-            raise ValueError(f"dimension {matrix.shape[1]} differs from {dim}")
-        positive = np.round(matrix @ planes.T, 6) >= 0
-        patterns = (positive.reshape(len(matrix), bands, bits) * places).sum(axis=2)
-        return pd.Series(list(patterns.astype(np.int32)), index=vectors.index)
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cells, middle = shared.value
+        for batch in batches:
+            if batch.num_rows == 0 or len(cells) == 0:
+                continue
+            owner, cell, _ = _nearest(_matrix(batch.column("embedding")), middle, cells, count)
+            rows = batch.take(pa.array(owner))
+            yield pa.RecordBatch.from_arrays(
+                [rows.column(name), rows.column("embedding"), pa.array(cell)], [name, "embedding", "cell"]
+            )
 
-    return df.select("*", F.posexplode(sign_patterns("embedding")).alias("_band", "_signature"))
+    return df.select(name, "embedding").mapInArrow(place, f"{name} long, embedding {kind}, cell long")
 
 
 def knn_approx(
     questions: DataFrame,
     vectors: DataFrame,
     k: int,
-    dim: int,
-    bits: int = 6,
-    bands: int = 64,
+    cells: int | None = None,
+    probes: int = PROBES,
     block_rows: int = BLOCK_ROWS,
 ) -> DataFrame:
-    """Nearest among the vectors that share a band signature with the question.
-
-    Each vector is copied once per band. Within a bucket the exact distance ranks,
-    so a result can only miss neighbours, never misplace them. Hot buckets are cut
-    into blocks. Choose ``bits`` and ``bands`` from measured recall.
+    """Nearest among the vectors of the ``probes`` cells nearest to the question.
+
+    Centres are vectors themselves, by default about as many as the square root of their
+    number; every vector belongs to its nearest centre. A question so meets about
+    ``probes`` times that root of vectors, and a vector is shuffled once. Within a cell
+    the exact distance ranks, so a result can only miss neighbours, never misplace them;
+    it can hold fewer than ``k`` if the cells do. Hot cells are cut into blocks. Choose
+    ``cells`` and ``probes`` from measured recall.
     """
-    if k < 1 or bits < 1 or bands < 1 or bits > 30:
-        raise ValueError("k, bits and bands must be positive, bits at most 30")
-    # written once: bucket sizes and rows must come from one evaluation
-    asked = materialise(band_signatures(questions.select("index", "embedding"), dim, bits, bands), "asked")
-    stored = materialise(band_signatures(vectors.select("vec_id", "embedding"), dim, bits, bands), "stored")
-    keys = ("_band", "_signature")
+    if k < 1 or probes < 1 or (cells is not None and cells < 1):
+        raise ValueError("k, cells and probes must be positive")
+    if cells is None:
+        cells = max(1, math.isqrt(vectors.count()))
+    chosen = materialise(centres(vectors, cells), "centres")
+    if not fits_in_memory(chosen, F.size("embedding") * 8 + 8, QUESTION_BYTES):
+        raise ValueError("the centres take too much memory; ask for fewer cells")
+    # measured above; the least id first, so that ties do not depend on the order of rows
+    table = chosen.orderBy("cell").toArrow()
+    shared = chosen.sparkSession.sparkContext.broadcast(
+        (table.column("cell").to_numpy(), _matrix(table.column("embedding")))
+    )
+    # written once: block sizes and rows must come from one evaluation
+    asked = materialise(_nearest_cells(questions, "index", shared, probes), "asked")
+    stored = materialise(_nearest_cells(vectors, "vec_id", shared, 1), "stored")
 
     def blocks(df: DataFrame, name: str) -> DataFrame:
-        counts = df.groupBy(*keys).agg(F.count("*").alias("_n"))
-        return counts.select(*keys, F.ceil(F.col("_n") / block_rows).cast("int").alias(name))
-
-    sizes = blocks(asked, "_qs").join(blocks(stored, "_vs"), list(keys))
-    # at most one row per band and signature
-    if bands << bits <= BUCKETS_TO_BROADCAST:
-        sizes = F.broadcast(sizes)
-    found = _by_blocks(asked.join(sizes, list(keys)), stored.join(sizes, list(keys)), k, keys)
-    # placed by question first, so that removing copies and ranking share a shuffle
-    return rank_neighbours(found.repartition("index").distinct(), k)
+        counts = df.groupBy("cell").agg(F.count("*").alias("_n"))
+        return counts.select("cell", F.ceil(F.col("_n") / block_rows).cast("int").alias(name))
+
+    # at most one row per cell, and the centres fit in memory
+    sizes = F.broadcast(blocks(asked, "_qs").join(blocks(stored, "_vs"), "cell"))
+    found = _by_blocks(asked.join(sizes, "cell"), stored.join(sizes, "cell"), k, ("cell",))
+    return rank_neighbours(found, k)
 
 
 def recall(exact: DataFrame, approximate: DataFrame) -> DataFrame:

@@ -151,7 +151,7 @@ class DenseRag(Rag):
         if self.approximate is None:
             found = knn_exact(asked, self.vectors, self.k)
         else:
-            found = knn_approx(asked, self.vectors, self.k, self.dim, **self.approximate)
+            found = knn_approx(asked, self.vectors, self.k, **self.approximate)
         hits = found.withColumnRenamed("vec_id", "chunk_index")
         return attach_text(hits, self.chunks, questions_fit(questions, self.k)).select(
             "index", "rank", "chunk_index", "distance", "text"

@@ -159,7 +159,7 @@ def pair_part(group: int) -> str:
 
 
 PARTS: dict[str, str] = {
-    "qa": f"""SELECT item_id AS index, coalesce({sentences(clean("text"))}[1], '') AS question,
+    "qa": f"""SELECT item_id AS index, coalesce({clean("text")}, '') AS question,
         text AS answer, text AS context FROM benchmark""",
     "cleaned": f"SELECT doc_id, {clean('text')} AS text FROM documents",
     "split": f"SELECT doc_id, {sentences('text')} AS items FROM cleaned",
@@ -287,15 +287,13 @@ PARTS |= {
             round(sqrt(list_sum(list_transform(list_zip(a.v, b.v), lambda p: (p[1] - p[2]) * (p[1] - p[2])))), 6)
                 AS distance
         FROM scaled a CROSS JOIN scaled b""",
-    "planes": """SELECT p AS plane, list(CASE WHEN substr(md5(p || ':' || a), 1, 1) < '8'
-            THEN 1.0 ELSE -1.0 END::DOUBLE ORDER BY a) AS w
-        FROM range(384) t(p), range(64) u(a) GROUP BY p""",
-    "signatures": """SELECT vec_id, plane // 6 AS band,
-            sum(CASE WHEN round(list_inner_product(v, w), 6) >= 0 THEN 1 << (plane % 6)::INTEGER
-                ELSE 0 END) AS signature
-        FROM vectors CROSS JOIN planes GROUP BY ALL""",
-    "candidates": """SELECT DISTINCT a.vec_id AS index, b.vec_id
-        FROM signatures a JOIN signatures b USING (band, signature)""",
+    "centres": """SELECT vec_id AS cell, v FROM vectors ORDER BY md5(vec_id::VARCHAR), vec_id
+        LIMIT (SELECT floor(sqrt(count(*)))::BIGINT FROM vectors)""",
+    "cell_ranks": """SELECT a.vec_id, c.cell, row_number() OVER (PARTITION BY a.vec_id
+            ORDER BY round(list_distance(a.v, c.v), 6), c.cell) AS place
+        FROM vectors a CROSS JOIN centres c""",
+    "candidates": """SELECT a.vec_id AS index, b.vec_id FROM cell_ranks a JOIN cell_ranks b
+        ON a.cell = b.cell AND a.place <= 8 AND b.place = 1""",
     "candidate_distances": "SELECT d.* FROM vector_distances d JOIN candidates USING (index, vec_id)",
     "turn_pairs": """SELECT conv_id, turn, text AS question, next_text AS answer FROM (
             SELECT *, lead(role) OVER w AS next_role, lead(text) OVER w AS next_text
@@ -551,9 +549,9 @@ def oracle_sql() -> dict[str, str]:
         "generate_with_errors": """SELECT index,
             CASE WHEN contains(context, 'tion') THEN '' ELSE length(context) || ' characters' END AS output,
             CASE WHEN contains(context, 'tion') THEN 'ValueError: cannot read this' END AS error,
-            CASE WHEN contains(context, 'tion') THEN 0 ELSE 1 END::INTEGER AS n_retrieved FROM qa""",
+            CASE WHEN contains(context, 'tion') THEN '' ELSE context END AS retrieved FROM qa""",
         "answer_questions": """SELECT index, actual_output,
-            len(retrieval_context)::INTEGER AS n_retrieved, CAST(NULL AS VARCHAR) AS error FROM answers""",
+            array_to_string(retrieval_context, chr(10)) AS retrieved, CAST(NULL AS VARCHAR) AS error FROM answers""",
         "qa_from_turns": "SELECT conv_id, turn, question, answer FROM turn_pairs",
         "qa_history": """SELECT conv_id, turn, coalesce(string_agg(
             'Q: ' || question || chr(10) || 'A: ' || answer, chr(10)) OVER
@@ -609,7 +607,7 @@ def oracle_sql() -> dict[str, str]:
         "goldens": """SELECT index, question AS input, answer AS expected_output, context FROM qa""",
         "attach_predictions": """SELECT d.doc_id AS index, d.source,
             coalesce(l.quality::VARCHAR, '') AS actual_output,
-            (CASE WHEN l.doc_id IS NULL THEN 0 ELSE 1 END)::INTEGER AS n_retrieved
+            coalesce(l.toxic::VARCHAR, '') AS retrieved
             FROM documents d LEFT JOIN labels l USING (doc_id)""",
         "test_cases": """SELECT index, question AS input, answer AS expected_output, actual_output,
             context, array_to_string(retrieval_context, chr(10)) AS retrieved FROM answers""",
@@ -625,7 +623,7 @@ def oracle_sql() -> dict[str, str]:
         "overall_custom_weights": overall("means", CUSTOM),
         "overall_dense": overall("dense_means", DEFAULT),
         "summary": """SELECT index, question AS query, actual_output, answer AS expected_output,
-            context AS actual_context, len(retrieval_context)::INTEGER AS n_retrieved,
+            context AS actual_context, array_to_string(retrieval_context, chr(10)) AS retrieved,
             answer_relevancy, faithfulness, contextual_recall, contextual_precision
             FROM answers JOIN cases USING (index)""",
         "evaluate_judged": """SELECT index, metric, score,

@@ -1,10 +1,13 @@
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from fathomline.operators.embedding import embed_texts
+from fathomline.operators import neighbours
 from fathomline.operators.neighbours import knn_approx, knn_exact, recall
 
 
@@ -63,12 +66,12 @@ def test_without_questions_or_vectors(spark, data):
     assert knn_exact(frame(spark, asked, "index"), frame(spark, stored[:0], "vec_id"), 2).count() == 0
 
 
-def test_approximate_is_a_subset_with_hot_buckets_cut(spark, data):
+def test_approximate_is_a_subset_with_hot_cells_cut(spark, data):
     asked, stored = data
     q, v = frame(spark, asked, "index"), frame(spark, stored, "vec_id")
     exact = knn_exact(q, v, 10)
-    wide = knn_approx(q, v, 10, dim=8, bits=3, bands=12)
-    blocks = knn_approx(q, v, 10, dim=8, bits=3, bands=12, block_rows=16)
+    wide = knn_approx(q, v, 10, cells=12, probes=9)
+    blocks = knn_approx(q, v, 10, cells=12, probes=9, block_rows=16)
     assert found(wide) == found(blocks)
     assert recall(exact, wide).first()["recall"] >= 0.9
     assert recall(exact, exact).first()["recall"] == 1.0
@@ -78,6 +81,24 @@ def test_approximate_is_a_subset_with_hot_buckets_cut(spark, data):
     assert all(truth[pair] == distance for pair, distance in one.items())
 
 
+def test_approximate_on_clustered_vectors(spark, monkeypatch):
+    rng = np.random.default_rng(12)
+    middles = rng.normal(size=(60, 16)) * 4
+    rows = np.concatenate([m + rng.normal(size=(50, 16)) * 0.5 for m in middles])
+    table = frame(spark, rows, "vec_id")
+    asked = table.withColumnRenamed("vec_id", "index").where("index % 10 = 0")
+    exact = knn_exact(asked, table, 10)
+    wide = knn_approx(asked, table, 10)
+    assert recall(exact, wide).first()["recall"] >= 0.9
+    # compared pairs, repeats counted: questions x the sizes of the cells they probe
+    cells = math.isqrt(len(rows))
+    centre = rows[[r["cell"] for r in neighbours.centres(table, cells).collect()]]
+    far = ((rows[:, None] - centre[None]) ** 2).sum(axis=2)
+    sizes = np.bincount(far.argmin(axis=1), minlength=cells)
+    probed = np.argsort(far[::10], axis=1)[:, : neighbours.PROBES]
+    assert sizes[probed].sum() <= 0.2 * len(rows) * len(probed)
+
+
 def test_all_against_all_of_one_table(spark, data):
     _, stored = data
     table = frame(spark, stored, "vec_id")
