@@ -268,6 +268,16 @@ def many_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieval.tfidf_retrieve(asked, numbered, index, 5, small=False).drop("text")
 
 
+def index_reopened(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Answers from an index and a chunk table that were written and opened again."""
+    path = scratch_path(spark, "kept")
+    chunks(spark, sf_dir).write.parquet(f"{path}/chunks")
+    numbered = spark.read.parquet(f"{path}/chunks")
+    indexing.tfidf_index(numbered, path=f"{path}/index").close()
+    index = indexing.open_index(spark, f"{path}/index")
+    return TfIdfRag(numbered, k=5, index=index).retrieve(qa(spark, sf_dir))
+
+
 def contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieval.gather_context(qa(spark, sf_dir), tfidf_retrieval(spark, sf_dir))
 
@@ -730,6 +740,7 @@ def own_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "tfidf_topk_padded": tfidf_topk_padded,
         "tfidf_retrieval": tfidf_retrieval,
         "tfidf_many_questions": many_questions,
+        "index_reopened": index_reopened,
         "build_context": build_context,
         "retrieval_context": retrieval_context,
         "hash_embed": hash_embed,

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -18,8 +18,11 @@ from fathomline.storage import (
     BROADCAST_BYTES,
     bucket_count,
     bucketed,
+    drop_table,
     fits_in_memory,
     materialise,
+    open_bucketed,
+    remove_scratch,
 )
 
 
@@ -32,6 +35,15 @@ class TfIdfIndex:
     idf: DataFrame
     lengths: DataFrame
 
+    def close(self, remove: bool = False) -> None:
+        """Take the tables out of the session; ``remove`` also deletes scratch folders."""
+        for table in (self.postings, self.lengths):
+            if remove:
+                remove_scratch(table)
+            drop_table(table)
+        if remove:
+            remove_scratch(self.idf)
+
 
 def tokenize(texts: DataFrame, key: str, text: str = "text") -> DataFrame:
     """One row per term occurrence."""
@@ -111,13 +123,50 @@ def chunk_lengths(postings: DataFrame, idf: DataFrame, limit: int = BROADCAST_BY
     )
 
 
-def tfidf_index(chunks: DataFrame) -> TfIdfIndex:
-    """Build and write the index of a numbered chunk table."""
-    buckets = bucket_count(chunks.sparkSession, chunks.count())
-    postings = bucketed(term_frequencies(chunks, buckets), "chunk_index", buckets, "postings", "term")
-    idf = materialise(inverse_document_frequency(postings, corpus_size(chunks)), "idf")
+def tfidf_index(chunks: DataFrame, path: str | None = None, buckets: int | None = None) -> TfIdfIndex:
+    """Build and write the index of a numbered chunk table.
+
+    With ``path`` it is kept there for ``open_index``; otherwise it lives in scratch
+    folders. ``buckets`` defaults to a number that follows the chunks.
+    """
+    if buckets is None:
+        buckets = bucket_count(chunks.sparkSession, chunks.count())
+    part = lambda name: None if path is None else f"{path}/{name}"
+    postings = bucketed(
+        term_frequencies(chunks, buckets), "chunk_index", buckets, "postings", "term", path=part("postings")
+    )
+    counted = inverse_document_frequency(postings, corpus_size(chunks))
+    if path is None:
+        idf = materialise(counted, "idf")
+    else:
+        counted.write.parquet(part("idf"))
+        idf = chunks.sparkSession.read.parquet(part("idf"))
     lengths = chunk_lengths(postings, idf).repartition(buckets, "chunk_index")
-    return TfIdfIndex(postings, idf, bucketed(lengths, "chunk_index", buckets, "lengths"))
+    lengths = bucketed(lengths, "chunk_index", buckets, "lengths", path=part("lengths"))
+    if path is not None:
+        layout = chunks.sparkSession.createDataFrame([(buckets,)], "buckets int")
+        layout.coalesce(1).write.json(part("layout"))
+    return TfIdfIndex(postings, idf, lengths)
+
+
+def open_index(spark: SparkSession, path: str) -> TfIdfIndex:
+    """An index that ``tfidf_index`` kept at ``path``, with its buckets."""
+    buckets = spark.read.schema("buckets int").json(f"{path}/layout").first()["buckets"]
+    return TfIdfIndex(
+        open_bucketed(
+            spark,
+            f"{path}/postings",
+            "chunk_index BIGINT, term STRING, tf BIGINT",
+            "chunk_index",
+            buckets,
+            "postings",
+            "term",
+        ),
+        spark.read.parquet(f"{path}/idf"),
+        open_bucketed(
+            spark, f"{path}/lengths", "chunk_index BIGINT, length DOUBLE", "chunk_index", buckets, "lengths"
+        ),
+    )
 
 
 def tfidf_weights(index: TfIdfIndex) -> DataFrame:

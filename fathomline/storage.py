@@ -7,6 +7,7 @@ column pruning, and cut the lineage.
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Sequence
@@ -58,22 +59,63 @@ def bucket_count(spark: SparkSession, rows: int, rows_per_bucket: int = ROWS_PER
     return max(1, min(most, max(cores, -(-rows // rows_per_bucket))))
 
 
-def bucketed(df: DataFrame, key: str, buckets: int, label: str, *sort: str) -> DataFrame:
+def bucketed(
+    df: DataFrame, key: str, buckets: int, label: str, *sort: str, path: str | None = None
+) -> DataFrame:
     """Write ``df`` as a table bucketed by ``key`` and return it.
 
     Grouping or joining such a table by ``key`` needs no shuffle. ``df`` should be
     hash-partitioned by ``key`` into ``buckets``, so that each task writes one file. Rows
-    of a bucket are sorted by ``sort``, so scans that filter by it skip most of them.
+    of a bucket are sorted by ``sort``, so scans that filter by it skip most of them. The
+    files go to ``path``, or to a scratch folder; ``drop_table`` removes both kinds.
     """
     spark = df.sparkSession
     name = f"fathomline_{label}_{uuid.uuid4().hex}"
     writer = df.write.format("parquet").bucketBy(buckets, key)
     if sort:
         writer = writer.sortBy(*sort)
-    writer.option("path", scratch_path(spark, label)).saveAsTable(name)
+    writer.option("path", path or scratch_path(spark, label)).saveAsTable(name)
+    return spark.table(name)
+
+
+def open_bucketed(
+    spark: SparkSession, path: str, schema: str, key: str, buckets: int, label: str, *sort: str
+) -> DataFrame:
+    """A table that ``bucketed`` wrote at ``path``, in this or another session."""
+    name = f"fathomline_{label}_{uuid.uuid4().hex}"
+    order = f"SORTED BY ({', '.join(sort)})" if sort else ""
+    spark.sql(
+        f"CREATE TABLE {name} ({schema}) USING parquet CLUSTERED BY ({key}) {order} "
+        f"INTO {buckets} BUCKETS LOCATION '{path}'"
+    )
     return spark.table(name)
 
 
+def drop_table(df: DataFrame) -> None:
+    """Take a table of ``bucketed`` or ``open_bucketed`` out of the catalog. Its files stay."""
+    names = [t.name for t in df.sparkSession.catalog.listTables(pattern="fathomline_*")]
+    plan = df._jdf.queryExecution().analyzed().toString()
+    for name in names:
+        if name in plan:
+            df.sparkSession.sql(f"DROP TABLE {name}")
+
+
+def remove_folder(spark: SparkSession, path: str) -> None:
+    """Delete a written folder wherever it is."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def remove_scratch(df: DataFrame) -> None:
+    """Delete the scratch folders that ``df`` reads; nothing outside the scratch root."""
+    spark = df.sparkSession
+    root = checkpoint_root(spark).removeprefix("file:").rstrip("/")
+    for file in df.inputFiles():
+        bare = re.sub(r"^file:/+", "/", file)
+        if bare.startswith(root + "/"):
+            remove_folder(spark, f"{root}/{bare[len(root) + 1 :].split('/')[0]}")
+
+
 def spread(df: DataFrame, *keys: str) -> DataFrame:
     """Spread a scan with too few splits for this cluster; leave others alone."""
     wanted = df.sparkSession.sparkContext.defaultParallelism

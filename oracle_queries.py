@@ -529,6 +529,7 @@ def oracle_sql() -> dict[str, str]:
         "tfidf_topk": "SELECT index, chunk_index, score, rank FROM hits",
         "tfidf_topk_padded": "SELECT index, rank, chunk_index, score FROM rare_hits",
         "tfidf_many_questions": "SELECT index, rank, chunk_index, score FROM turn_hits",
+        "index_reopened": "SELECT index, rank, chunk_index, score, text FROM found",
         "tfidf_retrieval": "SELECT index, rank, chunk_index, score, text FROM found",
         "build_context": "SELECT index, built_context FROM contexts",
         "retrieval_context": "SELECT index, rank - 1 AS position, text FROM found",

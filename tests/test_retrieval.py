@@ -123,3 +123,45 @@ def test_context_follows_the_rank(spark, questions):
     assert rows_[0].retrieval_context == ["a", "b", "c"]
     assert rows_[0].built_context == "a b c"
     assert rows_[2].retrieval_context == []
+
+
+def test_kept_index_opens_with_its_buckets(spark, chunks, questions, tmp_path):
+    path = str(tmp_path / "index")
+    built = tfidf_index(chunks, path=path, buckets=3)
+    before = retrieval.tfidf_retrieve(questions, chunks, built, 3).collect()
+    built.close()
+    again = indexing.open_index(spark, path)
+    after = retrieval.tfidf_retrieve(questions, chunks, again, 3)
+    assert sorted(map(tuple, after.collect())) == sorted(map(tuple, before))
+    scored = indexing.with_lengths(again.postings, again.lengths)
+    assert "Exchange" not in plan(scored) and "SelectedBucketsCount: 3 out of 3" in plan(scored)
+    again.close()
+    assert not [t for t in spark.catalog.listTables() if t.name in plan(scored)]
+
+
+def test_scratch_index_is_removed(spark, chunks):
+    import os
+
+    built = tfidf_index(chunks)
+    files = [f.removeprefix("file://") for f in built.postings.inputFiles() + built.idf.inputFiles()]
+    assert all(os.path.exists(f) for f in files)
+    built.close(remove=True)
+    assert not any(os.path.exists(f) for f in files)
+
+
+def test_scan_reads_only_question_terms_and_sorts_no_pairs(spark, chunks, questions, index):
+    asked = indexing.question_terms(questions, index.idf, True)
+    found = plan(retrieval.best_chunks(asked, index, 3, True))
+    assert "PushedFilters: [In(term" in found or "In(term" in found
+    assert "Aggregate" not in found.split("MapInArrow")[0] and "Window" not in found
+
+
+@pytest.mark.parametrize("cells", [1, 7, 1 << 20])
+def test_blocks_do_not_change_the_scores(spark, chunks, questions, index, monkeypatch, cells):
+    monkeypatch.setattr(retrieval, "CELLS", cells)
+    monkeypatch.setattr(retrieval, "QUESTIONS_PER_BLOCK", 2)
+    monkeypatch.setattr(retrieval, "ROWS_PER_BUCKET", 2)
+    small, large = (
+        sorted(map(tuple, retrieval.tfidf_retrieve(questions, chunks, index, 3, small=s).collect())) for s in (True, False)
+    )
+    assert small == large
