@@ -399,6 +399,23 @@ def answered_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _counting_embedder(texts: list[str]) -> list[list[float]]:
+    """Length and number of vowels; fails on texts of some lengths."""
+    if any(len(t) % 4 == 0 and t.startswith("Ask: ") for t in texts):
+        raise ValueError("no vector")
+    bare = [t.removeprefix("Ask: ") for t in texts]
+    return [[float(len(t)), float(sum(t.count(v) for v in "aeiou"))] for t in bare]
+
+
+def answer_with_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An embedder that fails on some questions: those rows end empty, with an error."""
+    rag = DenseRag(chunks(spark, sf_dir), k=2, make_embedder=lambda: _counting_embedder, dim=2)
+    asked = qa(spark, sf_dir).withColumn("question", F.concat(F.lit("Ask: "), "question"))
+    return rag.answer(asked).select(
+        "index", "actual_output", F.array_join("retrieval_context", "\n").alias("retrieved"), "error"
+    )
+
+
 # -- pairs and critique ---------------------------------------------------
 
 
@@ -754,6 +771,7 @@ def own_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "extractive_answer": extractive_answer,
         "generate_with_errors": generate_with_errors,
         "answer_questions": answered_questions,
+        "answer_with_failures": answer_with_failures,
         "qa_from_turns": turn_pairs,
         "qa_history": history,
         "parse_qa": parse_qa,

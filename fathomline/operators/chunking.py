@@ -6,12 +6,14 @@ shuffle; pages are the unit of parallelism.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fathomline.functions import hashing, packing
 from fathomline.functions import text as txt
-from fathomline.operators.embedding import Embedder, embed_lists
+from fathomline.operators.embedding import Embedder, embed_lists, map_lists
 from fathomline.storage import number_rows
 
 # Chunker defaults.
@@ -22,6 +24,10 @@ SIMILARITY_THRESHOLD = 0.2
 CHUNKERS = ("sentence_chunker", "recursive_chunker", "semantic_chunker")
 
 
+#: counts the tokens of a list of texts, for example with a tokenizer
+TokenCounter = Callable[[list[str]], list[int]]
+
+
 def split_sentences(pages: DataFrame, tokens: str = "words") -> DataFrame:
     """One row per sentence with its size."""
     return pages.select(
@@ -29,7 +35,10 @@ def split_sentences(pages: DataFrame, tokens: str = "words") -> DataFrame:
     ).withColumn("tokens", txt.count_tokens(F.col("sentence"), tokens))
 
 
-def _sizes(items: str, tokens: str) -> Column:
+def _sizes(items: str, tokens: str | TokenCounter) -> Column:
+    """Sizes of a list column by a built-in counter, or by the caller's in Python."""
+    if callable(tokens):
+        return map_lists(F.col(items), tokens, "int")
     return F.transform(items, lambda item: txt.count_tokens(item, tokens))
 
 
@@ -38,9 +47,11 @@ def sentence_chunks(
     chunk_size: int = CHUNK_SIZE,
     overlap: int = SENTENCE_OVERLAP,
     min_sentences: int = 1,
-    tokens: str = "words",
+    tokens: str | TokenCounter = "words",
 ) -> DataFrame:
-    """Whole sentences up to ``chunk_size``, repeating up to ``overlap`` tokens."""
+    """Whole sentences up to ``chunk_size``, repeating up to ``overlap`` tokens.
+
+    The size of a chunk is the sum of its sentences' sizes."""
     sized = pages.withColumn("_items", txt.sentences(F.col("text"))).withColumn(
         "_sizes", _sizes("_items", tokens)
     )
@@ -49,10 +60,12 @@ def sentence_chunks(
 
 
 def recursive_chunks(
-    pages: DataFrame, chunk_size: int = CHUNK_SIZE, tokens: str = "words"
+    pages: DataFrame, chunk_size: int = CHUNK_SIZE, tokens: str | TokenCounter = "words"
 ) -> DataFrame:
     """Sentences; a longer sentence falls apart into clauses, a longer clause into
     words. The pieces are packed without overlap."""
+    if callable(tokens):
+        return _counted_recursive_chunks(pages, chunk_size, tokens)
 
     def words(clause: Column) -> Column:
         return F.when(txt.count_tokens(clause, tokens) <= chunk_size, F.array(clause)).otherwise(
@@ -69,13 +82,28 @@ def recursive_chunks(
     return _flatten(sized.withColumn("_bounds", packing.pack(F.col("_sizes"), chunk_size)))
 
 
+def _counted_recursive_chunks(pages: DataFrame, chunk_size: int, counter: TokenCounter) -> DataFrame:
+    """The same with a counter in Python: all pieces of a page are counted between steps."""
+
+    def apart(cut) -> Column:
+        both = F.arrays_zip("_items", "_sizes")
+        return F.flatten(
+            F.transform(both, lambda x: F.when(x["_sizes"] <= chunk_size, F.array(x["_items"])).otherwise(cut(x["_items"])))
+        )
+
+    sized = pages.withColumn("_items", txt.sentences(F.col("text"))).withColumn("_sizes", _sizes("_items", counter))
+    for cut in (txt.clauses, lambda clause: F.split(clause, " ")):
+        sized = sized.withColumn("_items", apart(cut)).withColumn("_sizes", _sizes("_items", counter))
+    return _flatten(sized.withColumn("_bounds", packing.pack(F.col("_sizes"), chunk_size)))
+
+
 def semantic_chunks(
     pages: DataFrame,
     chunk_size: int = CHUNK_SIZE,
     min_sentences: int = MIN_SENTENCES,
     threshold: float = SIMILARITY_THRESHOLD,
     dim: int = hashing.DIMENSION,
-    tokens: str = "words",
+    tokens: str | TokenCounter = "words",
     embedder: Embedder | None = None,
 ) -> DataFrame:
     """Break where neighbouring sentences differ, or where a chunk is full.

@@ -54,6 +54,10 @@ class Rag(ABC):
     def retrieve(self, questions: DataFrame) -> DataFrame:
         """``(index, rank, text, ...)`` for ``questions(index, question)``."""
 
+    def failed(self) -> DataFrame | None:
+        """``(index, error)`` of the questions for which the last retrieval failed."""
+        return None
+
     def prompt(self) -> Column:
         return render(
             self.template, {"context": F.col("built_context"), "question": F.col("question")}
@@ -77,6 +81,10 @@ class Rag(ABC):
         require(questions, index="bigint", question="string")
         asked = questions.select("index", "question")
         hits = require(self.retrieve(asked), index="bigint", rank="int", text="string")
+        failed = self.failed()
+        if failed is not None:
+            lost = asked.join(failed, "index")
+            asked = asked.join(failed, "index", "left_anti")
         replied = self.generate(gather_context(asked, hits))
         answered = replied.select(
             "index",
@@ -86,6 +94,13 @@ class Rag(ABC):
             F.col("_reply.output").alias("actual_output"),
             F.col("_reply.error").alias("error"),
         )
+        if failed is not None:
+            nothing = F.array().cast("array<string>")
+            answered = answered.union(
+                lost.select(
+                    "index", "question", F.lit(""), nothing, F.lit(None).cast("string"), "error"
+                )
+            )
         return error_to_empty(answered, "actual_output")
 
 
@@ -131,14 +146,16 @@ class DenseRag(Rag):
         dim: int = DIMENSION,
         approximate: dict | None = None,
         make_model: Callable[[], Model] | None = None,
+        make_embedder: Callable[[], Embedder] | None = None,
     ) -> None:
         super().__init__(model, k, make_model)
         self.chunks = chunks
-        self.embedder = embedder
+        self.embedder, self.make_embedder = embedder, make_embedder
+        self._failed: DataFrame | None = None
         self.dim = dim
         self.approximate = approximate
         if vectors is None:
-            embedded = embed_texts(chunks.select("chunk_index", "text"), "text", embedder, dim)
+            embedded = embed_texts(chunks.select("chunk_index", "text"), "text", embedder, dim, make_embedder=make_embedder)
             # written once, so that no chunk is embedded again
             self.vectors = materialise(
                 embedded.select(F.col("chunk_index").alias("vec_id"), "embedding"), "vectors"
@@ -146,8 +163,16 @@ class DenseRag(Rag):
         else:
             self.vectors = checked_vectors(vectors, dim)
 
+    def failed(self) -> DataFrame | None:
+        return self._failed
+
     def retrieve(self, questions: DataFrame) -> DataFrame:
-        asked = materialise(embed_texts(questions, "question", self.embedder, self.dim), "asked")
+        embedded = embed_texts(
+            questions, "question", self.embedder, self.dim, error="error", make_embedder=self.make_embedder
+        )
+        every = materialise(embedded, "asked")
+        self._failed = every.where("error is not null").select("index", "error")
+        asked = every.where("error is null").select("index", "embedding")
         if self.approximate is None:
             found = knn_exact(asked, self.vectors, self.k)
         else:

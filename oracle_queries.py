@@ -278,6 +278,16 @@ PARTS |= {
             FROM near3 h JOIN chunks c USING (chunk_index) GROUP BY h.index) f USING (index)""",
     "dense_answers": f"""SELECT *, {best_sentence("question", "built_context")} AS actual_output
         FROM dense_found""",
+    "counted_chunks": """SELECT chunk_index, text, [length(text)::DOUBLE,
+            length(regexp_replace(text, '[^aeiou]', '', 'g'))::DOUBLE] AS v FROM chunks""",
+    "counted_questions": """SELECT index, 'Ask: ' || question AS question, [length(question)::DOUBLE,
+            length(regexp_replace(question, '[^aeiou]', '', 'g'))::DOUBLE] AS v FROM qa""",
+    "counted_distances": """SELECT q.index, c.chunk_index, round(list_distance(q.v, c.v), 6) AS distance
+        FROM counted_questions q CROSS JOIN counted_chunks c WHERE length(q.question) % 4 <> 0""",
+    "counted_near": ranked("counted_distances", 2, "distance, chunk_index"),
+    "counted_found": """SELECT q.index, q.question, f.texts, coalesce(array_to_string(f.texts, ' '), '') AS built
+        FROM counted_questions q LEFT JOIN (SELECT h.index, list(c.text ORDER BY h.rank) AS texts
+            FROM counted_near h JOIN chunks c USING (chunk_index) GROUP BY h.index) f USING (index)""",
     "vectors": "SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings",
     "vector_distances": """SELECT a.vec_id AS index, b.vec_id,
             round(list_distance(a.v, b.v), 6) AS distance
@@ -553,6 +563,10 @@ def oracle_sql() -> dict[str, str]:
             CASE WHEN contains(context, 'tion') THEN '' ELSE context END AS retrieved FROM qa""",
         "answer_questions": """SELECT index, actual_output,
             array_to_string(retrieval_context, chr(10)) AS retrieved, CAST(NULL AS VARCHAR) AS error FROM answers""",
+        "answer_with_failures": f"""SELECT index, CASE WHEN texts IS NULL THEN '' ELSE
+            {best_sentence("question", "built")} END AS actual_output,
+            coalesce(array_to_string(texts, chr(10)), '') AS retrieved,
+            CASE WHEN texts IS NULL THEN 'ValueError: no vector' END AS error FROM counted_found""",
         "qa_from_turns": "SELECT conv_id, turn, question, answer FROM turn_pairs",
         "qa_history": """SELECT conv_id, turn, coalesce(string_agg(
             'Q: ' || question || chr(10) || 'A: ' || answer, chr(10)) OVER

@@ -117,3 +117,26 @@ def test_embedder_callable(spark):
     assert [list(r.embedding) for r in rows] == [[2.0, 1.0], [0.0, 1.0]]
     with pytest.raises(Exception, match="shape"):
         embed_texts(df, embedder=lengths, dim=3).select(F.size("embedding")).collect()
+
+
+def test_every_text_is_embedded_once(spark, tmp_path):
+    from fathomline.plans.rag import DenseRag
+
+    log = str(tmp_path)
+
+    def embedder(texts):
+        import uuid
+
+        with open(f"{log}/{uuid.uuid4().hex}", "w") as out:
+            out.write("\n".join(texts))
+        return np.array([[len(t), t.count("a")] for t in texts], dtype=float)
+
+    chunks = spark.createDataFrame([(i, "a" * i + "b") for i in range(30)], "chunk_index long, text string")
+    asked = spark.createDataFrame([(i, "q" * (i + 1)) for i in range(5)], "index long, question string")
+    for options in ({}, {"approximate": {"cells": 4, "probes": 2}}):
+        rag = DenseRag(chunks, k=2, embedder=embedder, dim=2, **options)
+        rag.retrieve(asked).collect()
+        seen = [line for f in tmp_path.iterdir() for line in f.read_text().split("\n")]
+        assert len(seen) == len(set(seen)) == 35
+        for f in tmp_path.iterdir():
+            f.unlink()

@@ -193,3 +193,16 @@ def test_semantic_chunks_with_an_embedder(spark):
     )
     chunks = chunking.chunk_documents(pages, "semantic_chunker", 100, min_sentences=1, embedder=about)
     assert [r.text for r in chunks.orderBy("chunk_pos").collect()] == ["A cat. My cat.", "Your dog. A dog. Old dog."]
+
+
+def test_a_counter_of_the_caller(spark):
+    from fathomline.operators import chunking
+
+    pages = spark.createDataFrame(
+        [(1, 0, "aa bb. cc dd, ee ff gg. hh.", ""), (2, 0, "", "")], "doc_id long, page_no int, text string, source string"
+    )
+    words = lambda texts: [len(t.split(" ")) for t in texts]
+    for chunker in ("sentence_chunker", "recursive_chunker", "semantic_chunker"):
+        built_in = chunking.chunk_documents(pages, chunker, 3)
+        counted = chunking.chunk_documents(pages, chunker, 3, tokens=words)
+        assert sorted(map(tuple, counted.collect())) == sorted(map(tuple, built_in.collect()))
