@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fathomline.llm import features as ft
-from fathomline.llm.samples import bounded, fold
+from fathomline.llm.samples import binary_views, bounded, fold
 from fathomline.llm.words import mix, text_chunks
 
 BITS = 16
@@ -119,12 +119,12 @@ def train(docs: DataFrame, per_language: int = PER_LANGUAGE, seed: int = 5) -> M
     )
     labels = np.array(rows.column("label").to_pylist(), dtype=object)
     names = sorted(set(labels))
-    packed = rows.column("buckets").to_pylist()
-    order = [i for i in np.argsort(rows.column("doc_id").to_numpy(), kind="stable") if packed[i]]
+    packed = binary_views(rows.column("buckets"))
+    order = [i for i in np.argsort(rows.column("doc_id").to_numpy(), kind="stable") if len(packed[i])]
     if not names or not order:
         return Model(np.zeros((1 << BITS, 1), np.float32), np.zeros(1), [UNKNOWN], 1.0, 1.0)
     truth = np.searchsorted(names, labels[order])
-    examples = [np.frombuffer(packed[i], np.int32).reshape(2, -1) for i in order]
+    examples = [packed[i].reshape(2, -1) for i in order]
     return _descend(examples, truth, names, seed)
 
 

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fathomline.llm import features as ft
-from fathomline.llm.samples import agreed_labels, bounded, fold
+from fathomline.llm.samples import agreed_labels, binary_views, bounded, fold
 from fathomline.llm.words import text_chunks
 
 BITS = 19
@@ -84,8 +84,8 @@ def train(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL, seed:
     )
     order = np.argsort(rows.column("doc_id").to_numpy(), kind="stable")
     truth = np.where(rows.column("label").to_numpy()[order] > 0, 1.0, -1.0)
-    packed = rows.column("buckets").to_pylist()
-    examples = [np.frombuffer(packed[i], np.int32) for i in order]
+    packed = binary_views(rows.column("buckets"))
+    examples = [packed[i] for i in order]
     if len(set(truth)) < 2:
         share = float((truth > 0).mean()) if len(truth) else 0.5
         odds = np.log(max(share, 1e-6) / max(1 - share, 1e-6))

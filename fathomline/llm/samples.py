@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -36,3 +38,14 @@ def bounded(labelled: DataFrame, per_label: int) -> DataFrame:
     place = F.pmod(F.xxhash64(F.lit("sample"), F.col("doc_id")), F.lit(_SPACE))
     drawn = labelled.join(counts, "label").where(place < rate * _SPACE)
     return drawn.select("doc_id", "label")
+
+
+def binary_views(column: pa.ChunkedArray, kind: type = np.int32) -> list[np.ndarray]:
+    """Numbers packed into a binary column, row by row, without copying them."""
+    views = []
+    for chunk in column.chunks:
+        _, offsets, data = chunk.buffers()
+        bounds = np.frombuffer(offsets, np.int32)[chunk.offset : chunk.offset + len(chunk) + 1]
+        raw = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
+        views += [raw[a:b].view(kind) for a, b in zip(bounds[:-1], bounds[1:])]
+    return views

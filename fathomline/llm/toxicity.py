@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from fathomline.llm import features as ft
 from fathomline.llm.rows import drop_rows, text_key
-from fathomline.llm.samples import agreed_labels, bounded, fold
+from fathomline.llm.samples import agreed_labels, binary_views, bounded, fold
 from fathomline.llm.words import text_chunks
 from fathomline.storage import materialise
 
@@ -100,9 +100,8 @@ def train(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL, seed:
     )
     order = np.argsort(rows.column("doc_id").to_numpy(), kind="stable")
     truth = rows.column("label").to_numpy()[order].astype(np.float64)
-    buckets = rows.column("buckets").to_pylist()
-    lengths = rows.column("lengths").to_pylist()
-    bags = [(np.frombuffer(buckets[i], np.int32), np.frombuffer(lengths[i], np.int32)) for i in order]
+    buckets, lengths = binary_views(rows.column("buckets")), binary_views(rows.column("lengths"))
+    bags = [(buckets[i], lengths[i]) for i in order]
     model = Model(np.zeros(1 << BITS, np.float64), START_BIAS)
     if len(set(truth)) > 1:
         _descend(model, bags, truth, seed)
