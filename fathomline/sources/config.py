@@ -32,7 +32,8 @@ FALLBACK_THRESHOLD = 0.5
 
 
 def select_metrics(services: dict) -> tuple[dict[str, float], list[str]]:
-    """Thresholds of the known metrics of the first service, and skipped names."""
+    """Thresholds of the known metrics of the first service, and what is skipped:
+    names of unknown metrics, and ``metric.parameter`` for all but the threshold."""
     if not services:
         raise ValueError("no output service is configured")
     configured = next(iter(services.values()))["metrics"]
@@ -41,7 +42,14 @@ def select_metrics(services: dict) -> tuple[dict[str, float], list[str]]:
         for name, params in configured.items()
         if name in METRIC_NAMES
     }
-    return chosen, [name for name in configured if name not in METRIC_NAMES]
+    skipped = [name for name in configured if name not in METRIC_NAMES]
+    for name in chosen_names(configured):
+        skipped += [f"{name}.{p}" for p in (configured[name] or {}) if p != "threshold"]
+    return chosen, skipped
+
+
+def chosen_names(configured: dict) -> list[str]:
+    return [name for name in configured if name in METRIC_NAMES]
 
 
 def metric_config(spark: SparkSession, services: dict = DEFAULT_CONFIG) -> DataFrame:

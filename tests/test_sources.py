@@ -78,6 +78,11 @@ def test_vectors_of_another_length_fail(spark, tmp_path):
     assert load_vectors(spark, path, 2).where("vec_id = 1").select("vec_id").count() == 1
 
 
+def test_other_metric_parameters_are_reported():
+    services = {"s": {"metrics": {"FaithfulnessMetric": {"threshold": 0.6, "strict_mode": True}, "Odd": None}}}
+    assert select_metrics(services) == ({"Faithfulness": 0.6}, ["Odd", "FaithfulnessMetric.strict_mode"])
+
+
 def test_metric_selection(spark):
     chosen, skipped = select_metrics(DEFAULT_CONFIG)
     assert list(chosen) == ["Answer Relevancy", "Faithfulness", "Contextual Recall", "Contextual Precision"]
