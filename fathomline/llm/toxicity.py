@@ -49,12 +49,21 @@ class Model:
 
 
 def _sentences(chunk):
-    """Feature buckets by word (``KINDS`` each), the words' sentences, the sentences' rows."""
+    """Features of a chunk's sentences.
+
+    ``KINDS`` buckets for each distinct word of a sentence, the sentences of these words,
+    the sentences' rows, and the bytes where each sentence's words begin and end. A word
+    counts once in a sentence, so mere repetition adds nothing.
+    """
     starts, ends, rows = ft.word_spans(chunk, ft.LETTER)
     whole = ft.bucket(ft.span_hashes(chunk.data, starts, ends), BITS)
     begins = [ft.bucket(ft.prefix_hashes(chunk, starts, ends, n), BITS) for n in PREFIXES]
     sentence, owner = ft.sentence_ids(chunk, starts, rows)
-    return np.stack([whole, *begins], axis=1), sentence, owner, starts, ends
+    bounds = np.searchsorted(sentence, np.arange(len(owner) + 1))
+    low, high = starts[bounds[:-1]], ends[bounds[1:] - 1]
+    _, once = np.unique((sentence << BITS) | whole, return_index=True)
+    once.sort()
+    return np.stack([f[once] for f in (whole, *begins)], axis=1), sentence[once], owner, low, high
 
 
 def _bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -62,7 +71,7 @@ def _bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         labels = batch.column("label")
         for chunk in text_chunks(batch.column("text")):
-            buckets, sentence, owner, _, _ = _sentences(chunk)
+            buckets, sentence, owner, *_ = _sentences(chunk)
             per_sentence = np.bincount(sentence, minlength=len(owner)).astype(np.int32)
             words = np.searchsorted(owner[sentence], np.arange(chunk.rows + 1))
             parts = np.searchsorted(owner, np.arange(chunk.rows + 1))
@@ -191,7 +200,7 @@ def score(docs: DataFrame, model: Model, offends: float = 0.5) -> DataFrame:
         kind = pa.struct([("start", pa.int64()), ("end", pa.int64()), ("score", pa.float64())])
         for batch in batches:
             for chunk in text_chunks(batch.column("text")):
-                buckets, sentence, owner, starts, ends = _sentences(chunk)
+                buckets, sentence, owner, low, high = _sentences(chunk)
                 bounds = np.searchsorted(sentence, np.arange(len(owner) + 1))
                 value = ft.segment_sums(fitted.weights[buckets].sum(axis=1), bounds) + fitted.bias
                 parts = np.searchsorted(owner, np.arange(chunk.rows + 1))
@@ -202,8 +211,8 @@ def score(docs: DataFrame, model: Model, offends: float = 0.5) -> DataFrame:
                 base = chunk.bounds[owner[bad]]
                 spans = pa.StructArray.from_arrays(
                     [
-                        pa.array(starts[bounds[bad]] - base, pa.int64()),
-                        pa.array(ends[bounds[bad + 1] - 1] - base, pa.int64()),
+                        pa.array(low[bad] - base, pa.int64()),
+                        pa.array(high[bad] - base, pa.int64()),
                         pa.array(p[bad], pa.float64()),
                     ],
                     fields=list(kind),
