@@ -303,7 +303,7 @@ PARTS |= {
             ORDER BY round(list_distance(a.v, c.v), 6), c.cell) AS place
         FROM vectors a CROSS JOIN centres c""",
     "candidates": """SELECT a.vec_id AS index, b.vec_id FROM cell_ranks a JOIN cell_ranks b
-        ON a.cell = b.cell AND a.place <= 8 AND b.place = 1""",
+        ON a.cell = b.cell AND a.place <= 16 AND b.place = 1""",
     "candidate_distances": "SELECT d.* FROM vector_distances d JOIN candidates USING (index, vec_id)",
     "turn_pairs": """SELECT conv_id, turn, text AS question, next_text AS answer FROM (
             SELECT *, lead(role) OVER w AS next_role, lead(text) OVER w AS next_text
