@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from fathomline.storage import fits_in_memory, materialise
 
 REFERENCE_BYTES = 32 * 1024 * 1024
-#: share of the aligned pages with one text, and the pages needed, to be template
+#: share of the distinct pages with one text, and the pages needed, to be template
 CONSTANT_SHARE = 0.9
 CONSTANT_PAGES = 5
 #: share of a block's characters inside links from which it is a menu
@@ -325,8 +325,9 @@ def main_text(
 
     ``text`` is the blocks of the main text in page order, joined by an empty line. Inside
     an article or main element only its blocks count, if it has any. A block is dropped as
-    template if, of the pages of its host that have its node, at least ``constant_pages``
-    and ``constant_share`` of all have the reference's text there.
+    template if at least ``constant_pages`` distinct pages of its host, and ``constant_share``
+    of them all, have the reference's text there. Pages with the same texts are one page, so
+    copies give no evidence.
 
     A null page is empty; a page without content has the empty text. Pages without a host in
     their url form a group of their own. The reference of a host is the page with the least
@@ -348,17 +349,28 @@ def main_text(
     small = F.broadcast(references) if fits_in_memory(references, size, REFERENCE_BYTES) else references
     blocks = rows.join(small, "host", "left").select("page_id", "url", "host", "html", "reference")
     blocks = materialise(blocks.mapInArrow(_aligned, _BLOCKS), "blocks")
-    # a node counts once for each page
-    nodes = F.array_distinct(
-        F.transform(F.filter("blocks", lambda b: b["slot"] >= 0), lambda b: F.struct(b["slot"], b["same"]))
-    )
+    # a node counts once for each distinct page, told by its texts; -1 counts the pages
+    slots = F.array_distinct(F.transform(F.filter("blocks", lambda b: (b["slot"] >= 0) & b["same"]), lambda b: b["slot"]))
     constant = (
-        blocks.select("host", F.explode(nodes).alias("n"))
-        .groupBy("host", "n.slot")
-        .agg(F.count("*").alias("pages"), F.sum(F.col("n.same").cast("long")).alias("same"))
-        .where((F.col("same") >= constant_pages) & (F.col("same") >= F.col("pages") * constant_share))
+        blocks.where(F.size("blocks") > 0)
+        .select("host", F.xxhash64(F.transform("blocks", lambda b: b["text"])).alias("copy"), slots.alias("slots"))
+        .groupBy("host", "copy")
+        .agg(F.min("slots").alias("slots"))
+        .select("host", F.explode(F.concat("slots", F.array(F.lit(-1)))).alias("slot"))
+        .groupBy("host", "slot")
+        .agg(F.count("*").alias("same"))
         .groupBy("host")
-        .agg(F.collect_list("slot").alias("template"))
+        .agg(
+            F.max(F.when(F.col("slot") < 0, F.col("same"))).alias("pages"),
+            F.collect_list(F.when((F.col("slot") >= 0) & (F.col("same") >= constant_pages), F.struct("slot", "same"))).alias("found"),
+        )
+        .select(
+            "host",
+            F.transform(
+                F.filter("found", lambda f: f["same"] >= F.col("pages") * constant_share), lambda f: f["slot"]
+            ).alias("template"),
+        )
+        .where(F.size("template") > 0)
     )
     constant = materialise(constant, "templates")
     size = F.size("template") * 4 + F.octet_length("host") + 16

@@ -119,3 +119,14 @@ def test_wide_lists_align_in_order(monkeypatch):
     assert len(found) == 5
     with pytest.raises(KeyError):
         found[99]
+
+
+def test_copies_give_no_evidence(spark):
+    def article(i, n):
+        return "<body><section>Notice</section><div>" + "".join(f"<p>Part {k} of {i}</p>" for k in range(n)) + "</div>"
+
+    rows = [(i, "http://copies/a", article(0, 6)) for i in range(60)]
+    rows += [(100 + i, "http://copies/b", article(i, 2)) for i in range(1, 6)]
+    found = {r["page_id"]: r["text"] for r in told(spark, rows)}
+    assert found[0] == found[59] == "\n\n".join(f"Part {k} of 0" for k in range(6))
+    assert found[103] == "Part 0 of 3\n\nPart 1 of 3"
