@@ -52,3 +52,36 @@ def test_telling_words_miss_nothing(spark):
     for _, text in licences.KNOWN:
         assert any(w in text.lower() for w in telling)
     assert licences.telling_words(["license"]) == [""]
+
+
+def paragraphs(text, *starts):
+    for start in starts:
+        text = text.replace(start, "\n\n" + start)
+    return text
+
+
+def test_usual_forms(spark):
+    mit = paragraphs(licences.MIT, "The above copyright", "THE SOFTWARE IS")
+    isc = paragraphs(licences.ISC, "THE SOFTWARE IS")
+    notice = paragraphs(licences.APACHE_NOTICE, "http://", "Unless required")
+    texts = dict(licences.KNOWN)
+    regents = licences._file("BSD")
+    bsd = licences.BSD_CONDITIONS + licences.BSD_NAMES + licences.BSD_DISCLAIMER.replace("COPYRIGHT HOLDERS AND", "COPYRIGHT\nOWNERS AND")
+    rows = [
+        (1, f"MIT License\n\nCopyright (c) 2020 Somebody\n\n{mit}\n"),
+        (2, f"Before.\n\nCopyright The Some Authors\nAll rights reserved.\n\n{mit}\n\nAfter, {mit}"),
+        (3, isc),
+        (4, "\n".join(f"# {line}" for line in notice.split("\n")) + "\nimport x"),
+        (5, regents),
+        (6, f"BSD 3-Clause License\n\n{bsd}"),
+        (7, f"Read this:\n\n{licences._file('GPL-3')}"),
+        (8, licences._file("MPL-2.0")),
+        (9, f"Not all of it. {mit}"),
+        (10, licences.UNLICENSE),
+    ]
+    found = {r["doc_id"]: (r["licence"], r["licences"]) for r in licences.scan_licences(documents(spark, rows)).collect()}
+    assert found[1] == ("MIT", "MIT") and found[2] == (None, "MIT") and found[3] == ("ISC", "ISC")
+    assert found[4] == (None, "Apache-2.0") and found[5] == found[6] == ("BSD-3-Clause", "BSD-3-Clause")
+    assert found[7][0] is None and "GPL-3.0" in found[7][1].split(",") and found[8][0] == "MPL-2.0"
+    assert found[9] == (None, "") and found[10] == ("Unlicense", "Unlicense")
+    assert {"CC0-1.0", "LGPL-2.1", "LGPL-3.0"} <= set(texts)
