@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import html
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import pyarrow as pa
@@ -26,7 +26,7 @@ CONSTANT_SHARE = 0.9
 CONSTANT_PAGES = 5
 #: share of a block's characters inside links from which it is a menu
 LINK_SHARE = 0.6
-#: deeper elements hang on their ancestor at this depth, with all their text
+#: the tree is cut at this depth: deeper elements stand there as siblings, in page order
 DEEPEST = 120
 #: children lists of more pairs are aligned in order of each tag instead of by a table
 TABLE_CELLS = 20_000
@@ -73,6 +73,8 @@ class Node:
     hidden: bool
     article: bool
     depth: int
+    #: deepest open element, this or above, that may have children in the tree
+    trunk: Node | None = None
     children: list[Node] = field(default_factory=list)
 
 
@@ -90,7 +92,17 @@ def parse(source: str) -> tuple[Node, list[Block]]:
     breaks do not end it. Character references are decoded, white space becomes one space.
     """
     root = Node("", 0, None, False, False, False, 0)
+    root.trunk = root
     count, node, at = 1, root, 0
+    path, opened = [root], {}  # open elements by depth, and those that were opened by tag
+
+    def nearest(tag: str) -> Node | None:
+        """The nearest open element of a tag."""
+        own = opened.get(tag, [])
+        while own and (own[-1].depth > node.depth or path[own[-1].depth] is not own[-1]):
+            own.pop()
+        return own[-1] if own else None
+
     blocks: list[Block] = []
     parts: list[str] = []
     links, linked = 0, 0
@@ -125,21 +137,19 @@ def parse(source: str) -> tuple[Node, list[Block]]:
             continue
         flush()
         if closing:
-            up = node
-            while up.parent is not None and up.tag != tag:
-                up = up.parent
-            if up.parent is not None:
+            up = nearest(tag)
+            if up is not None:
                 node = up.parent
             links = 0
             continue
-        node = _opened_at(node, tag)
+        node = _opened_at(node, tag, nearest)
         if tag in VOID:
             continue
         furniture, hidden = _judged(tag, rest, node)
-        parent = node if node.depth < DEEPEST else node.parent
-        new = Node(tag, count, parent, furniture, hidden, node.article or tag in ARTICLE, parent.depth + 1)
+        new = Node(tag, count, node, furniture, hidden, node.article or tag in ARTICLE, node.depth + 1)
+        new.trunk = new if new.depth < DEEPEST else node.trunk
         count += 1
-        parent.children.append(new)
+        node.trunk.children.append(new)
         if rest.endswith("/") and tag not in RAW:
             continue
         if tag in RAW:  # its content is no markup
@@ -149,22 +159,23 @@ def parse(source: str) -> tuple[Node, list[Block]]:
             at = end.end() if end else len(source)
             continue
         node = new
+        path[new.depth :] = [new]
+        opened.setdefault(tag, []).append(new)
     if at < len(source):
         parts.append(source[at:])
     flush()
     return root, blocks
 
 
-def _opened_at(node: Node, tag: str) -> Node:
+def _opened_at(node: Node, tag: str, nearest: Callable[[str], Node | None]) -> Node:
     """Where a new element goes: open paragraphs and list items end first."""
     if tag in CLOSES:
         ends, limits = CLOSES[tag]
-        up = node
-        while up.parent is not None and up.tag not in limits:
-            if up.tag in ends:
-                return up.parent
-            up = up.parent
-        return node
+        end, limit = (
+            max((up for up in map(nearest, tags) if up is not None), key=lambda up: up.depth, default=None)
+            for tags in (ends, limits)
+        )
+        return end.parent if end is not None and (limit is None or end.depth > limit.depth) else node
     if node.tag == "p":
         return node.parent
     return node
@@ -332,8 +343,8 @@ def main_text(
     A null page is empty; a page without content has the empty text. Pages without a host in
     their url form a group of their own. The reference of a host is the page with the least
     id and then html; rows without an id can be one too. Repeated rows get equal results, an
-    empty table gives none. Other columns are ignored. Text of an element nested deeper than
-    ``DEEPEST`` counts as text of its ancestor there.
+    empty table gives none. Other columns are ignored. Elements nested deeper than
+    ``DEEPEST`` are aligned as if they stood there, one after the other.
     """
     host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1))
     rows = pages.select(

@@ -130,3 +130,13 @@ def test_copies_give_no_evidence(spark):
     found = {r["page_id"]: r["text"] for r in told(spark, rows)}
     assert found[0] == found[59] == "\n\n".join(f"Part {k} of 0" for k in range(6))
     assert found[103] == "Part 0 of 3\n\nPart 1 of 3"
+
+
+def test_text_after_a_deep_nest_stays_in_its_article():
+    def texts(n):
+        source = "<body><div><article><p>One</p>" + "<div>" * n + "deep" + "</div>" * n + "<p>Two</p></article></div><p>Out"
+        return [(b.text, b.node.article) for b in pages.parse(source)[1]]
+
+    assert texts(400) == texts(1) == [("One", True), ("deep", True), ("Two", True), ("Out", False)]
+    tree = pages.parse("<div>" * 400)[0]
+    pages.align(tree, tree)
