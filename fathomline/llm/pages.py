@@ -14,6 +14,7 @@ import re
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -28,7 +29,7 @@ CONSTANT_PAGES = 5
 LINK_SHARE = 0.6
 #: the tree is cut at this depth: deeper elements stand there as siblings, in page order
 DEEPEST = 120
-#: children lists of more pairs are aligned in order of each tag instead of by a table
+#: children lists of more pairs are halved until a table has no more cells
 TABLE_CELLS = 20_000
 
 INLINE = set(
@@ -214,68 +215,106 @@ def align(page: Node, reference: Node) -> dict[int, int]:
     Two nodes match if their tags are equal; their children are matched in order so that
     the number of matched nodes is largest.
     """
+    numbered: dict[tuple, int] = {}
+
+    def kinds(node: Node, found: dict[int, int]) -> dict[int, int]:
+        """Numbers of the nodes to numbers of their shapes."""
+        below = tuple([kinds(c, found)[c.number] for c in node.children])
+        found[node.number] = numbered.setdefault((node.tag, below), len(numbered))
+        return found
+
+    own, other = kinds(page, {}), kinds(reference, {})
     known: dict[tuple[int, int], tuple[int, list]] = {}
 
     def match(a: Node, b: Node) -> tuple[int, list]:
-        key = (a.number, b.number)
+        """Most matched nodes of two shapes, and the places of their matched children."""
+        key = (own[a.number], other[b.number])
         if key not in known:
             known[key] = _children(a.children, b.children)
         return known[key]
 
     def _children(left: list[Node], right: list[Node]) -> tuple[int, list]:
-        if not left or not right:
-            return 1, []
-        if len(left) * len(right) > TABLE_CELLS:
-            pairs = list(_in_order(left, right))
-            return 1 + sum(match(x, y)[0] for x, y in pairs), pairs
-        width = len(right) + 1
-        table = [[0] * width]
-        gains = []
-        for x in left:
-            above, row, own = table[-1], [0] * width, []
-            for j, y in enumerate(right):
-                gain = match(x, y)[0] if x.tag == y.tag else 0
-                own.append(gain)
-                row[j + 1] = max(above[j + 1], row[j], above[j] + gain if gain else 0)
-            table.append(row)
-            gains.append(own)
-        pairs, i, j = [], len(left), len(right)
-        while i and j:
-            gain = gains[i - 1][j - 1]
-            if gain and table[i][j] == table[i - 1][j - 1] + gain:
-                pairs.append((left[i - 1], right[j - 1]))
-                i, j = i - 1, j - 1
-            elif table[i][j] == table[i - 1][j]:
-                i -= 1
-            else:
-                j -= 1
-        return 1 + table[-1][-1], pairs
+        x, y = [own[c.number] for c in left], [other[c.number] for c in right]
+        least = min(len(x), len(y))
+        end = 0
+        while end < least and x[-1 - end] == y[-1 - end]:
+            end += 1
+        start = 0
+        while start < least - end and x[start] == y[start]:
+            start += 1
+        # equal shapes at the ends are best matched with each other
+        pairs = [(i, i) for i in range(start)] + [(len(x) - i, len(y) - i) for i in range(end, 0, -1)]
+        x, y = x[start : len(x) - end], y[start : len(y) - end]
+        lefts, rights = {k: left[start + i] for i, k in enumerate(x)}, {k: right[start + j] for j, k in enumerate(y)}
+        gains = {}
+        for i, a in lefts.items():
+            for j, b in rights.items():
+                gains[i, j] = match(a, b)[0] if a.tag == b.tag else 0
+        pairs += [(start + i, start + j) for i, j in _best_pairs(x, y, gains)]
+        return 1 + sum(match(left[i], right[j])[0] for i, j in pairs), pairs
 
-    match(page, reference)
     found, open_pairs = {}, [(page, reference)]
     while open_pairs:
         a, b = open_pairs.pop()
         found[a.number] = b.number
-        open_pairs += match(a, b)[1]
+        open_pairs += [(a.children[i], b.children[j]) for i, j in match(a, b)[1]]
     return found
 
 
-def _in_order(left: list[Node], right: list[Node]) -> Iterator[tuple[Node, Node]]:
-    """The k-th child of a tag with the other's k-th, as long as the order holds."""
-    places: dict[str, list[int]] = {}
-    for j, y in enumerate(right):
-        places.setdefault(y.tag, []).append(j)
-    used = {tag: 0 for tag in places}
-    last = -1
-    for x in left:
-        own = places.get(x.tag, [])
-        k = used.get(x.tag, 0)
-        while k < len(own) and own[k] <= last:
-            k += 1
-        if k < len(own):
-            last = own[k]
-            used[x.tag] = k + 1
-            yield x, right[last]
+def _best_pairs(x: list[int], y: list[int], gains: dict[tuple[int, int], int]) -> list[tuple[int, int]]:
+    """Places in order that have the largest sum of gains, in memory of the lists' length."""
+    rows = {}
+    if len(x) * len(y) > TABLE_CELLS:
+        rows = {i: np.array([gains[i, j] for j in y], np.int64) for i in set(x)}
+
+    def scores(places: range, low: int, high: int, step: int) -> np.ndarray:
+        """Best sums of the places with ever more of ``y[low:high]``, from its start or its end."""
+        row = np.zeros(high - low + 1, np.int64)
+        for i in places:
+            gain = rows[x[i]][low:high][::step]
+            row[1:] = np.maximum.accumulate(np.maximum(row[1:], row[:-1] + gain))
+        return row
+
+    pairs, parts = [], [(0, len(x), 0, len(y))]
+    while parts:
+        first, last, low, high = parts.pop()
+        if first == last or low == high:
+            continue
+        if (last - first) * (high - low) <= TABLE_CELLS:
+            pairs += [(first + i, low + j) for i, j in _table_pairs(x[first:last], y[low:high], gains)]
+        elif last - first == 1:
+            j = high - 1 - int(np.argmax(rows[x[first]][low:high][::-1]))
+            if gains[x[first], y[j]]:
+                pairs.append((first, j))
+        else:
+            middle = (first + last) // 2
+            before = scores(range(first, middle), low, high, 1)
+            after = scores(range(last - 1, middle - 1, -1), low, high, -1)[::-1]
+            cut = low + int(np.argmax(before + after))
+            parts += [(first, middle, low, cut), (middle, last, cut, high)]
+    return pairs
+
+
+def _table_pairs(x: list[int], y: list[int], gains: dict[tuple[int, int], int]) -> list[tuple[int, int]]:
+    width = len(y) + 1
+    table = [[0] * width]
+    for a in x:
+        above, row = table[-1], [0] * width
+        for j, b in enumerate(y):
+            gain = gains[a, b]
+            row[j + 1] = max(above[j + 1], row[j], above[j] + gain if gain else 0)
+        table.append(row)
+    pairs, i, j = [], len(x), len(y)
+    while i and j:
+        gain = gains[x[i - 1], y[j - 1]]
+        if gain and table[i][j] == table[i - 1][j - 1] + gain:
+            i, j = i - 1, j - 1
+            pairs.append((i, j))
+        elif table[i][j] == table[i - 1][j]:
+            i -= 1
+        else:
+            j -= 1
+    return pairs
 
 
 _BLOCKS = "page_id long, url string, host string, blocks array<struct<text:string,slot:int,same:boolean,content:boolean>>"

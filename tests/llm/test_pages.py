@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import random
+
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -140,3 +142,16 @@ def test_text_after_a_deep_nest_stays_in_its_article():
     assert texts(400) == texts(1) == [("One", True), ("deep", True), ("Two", True), ("Out", False)]
     tree = pages.parse("<div>" * 400)[0]
     pages.align(tree, tree)
+
+
+def test_wide_lists_match_as_many_nodes(monkeypatch):
+    wide = "<p>x</p>" * 150
+    a, b = pages.parse(f"<div>1</div>{wide}")[0], pages.parse(f"{wide}<div>1</div>")[0]
+    assert len(pages.align(a, b)) == 151
+    monkeypatch.setattr(pages, "TABLE_CELLS", 2)
+    rng = random.Random(4)
+    for _ in range(60):
+        x, y = ("".join(rng.choice(("<ul><li>a</ul>", "<ul></ul>", "<p>b</p>", "<h1>c</h1>")) for _ in range(7)) for _ in "xy")
+        a, b = pages.parse(x)[0], pages.parse(y)[0]
+        found = pages.align(a, b)
+        assert len(found) == len(set(found.values())) == most(a, b)
