@@ -1,7 +1,8 @@
 """Main text of web pages by wrapper induction.
 
-Pages of one host share a template. Every page's tree of block elements is aligned with a
-reference page of its host by simple tree matching. A node whose text stays the same over
+Pages of one host share a template, or one for each layout. Every page's tree of block
+elements is aligned with the closest of its host's reference pages, one for each common
+layout, by simple tree matching. Texts at one tag path count over all layouts too. A node whose text stays the same over
 nearly all pages belongs to the template; nodes with varying text are slots. Slots are
 content unless they stand in an element that is furniture by its tag or its names: menus,
 headers, footers, sidebars, notices, adverts, forms and reader comments.
@@ -9,14 +10,16 @@ headers, footers, sidebars, notices, adverts, forms and reader comments.
 
 from __future__ import annotations
 
+import hashlib
 import html
 import re
+import zlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fathomline.storage import fits_in_memory, materialise
@@ -25,6 +28,10 @@ REFERENCE_BYTES = 32 * 1024 * 1024
 #: share of the distinct pages with one text, and the pages needed, to be template
 CONSTANT_SHARE = 0.9
 CONSTANT_PAGES = 5
+#: reference pages of a host at most, of its most common layouts
+REFERENCES = 8
+#: share of tag paths in common with its reference from which a page counts for the layout
+NEAR = 0.5
 #: share of a block's characters inside links from which it is a menu
 LINK_SHARE = 0.6
 #: the tree is cut at this depth: deeper elements stand there as siblings, in page order
@@ -317,42 +324,73 @@ def _table_pairs(x: list[int], y: list[int], gains: dict[tuple[int, int], int])
     return pairs
 
 
-_BLOCKS = "page_id long, url string, host string, blocks array<struct<text:string,slot:int,same:boolean,content:boolean>>"
-_BLOCK_TYPE = pa.struct([("text", pa.string()), ("slot", pa.int32()), ("same", pa.bool_()), ("content", pa.bool_())])
+def tag_paths(tree: Node) -> dict[int, int]:
+    """Numbers of the nodes to checksums of their tag paths."""
+    found, open_nodes = {}, [(tree, 0)]
+    while open_nodes:
+        node, above = open_nodes.pop()
+        found[node.number] = own = zlib.crc32(f"/{node.tag}".encode(), above)
+        open_nodes += [(c, own) for c in node.children]
+    return found
+
+
+def _layouts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows ``(page_id, host, copy, html)`` with a digest of their set of tag paths for the page."""
+    for batch in batches:
+        layouts = []
+        for source in batch.column("html").to_pylist():
+            paths = sorted(set(tag_paths(parse(source)[0]).values()))
+            digest = hashlib.blake2b(repr(paths).encode(), digest_size=8).digest()
+            layouts.append(int.from_bytes(digest, "little", signed=True))
+        columns = [batch.column(c) for c in ("page_id", "host", "copy")]
+        yield pa.RecordBatch.from_arrays([*columns, pa.array(layouts, pa.int64())], ["page_id", "host", "copy", "layout"])
+
+
+_BLOCKS = (
+    "page_id long, url string, host string, layout int, near boolean, "
+    "blocks array<struct<text:string,slot:int,same:boolean,content:boolean,path:long>>"
+)
+_BLOCK_TYPE = pa.struct(
+    [("text", pa.string()), ("slot", pa.int32()), ("same", pa.bool_()), ("content", pa.bool_()), ("path", pa.int64())]
+)
 
 
 def _aligned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows ``(page_id, url, host, html, reference)`` to their blocks.
+    """Rows ``(page_id, url, host, html, references)`` to their blocks.
 
-    ``slot`` is the reference node a block is aligned with, -1 without one; ``same`` tells
-    that the reference has the same text there; ``content`` that the block may be content.
+    ``layout`` is the place of the closest reference, ``near`` tells that it is like the
+    page. ``slot`` is the reference node a block is aligned with, -1 without one; ``same``
+    tells that the reference has the same text there; ``content`` that the block may be
+    content; ``path`` its tag path.
     """
-    references: dict = {}
+    known: dict = {}
     alignments: dict = {}
     for batch in batches:
-        found = []
-        columns = [batch.column(c).to_pylist() for c in ("host", "html", "reference")]
-        for host, source, reference in zip(*columns):
+        found, layouts, nears = [], [], []
+        columns = [batch.column(c).to_pylist() for c in ("host", "html", "references")]
+        for host, source, references in zip(*columns):
             tree, blocks = parse(source or "")
-            if reference is None:
-                mapping, texts = {}, {}
-            else:
-                if host not in references:
-                    other, other_blocks = parse(reference)
-                    texts = {}
-                    for b in other_blocks:
-                        texts.setdefault(b.node.number, set()).add(b.text)
-                    if len(references) > 256:
-                        references.clear()
+            paths = tag_paths(tree)
+            mapping, texts, layout, share = {}, {}, 0, 0.0
+            if references and blocks:
+                if host not in known:
+                    if len(known) > 256:
+                        known.clear()
                         alignments.clear()
-                    references[host] = other, texts
-                other, texts = references[host]
-                key = (host, shape(tree))
+                    known[host] = [_reference(r) for r in references]
+                own = set(paths.values())
+                shares = [len(own & r[2]) / len(own | r[2]) for r in known[host]]
+                share = max(shares)
+                layout = shares.index(share)
+                other, texts, _ = known[host][layout]
+                key = (host, layout, shape(tree))
                 if key not in alignments:
                     if len(alignments) > 20_000:
                         alignments.clear()
                     alignments[key] = align(tree, other)
                 mapping = alignments[key]
+            layouts.append(layout)
+            nears.append(share >= NEAR)
             in_article = any(b.node.article and not b.node.furniture for b in blocks)
             rows = []
             for b in blocks:
@@ -360,14 +398,27 @@ def _aligned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 content = not b.node.furniture and (b.node.article or not in_article)
                 if content and b.linked and b.linked > LINK_SHARE * len(b.text) and not b.node.article:
                     content = False
-                rows.append((b.text, slot, b.text in texts.get(slot, ()), content))
-            found.append([dict(zip(("text", "slot", "same", "content"), r)) for r in rows])
+                rows.append((b.text, slot, b.text in texts.get(slot, ()), content, paths[b.node.number]))
+            found.append([dict(zip(("text", "slot", "same", "content", "path"), r)) for r in rows])
         yield pa.RecordBatch.from_arrays(
-            [batch.column("page_id"), batch.column("url"), batch.column("host"), pa.array(found, pa.list_(_BLOCK_TYPE))],
-            ["page_id", "url", "host", "blocks"],
+            [
+                *(batch.column(c) for c in ("page_id", "url", "host")),
+                pa.array(layouts, pa.int32()),
+                pa.array(nears, pa.bool_()),
+                pa.array(found, pa.list_(_BLOCK_TYPE)),
+            ],
+            ["page_id", "url", "host", "layout", "near", "blocks"],
         )
 
 
+def _reference(source: str) -> tuple[Node, dict[int, set[str]], set[int]]:
+    tree, blocks = parse(source)
+    texts: dict[int, set[str]] = {}
+    for b in blocks:
+        texts.setdefault(b.node.number, set()).add(b.text)
+    return tree, texts, set(tag_paths(tree).values())
+
+
 def main_text(
     pages: DataFrame, constant_share: float = CONSTANT_SHARE, constant_pages: int = CONSTANT_PAGES
 ) -> DataFrame:
@@ -375,13 +426,15 @@ def main_text(
 
     ``text`` is the blocks of the main text in page order, joined by an empty line. Inside
     an article or main element only its blocks count, if it has any. A block is dropped as
-    template if at least ``constant_pages`` distinct pages of its host, and ``constant_share``
-    of them all, have the reference's text there. Pages with the same texts are one page, so
-    copies give no evidence.
+    template if at least ``constant_pages`` distinct pages of its layout, and ``constant_share``
+    of them all, have the reference's text there, or as many of the distinct pages of its host
+    have the text at the same tag path. Pages with the same texts are one page, so copies give
+    no evidence.
 
     A null page is empty; a page without content has the empty text. Pages without a host in
-    their url form a group of their own. The reference of a host is the page with the least
-    id and then html; rows without an id can be one too. Repeated rows get equal results, an
+    their url form a group of their own. A layout is a set of tag paths. The ``REFERENCES`` layouts
+    of a host with most distinct pages, at least ``constant_pages``, have a reference, the page
+    with the least id; without such a layout the most common has. Pages go to the closest. Repeated rows get equal results, an
     empty table gives none. Other columns are ignored. Elements nested deeper than
     ``DEEPEST`` are aligned as if they stood there, one after the other.
     """
@@ -389,46 +442,89 @@ def main_text(
     rows = pages.select(
         F.col("page_id").cast("long").alias("page_id"), "url", host.alias("host"), F.col("html").cast("string").alias("html")
     )
+    rows = rows.withColumn("copy", F.xxhash64("html"))
+    held = rows.where("html is not null and html != ''")
+    layouts = (
+        held.select("page_id", "host", "copy", "html")
+        .mapInArrow(_layouts, "page_id long, host string, copy long, layout long")
+        .groupBy("host", "layout", "copy")
+        .agg(F.min("page_id").alias("least"))
+        .groupBy("host", "layout")
+        .agg(F.count("*").alias("pages"), F.min(F.struct("least", "copy"))["copy"].alias("copy"))
+    )
+    order = Window.partitionBy("host").orderBy(F.desc("pages"), "copy")
+    chosen = (
+        layouts.withColumn("rank", F.row_number().over(order))
+        .where(F.col("rank") <= REFERENCES)
+        .where((F.col("rank") == 1) | (F.col("pages") >= constant_pages))
+        .select("host", "copy", "rank")
+    )
+    chosen = materialise(chosen, "layouts")
+    fits = fits_in_memory(chosen, F.octet_length("host") + 16, REFERENCE_BYTES)
     references = materialise(
-        rows.where("html is not null and html != ''")
+        held.join(F.broadcast(chosen) if fits else chosen, ["host", "copy"])
+        .groupBy("host", "rank")
+        .agg(F.min("html").alias("html"))
         .groupBy("host")
-        .agg(F.min(F.struct("page_id", "html"))["html"].alias("reference")),
+        .agg(F.sort_array(F.collect_list(F.struct("rank", "html")))["html"].alias("references")),
         "references",
     )
-    size = F.octet_length("reference") + F.octet_length("host")
+    size = F.octet_length(F.array_join("references", "")) + F.octet_length("host")
     small = F.broadcast(references) if fits_in_memory(references, size, REFERENCE_BYTES) else references
-    blocks = rows.join(small, "host", "left").select("page_id", "url", "host", "html", "reference")
+    blocks = rows.join(small, "host", "left").select("page_id", "url", "host", "html", "references")
     blocks = materialise(blocks.mapInArrow(_aligned, _BLOCKS), "blocks")
-    # a node counts once for each distinct page, told by its texts; -1 counts the pages
-    slots = F.array_distinct(F.transform(F.filter("blocks", lambda b: (b["slot"] >= 0) & b["same"]), lambda b: b["slot"]))
+    def place(b: Column) -> Column:
+        return F.xxhash64(b["path"], b["text"])
+
+    def evidence(layout: Column, page: bool, value: Column) -> Column:
+        return F.struct(layout.alias("layout"), F.lit(page).alias("page"), value.cast("long").alias("value"))
+
+    # evidence counts once for each distinct page, told by its texts; layout -1 is the whole host
+    every, own = F.lit(-1), F.col("layout")
+    content = F.filter("blocks", lambda b: b["content"])
+    slots = F.filter(content, lambda b: F.col("near") & (b["slot"] >= 0) & b["same"])
+    found = F.array_distinct(
+        F.concat(
+            F.transform(slots, lambda b: evidence(own, False, b["slot"])),
+            F.transform(content, lambda b: evidence(every, False, place(b))),
+            F.array(evidence(every, True, F.lit(0))),
+            F.filter(F.array(evidence(own, True, F.lit(0))), lambda _: F.col("near")),
+        )
+    )
     constant = (
         blocks.where(F.size("blocks") > 0)
-        .select("host", F.xxhash64(F.transform("blocks", lambda b: b["text"])).alias("copy"), slots.alias("slots"))
+        .select("host", F.xxhash64(F.transform("blocks", lambda b: b["text"])).alias("copy"), found.alias("found"))
         .groupBy("host", "copy")
-        .agg(F.min("slots").alias("slots"))
-        .select("host", F.explode(F.concat("slots", F.array(F.lit(-1)))).alias("slot"))
-        .groupBy("host", "slot")
+        .agg(F.min("found").alias("found"))
+        .select("host", F.explode("found").alias("e"))
+        .groupBy("host", "e.layout", "e.page", "e.value")
         .agg(F.count("*").alias("same"))
-        .groupBy("host")
+        .where(F.col("page") | (F.col("same") >= constant_pages))
+        .groupBy("host", "layout")
         .agg(
-            F.max(F.when(F.col("slot") < 0, F.col("same"))).alias("pages"),
-            F.collect_list(F.when((F.col("slot") >= 0) & (F.col("same") >= constant_pages), F.struct("slot", "same"))).alias("found"),
+            F.max(F.when(F.col("page"), F.col("same"))).alias("pages"),
+            F.collect_list(F.when(~F.col("page"), F.struct("value", "same"))).alias("found"),
         )
         .select(
             "host",
+            "layout",
             F.transform(
-                F.filter("found", lambda f: f["same"] >= F.col("pages") * constant_share), lambda f: f["slot"]
+                F.filter("found", lambda f: f["same"] >= F.col("pages") * constant_share), lambda f: f["value"]
             ).alias("template"),
         )
         .where(F.size("template") > 0)
+        .groupBy("host")
+        .agg(F.map_from_entries(F.collect_list(F.struct("layout", "template"))).alias("templates"))
     )
     constant = materialise(constant, "templates")
-    size = F.size("template") * 4 + F.octet_length("host") + 16
+    size = F.size(F.flatten(F.map_values("templates"))) * 8 + F.octet_length("host") + 64
     small = F.broadcast(constant) if fits_in_memory(constant, size, REFERENCE_BYTES) else constant
+
+    def holds(layout: Column, value: Column) -> Column:
+        return F.coalesce(F.array_contains(F.try_element_at("templates", layout), value.cast("long")), F.lit(False))
+
     kept = F.filter(
-        "blocks",
-        lambda b: b["content"]
-        & ~(b["same"] & F.coalesce(F.array_contains("template", b["slot"]), F.lit(False))),
+        "blocks", lambda b: b["content"] & ~(b["same"] & holds(own, b["slot"])) & ~holds(every, place(b))
     )
     text = F.array_join(F.transform(kept, lambda b: b["text"]), "\n\n")
     told = blocks.join(small, "host", "left").select("page_id", "url", text.alias("text"))

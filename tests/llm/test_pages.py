@@ -155,3 +155,16 @@ def test_wide_lists_match_as_many_nodes(monkeypatch):
         a, b = pages.parse(x)[0], pages.parse(y)[0]
         found = pages.align(a, b)
         assert len(found) == len(set(found.values())) == most(a, b)
+
+
+def test_every_layout_has_its_template(spark):
+    def article(i):
+        return f"<body><div><section>Written by us</section><h1>T{i}</h1><p>Text {i}</p></div><p>All rights"
+
+    def listing(i):
+        return f"<body><table><tr><td>Our list</td><td>Row {i}</td></tr></table><ul><li>Entry {i}</ul><p>All rights"
+
+    rows = [(0, "http://m/error", "<body><pre>Broken")]
+    rows += [(i, "http://m/x", article(i) if i % 2 else listing(i)) for i in range(1, 41)]
+    found = {r["page_id"]: r["text"] for r in told(spark, rows)}
+    assert found[0] == "Broken" and found[7] == "T7\n\nText 7" and found[8] == "Row 8\n\nEntry 8"
