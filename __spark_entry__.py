@@ -22,7 +22,7 @@ from fathomline.operators import chunking, indexing, metrics, reporting, retriev
 from fathomline.operators.cleaning import clean_pages, project_page_text, validate_records
 from fathomline.operators.embedding import embed_texts
 from fathomline.operators.generation import error_to_empty, generate
-from fathomline.operators.neighbours import knn_approx, knn_exact
+from fathomline.operators.neighbours import knn_approx, knn_exact, probes_for
 from fathomline.operators.testcases import (
     attach_predictions,
     build_goldens,
@@ -333,8 +333,9 @@ def knn_scaled(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def knn_approximate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """These vectors have hardly any structure, so recall needs many probes."""
-    return knn_approx(*_vector_pairs(spark, sf_dir), k=10, probes=16)
+    """Probes follow the recall of a sample: these vectors have hardly any structure."""
+    asked, vectors = _vector_pairs(spark, sf_dir)
+    return knn_approx(asked, vectors, k=10, probes=probes_for(asked, vectors, k=10))
 
 
 def dense_topk(spark: SparkSession, sf_dir: str) -> DataFrame:

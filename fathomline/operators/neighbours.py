@@ -273,3 +273,23 @@ def recall(exact: DataFrame, approximate: DataFrame) -> DataFrame:
         approximate.select("index", "vec_id", F.lit(1).alias("_hit")), ["index", "vec_id"], "left"
     )
     return hits.agg(F.round(F.avg(F.coalesce(F.col("_hit"), F.lit(0))), 6).alias("recall"))
+
+
+def probes_for(
+    questions: DataFrame, vectors: DataFrame, k: int, least: float = 0.9, sample: int = 200, margin: float = 0.02
+) -> int:
+    """Probes of ``knn_approx`` with default cells that reach a recall, measured.
+
+    ``sample`` questions, drawn by a hash of their index, are answered by ``knn_exact``; the
+    probes double from ``PROBES`` until the recall is ``least`` and ``margin``, which covers
+    the error of the sample, or all cells are probed.
+    """
+    asked = materialise(questions.orderBy(F.xxhash64("index"), "index").limit(sample), "sample")
+    exact = materialise(knn_exact(asked, vectors, k), "exact")
+    cells, probes = max(1, math.isqrt(vectors.count())), PROBES
+    while probes < cells:
+        found = recall(exact, knn_approx(asked, vectors, k, cells, probes)).first()["recall"]
+        if found is None or found >= min(1.0, least + margin):
+            return probes
+        probes *= 2
+    return min(probes, cells)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from fathomline.operators.embedding import embed_texts
 from fathomline.operators import neighbours
-from fathomline.operators.neighbours import knn_approx, knn_exact, recall
+from fathomline.operators.neighbours import knn_approx, knn_exact, probes_for, recall
 
 
 def frame(spark, matrix, name):
@@ -140,3 +140,14 @@ def test_every_text_is_embedded_once(spark, tmp_path):
         assert len(seen) == len(set(seen)) == 35
         for f in tmp_path.iterdir():
             f.unlink()
+
+
+def test_probes_follow_measured_recall(spark):
+    rng = np.random.default_rng(5)
+    rows = [(i, rng.normal(size=256).tolist()) for i in range(2000)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    asked = table.withColumnRenamed("vec_id", "index")
+    exact = knn_exact(asked, table, 10)
+    probes = probes_for(asked, table, 10)
+    assert recall(exact, knn_approx(asked, table, 10, probes=16)).first()["recall"] < 0.9
+    assert recall(exact, knn_approx(asked, table, 10, probes=probes)).first()["recall"] >= 0.9
