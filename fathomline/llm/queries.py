@@ -7,7 +7,19 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fathomline.llm import decontaminate, langid, licences, minhash, mixing, pages, quality, sanitise, toxicity, vectors
+from fathomline.llm import (
+    decontaminate,
+    langid,
+    licences,
+    minhash,
+    mixing,
+    pages,
+    quality,
+    sanitise,
+    tokens,
+    toxicity,
+    vectors,
+)
 from fathomline.llm.samples import fold
 
 
@@ -138,6 +150,17 @@ def op9_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("vec_id", "n_links", "component_id", kept.alias("kept"))
 
 
+TOKENIZER = "word_bpe_49k.json"
+TOKEN_LIMIT = 2048
+
+
+def op11_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    counted = tokens.token_counts(_table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
+    return counted.select("*", (F.col("n_tokens") > TOKEN_LIMIT).alias("over_limit"))
+
+
 def _canonical_sql(text: str) -> str:
     text = f"regexp_replace(lower({text}), '{licences.COPYRIGHT_LINE}', '', 'g')"
     for given, one in licences.SPELLINGS:
@@ -162,7 +185,8 @@ units AS (
   UNION ALL
   SELECT doc_id, false, unnest(list_filter(
     string_split_regex(t, '
-[ 	]*
+[ 	
+]*
 '), lambda p: contains(p, chr(10)))) FROM docs
 ), hits AS (
   SELECT doc_id, whole, licence
@@ -247,6 +271,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_language": op8_language,
         "op9_near_vectors": op9_near_vectors,
         "op10_main_text": op10_main_text,
+        "op11_token_counts": op11_token_counts,
     }
 
 
