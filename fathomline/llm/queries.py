@@ -11,6 +11,7 @@ from fathomline.llm import (
     decontaminate,
     langid,
     licences,
+    merkle,
     minhash,
     mixing,
     pages,
@@ -161,6 +162,28 @@ def op11_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.select("*", (F.col("n_tokens") > TOKEN_LIMIT).alias("over_limit"))
 
 
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+
+def op12_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row in five is tampered with before its root is folded again."""
+    touched = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
+    tampered = F.when(touched, merkle.leaf(text=F.translate("text", UPPER, LOWER)))
+    found = merkle.proofs(_table(spark, sf_dir, "documents"), {"tampered": tampered})
+    shown = found.withColumn(
+        "folded_root", merkle.folded(F.coalesce("tampered", "leaf"), F.col("path"))
+    )
+    return shown.select(
+        "doc_id",
+        "leaf",
+        "subroot",
+        "root",
+        merkle.digest(merkle.siblings(F.col("path"))).alias("proof_sha256"),
+        "folded_root",
+        (F.col("folded_root") == F.col("root")).alias("verified"),
+    )
+
+
 def _canonical_sql(text: str) -> str:
     text = f"regexp_replace(lower({text}), '{licences.COPYRIGHT_LINE}', '', 'g')"
     for given, one in licences.SPELLINGS:
@@ -259,6 +282,69 @@ FROM embeddings JOIN least_ids ON vec_id = least_ids.a LEFT JOIN counts ON vec_i
 """
 
 
+def _leaf_sql(text: str) -> str:
+    fields = ["doc_id::VARCHAR", "source", "lang", "n_chars::VARCHAR", text]
+    told = [f"CASE WHEN {f} IS NULL THEN '-' ELSE strlen({f}) || ':' || {f} END" for f in fields]
+    return f"sha256({' || '.join(told)})"
+
+
+_RUN_STEP = """list_aggregate(nodes[:i % 16], 'string_agg', '') AS before,
+    list_aggregate(nodes[i % 16 + 2:], 'string_agg', '') AS after"""
+
+OP12_SQL = f"""
+WITH RECURSIVE coded AS (
+  SELECT *,
+    xor(4294967295, list_reduce([4294967295] || list_transform(range(1, length(doc_id::VARCHAR) + 1),
+      lambda k: ascii(substr(doc_id::VARCHAR, k, 1))::BIGINT),
+    lambda s, b: list_reduce([xor(s, b)] || range(8),
+      lambda x, k: xor(x >> 1, 3988292384 * (x & 1))))) % 5 = 0 AS touched
+  FROM documents
+), hashed AS (
+  SELECT doc_id, source, {_leaf_sql("text")} AS leaf,
+    CASE WHEN touched THEN {_leaf_sql(f"translate(text, '{UPPER}', '{LOWER}')")} ELSE {_leaf_sql("text")} END AS shown
+  FROM coded
+), leaves AS (
+  SELECT *, row_number() OVER (ORDER BY 1) AS rid,
+    row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i,
+    count(*) OVER (PARTITION BY source) AS n FROM hashed
+), levels AS (
+  SELECT 0 AS lvl, source, i, n, leaf AS node FROM leaves
+  UNION ALL
+  SELECT lvl + 1, source, i // 16, (n + 15) // 16, sha256(string_agg(node, '' ORDER BY i))
+  FROM levels WHERE n > 1 GROUP BY lvl, source, i // 16, n
+), runs AS (
+  SELECT lvl, source, i // 16 AS run, list(node ORDER BY i) AS nodes FROM levels WHERE n > 1 GROUP BY ALL
+), subroots AS (
+  SELECT source, node, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS i, count(*) OVER () AS n
+  FROM levels WHERE n = 1
+), tops AS (
+  SELECT 0 AS lvl, i, n, node FROM subroots
+  UNION ALL
+  SELECT lvl + 1, i // 16, (n + 15) // 16, sha256(string_agg(node, '' ORDER BY i))
+  FROM tops WHERE n > 1 GROUP BY lvl, i // 16, n
+), top_runs AS (
+  SELECT lvl, i // 16 AS run, list(node ORDER BY i) AS nodes FROM tops WHERE n > 1 GROUP BY ALL
+), folds AS (
+  SELECT rid, 0 AS lvl, source, i, n, shown AS cur, '' AS told FROM leaves
+  UNION ALL
+  SELECT rid, lvl + 1, source, i // 16, (n + 15) // 16, sha256(coalesce(before, '') || cur || coalesce(after, '')),
+    told || coalesce(before, '') || coalesce(after, '')
+  FROM (SELECT f.*, {_RUN_STEP} FROM folds f JOIN runs r
+    ON f.lvl = r.lvl AND f.source IS NOT DISTINCT FROM r.source AND f.i // 16 = r.run WHERE f.n > 1)
+), ways AS (
+  SELECT rid, 0 AS lvl, s.i, s.n, cur, told, s.node AS subroot
+  FROM folds f JOIN subroots s ON f.source IS NOT DISTINCT FROM s.source WHERE f.n = 1
+  UNION ALL
+  SELECT rid, lvl + 1, i // 16, (n + 15) // 16, sha256(coalesce(before, '') || cur || coalesce(after, '')),
+    told || coalesce(before, '') || coalesce(after, ''), subroot
+  FROM (SELECT w.*, {_RUN_STEP} FROM ways w JOIN top_runs r ON w.lvl = r.lvl AND w.i // 16 = r.run WHERE w.n > 1)
+)
+SELECT doc_id, leaf, subroot, t.node AS root, sha256(told) AS proof_sha256, cur AS folded_root, cur = t.node AS verified
+FROM leaves JOIN ways USING (rid) JOIN (SELECT node FROM tops WHERE n = 1) t ON true
+WHERE ways.n = 1
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_near_copies": op1_near_copies,
@@ -272,6 +358,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_near_vectors": op9_near_vectors,
         "op10_main_text": op10_main_text,
         "op11_token_counts": op11_token_counts,
+        "op12_manifest": op12_manifest,
     }
 
 
@@ -281,4 +368,5 @@ def oracle_sql() -> dict[str, str]:
         "op5_licences": _op5_sql(),
         "op6_leaks": OP6_SQL,
         "op9_near_vectors": OP9_SQL,
+        "op12_manifest": OP12_SQL,
     }
