@@ -16,6 +16,7 @@ from fathomline.llm import (
     mixing,
     pages,
     quality,
+    ranked,
     sanitise,
     tokens,
     toxicity,
@@ -184,6 +185,10 @@ def op12_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked.ranked_search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), k=10)
+
+
 def _canonical_sql(text: str) -> str:
     text = f"regexp_replace(lower({text}), '{licences.COPYRIGHT_LINE}', '', 'g')"
     for given, one in licences.SPELLINGS:
@@ -345,6 +350,39 @@ WHERE ways.n = 1
 """
 
 
+OP13_SQL = r"""
+WITH docs AS (
+  SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w
+  FROM documents
+), items AS (
+  SELECT DISTINCT item_id, unnest(regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+  FROM benchmark
+), corpus AS (
+  SELECT count(*)::BIGINT AS size, sum(len(w))::BIGINT AS length FROM docs WHERE len(w) > 0
+), held AS (
+  SELECT rid, doc_id, n, term, count(*)::BIGINT AS tf
+  FROM (SELECT rid, doc_id, len(w)::BIGINT AS n, unnest(w) AS term FROM docs)
+  WHERE term IN (SELECT term FROM items) GROUP BY ALL
+), weights AS (
+  SELECT term, floor(1000 * ln((2 * size + 2) / (2 * count(*) + 1)))::BIGINT AS weight
+  FROM held, corpus GROUP BY term, size
+), scores AS (
+  SELECT item_id, rid, doc_id,
+    sum(weight * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 90 + (90 * n * size) // length))))::BIGINT AS score
+  FROM held JOIN weights USING (term) JOIN items USING (term), corpus GROUP BY item_id, rid, doc_id
+)
+SELECT item_id, rank, doc_id, score FROM (
+  SELECT item_id, doc_id, score,
+    row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS FIRST)::INTEGER AS rank
+  FROM scores WHERE score > 0)
+WHERE rank <= 10
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_near_copies": op1_near_copies,
@@ -359,6 +397,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op10_main_text": op10_main_text,
         "op11_token_counts": op11_token_counts,
         "op12_manifest": op12_manifest,
+        "op13_ranked_search": op13_ranked_search,
     }
 
 
@@ -369,4 +408,5 @@ def oracle_sql() -> dict[str, str]:
         "op6_leaks": OP6_SQL,
         "op9_near_vectors": OP9_SQL,
         "op12_manifest": OP12_SQL,
+        "op13_ranked_search": OP13_SQL,
     }
