@@ -22,7 +22,7 @@ from fathomline.operators import chunking, indexing, metrics, reporting, retriev
 from fathomline.operators.cleaning import clean_pages, project_page_text, validate_records
 from fathomline.operators.embedding import embed_texts
 from fathomline.operators.generation import error_to_empty, generate
-from fathomline.operators.neighbours import knn_approx, knn_exact, probes_for
+from fathomline.operators.neighbours import knn_exact
 from fathomline.operators.testcases import (
     attach_predictions,
     build_goldens,
@@ -30,6 +30,7 @@ from fathomline.operators.testcases import (
     qa_history,
     zip_align,
 )
+from fathomline.operators.vector_index import knn_approx, open_vector_index, vector_index
 from fathomline.plans.corpus import chunk_table
 from fathomline.plans.evaluation import EvaluationSet, Scorer
 from fathomline.plans.rag import DenseRag, TfIdfRag
@@ -45,7 +46,7 @@ from fathomline.sources.records import (
     write_json,
 )
 from fathomline.sources.vectors import load_vectors
-from fathomline.storage import scratch_path, spread
+from fathomline.storage import materialise, scratch_path, spread
 
 # The training-data operators are a part that can be left out as a whole.
 try:
@@ -333,9 +334,34 @@ def knn_scaled(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def knn_approximate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Probes follow the recall of a sample: these vectors have hardly any structure."""
+    """Through cells that are skipped by their radius; no neighbour is missed."""
+    return knn_approx(*_vector_pairs(spark, sf_dir), k=10)
+
+
+def knn_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The form for question sets that must not be broadcast, in small blocks of cells."""
+    return knn_approx(*_vector_pairs(spark, sf_dir), k=10, block_rows=200, small=False)
+
+
+def vector_index_reopened(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Answers from an index of vectors that was written and opened again."""
+    path = scratch_path(spark, "kept-vectors")
     asked, vectors = _vector_pairs(spark, sf_dir)
-    return knn_approx(asked, vectors, k=10, probes=probes_for(asked, vectors, k=10))
+    vector_index(vectors, path=path).close()
+    return open_vector_index(spark, path).search(asked, k=10)
+
+
+def dense_index_reopened(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunk vectors that were indexed and opened again: only the questions are embedded."""
+    path = scratch_path(spark, "kept-chunks")
+    numbered = chunks(spark, sf_dir)
+    embedded = materialise(
+        embed_texts(numbered.select("chunk_index", "text")).select(F.col("chunk_index").alias("vec_id"), "embedding"),
+        "chunk-vectors",
+    )
+    vector_index(embedded, path=path).close()
+    rag = DenseRag(numbered, k=4, index=open_vector_index(spark, path))
+    return rag.retrieve(qa(spark, sf_dir)).drop("text")
 
 
 def dense_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -767,7 +793,10 @@ def own_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "knn_blocks": knn_blocks,
         "knn_scaled": knn_scaled,
         "knn_approx": knn_approximate,
+        "knn_cells": knn_cells,
+        "vector_index_reopened": vector_index_reopened,
         "dense_topk": dense_topk,
+        "dense_index_reopened": dense_index_reopened,
         "prompt_catalogue": prompt_catalogue,
         "render_prompt": rendered_prompts,
         "extractive_answer": extractive_answer,

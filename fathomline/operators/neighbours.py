@@ -1,4 +1,4 @@
-"""Dense nearest neighbours by Euclidean distance, exact and approximate.
+"""Dense nearest neighbours by Euclidean distance, all against all.
 
 Distances are doubles rounded to six digits, and ties go to the lower id, so
 results do not depend on the partitioning. No pair of question and vector is ever
@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from fathomline.storage import fits_in_memory, materialise
+from fathomline.storage import fits_in_memory
 
 QUESTION_BYTES = 32 * 1024 * 1024
 BLOCK_ROWS = 8192
@@ -24,7 +24,6 @@ ROWS_AT_ONCE = 256
 PAIRS_AT_ONCE = 1 << 15
 #: more than the six digits of a distance can hide
 ROUNDING = 2e-6
-PROBES = 8
 NEIGHBOURS = "index long, vec_id long, distance double"
 _ARROW = pa.schema(
     [("index", pa.int64()), ("vec_id", pa.int64()), ("distance", pa.float64())]
@@ -199,97 +198,9 @@ def _by_blocks(
     return left.groupBy(*group).cogroup(right.groupBy(*group)).applyInArrow(compare, NEIGHBOURS)
 
 
-def centres(vectors: DataFrame, cells: int) -> DataFrame:
-    """``cells`` vectors in a fixed pseudo-random order of their ids, as ``(cell, embedding)``."""
-    key = F.md5(F.col("vec_id").cast("string"))
-    chosen = vectors.select("vec_id", "embedding").orderBy(key, "vec_id").limit(cells)
-    return chosen.select(F.col("vec_id").alias("cell"), "embedding")
-
-
-def _nearest_cells(df: DataFrame, name: str, shared, count: int) -> DataFrame:
-    """Every row of ``(name, embedding)`` with each of its ``count`` nearest centres."""
-    kind = dict(df.dtypes)["embedding"]
-
-    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cells, middle = shared.value
-        for batch in batches:
-            if batch.num_rows == 0 or len(cells) == 0:
-                continue
-            owner, cell, _ = _nearest(_matrix(batch.column("embedding")), middle, cells, count)
-            rows = batch.take(pa.array(owner))
-            yield pa.RecordBatch.from_arrays(
-                [rows.column(name), rows.column("embedding"), pa.array(cell)], [name, "embedding", "cell"]
-            )
-
-    return df.select(name, "embedding").mapInArrow(place, f"{name} long, embedding {kind}, cell long")
-
-
-def knn_approx(
-    questions: DataFrame,
-    vectors: DataFrame,
-    k: int,
-    cells: int | None = None,
-    probes: int = PROBES,
-    block_rows: int = BLOCK_ROWS,
-) -> DataFrame:
-    """Nearest among the vectors of the ``probes`` cells nearest to the question.
-
-    Centres are vectors themselves, by default about as many as the square root of their
-    number; every vector belongs to its nearest centre. A question so meets about
-    ``probes`` times that root of vectors, and a vector is shuffled once. Within a cell
-    the exact distance ranks, so a result can only miss neighbours, never misplace them;
-    it can hold fewer than ``k`` if the cells do. Hot cells are cut into blocks. Choose
-    ``cells`` and ``probes`` from measured recall.
-    """
-    if k < 1 or probes < 1 or (cells is not None and cells < 1):
-        raise ValueError("k, cells and probes must be positive")
-    if cells is None:
-        cells = max(1, math.isqrt(vectors.count()))
-    chosen = materialise(centres(vectors, cells), "centres")
-    if not fits_in_memory(chosen, F.size("embedding") * 8 + 8, QUESTION_BYTES):
-        raise ValueError("the centres take too much memory; ask for fewer cells")
-    # measured above; the least id first, so that ties do not depend on the order of rows
-    table = chosen.orderBy("cell").toArrow()
-    shared = chosen.sparkSession.sparkContext.broadcast(
-        (table.column("cell").to_numpy(), _matrix(table.column("embedding")))
-    )
-    # written once: block sizes and rows must come from one evaluation
-    asked = materialise(_nearest_cells(questions, "index", shared, probes), "asked")
-    stored = materialise(_nearest_cells(vectors, "vec_id", shared, 1), "stored")
-
-    def blocks(df: DataFrame, name: str) -> DataFrame:
-        counts = df.groupBy("cell").agg(F.count("*").alias("_n"))
-        return counts.select("cell", F.ceil(F.col("_n") / block_rows).cast("int").alias(name))
-
-    # at most one row per cell, and the centres fit in memory
-    sizes = F.broadcast(blocks(asked, "_qs").join(blocks(stored, "_vs"), "cell"))
-    found = _by_blocks(asked.join(sizes, "cell"), stored.join(sizes, "cell"), k, ("cell",))
-    return rank_neighbours(found, k)
-
-
 def recall(exact: DataFrame, approximate: DataFrame) -> DataFrame:
     """Share of the exact neighbours that the approximate result also has."""
     hits = exact.select("index", "vec_id").join(
         approximate.select("index", "vec_id", F.lit(1).alias("_hit")), ["index", "vec_id"], "left"
     )
     return hits.agg(F.round(F.avg(F.coalesce(F.col("_hit"), F.lit(0))), 6).alias("recall"))
-
-
-def probes_for(
-    questions: DataFrame, vectors: DataFrame, k: int, least: float = 0.9, sample: int = 200, margin: float = 0.02
-) -> int:
-    """Probes of ``knn_approx`` with default cells that reach a recall, measured.
-
-    ``sample`` questions, drawn by a hash of their index, are answered by ``knn_exact``; the
-    probes double from ``PROBES`` until the recall is ``least`` and ``margin``, which covers
-    the error of the sample, or all cells are probed.
-    """
-    asked = materialise(questions.orderBy(F.xxhash64("index"), "index").limit(sample), "sample")
-    exact = materialise(knn_exact(asked, vectors, k), "exact")
-    cells, probes = max(1, math.isqrt(vectors.count())), PROBES
-    while probes < cells:
-        found = recall(exact, knn_approx(asked, vectors, k, cells, probes)).first()["recall"]
-        if found is None or found >= min(1.0, least + margin):
-            return probes
-        probes *= 2
-    return min(probes, cells)

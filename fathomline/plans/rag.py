@@ -17,7 +17,7 @@ from fathomline.functions.prompts import TEMPLATES, render
 from fathomline.operators.embedding import Embedder, embed_texts
 from fathomline.operators.generation import Model, error_to_empty, model_column
 from fathomline.operators.indexing import TfIdfIndex, tfidf_index
-from fathomline.operators.neighbours import knn_approx, knn_exact
+from fathomline.operators.neighbours import knn_exact
 from fathomline.operators.retrieval import (
     TOP_K,
     attach_text,
@@ -25,6 +25,7 @@ from fathomline.operators.retrieval import (
     questions_fit,
     tfidf_retrieve,
 )
+from fathomline.operators.vector_index import VectorIndex, vector_index
 from fathomline.functions.hashing import DIMENSION
 from fathomline.schemas import require
 from fathomline.sources.vectors import checked_vectors
@@ -134,7 +135,13 @@ class TfIdfRag(Rag):
 
 class DenseRag(Rag):
     """Vector retrieval. ``vectors(vec_id, embedding)`` uses chunk numbers as ids;
-    by default the chunks are embedded here."""
+    by default the chunks are embedded here.
+
+    ``index`` is a ``vector_index`` of such vectors, for instance one that was kept and
+    opened again: nothing is embedded then but the questions. ``approximate`` makes an index
+    here, with these options of ``vector_index``. Without either every vector is compared;
+    the result is the same.
+    """
 
     def __init__(
         self,
@@ -147,14 +154,17 @@ class DenseRag(Rag):
         approximate: dict | None = None,
         make_model: Callable[[], Model] | None = None,
         make_embedder: Callable[[], Embedder] | None = None,
+        index: VectorIndex | None = None,
     ) -> None:
         super().__init__(model, k, make_model)
         self.chunks = chunks
         self.embedder, self.make_embedder = embedder, make_embedder
         self._failed: DataFrame | None = None
         self.dim = dim
-        self.approximate = approximate
-        if vectors is None:
+        self.index = index
+        if index is not None:
+            self.vectors = index.vectors.select("vec_id", "embedding")
+        elif vectors is None:
             embedded = embed_texts(chunks.select("chunk_index", "text"), "text", embedder, dim, make_embedder=make_embedder)
             # written once, so that no chunk is embedded again
             self.vectors = materialise(
@@ -162,6 +172,8 @@ class DenseRag(Rag):
             )
         else:
             self.vectors = checked_vectors(vectors, dim)
+        if index is None and approximate is not None:
+            self.index = vector_index(self.vectors, **approximate)
 
     def failed(self) -> DataFrame | None:
         return self._failed
@@ -173,10 +185,10 @@ class DenseRag(Rag):
         every = materialise(embedded, "asked")
         self._failed = every.where("error is not null").select("index", "error")
         asked = every.where("error is null").select("index", "embedding")
-        if self.approximate is None:
+        if self.index is None:
             found = knn_exact(asked, self.vectors, self.k)
         else:
-            found = knn_approx(asked, self.vectors, self.k, **self.approximate)
+            found = self.index.search(asked, self.k)
         hits = found.withColumnRenamed("vec_id", "chunk_index")
         return attach_text(hits, self.chunks, questions_fit(questions, self.k)).select(
             "index", "rank", "chunk_index", "distance", "text"

@@ -297,14 +297,6 @@ PARTS |= {
             round(sqrt(list_sum(list_transform(list_zip(a.v, b.v), lambda p: (p[1] - p[2]) * (p[1] - p[2])))), 6)
                 AS distance
         FROM scaled a CROSS JOIN scaled b""",
-    "centres": """SELECT vec_id AS cell, v FROM vectors ORDER BY md5(vec_id::VARCHAR), vec_id
-        LIMIT (SELECT floor(sqrt(count(*)))::BIGINT FROM vectors)""",
-    "cell_ranks": """SELECT a.vec_id, c.cell, row_number() OVER (PARTITION BY a.vec_id
-            ORDER BY round(list_distance(a.v, c.v), 6), c.cell) AS place
-        FROM vectors a CROSS JOIN centres c""",
-    "candidates": """SELECT a.vec_id AS index, b.vec_id FROM cell_ranks a JOIN cell_ranks b
-        ON a.cell = b.cell AND a.place <= 16 AND b.place = 1""",
-    "candidate_distances": "SELECT d.* FROM vector_distances d JOIN candidates USING (index, vec_id)",
     "turn_pairs": """SELECT conv_id, turn, text AS question, next_text AS answer FROM (
             SELECT *, lead(role) OVER w AS next_role, lead(text) OVER w AS next_text
             FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn))
@@ -551,8 +543,11 @@ def oracle_sql() -> dict[str, str]:
         "knn_scaled": f"""SELECT form, index, rank, vec_id, distance
             FROM ({ranked("scaled_distances", 10, "distance, vec_id")})
             CROSS JOIN (SELECT unnest(['small', 'blocks of 100', 'blocks of 333']) AS form)""",
-        "knn_approx": ranked("candidate_distances", 10, "distance, vec_id"),
+        "knn_approx": ranked("vector_distances", 10, "distance, vec_id"),
+        "knn_cells": ranked("vector_distances", 10, "distance, vec_id"),
+        "vector_index_reopened": ranked("vector_distances", 10, "distance, vec_id"),
         "dense_topk": "SELECT index, rank, chunk_index, distance FROM near4",
+        "dense_index_reopened": "SELECT index, rank, chunk_index, distance FROM near4",
         "prompt_catalogue": catalogue,
         "render_prompt": """SELECT conv_id, turn, '{' || conv_id || '}: ' || question ||
             ' {context}' AS prompt FROM turn_pairs""",

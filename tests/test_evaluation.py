@@ -152,7 +152,7 @@ def test_custom_rag_and_failures(spark, qa):
 
 def test_scorer_end_to_end(spark, qa, tmp_path):
     chunks = spark.createDataFrame([(0, "Cats sit."), (1, "Dogs fly."), (2, "Birds sing.")], "chunk_index long, text string")
-    for rag in (TfIdfRag(chunks, k=1), DenseRag(chunks, k=1), DenseRag(chunks, k=1, approximate={"bits": 1, "bands": 16})):
+    for rag in (TfIdfRag(chunks, k=1), DenseRag(chunks, k=1), DenseRag(chunks, k=1, approximate={"cells": 2})):
         scorer = Scorer(EvaluationSet(rag, qa).test_cases)
         with pytest.raises(RuntimeError):
             scorer.overall_metrics()

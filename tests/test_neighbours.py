@@ -1,14 +1,11 @@
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from fathomline.operators.embedding import embed_texts
-from fathomline.operators import neighbours
-from fathomline.operators.neighbours import knn_approx, knn_exact, probes_for, recall
+from fathomline.operators.neighbours import knn_exact, recall
 
 
 def frame(spark, matrix, name):
@@ -46,6 +43,12 @@ def test_exact(spark, data, k, small):
     assert found(result) == brute(asked, stored, k)
 
 
+def test_recall(spark):
+    exact = spark.createDataFrame([(1, 5), (1, 6), (2, 5), (2, 7)], "index long, vec_id long")
+    assert recall(exact, exact).first()["recall"] == 1.0
+    assert recall(exact, exact.where("index = 1")).first()["recall"] == 0.5
+
+
 def test_equal_distances_go_to_the_lower_id(spark, data):
     _, stored = data
     result = found(knn_exact(frame(spark, stored[:1], "index"), frame(spark, stored, "vec_id").repartition(7), 4))
@@ -66,39 +69,6 @@ def test_without_questions_or_vectors(spark, data):
     assert knn_exact(frame(spark, asked, "index"), frame(spark, stored[:0], "vec_id"), 2).count() == 0
 
 
-def test_approximate_is_a_subset_with_hot_cells_cut(spark, data):
-    asked, stored = data
-    q, v = frame(spark, asked, "index"), frame(spark, stored, "vec_id")
-    exact = knn_exact(q, v, 10)
-    wide = knn_approx(q, v, 10, cells=12, probes=9)
-    blocks = knn_approx(q, v, 10, cells=12, probes=9, block_rows=16)
-    assert found(wide) == found(blocks)
-    assert recall(exact, wide).first()["recall"] >= 0.9
-    assert recall(exact, exact).first()["recall"] == 1.0
-    one = {(r["index"], r["vec_id"]): r["distance"] for r in wide.collect()}
-    every = knn_exact(q, v, 300)
-    truth = {(r["index"], r["vec_id"]): r["distance"] for r in every.collect()}
-    assert all(truth[pair] == distance for pair, distance in one.items())
-
-
-def test_approximate_on_clustered_vectors(spark, monkeypatch):
-    rng = np.random.default_rng(12)
-    middles = rng.normal(size=(60, 16)) * 4
-    rows = np.concatenate([m + rng.normal(size=(50, 16)) * 0.5 for m in middles])
-    table = frame(spark, rows, "vec_id")
-    asked = table.withColumnRenamed("vec_id", "index").where("index % 10 = 0")
-    exact = knn_exact(asked, table, 10)
-    wide = knn_approx(asked, table, 10)
-    assert recall(exact, wide).first()["recall"] >= 0.9
-    # compared pairs, repeats counted: questions x the sizes of the cells they probe
-    cells = math.isqrt(len(rows))
-    centre = rows[[r["cell"] for r in neighbours.centres(table, cells).collect()]]
-    far = ((rows[:, None] - centre[None]) ** 2).sum(axis=2)
-    sizes = np.bincount(far.argmin(axis=1), minlength=cells)
-    probed = np.argsort(far[::10], axis=1)[:, : neighbours.PROBES]
-    assert sizes[probed].sum() <= 0.2 * len(rows) * len(probed)
-
-
 def test_all_against_all_of_one_table(spark, data):
     _, stored = data
     table = frame(spark, stored, "vec_id")
@@ -133,21 +103,10 @@ def test_every_text_is_embedded_once(spark, tmp_path):
 
     chunks = spark.createDataFrame([(i, "a" * i + "b") for i in range(30)], "chunk_index long, text string")
     asked = spark.createDataFrame([(i, "q" * (i + 1)) for i in range(5)], "index long, question string")
-    for options in ({}, {"approximate": {"cells": 4, "probes": 2}}):
+    for options in ({}, {"approximate": {"cells": 4}}):
         rag = DenseRag(chunks, k=2, embedder=embedder, dim=2, **options)
         rag.retrieve(asked).collect()
         seen = [line for f in tmp_path.iterdir() for line in f.read_text().split("\n")]
         assert len(seen) == len(set(seen)) == 35
         for f in tmp_path.iterdir():
             f.unlink()
-
-
-def test_probes_follow_measured_recall(spark):
-    rng = np.random.default_rng(5)
-    rows = [(i, rng.normal(size=256).tolist()) for i in range(2000)]
-    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
-    asked = table.withColumnRenamed("vec_id", "index")
-    exact = knn_exact(asked, table, 10)
-    probes = probes_for(asked, table, 10)
-    assert recall(exact, knn_approx(asked, table, 10, probes=16)).first()["recall"] < 0.9
-    assert recall(exact, knn_approx(asked, table, 10, probes=probes)).first()["recall"] >= 0.9
