@@ -227,7 +227,7 @@ def idf(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def tfidf_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
-    weights = indexing.tfidf_weights(indexing.tfidf_index(chunks(spark, sf_dir)))
+    weights = indexing.tfidf_index(chunks(spark, sf_dir)).weights
     return weights.select("chunk_index", "term", F.round("weight", 6).alias("weight"))
 
 
@@ -240,7 +240,9 @@ def tfidf_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def tfidf_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return retrieval.top_k(tfidf_scores(spark, sf_dir), 5)
+    index = indexing.tfidf_index(chunks(spark, sf_dir))
+    asked = indexing.question_terms(qa(spark, sf_dir), index.idf, small=False)
+    return retrieval.top_k(retrieval.best_chunks_in_passes(asked, index, 5), 5)
 
 
 def tfidf_topk_padded(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,14 +1,19 @@
-"""The keyword index: postings, corpus statistics and chunk lengths.
+"""The keyword index: postings in blocks of chunks, and corpus statistics.
 
-Layout: chunks are hash-partitioned by ``chunk_index`` once, and the postings are
-written in buckets of that key. Whatever groups by chunk later (lengths, scores)
-reads them without a shuffle, for any number of question batches.
+Layout: a row holds the postings of one term in one block of neighbouring chunks, with
+their unit weights and the largest of them. Blocks are hash-partitioned once and written
+in buckets, so whatever groups by block or chunk later reads them without a shuffle, for
+any number of question batches; and a question that a block's largest weights cannot
+lift over its limit leaves that block out.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -25,24 +30,50 @@ from fathomline.storage import (
     remove_scratch,
 )
 
+#: chunks in a block
+BLOCK = 256
+#: the row of a block that holds the chunk lengths as weights; terms are never empty
+LENGTHS = ""
+_COUNTS = "block long, term string, chunks array<int>, tfs array<int>"
+_BLOCKS = f"{_COUNTS}, weights array<double>, most double"
+
 
 @dataclass(frozen=True)
 class TfIdfIndex:
-    """``postings(chunk_index, term, tf)`` and ``lengths(chunk_index, length)`` in
-    buckets of ``chunk_index``, and ``idf(term, df, idf)``."""
+    """``blocks(block, term, chunks, tfs, weights, most)`` in buckets of ``block``, and
+    ``idf(term, df, idf)``. ``chunks`` are places within the block."""
 
-    postings: DataFrame
+    blocks: DataFrame
     idf: DataFrame
-    lengths: DataFrame
+
+    def _unfolded(self, *lists: str) -> DataFrame:
+        chunk = (F.col("block") * BLOCK + F.col("_p.chunks")).alias("chunk_index")
+        rows = self.blocks.select("block", "term", F.explode(F.arrays_zip("chunks", *lists)).alias("_p"))
+        return rows.select(chunk, "term", *[F.col(f"_p.{name}").alias(name) for name in lists])
+
+    @property
+    def postings(self) -> DataFrame:
+        """``(chunk_index, term, tf)``."""
+        found = self._unfolded("tfs").where(F.col("term") != LENGTHS)
+        return found.select("chunk_index", "term", F.col("tfs").cast("long").alias("tf"))
+
+    @property
+    def weights(self) -> DataFrame:
+        """``(chunk_index, term, weight)`` with weights of unit length per chunk."""
+        return self._unfolded("weights").where(F.col("term") != LENGTHS).withColumnRenamed("weights", "weight")
+
+    @property
+    def lengths(self) -> DataFrame:
+        """``(chunk_index, length)``: the L2 norm of ``tf * idf`` of every chunk with terms."""
+        found = self._unfolded("weights").where(F.col("term") == LENGTHS)
+        return found.select("chunk_index", F.col("weights").alias("length"))
 
     def close(self, remove: bool = False) -> None:
-        """Take the tables out of the session; ``remove`` also deletes scratch folders."""
-        for table in (self.postings, self.lengths):
-            if remove:
-                remove_scratch(table)
-            drop_table(table)
+        """Take the table out of the session; ``remove`` also deletes scratch folders."""
         if remove:
+            remove_scratch(self.blocks)
             remove_scratch(self.idf)
+        drop_table(self.blocks)
 
 
 def tokenize(texts: DataFrame, key: str, text: str = "text") -> DataFrame:
@@ -65,11 +96,11 @@ def term_frequencies(chunks: DataFrame, buckets: int | None = None) -> DataFrame
 def inverse_document_frequency(postings: DataFrame, n_chunks: Column) -> DataFrame:
     """``ln((1 + N) / (1 + df)) + 1`` per term. Counts combine before the shuffle,
     so a term in every chunk costs one row per task."""
-    return (
-        postings.groupBy("term")
-        .agg(F.count("*").alias("df"))
-        .withColumn("idf", F.log((n_chunks + 1) / (F.col("df") + 1)) + 1)
-    )
+    return _with_idf_column(postings.groupBy("term").agg(F.count("*").alias("df")), n_chunks)
+
+
+def _with_idf_column(held: DataFrame, n_chunks: Column) -> DataFrame:
+    return held.withColumn("idf", F.log((n_chunks + 1) / (F.col("df") + 1)) + 1)
 
 
 def corpus_size(chunks: DataFrame) -> Column:
@@ -113,73 +144,101 @@ def with_idf(postings: DataFrame, idf: DataFrame, limit: int = BROADCAST_BYTES)
     return looked_up.unionByName(others)
 
 
-def chunk_lengths(postings: DataFrame, idf: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
-    """L2 norm of ``tf * idf`` per chunk. Each task adds up its postings first."""
-    part = F.col("tf") * F.col("idf")
-    return (
-        with_idf(postings, idf, limit)
-        .groupBy("chunk_index")
-        .agg(F.sqrt(F.sum(part * part)).alias("length"))
+def _packed(block: pa.Table) -> pa.Table:
+    """The rows of a block from its chunks' terms: one per term, in order."""
+    words = block.column("terms").combine_chunks()
+    chunk = np.repeat(block.column("chunk_index").to_numpy() % BLOCK, pc.list_value_length(words).fill_null(0).to_numpy())
+    coded = words.flatten().dictionary_encode()
+    order = pc.sort_indices(coded.dictionary).to_numpy()
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.arange(len(order))
+    keys, tfs = np.unique(rank[coded.indices.to_numpy()] * BLOCK + chunk, return_counts=True)
+    term, place = np.divmod(keys, BLOCK)
+    bounds = pa.array(np.searchsorted(term, np.arange(len(order) + 1)), pa.int32())
+    return pa.table(
+        {
+            "block": pa.array(np.full(len(order), block.column("chunk_index")[0].as_py() // BLOCK)),
+            "term": coded.dictionary.take(pa.array(order)),
+            "chunks": pa.ListArray.from_arrays(bounds, pa.array(place, pa.int32())),
+            "tfs": pa.ListArray.from_arrays(bounds, pa.array(tfs, pa.int32())),
+        }
     )
 
 
-def tfidf_index(chunks: DataFrame, path: str | None = None, buckets: int | None = None) -> TfIdfIndex:
+def _weighed(rows: pa.Table) -> pa.Table:
+    """Add unit weights and the largest of every row to the rows of a block, and the row of
+    the chunk lengths."""
+    rows = rows.sort_by("term")
+    chunks, tfs = (rows.column(c).combine_chunks() for c in ("chunks", "tfs"))
+    sizes = pc.list_value_length(chunks).to_numpy()
+    place = chunks.flatten().to_numpy()
+    values = tfs.flatten().to_numpy() * np.repeat(rows.column("idf").to_numpy(), sizes)
+    lengths = np.sqrt(np.bincount(place, weights=values**2, minlength=BLOCK))
+    weights = values / lengths[place]
+    held = np.flatnonzero(lengths)
+    starts = np.concatenate((np.zeros(1, np.int64), np.cumsum(sizes)))
+    lists = lambda flat, kind: pa.ListArray.from_arrays(pa.array(starts, pa.int32()), pa.array(flat, kind))
+    block = rows.column("block")
+    told = pa.table(
+        {
+            "block": block,
+            "term": rows.column("term"),
+            "chunks": lists(place, pa.int32()),
+            "tfs": lists(tfs.flatten(), pa.int32()),
+            "weights": lists(weights, pa.float64()),
+            "most": np.maximum.reduceat(weights, starts[:-1]),
+        }
+    )
+    whole = {
+        "block": block.slice(0, 1),
+        "term": [LENGTHS],
+        "chunks": pa.array([held], pa.list_(pa.int32())),
+        "tfs": pa.array([np.zeros(len(held))], pa.list_(pa.int32())),
+        "weights": pa.array([lengths[held]], pa.list_(pa.float64())),
+        "most": [0.0],
+    }
+    return pa.concat_tables([pa.table(whole, schema=told.schema), told])
+
+
+def tfidf_index(
+    chunks: DataFrame, path: str | None = None, buckets: int | None = None, limit: int = BROADCAST_BYTES
+) -> TfIdfIndex:
     """Build and write the index of a numbered chunk table.
 
     With ``path`` it is kept there for ``open_index``; otherwise it lives in scratch
-    folders. ``buckets`` defaults to a number that follows the chunks.
+    folders. ``buckets`` defaults to a number that follows the chunks. A vocabulary of
+    up to ``limit`` bytes is broadcast whole (see ``with_idf``).
     """
     if buckets is None:
         buckets = bucket_count(chunks.sparkSession, chunks.count())
     part = lambda name: None if path is None else f"{path}/{name}"
-    postings = bucketed(
-        term_frequencies(chunks, buckets), "chunk_index", buckets, "postings", "term", path=part("postings")
-    )
-    counted = inverse_document_frequency(postings, corpus_size(chunks))
+    block = F.expr(f"chunk_index div {BLOCK}").alias("block")
+    # the texts move once, to their bucket
+    texts = chunks.select(block, F.col("chunk_index").cast("long").alias("chunk_index"), "text").repartition(buckets, "block")
+    words = texts.select("block", "chunk_index", txt.terms(F.col("text")).alias("terms"))
+    counts = bucketed(words.groupBy("block").applyInArrow(_packed, _COUNTS), "block", buckets, "counts")
+    held = counts.groupBy("term").agg(F.sum(F.size("chunks")).cast("long").alias("df"))
+    known = _with_idf_column(held, corpus_size(chunks))
     if path is None:
-        idf = materialise(counted, "idf")
+        idf = materialise(known, "idf")
     else:
-        counted.write.parquet(part("idf"))
+        known.write.parquet(part("idf"))
         idf = chunks.sparkSession.read.parquet(part("idf"))
-    lengths = chunk_lengths(postings, idf).repartition(buckets, "chunk_index")
-    lengths = bucketed(lengths, "chunk_index", buckets, "lengths", path=part("lengths"))
+    weighed = with_idf(counts, idf, limit).groupBy("block").applyInArrow(_weighed, _BLOCKS)
+    blocks = bucketed(weighed, "block", buckets, "postings", "term", path=part("postings"))
+    remove_scratch(counts)
+    drop_table(counts)
     if path is not None:
         layout = chunks.sparkSession.createDataFrame([(buckets,)], "buckets int")
         layout.coalesce(1).write.json(part("layout"))
-    return TfIdfIndex(postings, idf, lengths)
+    return TfIdfIndex(blocks, idf)
 
 
 def open_index(spark: SparkSession, path: str) -> TfIdfIndex:
     """An index that ``tfidf_index`` kept at ``path``, with its buckets."""
     buckets = spark.read.schema("buckets int").json(f"{path}/layout").first()["buckets"]
-    return TfIdfIndex(
-        open_bucketed(
-            spark,
-            f"{path}/postings",
-            "chunk_index BIGINT, term STRING, tf BIGINT",
-            "chunk_index",
-            buckets,
-            "postings",
-            "term",
-        ),
-        spark.read.parquet(f"{path}/idf"),
-        open_bucketed(
-            spark, f"{path}/lengths", "chunk_index BIGINT, length DOUBLE", "chunk_index", buckets, "lengths"
-        ),
-    )
-
-
-def tfidf_weights(index: TfIdfIndex) -> DataFrame:
-    """``(chunk_index, term, weight)`` with weights of unit length per chunk."""
-    return with_lengths(with_idf(index.postings, index.idf), index.lengths).select(
-        "chunk_index", "term", (F.col("tf") * F.col("idf") / F.col("length")).alias("weight")
-    )
-
-
-def with_lengths(by_chunk: DataFrame, lengths: DataFrame) -> DataFrame:
-    """Add the chunk length. Both sides are in the same buckets, so this hash join
-    needs neither a shuffle nor a sort."""
-    return by_chunk.join(lengths.hint("shuffle_hash"), "chunk_index")
+    blocks = open_bucketed(spark, f"{path}/postings", _BLOCKS, "block", buckets, "postings", "term")
+    return TfIdfIndex(blocks, spark.read.parquet(f"{path}/idf"))
 
 
 def question_terms(questions: DataFrame, idf: DataFrame, small: bool) -> DataFrame:

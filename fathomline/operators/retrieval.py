@@ -7,25 +7,24 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.accumulators import Accumulator
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from fathomline.operators.indexing import (
-    TfIdfIndex,
-    corpus_size,
-    question_terms,
-    with_lengths,
-)
-from fathomline.storage import BROADCAST_BYTES, ROWS_PER_BUCKET, fits_in_memory
+from fathomline.operators.indexing import BLOCK, TfIdfIndex, corpus_size, question_terms
+from fathomline.storage import BROADCAST_BYTES, fits_in_memory, materialise, share
 
 # Fixed value: default number of chunks per question.
 TOP_K = 3
-#: cells of a score matrix at a time
+#: cells of a matrix of terms and questions at a time
 CELLS = 1 << 22
 #: up to so many question terms are pushed into the scan of the postings
-PUSHED_TERMS = 5000
-QUESTIONS_PER_BLOCK = 1024
+PUSHED_TERMS = 20_000
+#: bytes of question terms that meet the index in one pass
+PASS_BYTES = 16 * 1024 * 1024
+#: scores have six digits, so a bound must be that much lower to rule a chunk out
+ROUNDED = 1e-6
 
 
 def questions_fit(questions: DataFrame, k: int = 0, limit: int = BROADCAST_BYTES) -> bool:
@@ -38,138 +37,189 @@ def questions_fit(questions: DataFrame, k: int = 0, limit: int = BROADCAST_BYTES
 
 
 def tfidf_scores(asked: DataFrame, index: TfIdfIndex, small: bool) -> DataFrame:
-    """Cosine of every question with every chunk that shares a term.
+    """Cosine of every question with every chunk that shares a term: a row per pair.
 
     With a small question side the postings stay in their buckets and the sums are
-    complete within each task. A larger one joins by shuffle on the term.
+    complete within each task. A larger one joins by shuffle on the term. Use
+    ``best_chunks`` where only the best are wanted.
     """
-    side = asked.select("index", "term", (F.col("weight") * F.col("idf")).alias("_asked"))
-    products = index.postings.join(F.broadcast(side) if small else side, "term")
-    sums = products.groupBy("index", "chunk_index").agg(
-        F.sum(F.col("tf") * F.col("_asked")).alias("_dot")
-    )
-    return with_lengths(sums, index.lengths).select(
-        "index", "chunk_index", F.round(F.col("_dot") / F.col("length"), 6).alias("score")
-    )
-
-
-def _best_of(
-    chunk: np.ndarray, term: np.ndarray, tf: np.ndarray, length: np.ndarray, asked: "_Asked", k: int
-) -> pa.Table:
-    """``(index, chunk_index, score)``: up to ``k`` best chunks of every question among
-    some chunks. ``term`` holds places in ``asked.terms``, and every chunk and term is
-    there once."""
-    known = term >= 0
-    chunk, term, tf, length = chunk[known], term[known], tf[known], length[known]
-    chunks, first, row = np.unique(chunk, return_index=True, return_inverse=True)
-    length = length[first]
-    order = np.argsort(term, kind="stable")
-    row, tf = row[order], tf[order].astype(np.float64)
-    bounds = np.searchsorted(term[order], np.arange(len(asked.terms) + 1))
-    found = []
-    width = max(1, CELLS // max(len(chunks), 1))
-    for low in range(0, len(asked.names), width):
-        high = min(low + width, len(asked.names))
-        scores = np.zeros((len(chunks), high - low))
-        for t in np.flatnonzero(np.diff(bounds)):
-            a, b = asked.bounds[t], asked.bounds[t + 1]
-            a, b = a + np.searchsorted(asked.question[a:b], [low, high])
-            if a < b:
-                here = slice(bounds[t], bounds[t + 1])
-                scores[np.ix_(row[here], asked.question[a:b] - low)] += (
-                    tf[here, None] * asked.weight[None, a:b]
-                )
-        scores = np.round(scores / length[:, None], 6)
-        for q in range(high - low):
-            column = scores[:, q]
-            hits = np.flatnonzero(column > 0)
-            if len(hits) > k:
-                worst = np.partition(column[hits], len(hits) - k)[len(hits) - k]
-                hits = hits[column[hits] >= worst]
-            hits = hits[np.lexsort((chunks[hits], -column[hits]))][:k]
-            found.append((np.full(len(hits), asked.names[low + q]), chunks[hits], column[hits]))
-    none = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
-    index, best, score = (np.concatenate(parts) for parts in zip(none, *found))
-    return pa.table({"index": index, "chunk_index": best, "score": score})
+    side = asked.select("index", "term", F.col("weight").alias("_asked"))
+    products = index.weights.join(F.broadcast(side) if small else side, "term")
+    sums = products.groupBy("index", "chunk_index").agg(F.sum(F.col("weight") * F.col("_asked")).alias("_dot"))
+    return sums.select("index", "chunk_index", F.round("_dot", 6).alias("score"))
 
 
 class _Asked:
-    """Questions by term: for term ``t`` of ``terms`` the questions with it and their
-    weights stand at ``bounds[t]:bounds[t + 1]``, in order of the questions."""
+    """Questions by term: term ``t`` of ``terms`` stands in ``question[at]`` with
+    ``weight[at]`` for ``at`` in ``bounds[t]:bounds[t + 1]``."""
 
     def __init__(self, table: pa.Table) -> None:
-        names = table.column("index").to_numpy()
-        self.names, question = np.unique(names, return_inverse=True)
+        self.names, question = np.unique(table.column("index").to_numpy(), return_inverse=True)
         encoded = table.column("term").combine_chunks().dictionary_encode()
         self.terms = encoded.dictionary
         term = encoded.indices.to_numpy(zero_copy_only=False)
         order = np.lexsort((question, term))
         self.question = question[order]
-        self.weight = table.column("asked").to_numpy()[order]
+        self.weight = table.column("weight").to_numpy()[order]
         self.bounds = np.searchsorted(term[order], np.arange(len(self.terms) + 1))
 
     def places(self, terms: pa.Array) -> np.ndarray:
-        found = pc.fill_null(pc.index_in(terms, self.terms), -1)
-        return found.to_numpy(zero_copy_only=False)
+        return pc.index_in(terms, self.terms).to_numpy(zero_copy_only=False)
+
+    def matrix(self, places: np.ndarray, low: int, high: int) -> np.ndarray:
+        """Weights of the terms at ``places`` in the questions from ``low`` to ``high``."""
+        found = np.zeros((len(places), high - low))
+        for row, t in enumerate(places):
+            a, b = self.bounds[t] + np.searchsorted(self.question[self.bounds[t] : self.bounds[t + 1]], [low, high])
+            found[row, self.question[a:b] - low] = self.weight[a:b]
+        return found
+
+
+class _Best:
+    """Up to ``k`` best chunks of some questions, by falling score, then chunk."""
+
+    def __init__(self, questions: int, k: int) -> None:
+        self.chunk = np.full((questions, k), np.iinfo(np.int64).max)
+        self.score = np.zeros((questions, k))
+
+    def add(self, questions: np.ndarray, chunks: np.ndarray, scores: np.ndarray) -> None:
+        """Scores of some questions (rows) with some chunks (columns); zeros do not count."""
+        k = self.chunk.shape[1]
+        chunk = np.where(scores > 0, chunks[None, :], np.iinfo(np.int64).max)
+        chunk = np.concatenate((self.chunk[questions], chunk), axis=1)
+        score = np.concatenate((self.score[questions], scores), axis=1)
+        order = np.lexsort((chunk, -score), axis=-1)[:, :k]
+        self.chunk[questions] = np.take_along_axis(chunk, order, axis=1)
+        self.score[questions] = np.take_along_axis(score, order, axis=1)
+
+    def rows(self, names: np.ndarray) -> pa.RecordBatch:
+        owner, place = np.nonzero(self.score > 0)
+        return pa.RecordBatch.from_arrays(
+            [pa.array(names[owner]), pa.array(self.chunk[owner, place]), pa.array(self.score[owner, place])],
+            ["index", "chunk_index", "score"],
+        )
+
+
+class _Rows:
+    """Rows of the index with places of their terms, in order of their blocks."""
+
+    def __init__(self, asked: _Asked, batches: list[pa.RecordBatch]) -> None:
+        table = pa.Table.from_batches(batches)
+        place = asked.places(table.column("term").combine_chunks())
+        known = np.flatnonzero(~np.isnan(place)) if place.dtype.kind == "f" else np.arange(len(place))
+        block = table.column("block").to_numpy()
+        known = known[np.argsort(block[known], kind="stable")]
+        table = table.take(pa.array(known))
+        self.terms, self.term = np.unique(place[known].astype(np.int64), return_inverse=True)
+        self.blocks, self.starts = np.unique(block[known], return_index=True)
+        self.starts = np.append(self.starts, len(known))
+        self.most = table.column("most").to_numpy()
+        lists = table.column("chunks").combine_chunks()
+        self.at = np.concatenate((np.zeros(1, np.int64), np.cumsum(pc.list_value_length(lists).to_numpy())))
+        self.chunk = lists.flatten().to_numpy()
+        self.weight = table.column("weights").combine_chunks().flatten().to_numpy()
+
+    def largest(self) -> np.ndarray:
+        """The largest weight of every term (columns) in every block (rows)."""
+        found = np.zeros((len(self.blocks), len(self.terms)))
+        found[np.repeat(np.arange(len(self.blocks)), np.diff(self.starts)), self.term] = self.most
+        return found
+
+    def scores(self, b: int, asked: np.ndarray) -> np.ndarray:
+        """Scores of questions (rows) with the chunks of block ``b``; ``asked`` has the
+        questions' weights of all terms here, a question a column."""
+        rows = slice(self.starts[b], self.starts[b + 1])
+        flat = slice(self.at[self.starts[b]], self.at[self.starts[b + 1]])
+        sizes = np.diff(self.at[self.starts[b] : self.starts[b + 1] + 1])
+        held = np.zeros((BLOCK, len(sizes)))
+        held[self.chunk[flat], np.repeat(np.arange(len(sizes)), sizes)] = self.weight[flat]
+        return np.round((held @ asked[self.term[rows]]).T, 6)
+
+
+def _search(asked: _Asked, rows: _Rows, k: int) -> tuple[_Best, int, int]:
+    """The best chunks, and how many pairs of question and block were scored and had a
+    term in common.
+
+    Blocks come in the order of their largest bound. A question leaves a block out if the
+    largest weights there cannot lift any chunk over the question's ``k``-th best score.
+    """
+    best, scored, shared = _Best(len(asked.names), k), 0, 0
+    largest, within = rows.largest(), np.arange(BLOCK)
+    width = max(1, CELLS // max(len(rows.terms), 1))
+    for low in range(0, len(asked.names), width):
+        high = min(low + width, len(asked.names))
+        weights = asked.matrix(rows.terms, low, high)
+        bounds = largest @ weights
+        shared += int((bounds > 0).sum())
+        for b in np.argsort(-bounds.max(axis=1), kind="stable"):
+            open_ = (bounds[b] > 0) & (bounds[b] + ROUNDED >= best.score[low:high, -1])
+            active = np.flatnonzero(open_)
+            if len(active):
+                scores = rows.scores(b, weights[:, active])
+                best.add(low + active, rows.blocks[b] * BLOCK + within, scores)
+                scored += len(active)
+    return best, scored, shared
 
 
 _HITS = "index long, chunk_index long, score double"
 
 
-def best_chunks(asked: DataFrame, index: TfIdfIndex, k: int, small: bool) -> DataFrame:
+class Work:
+    """Pairs of question and block that shared a term, and those of them that were scored."""
+
+    def __init__(self, spark) -> None:
+        self.shared: Accumulator = spark.sparkContext.accumulator(0)
+        self.scored: Accumulator = spark.sparkContext.accumulator(0)
+
+    def skipped(self) -> float:
+        return 1.0 - self.scored.value / max(self.shared.value, 1)
+
+
+def best_chunks(asked: DataFrame, index: TfIdfIndex, k: int, work: Work | None = None) -> DataFrame:
     """``(index, chunk_index, score)``: for every question at least its ``k`` best chunks.
 
-    ``asked`` are question terms. Each task scores its chunks against a block of questions
+    ``asked`` are question terms that measure small. They are sent to the buckets of the
+    index, of which only the rows with their terms are read. Each task scores its blocks
     in NumPy and hands on ``k`` rows per question, so no pair of question and chunk is ever
-    a row. A small question side is sent to the buckets of the index, of which only the
-    postings with its terms are read; a larger one meets them block by block.
+    a row. ``work`` counts what the bounds saved.
     """
-    side = asked.select("index", "term", (F.col("weight") * F.col("idf")).alias("asked"))
-    postings = with_lengths(index.postings, index.lengths)
-    if not small:
-        return _by_blocks(side, postings, k)
     # measured by the caller
-    shared = side.sparkSession.sparkContext.broadcast(_Asked(side.toArrow()))
-    terms = shared.value.terms.to_pylist()
+    questions = _Asked(asked.select("index", "term", "weight").toArrow())
+    shared = share(asked.sparkSession, questions)
+    blocks = index.blocks
+    terms = questions.terms.to_pylist()
     if len(terms) <= PUSHED_TERMS:
-        postings = with_lengths(index.postings.where(F.col("term").isin(terms)), index.lengths)
+        # one expression text; terms consist of word characters
+        told = ", ".join(f"'{t}'" for t in terms)
+        blocks = blocks.where(f"term IN ({told})" if terms else "false")
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        questions, parts = shared.value, []
-        for batch in batches:
-            place = questions.places(batch.column("term"))
-            here = place >= 0
-            parts.append(
-                (place[here], *[batch.column(c).to_numpy()[here] for c in ("chunk_index", "tf", "length")])
-            )
+        parts = [b for b in batches if b.num_rows]
         if parts:
-            term, chunk, tf, length = (np.concatenate(p) for p in zip(*parts))
-            yield from _best_of(chunk, term, tf, length, questions, k).to_batches()
-
-    return postings.select("chunk_index", "term", "tf", "length").mapInArrow(score, _HITS)
+            known = shared()
+            best, scored, common = _search(known, _Rows(known, parts), k)
+            if work is not None:
+                work.scored.add(scored)
+                work.shared.add(common)
+            yield best.rows(known.names)
 
+    return blocks.select("block", "term", "most", "chunks", "weights").mapInArrow(score, _HITS)
 
-def _by_blocks(side: DataFrame, postings: DataFrame, k: int) -> DataFrame:
-    """Blocks of questions against blocks of chunks, each pair in a task of bounded size."""
-    questions = side.select("index").distinct().count()
-    chunks = postings.select(F.max("chunk_index")).first()[0]
-    q_blocks = max(1, -(-questions // QUESTIONS_PER_BLOCK))
-    c_blocks = max(1, -(-((chunks or 0) + 1) // ROWS_PER_BUCKET))
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    left = side.withColumn("_q", F.pmod(F.xxhash64("index"), F.lit(q_blocks)).cast("int")).withColumn(
-        "_c", every(c_blocks)
-    )
-    right = postings.withColumn(
-        "_c", F.pmod(F.xxhash64("chunk_index"), F.lit(c_blocks)).cast("int")
-    ).withColumn("_q", every(q_blocks))
 
-    def score(asked: pa.Table, stored: pa.Table) -> pa.Table:
-        questions = _Asked(asked)
-        place = questions.places(stored.column("term").combine_chunks())
-        columns = [stored.column(c).to_numpy() for c in ("chunk_index", "tf", "length")]
-        return _best_of(columns[0], place, columns[1], columns[2], questions, k)
-
-    return left.groupBy("_q", "_c").cogroup(right.groupBy("_q", "_c")).applyInArrow(score, _HITS)
+def best_chunks_in_passes(
+    asked: DataFrame, index: TfIdfIndex, k: int, limit: int | None = None, work: Work | None = None
+) -> DataFrame:
+    """``best_chunks`` for question terms of any size: block after block of questions meets
+    the index in its buckets, so the postings never move."""
+    written = materialise(asked.select("index", "term", "weight"), "asked")
+    size = written.agg(F.sum(F.octet_length("term") + 48).alias("bytes")).first()["bytes"] or 0
+    passes = max(1, -(-size // (limit or PASS_BYTES)))
+    at = F.pmod(F.xxhash64("index"), F.lit(passes))
+    found = [best_chunks(written.where(at == p), index, k, work) for p in range(passes)]
+    every = found[0]
+    for more in found[1:]:
+        every = every.unionByName(more)
+    return every
 
 
 def top_k(scores: DataFrame, k: int = TOP_K, item: str = "chunk_index") -> DataFrame:
@@ -235,7 +285,8 @@ def tfidf_retrieve(
     """``(index, rank, chunk_index, score, text)`` for every question. ``small`` says
     whether what derives from the questions may be broadcast; by default it is measured."""
     small = questions_fit(questions, k) if small is None else small
-    hits = top_k(best_chunks(question_terms(questions, index.idf, small), index, k, small), k)
+    asked = question_terms(questions, index.idf, small)
+    hits = top_k((best_chunks if small else best_chunks_in_passes)(asked, index, k), k)
     if pad:
         hits = pad_zero_scores(hits, questions, corpus_size(chunks), k)
     return attach_text(hits, chunks, small).select("index", "rank", "chunk_index", "score", "text")

@@ -37,6 +37,7 @@ from fathomline.storage import (
     open_bucketed,
     remove_scratch,
     scratch_path,
+    share,
 )
 
 #: bytes of all centres, which every task holds
@@ -144,10 +145,10 @@ def _first_centres(vectors: DataFrame, cells: int) -> np.ndarray:
 
 def _lloyd_step(sample: DataFrame, middle: np.ndarray) -> np.ndarray:
     """Centres moved to the mean of their vectors; tasks add up, then cells do."""
-    shared = sample.sparkSession.sparkContext.broadcast(middle)
+    shared = share(sample.sparkSession, middle)
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        centres = shared.value
+        centres = shared()
         total, rows = np.zeros_like(centres), np.zeros(len(centres), np.int64)
         for batch in batches:
             if batch.num_rows:
@@ -177,10 +178,10 @@ def _lloyd_step(sample: DataFrame, middle: np.ndarray) -> np.ndarray:
 
 def _measured(vectors: DataFrame, middle: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Vectors and radius of every cell."""
-    shared = vectors.sparkSession.sparkContext.broadcast(middle)
+    shared = share(vectors.sparkSession, middle)
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        centres = shared.value
+        centres = shared()
         rows, radius = np.zeros(len(centres), np.int64), np.zeros(len(centres))
         for batch in batches:
             if batch.num_rows:
@@ -221,11 +222,11 @@ def _packed(middle: np.ndarray, rows: np.ndarray, radius: np.ndarray, block_rows
 
 def _placed(vectors: DataFrame, cells: Cells) -> DataFrame:
     """Add the cell, the distance to its centre and the block of every vector."""
-    shared = vectors.sparkSession.sparkContext.broadcast(cells)
+    shared = share(vectors.sparkSession, cells)
     kind = dict(vectors.dtypes)["embedding"]
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = shared.value
+        known = shared()
         for batch in batches:
             if batch.num_rows:
                 _, cell, away = _nearest(
@@ -404,11 +405,11 @@ def _search_small(
     back[order] = np.arange(len(order))
     sort = np.lexsort((back[owner], place))
     owner, place = back[owner][sort], place[sort]
-    context = questions.sparkSession.sparkContext
-    shared = context.broadcast((names, asked, owner, place, cells))
+    spark = questions.sparkSession
+    shared = share(spark, (names, asked, owner, place, cells))
 
     def near_home(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, asked, owner, place, cells = shared.value
+        names, asked, owner, place, cells = shared()
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -429,14 +430,14 @@ def _search_small(
     needed = np.zeros(len(cells.rows), bool)
     for low in starts:
         needed |= cells.reached(asked[at(low)], limits[at(low)]).any(axis=0)
-    reach = context.broadcast(limits)
+    reach = share(spark, limits)
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, asked, _, _, cells = shared.value
-        best, pairs = _Nearest(len(asked), k), 0
+        names, asked, _, _, cells = shared()
+        best, pairs, within = _Nearest(len(asked), k), 0, reach()
         for batch in batches:
             if batch.num_rows:
-                pairs += _compare(asked, reach.value, best, cells, batch, k)
+                pairs += _compare(asked, within, best, cells, batch, k)
         if compared is not None:
             compared.add(pairs)
         yield best.rows(names)
@@ -449,7 +450,7 @@ def _search_blocks(
 ) -> DataFrame:
     """Questions meet the blocks of their nearest cells, which limits them, and then all
     blocks within the limit."""
-    shared = questions.sparkSession.sparkContext.broadcast(cells)
+    shared = share(questions.sparkSession, cells)
     kind = dict(questions.dtypes)["embedding"]
     stored = vectors.select("block", "vec_id", "embedding")
 
@@ -457,7 +458,7 @@ def _search_blocks(
         """Questions with every block that ``pick`` names for them."""
 
         def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            cells = shared.value
+            cells = shared()
             for batch in batches:
                 for part in (batch.slice(low, ROWS_AT_ONCE) for low in range(0, batch.num_rows, ROWS_AT_ONCE)):
                     asked = _matrix(part.column("embedding"))

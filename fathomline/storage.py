@@ -7,11 +7,13 @@ column pruning, and cut the lineage.
 
 from __future__ import annotations
 
+import pickle
 import re
 import tempfile
 import uuid
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -116,6 +118,13 @@ def remove_scratch(df: DataFrame) -> None:
             remove_folder(spark, f"{root}/{bare[len(root) + 1 :].split('/')[0]}")
 
 
+def share(spark: SparkSession, value: object) -> Callable[[], object]:
+    """A function that gives ``value`` inside tasks. It is broadcast, together with its
+    class, so tasks need not be able to import this package."""
+    sent = spark.sparkContext.broadcast(cloudpickle.dumps(value))
+    return lambda: pickle.loads(sent.value)
+
+
 def spread(df: DataFrame, *keys: str) -> DataFrame:
     """Spread a scan with too few splits for this cluster; leave others alone."""
     wanted = df.sparkSession.sparkContext.defaultParallelism

@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import math
+import random
 import re
 from collections import Counter
 
@@ -8,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from fathomline.operators import indexing, retrieval
-from fathomline.operators.indexing import chunk_lengths, tfidf_index, tfidf_weights
+from fathomline.operators.indexing import tfidf_index
 
 CHUNKS = [
     "the cat sat on the mat",
@@ -82,29 +83,69 @@ def test_large_question_sets_give_the_same(spark, chunks, questions, index):
     assert rows(hits) == rows(retrieval.tfidf_retrieve(questions, chunks, index, 3, pad=False))
 
 
-def test_rare_terms_by_shuffle_give_the_same_lengths(spark, chunks, index):
-    whole = {r.chunk_index: r.length for r in index.lengths.collect()}
+def test_rare_terms_by_shuffle_give_the_same_weights(spark, chunks, index):
+    whole = {(r.chunk_index, r.term): r.weight for r in index.weights.collect()}
     for limit in (0, 200, 400):
-        split = {r.chunk_index: r.length for r in chunk_lengths(index.postings, index.idf, limit).collect()}
-        assert split == pytest.approx(whole)
+        other = tfidf_index(chunks, limit=limit)
+        assert {(r.chunk_index, r.term): r.weight for r in other.weights.collect()} == pytest.approx(whole)
 
 
 def test_weights_have_unit_length(spark, index):
-    sums = tfidf_weights(index).groupBy("chunk_index").agg(F.sum(F.col("weight") ** 2).alias("s")).collect()
+    sums = index.weights.groupBy("chunk_index").agg(F.sum(F.col("weight") ** 2).alias("s")).collect()
     assert [r.s for r in sums] == pytest.approx([1.0] * len(sums))
 
 
+def test_views_of_the_blocks(spark, chunks, index):
+    postings = {(r.chunk_index, r.term): r.tf for r in index.postings.collect()}
+    assert postings == {(r.chunk_index, r.term): r.tf for r in indexing.term_frequencies(chunks).collect()}
+    idf = {r.term: r.idf for r in index.idf.collect()}
+    assert idf == {
+        r.term: r.idf
+        for r in indexing.inverse_document_frequency(index.postings, indexing.corpus_size(chunks)).collect()
+    }
+    lengths = {r.chunk_index: r.length for r in index.lengths.collect()}
+    for chunk, length in lengths.items():
+        assert length == pytest.approx(math.sqrt(sum((n * idf[t]) ** 2 for (c, t), n in postings.items() if c == chunk)))
+
+
 def test_scoring_does_not_move_the_postings(spark, chunks, questions, index):
+    for small in (True, False):
+        asked = indexing.question_terms(questions, index.idf, small=True)
+        best = retrieval.best_chunks if small else retrieval.best_chunks_in_passes
+        text = plan(retrieval.top_k(best(asked, index, 3), 3))
+        assert text.count("WindowGroupLimit") == 2
+        assert "CartesianProduct" not in text and "BroadcastNestedLoopJoin" not in text
+        # one exchange, of the hits after the first group limit
+        assert text.count("Exchange") == text.count("Exchange hashpartitioning(index") == 1
+        assert "In(term" in text and "Join" not in text
+
+
+def corpus(spark, n=5000, seed=2):
+    """Chunks of a few topics, neighbours alike, and questions on them."""
+    rng = random.Random(seed)
+    topic = lambda i: [f"t{i}w{rng.randrange(40)}" for _ in range(12)]
+    common = lambda m: [f"common{rng.randrange(8)}" for _ in range(m)]
+    texts = [" ".join(topic(i // 100) + common(10)) for i in range(n)]
+    texts[900:950] = [texts[899]] * 50
+    asked = [" ".join(topic(rng.randrange(n // 100)) + common(4)) for _ in range(60)] + [texts[899], "common1", "none at all"]
+    return (
+        spark.createDataFrame(list(enumerate(texts)), "chunk_index long, text string"),
+        spark.createDataFrame(list(enumerate(asked)), "index long, question string"),
+    )
+
+
+def test_bounds_leave_out_blocks_and_no_hit(spark, monkeypatch):
+    monkeypatch.setattr(retrieval, "CELLS", 5000)
+    chunks, questions = corpus(spark)
+    index = tfidf_index(chunks, buckets=2)
     asked = indexing.question_terms(questions, index.idf, small=True)
-    scores = retrieval.tfidf_scores(asked, index, small=True)
-    text = plan(retrieval.top_k(scores, 3))
-    assert text.count("WindowGroupLimit") == 2
-    assert "CartesianProduct" not in text and "BroadcastNestedLoopJoin" not in text
-    above = text[: text.index("fathomline_postings")]
-    # one exchange, after the first group limit
-    assert above.count("Exchange hashpartitioning(index") == 1
-    assert "Exchange hashpartitioning(chunk_index" not in text
-    assert "Exchange hashpartitioning(term" not in text
+    every = rows(retrieval.top_k(retrieval.tfidf_scores(asked, index, True).where("score > 0"), 5))
+    work = retrieval.Work(spark)
+    assert rows(retrieval.top_k(retrieval.best_chunks(asked, index, 5, work), 5)) == every
+    assert work.skipped() > 0.3
+    found = retrieval.best_chunks_in_passes(asked, index, 5, limit=2000)
+    assert plan(found).count("MapInArrow") > 5
+    assert rows(retrieval.top_k(found, 5)) == every
 
 
 def test_empty_corpus(spark, questions):
@@ -133,7 +174,7 @@ def test_kept_index_opens_with_its_buckets(spark, chunks, questions, tmp_path):
     again = indexing.open_index(spark, path)
     after = retrieval.tfidf_retrieve(questions, chunks, again, 3)
     assert sorted(map(tuple, after.collect())) == sorted(map(tuple, before))
-    scored = indexing.with_lengths(again.postings, again.lengths)
+    scored = again.blocks.groupBy("block").count()
     assert "Exchange" not in plan(scored) and "SelectedBucketsCount: 3 out of 3" in plan(scored)
     again.close()
     assert not [t for t in spark.catalog.listTables() if t.name in plan(scored)]
@@ -143,7 +184,7 @@ def test_scratch_index_is_removed(spark, chunks):
     import os
 
     built = tfidf_index(chunks)
-    files = [f.removeprefix("file://") for f in built.postings.inputFiles() + built.idf.inputFiles()]
+    files = [f.removeprefix("file://") for f in built.blocks.inputFiles() + built.idf.inputFiles()]
     assert all(os.path.exists(f) for f in files)
     built.close(remove=True)
     assert not any(os.path.exists(f) for f in files)
@@ -151,7 +192,7 @@ def test_scratch_index_is_removed(spark, chunks):
 
 def test_scan_reads_only_question_terms_and_sorts_no_pairs(spark, chunks, questions, index):
     asked = indexing.question_terms(questions, index.idf, True)
-    found = plan(retrieval.best_chunks(asked, index, 3, True))
+    found = plan(retrieval.best_chunks(asked, index, 3))
     assert "PushedFilters: [In(term" in found or "In(term" in found
     assert "Aggregate" not in found.split("MapInArrow")[0] and "Window" not in found
 
@@ -159,8 +200,7 @@ def test_scan_reads_only_question_terms_and_sorts_no_pairs(spark, chunks, questi
 @pytest.mark.parametrize("cells", [1, 7, 1 << 20])
 def test_blocks_do_not_change_the_scores(spark, chunks, questions, index, monkeypatch, cells):
     monkeypatch.setattr(retrieval, "CELLS", cells)
-    monkeypatch.setattr(retrieval, "QUESTIONS_PER_BLOCK", 2)
-    monkeypatch.setattr(retrieval, "ROWS_PER_BUCKET", 2)
+    monkeypatch.setattr(retrieval, "PASS_BYTES", 100)
     small, large = (
         sorted(map(tuple, retrieval.tfidf_retrieve(questions, chunks, index, 3, small=s).collect())) for s in (True, False)
     )
