@@ -31,7 +31,7 @@ from fathomline.operators.testcases import (
     zip_align,
 )
 from fathomline.operators.vector_index import knn_approx, open_vector_index, vector_index
-from fathomline.plans.corpus import chunk_table
+from fathomline.plans.corpus import chunk_table, counted_chunk_table
 from fathomline.plans.evaluation import EvaluationSet, Scorer
 from fathomline.plans.rag import DenseRag, TfIdfRag
 from fathomline.plans.synthesis import qa_dataset
@@ -208,7 +208,7 @@ def chunk_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def chunk_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chunking.chunk_stats(load_pages(documents(spark, sf_dir)), chunks(spark, sf_dir))
+    return counted_chunk_table(documents(spark, sf_dir))[1]
 
 
 # -- keyword index and retrieval ------------------------------------------

@@ -8,13 +8,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fathomline.functions import hashing, packing
 from fathomline.functions import text as txt
 from fathomline.operators.embedding import Embedder, embed_lists, map_lists
-from fathomline.storage import number_rows
+from fathomline.storage import broadcast_if_small, in_order, materialise, running_totals
 
 # Chunker defaults.
 CHUNK_SIZE = 500
@@ -22,6 +22,8 @@ SENTENCE_OVERLAP = 50
 MIN_SENTENCES = 5
 SIMILARITY_THRESHOLD = 0.2
 CHUNKERS = ("sentence_chunker", "recursive_chunker", "semantic_chunker")
+#: the column that tells pages apart
+PAGE = "_page"
 
 
 #: counts the tokens of a list of texts, for example with a tokenizer
@@ -126,11 +128,13 @@ def semantic_chunks(
 
 
 def _flatten(packed: DataFrame) -> DataFrame:
-    """One row per chunk; a page without sentences gives none."""
+    """One row per chunk; a page without sentences gives none. A ``PAGE`` column stays."""
     chunk = packing.assemble(F.col("_items"), F.col("_bounds"))
+    kept = [c for c in packed.columns if c == PAGE]
     return packed.select(
-        "doc_id", "page_no", F.posexplode(chunk).alias("chunk_pos", "_chunk")
+        *kept, "doc_id", "page_no", F.posexplode(chunk).alias("chunk_pos", "_chunk")
     ).select(
+        *kept,
         "doc_id",
         "page_no",
         "chunk_pos",
@@ -153,17 +157,30 @@ def chunk_documents(
     raise ValueError(f"chunker {chunker!r} is not supported; use one of {', '.join(CHUNKERS)}")
 
 
-def global_chunk_index(ordered_chunks: DataFrame) -> DataFrame:
-    """Dense ``chunk_index`` over chunks of pages sorted with ``in_order``."""
-    return number_rows(ordered_chunks, "chunk_index", "chunks")
+def marked_pages(pages: DataFrame) -> DataFrame:
+    """Add a number of its own to every page, also to pages that repeat an id."""
+    return pages.withColumn(PAGE, F.monotonically_increasing_id())
 
 
-def chunk_stats(pages: DataFrame, chunks: DataFrame) -> DataFrame:
-    """Pages in and chunks out, as one row per measure."""
-    return (
-        pages.agg(F.count("*").alias("n"))
-        .select(F.lit("pages").alias("measure"), "n")
-        .unionByName(
-            chunks.agg(F.count("*").alias("n")).select(F.lit("chunks").alias("measure"), "n")
-        )
+def global_chunk_index(chunks: DataFrame) -> DataFrame:
+    """Dense ``chunk_index`` by ``doc_id``, ``page_no`` and ``chunk_pos`` over the chunks of
+    ``marked_pages``.
+
+    Texts are written where they are. Only the ids of the pages and their number of chunks
+    are sorted, and each page's first number comes back to its chunks: the texts stay in
+    place if the pages measure small, else this join is the one time that they move.
+    """
+    stored = materialise(chunks, "chunks")
+    pages = stored.groupBy(PAGE).agg(
+        F.first("doc_id").alias("doc_id"), F.first("page_no").alias("page_no"), F.count("*").alias("_n")
     )
+    first = running_totals(in_order(pages, "doc_id", "page_no", PAGE), "_n", "_first", "page-counts")
+    side = broadcast_if_small(first.select(PAGE, "_first"), 32)
+    numbered = stored.join(side, PAGE)
+    columns = [c for c in stored.columns if c != PAGE]
+    return numbered.select((F.col("_first") + F.col("chunk_pos")).alias("chunk_index"), *columns)
+
+
+def chunk_stats(spark: SparkSession, pages: int, chunks: int) -> DataFrame:
+    """Pages in and chunks out, as one row per measure."""
+    return spark.createDataFrame([("pages", pages), ("chunks", chunks)], "measure string, n long")

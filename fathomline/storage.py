@@ -164,6 +164,29 @@ def number_rows(ordered: DataFrame, name: str, label: str) -> DataFrame:
     return numbered.select((F.col("_before") + F.col("_row")).alias(name), *columns)
 
 
+def running_totals(ordered: DataFrame, value: str, name: str, label: str) -> DataFrame:
+    """Sum of ``value`` over the rows before, for a frame that is already in global order.
+
+    Like ``number_rows``: the frame is written once, the sums inside a file come from a window
+    over that file, and one sum per file reaches the driver.
+    """
+    stored = materialise(ordered, label)
+    columns = stored.columns
+    placed = stored.select(
+        *columns, F.col("_metadata.file_name").alias("_file"), F.col("_metadata.row_index").alias("_row")
+    )
+    sums = {r["_file"]: r["n"] for r in placed.groupBy("_file").agg(F.sum(value).alias("n")).collect()}
+    offsets, before = [], 0
+    for file in sorted(sums, key=_file_order):
+        offsets.append((file, before))
+        before += sums[file]
+    small = stored.sparkSession.createDataFrame(offsets, "_file string, _before long")
+    so_far = F.sum(value).over(W.partitionBy("_file").orderBy("_row"))
+    # one row per written file, as collected above
+    summed = placed.withColumn("_total", so_far).join(F.broadcast(small), "_file")
+    return summed.select((F.col("_before") + F.col("_total") - F.col(value)).alias(name), *columns)
+
+
 def _file_order(name: str) -> tuple[int, str]:
     """``part-00012-<id>-c000...``: task number, then file within the task."""
     return int(name.split("-")[1]), name.rsplit("c", 1)[-1]

@@ -12,7 +12,7 @@ from fathomline.functions import hashing, packing
 from fathomline.functions import text as txt
 from fathomline.operators import chunking
 from fathomline.operators.cleaning import validate_records
-from fathomline.plans.corpus import chunk_table
+from fathomline.plans.corpus import chunk_table, counted_chunk_table
 from fathomline.sources.documents import load_pages
 
 
@@ -167,6 +167,36 @@ def test_one_document_with_most_pages_is_spread(spark):
     assert len(chunks.inputFiles()) > 1
 
 
+def test_texts_are_read_once_and_counted_on_the_way(spark):
+    reads = spark.sparkContext.accumulator(0)
+
+    def seen(text):
+        reads.add(1)
+        return text
+
+    rows = [(i % 40, f"One {i}.\fTwo {i}. Three.\f", "s") for i in range(100)] + [(7, None, "s"), (8, "", "s")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(9)
+    docs = docs.withColumn("text", F.udf(seen, "string").asNondeterministic()("text"))
+    chunks, counts = counted_chunk_table(docs, chunk_size=2, overlap=0)
+    found = chunks.orderBy("chunk_index").collect()
+    assert reads.value == len(rows)
+    assert [r.chunk_index for r in found] == list(range(300))
+    # pages that repeat an id keep numbers of their own, and their chunks stay together
+    assert [(r.doc_id, r.page_no) for r in found] == sorted((r.doc_id, r.page_no) for r in found)
+    assert all(b.chunk_pos in (0, a.chunk_pos + 1) for a, b in zip(found, found[1:]))
+    assert {r.measure: r.n for r in counts.collect()} == {"pages": 301, "chunks": 300}
+    assert spark.createDataFrame([], docs.schema).transform(chunk_table).count() == 0
+
+
+def test_many_pages_number_the_same_without_a_broadcast(spark, monkeypatch):
+    docs = spark.createDataFrame(
+        [(i, "One. Two.\fThree. " * (i % 4), "s") for i in range(50)], "doc_id long, text string, source string"
+    )
+    whole = sorted(map(tuple, chunk_table(docs, chunk_size=1, overlap=0).collect()))
+    monkeypatch.setattr(chunking, "broadcast_if_small", lambda df, size: df.hint("shuffle_hash"))
+    assert sorted(map(tuple, chunk_table(docs, chunk_size=1, overlap=0).collect())) == whole
+
+
 def test_validate_records(spark):
     df = spark.createDataFrame(
         [("q", ["a"]), (None, ["a"]), ("q", None), ("q", ["a", None])], "question string, docs array<string>"
