@@ -31,7 +31,7 @@ from fathomline.storage import (
 )
 
 #: chunks in a block
-BLOCK = 256
+BLOCK = 1024
 #: the row of a block that holds the chunk lengths as weights; terms are never empty
 LENGTHS = ""
 _COUNTS = "block long, term string, chunks array<int>, tfs array<int>"
@@ -229,15 +229,17 @@ def tfidf_index(
     remove_scratch(counts)
     drop_table(counts)
     if path is not None:
-        layout = chunks.sparkSession.createDataFrame([(buckets,)], "buckets int")
+        layout = chunks.sparkSession.createDataFrame([(buckets, BLOCK)], "buckets int, block int")
         layout.coalesce(1).write.json(part("layout"))
     return TfIdfIndex(blocks, idf)
 
 
 def open_index(spark: SparkSession, path: str) -> TfIdfIndex:
     """An index that ``tfidf_index`` kept at ``path``, with its buckets."""
-    buckets = spark.read.schema("buckets int").json(f"{path}/layout").first()["buckets"]
-    blocks = open_bucketed(spark, f"{path}/postings", _BLOCKS, "block", buckets, "postings", "term")
+    layout = spark.read.schema("buckets int, block int").json(f"{path}/layout").first()
+    if layout["block"] != BLOCK:
+        raise ValueError(f"the index has blocks of {layout['block']} chunks, not {BLOCK}; build it again")
+    blocks = open_bucketed(spark, f"{path}/postings", _BLOCKS, "block", layout["buckets"], "postings", "term")
     return TfIdfIndex(blocks, spark.read.parquet(f"{path}/idf"))
 
 

@@ -163,16 +163,12 @@ def _lloyd_step(sample: DataFrame, middle: np.ndarray) -> np.ndarray:
             [pa.array(held), pa.array(rows[held]), pa.ListArray.from_arrays(offsets, flat)], ["cell", "rows", "total"]
         )
 
-    def whole(parts: pa.Table) -> pa.Table:
-        rows = parts.column("rows").to_numpy().sum()
-        mean = _matrix(parts.column("total")).sum(axis=0) / rows
-        return pa.table({"cell": parts.column("cell").slice(0, 1), "total": [mean.tolist()]})
-
     sums = sample.select("embedding").mapInArrow(partial, "cell long, rows long, total array<double>")
-    moved = sums.groupBy("cell").applyInArrow(whole, "cell long, total array<double>").toArrow()
+    by_axis = sums.select("cell", "rows", F.posexplode("total").alias("axis", "value"))
+    mean = F.sum("value") / F.sum("rows")
+    moved = by_axis.groupBy("cell", "axis").agg(mean.alias("mean")).toArrow()
     middle = middle.copy()
-    if moved.num_rows:
-        middle[moved.column("cell").to_numpy()] = _matrix(moved.column("total"))
+    middle[moved.column("cell").to_numpy(), moved.column("axis").to_numpy()] = moved.column("mean").to_numpy()
     return middle
 
 

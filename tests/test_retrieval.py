@@ -136,7 +136,9 @@ def corpus(spark, n=5000, seed=2):
 
 def test_bounds_leave_out_blocks_and_no_hit(spark, monkeypatch):
     monkeypatch.setattr(retrieval, "CELLS", 5000)
-    chunks, questions = corpus(spark)
+    monkeypatch.setattr(retrieval, "BLOCK", 128)
+    monkeypatch.setattr(indexing, "BLOCK", 128)
+    chunks, questions = corpus(spark, 3000)
     index = tfidf_index(chunks, buckets=2)
     asked = indexing.question_terms(questions, index.idf, small=True)
     every = rows(retrieval.top_k(retrieval.tfidf_scores(asked, index, True).where("score > 0"), 5))
@@ -180,6 +182,13 @@ def test_kept_index_opens_with_its_buckets(spark, chunks, questions, tmp_path):
     assert not [t for t in spark.catalog.listTables() if t.name in plan(scored)]
 
 
+def test_index_of_other_blocks_is_refused(spark, chunks, tmp_path, monkeypatch):
+    tfidf_index(chunks, path=str(tmp_path / "index")).close()
+    monkeypatch.setattr(indexing, "BLOCK", 7)
+    with pytest.raises(ValueError, match="build it again"):
+        indexing.open_index(spark, str(tmp_path / "index"))
+
+
 def test_scratch_index_is_removed(spark, chunks):
     import os
 
