@@ -22,6 +22,7 @@ from fathomline.operators import chunking, indexing, metrics, reporting, retriev
 from fathomline.operators.cleaning import clean_pages, project_page_text, validate_records
 from fathomline.operators.embedding import embed_texts
 from fathomline.operators.generation import error_to_empty, generate
+from fathomline.operators.ledger import Ledger, generate_once
 from fathomline.operators.neighbours import knn_exact
 from fathomline.operators.testcases import (
     attach_predictions,
@@ -422,6 +423,16 @@ def generate_with_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def ledger_restart(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every turn as a prompt, in two runs with one ledger. The second run's model would
+    answer otherwise, so its replies show which prompts were asked again."""
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.col("text").alias("prompt"))
+    kept = Ledger(spark, scratch_path(spark, "turn-calls"))
+    kept.ask(turns.where("turn < 2"), model=lambda ps: [f"first {len(p)}" for p in ps], batch_size=16, in_flight=3)
+    again = generate_once(turns, kept, model=lambda ps: [f"second {len(p)}" for p in ps], batch_size=16)
+    return again.select("conv_id", "turn", "output", "error")
+
+
 def answered_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     answered = TfIdfRag(chunks(spark, sf_dir), k=5).answer(qa(spark, sf_dir))
     return answered.select(
@@ -735,9 +746,36 @@ def judge_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("index.conv_id", "index.turn", "score", "n_statements", "n_failed", "error")
 
 
+def _reading_judge(prompts: list[str]) -> list[str]:
+    """Reads the task: a statement helps with a question that has its second word; text
+    supports a statement, and a passage is of use for an answer, that stands in it word
+    for word. Fails on statements and answers of some lengths."""
+    replies = []
+    for p in prompts:
+        task, body = p.split("\n", 1)
+        if task == "Does the statement help to answer the question?":
+            question, statement = body.split("\nQuestion: ", 1)[1].removesuffix("\n").rsplit("\nStatement: ", 1)
+            holds = (statement.split(" ") + [""])[1] in question
+        elif task == "Does the evidence support the statement?":
+            statement, evidence = body.split("\nStatement: ", 1)[1].split("\nEvidence: ", 1)
+            holds = statement in evidence
+        elif task == "Does the passage help to arrive at the expected answer to the question?":
+            statement, passage = body.split("\nExpected answer: ", 1)[1].split("\nPassage: ", 1)
+            holds = statement in passage
+        else:
+            raise RuntimeError("no such task")
+        if len(statement) % 11 == 0:
+            raise ValueError("too long")
+        replies.append('{"verdict": "%s"}' % ("yes" if holds else "no"))
+    return replies
+
+
 def judged_scorer(spark: SparkSession, sf_dir: str) -> Scorer:
-    """All four metrics from a scripted judge that fails on some statements."""
-    made = Scorer(evaluation_set(spark, sf_dir).test_cases, make_judge=lambda: _strict_judge)
+    """All four metrics from a scripted judge that reads the task of each metric and fails on
+    some statements; its calls overlap and are kept in a ledger."""
+    kept = Ledger(spark, scratch_path(spark, "judged-calls"))
+    cases = evaluation_set(spark, sf_dir).test_cases
+    made = Scorer(cases, make_judge=lambda: _reading_judge, calls={"in_flight": 4, "ledger": kept})
     made.calculate_scores()
     return made
 
@@ -803,6 +841,7 @@ def own_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "render_prompt": rendered_prompts,
         "extractive_answer": extractive_answer,
         "generate_with_errors": generate_with_errors,
+        "ledger_restart": ledger_restart,
         "answer_questions": answered_questions,
         "answer_with_failures": answer_with_failures,
         "qa_from_turns": turn_pairs,

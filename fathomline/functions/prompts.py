@@ -21,6 +21,9 @@ Answer: <answer, at most 300 characters>"""
 _RATING_FORMAT = """Reply with one JSON object and nothing else:
 {{"Evaluation": "<your reasons>", "Score": "<whole number from 1 to 5>"}}"""
 
+_VERDICT_FORMAT = """Reply with one JSON object and nothing else:
+{{"verdict": "<yes or no>", "reason": "<your reasons>"}}"""
+
 TEMPLATES = {
     "qa_generation": f"""Write one question that this passage answers, and its answer.
 Stay within the passage, keep its language, and do not mention the passage itself.
@@ -65,9 +68,13 @@ Passages:
 Write a short answer that these passages support, with the numbers of those you used. Write
 nothing if they do not answer it.
 """,
-    "chat_answer": """Use only facts found in the context.
-{input}
-Context: {context}""",
+    "chat_answer": """Answer from these passages and from nothing else.
+
+Passages:
+{context}
+
+Asked: {input}
+""",
     "context_answer": """Question: {question}
 
 These passages were found for it:
@@ -103,12 +110,25 @@ Total rating: <whole number from 1 to 5>
 Question: {question}
 Answer: {answer}
 """,
-    "judge_support": """Does the evidence support the statement?
-Reply with one JSON object and nothing else:
-{{"verdict": "<yes or no>", "reason": "<your reasons>"}}
+    "judge_support": f"""Does the evidence support the statement?
+{_VERDICT_FORMAT}
 
-Statement: {statement}
-Evidence: {evidence}
+Statement: {{statement}}
+Evidence: {{evidence}}
+""",
+    "judge_relevance": f"""Does the statement help to answer the question?
+It need not be true, but it must be about what was asked.
+{_VERDICT_FORMAT}
+
+Question: {{question}}
+Statement: {{statement}}
+""",
+    "judge_usefulness": f"""Does the passage help to arrive at the expected answer to the question?
+{_VERDICT_FORMAT}
+
+Question: {{question}}
+Expected answer: {{statement}}
+Passage: {{evidence}}
 """,
 }
 

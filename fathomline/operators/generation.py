@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import asyncio
+import inspect
 import time
-from collections.abc import Callable, Iterator
+from collections import deque
+from collections.abc import Callable, Iterable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -13,6 +17,7 @@ from pyspark.sql import functions as F
 ATTEMPTS = 3
 BATCH_SIZE = 256
 
+#: from prompts to replies; may be a coroutine function
 Model = Callable[[list[str]], list]
 
 
@@ -45,7 +50,8 @@ def _answer_batch(
     single prompts: a bad prompt fails alone, after about ``2 log2 n`` more batches."""
 
     def ask() -> list:
-        replies = list(model(prompts))
+        told = model(prompts)
+        replies = list(asyncio.run(told) if inspect.isawaitable(told) else told)
         if len(replies) != len(prompts):
             raise ValueError(f"the model gave {len(replies)} replies to {len(prompts)} prompts")
         return [normalise_output(r) for r in replies]
@@ -60,6 +66,35 @@ def _answer_batch(
     return halves[0][0] + halves[1][0], halves[0][1] + halves[1][1]
 
 
+def answered(
+    model: Model,
+    batches: Iterable[list[str]],
+    attempts: int = ATTEMPTS,
+    pause: float = 0.0,
+    in_flight: int = 1,
+) -> Iterator[tuple[list, list]]:
+    """Outputs and errors of every batch, in the order of the batches.
+
+    Up to ``in_flight`` batches wait for the model at a time, in threads of this task; no
+    more are drawn from ``batches`` ahead of the results. ``model`` must then bear
+    calls from several threads.
+    """
+    if in_flight < 1:
+        raise ValueError("in_flight must be positive")
+    if in_flight == 1:
+        for batch in batches:
+            yield _answer_batch(model, batch, attempts, pause)
+        return
+    with ThreadPoolExecutor(in_flight) as pool:
+        waiting: deque = deque()
+        for batch in batches:
+            waiting.append(pool.submit(_answer_batch, model, batch, attempts, pause))
+            if len(waiting) == in_flight:
+                yield waiting.popleft().result()
+        while waiting:
+            yield waiting.popleft().result()
+
+
 def model_column(
     prompt: Column,
     model: Model | None = None,
@@ -67,12 +102,14 @@ def model_column(
     attempts: int = ATTEMPTS,
     batch_size: int = BATCH_SIZE,
     pause: float = 0.0,
+    in_flight: int = 1,
 ) -> Column:
     """``struct<output, error>`` of a model call on ``prompt``.
 
     Only the prompt crosses to Python, ``batch_size`` prompts per call; a null prompt is
     not sent and gives a null output. ``make_model``
-    builds a client once per task; otherwise ``model`` must be picklable. The
+    builds a client once per task; otherwise ``model`` must be picklable. A task keeps up
+    to ``in_flight`` calls waiting at a time (see ``answered``). The
     call is marked non-deterministic, so Spark never duplicates it; write the
     result before several jobs read it.
     """
@@ -87,9 +124,10 @@ def model_column(
             asked = prompts.notna()
             if asked.any():
                 waiting, outputs, errors = prompts[asked].tolist(), [], []
-                for at in range(0, len(waiting), batch_size):
-                    told = _answer_batch(client, waiting[at : at + batch_size], attempts, pause)
-                    outputs, errors = outputs + told[0], errors + told[1]
+                parts = (waiting[at : at + batch_size] for at in range(0, len(waiting), batch_size))
+                for told in answered(client, parts, attempts, pause, in_flight):
+                    outputs += told[0]
+                    errors += told[1]
                 replies.loc[asked, "output"] = outputs
                 replies.loc[asked, "error"] = errors
             yield replies.where(replies.notna(), None)
@@ -107,9 +145,11 @@ def generate(
     attempts: int = ATTEMPTS,
     batch_size: int = BATCH_SIZE,
     pause: float = 0.0,
+    in_flight: int = 1,
 ) -> DataFrame:
     """Add the model output and an error column; an output is null on error."""
-    called = df.withColumn("_reply", model_column(F.col(prompt), model, make_model, attempts, batch_size, pause))
+    reply = model_column(F.col(prompt), model, make_model, attempts, batch_size, pause, in_flight)
+    called = df.withColumn("_reply", reply)
     return called.withColumns(
         {output: F.col("_reply.output"), error: F.col("_reply.error")}
     ).drop("_reply")

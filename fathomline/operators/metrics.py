@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 from fathomline.functions import lexical, parsing
 from fathomline.functions import text as txt
 from fathomline.functions.prompts import TEMPLATES, render
-from fathomline.operators.generation import Model, generate
+from fathomline.operators.generation import Model
+from fathomline.operators.ledger import replied
 from fathomline.operators.retrieval import build_context
 
 
@@ -147,6 +148,7 @@ def judge_verdicts(
     evidence: Column | None = None,
     positive: str = "yes",
     make_judge: Callable[[], Model] | None = None,
+    calls: dict | None = None,
 ) -> DataFrame:
     """``(index, score, n_statements, n_failed, error)``: share of statements a judge
     model supports.
@@ -168,7 +170,8 @@ def judge_verdicts(
     # no statement, no call
     sent = F.when(F.col("_statement").isNotNull(), prompt)
     written = asked.select("index", "_statement", sent.alias("prompt"))
-    told = generate(written, judge, make_model=make_judge).select("index", "_statement", "output", "error")
+    told = replied(written, "_reply", F.col("prompt"), judge, make_judge, calls)
+    told = told.select("index", "_statement", "_reply.output", "_reply.error")
     heard = told.select("index", "_statement", verdict_of(positive).alias("v"))
     stated = F.col("_statement").isNotNull()
     failed = F.count_if(stated & F.col("v.error").isNotNull())
@@ -198,6 +201,23 @@ def verdict_of(positive: str = "yes") -> Column:
 
 
 _ASKED = "array<struct<metric:string,position:int,statement:string,evidence:string>>"
+#: what the judge is asked for a metric
+_TASKS = {
+    "Answer Relevancy": "judge_relevance",
+    "Faithfulness": "judge_support",
+    "Contextual Recall": "judge_support",
+    "Contextual Precision": "judge_usefulness",
+}
+
+
+def _judge_prompt(metric: Column, question: Column, statement: Column, evidence: Column) -> Column:
+    """The prompt of the metric's own task."""
+    values = {"question": question, "statement": statement, "evidence": evidence}
+    prompt = F.lit(None).cast("string")
+    for task in dict.fromkeys(_TASKS.values()):
+        metrics = [m for m, t in _TASKS.items() if t == task]
+        prompt = F.when(metric.isin(metrics), render(TEMPLATES[task], values)).otherwise(prompt)
+    return prompt
 
 
 def _asked(metrics: list[str]) -> Column:
@@ -219,7 +239,7 @@ def _asked(metrics: list[str]) -> Column:
         )
 
     kinds = {
-        "Answer Relevancy": lambda m: of_statements(m, "actual_output", F.col("input")),
+        "Answer Relevancy": lambda m: of_statements(m, "actual_output", F.lit("")),
         "Faithfulness": lambda m: of_statements(m, "actual_output", known),
         "Contextual Recall": lambda m: of_statements(m, "expected_output", known),
         "Contextual Precision": lambda m: each(
@@ -237,22 +257,25 @@ def judge_cases(
     judge: Model | None = None,
     make_judge: Callable[[], Model] | None = None,
     positive: str = "yes",
+    calls: dict | None = None,
 ) -> DataFrame:
     """``(index, metric, score, n_calls, n_failed, error)`` from a judge's verdicts.
 
-    One call per case, metric and statement or rank. Contextual precision is the
-    average precision of the verdicts on the ranks, the others are shares of supported
-    statements; nothing to judge scores 0. A failed call or an unreadable reply makes
+    One call per case, metric and statement or rank, with a prompt of the metric's own: does
+    a statement of the answer help to answer the question, does the retrieved text support
+    a statement, is a retrieved text of use for the expected answer. Contextual precision
+    is the average precision of the verdicts on the ranks, the others are shares of
+    statements with a positive verdict; nothing to judge scores 0. A failed call or an unreadable reply makes
     the score of its case and metric null and leaves the error there.
     """
     if not metrics:
         raise ValueError("no metric is selected")
-    asked = test_cases.select("index", F.explode(_asked(metrics)).alias("a")).select("index", "a.*")
-    prompt = render(
-        TEMPLATES["judge_support"], {"statement": F.col("statement"), "evidence": F.col("evidence")}
-    )
+    asked = test_cases.select("index", F.col("input").alias("question"), F.explode(_asked(metrics)).alias("a"))
+    asked = asked.select("index", "question", "a.*")
+    prompt = _judge_prompt(F.col("metric"), F.col("question"), F.col("statement"), F.col("evidence"))
     sent = asked.select("index", "metric", "position", prompt.alias("prompt"))
-    told = generate(sent, judge, make_model=make_judge)
+    told = replied(sent, "_reply", F.col("prompt"), judge, make_judge, calls)
+    told = told.select("index", "metric", "position", "_reply.output", "_reply.error")
     heard = told.select("index", "metric", "position", verdict_of(positive).alias("v"))
     ranks = F.array_sort(F.collect_list(F.struct("position", "v.holds")))
     failed = F.count_if(F.col("v.error").isNotNull())

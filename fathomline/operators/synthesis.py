@@ -11,7 +11,8 @@ from fathomline.functions import lexical, parsing
 from fathomline.functions import text as txt
 from fathomline.functions.prompts import CLARIFICATION, TEMPLATES, placeholders, render
 from fathomline.operators.cleaning import split_on
-from fathomline.operators.generation import Model, model_column
+from fathomline.operators.generation import Model
+from fathomline.operators.ledger import replied
 from fathomline.schemas import QA_RECORD
 
 # Fixed value: default number of records to generate.
@@ -84,27 +85,29 @@ def critique(
     kinds: tuple[str, ...] = CRITIQUES,
     judge: Model | None = None,
     make_judge: Callable[[], Model] | None = None,
+    calls: dict | None = None,
 ) -> DataFrame:
     """Add ``<kind>_score``, ``<kind>_eval`` and ``<kind>_error`` for each kind.
 
     ``df`` has ``question, answer, context``. All ratings stay on the row of their
     pair, one model call each, so nothing moves or joins. Without a judge the
-    ratings come from shared terms.
+    ratings come from shared terms. ``calls`` are options of the calls (see ``replied``).
     """
     replies, modelled = {}, judge is not None or make_judge is not None
+    asked = df if modelled else with_term_sets(df)
     for kind in kinds:
         if kind not in TEMPLATES:
             raise ValueError(f"unknown critique {kind!r}")
         if not modelled:
             output, error = lexical_critique(kind), F.lit(None).cast("string")
-            replies[f"_{kind}_reply"] = F.struct(output.alias("output"), error.alias("error"))
+            replies[kind] = f"_{kind}_reply"
+            asked = asked.withColumn(replies[kind], F.struct(output.alias("output"), error.alias("error")))
         else:
             names = placeholders(TEMPLATES[kind])
             prompt = render(TEMPLATES[kind], {p: F.col(p) for p in names})
-            replies[f"_{kind}_reply"] = model_column(prompt, judge, make_judge)
-    asked = df if modelled else with_term_sets(df)
-    rated = rate(asked.withColumns(replies), {kind: f"_{kind}_reply" for kind in kinds})
-    return rated.drop(*replies, *_TERM_SETS)
+            replies[kind] = f"_{kind}_reply"
+            asked = replied(asked, replies[kind], prompt, judge, make_judge, calls)
+    return rate(asked, replies).drop(*replies.values(), *_TERM_SETS)
 
 
 def rate(df: DataFrame, replies: dict[str, str]) -> DataFrame:

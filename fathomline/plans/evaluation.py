@@ -40,7 +40,8 @@ class Scorer:
 
     With ``judge``, or ``make_judge`` that builds one once per task, a model gives the
     verdicts of all metrics; without, shared terms do. A case and metric for which a
-    judge's call failed has no score; ``failures`` tells how many there are.
+    judge's call failed has no score; ``failures`` tells how many there are. ``calls`` are
+    options of the judge's calls (see ``replied``).
     """
 
     def __init__(
@@ -49,10 +50,11 @@ class Scorer:
         services: dict = DEFAULT_CONFIG,
         judge: Model | None = None,
         make_judge: Callable[[], Model] | None = None,
+        calls: dict | None = None,
     ) -> None:
         self.thresholds, self.skipped = select_metrics(services)
         self.test_cases = test_cases
-        self.judge, self.make_judge = judge, make_judge
+        self.judge, self.make_judge, self.calls = judge, make_judge, calls
         self._scored: DataFrame | None = None
         self._judged: DataFrame | None = None
 
@@ -64,7 +66,7 @@ class Scorer:
         else:
             # written once: no call may run again because a second job reads its result
             self._judged = materialise(
-                judge_cases(self.test_cases, names, self.judge, self.make_judge), "judged"
+                judge_cases(self.test_cases, names, self.judge, self.make_judge, calls=self.calls), "judged"
             )
             wide = self._judged.groupBy("index").agg(
                 *[F.max(F.when(F.col("metric") == m, F.col("score"))).alias(m) for m in names]

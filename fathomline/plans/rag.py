@@ -15,8 +15,9 @@ from pyspark.sql import functions as F
 from fathomline.functions.lexical import extractive_answer
 from fathomline.functions.prompts import TEMPLATES, render
 from fathomline.operators.embedding import Embedder, embed_texts
-from fathomline.operators.generation import Model, error_to_empty, model_column
+from fathomline.operators.generation import Model, error_to_empty
 from fathomline.operators.indexing import TfIdfIndex, tfidf_index
+from fathomline.operators.ledger import replied
 from fathomline.operators.neighbours import knn_exact
 from fathomline.operators.retrieval import (
     TOP_K,
@@ -35,7 +36,7 @@ from fathomline.storage import materialise
 class Rag(ABC):
     """``model`` maps a list of prompts to a list of replies; ``make_model`` builds one
     once per task. Without either the answer is the context sentence closest to the
-    question."""
+    question. ``calls`` are options of the model's calls (see ``replied``)."""
 
     template = TEMPLATES["context_answer"]
 
@@ -44,11 +45,13 @@ class Rag(ABC):
         model: Model | None = None,
         k: int = TOP_K,
         make_model: Callable[[], Model] | None = None,
+        calls: dict | None = None,
     ) -> None:
         if k < 1:
             raise ValueError("k must be positive")
         self.model = model
         self.make_model = make_model
+        self.calls = calls
         self.k = k
 
     @abstractmethod
@@ -67,7 +70,7 @@ class Rag(ABC):
     def generate(self, asked: DataFrame) -> DataFrame:
         """Add ``_reply``, a ``struct<output, error>``, to questions with context."""
         if self.model is not None or self.make_model is not None:
-            return asked.withColumn("_reply", model_column(self.prompt(), self.model, self.make_model))
+            return replied(asked, "_reply", self.prompt(), self.model, self.make_model, self.calls)
         answer = extractive_answer(F.col("question"), F.col("built_context"))
         return asked.withColumn(
             "_reply",
@@ -118,8 +121,9 @@ class TfIdfRag(Rag):
         index: TfIdfIndex | None = None,
         pad: bool = True,
         make_model: Callable[[], Model] | None = None,
+        calls: dict | None = None,
     ) -> None:
-        super().__init__(model, k, make_model)
+        super().__init__(model, k, make_model, calls)
         self.chunks = chunks
         self.index = index if index is not None else tfidf_index(chunks)
         self.pad = pad
@@ -155,8 +159,9 @@ class DenseRag(Rag):
         make_model: Callable[[], Model] | None = None,
         make_embedder: Callable[[], Embedder] | None = None,
         index: VectorIndex | None = None,
+        calls: dict | None = None,
     ) -> None:
-        super().__init__(model, k, make_model)
+        super().__init__(model, k, make_model, calls)
         self.chunks = chunks
         self.embedder, self.make_embedder = embedder, make_embedder
         self._failed: DataFrame | None = None

@@ -394,7 +394,8 @@ PARTS |= {
 
 PARTS |= {
     "judged": """SELECT index, metric, count(*) FILTER (length(statement) % 11 = 0) AS n_failed,
-            list(contains(evidence, statement) ORDER BY position) AS verdicts
+            list(CASE WHEN metric = 'Answer Relevancy' THEN contains(evidence, split_part(statement, ' ', 2))
+                ELSE contains(evidence, statement) END ORDER BY position) AS verdicts
         FROM judged_rows GROUP BY ALL""",
     "written": f"""SELECT chunk_index AS index, text AS context, 'Q: ' || source || '?' AS history,
             length({rendered(TEMPLATES["qa_generation_with_history"], {"context": "text", "history": "('Q: ' || source || '?')"})}) AS n
@@ -636,6 +637,8 @@ def oracle_sql() -> dict[str, str]:
             context AS actual_context, array_to_string(retrieval_context, chr(10)) AS retrieved,
             answer_relevancy, faithfulness, contextual_recall, contextual_precision
             FROM answers JOIN cases USING (index)""",
+        "ledger_restart": """SELECT conv_id, turn, CASE WHEN text IN (SELECT text FROM conversations WHERE turn < 2)
+            THEN 'first ' ELSE 'second ' END || length(text) AS output, NULL::VARCHAR AS error FROM conversations""",
         "evaluate_judged": """SELECT index, metric, score,
             score >= CASE WHEN metric = 'Answer Relevancy' THEN 0.5 ELSE 0.7 END AS success FROM judged_long""",
         "overall_judged": f"""SELECT o.metric, o.value, f.n_failed, f.error FROM ({overall("judged_means", DEFAULT)}) o

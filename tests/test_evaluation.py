@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from fathomline.operators import metrics
+from fathomline.operators.ledger import Ledger
 from fathomline.operators.reporting import metric_means, normalise_weights, overall_metrics
 from fathomline.operators.testcases import attach_predictions, build_goldens, qa_from_turns, qa_history, zip_align
 from fathomline.plans.evaluation import EvaluationSet, Scorer
@@ -185,3 +186,50 @@ def test_judge_verdicts(spark):
 
     failed = metrics.judge_verdicts(cases, make_judge=lambda: down).where("n_statements > 0").collect()
     assert [(r.score, r.error) for r in failed] == [(None, "OSError: down")] * 2
+
+
+def test_each_metric_has_its_own_task(spark):
+    cases = spark.createDataFrame(
+        [(0, "Who sits?", "Cats sit. It rains.", "Cats sit.", ["Cats sit.", "Fog."])],
+        "index long, input string, actual_output string, expected_output string, retrieval_context array<string>",
+    )
+
+    def judge(prompts):
+        replies = []
+        for p in prompts:
+            task = p.split("\n")[0]
+            if "help to answer" in task:
+                assert "Question: Who sits?\nStatement: " in p and "Fog" not in p
+                holds = "Statement: Cats" in p
+            elif "support" in task:
+                assert "Evidence: Cats sit. Fog." in p and "Who sits?" not in p
+                holds = "Statement: Cats" in p
+            else:
+                assert "expected answer" in task and "Question: Who sits?\nExpected answer: Cats sit.\n" in p
+                holds = "Passage: Cats" in p
+            replies.append('{"verdict": "%s"}' % ("yes" if holds else "no"))
+        return replies
+
+    names = ["Answer Relevancy", "Faithfulness", "Contextual Recall", "Contextual Precision"]
+    rows = {r.metric: (r.score, r.n_calls, r.error) for r in metrics.judge_cases(cases, names, judge).collect()}
+    assert rows == {
+        "Answer Relevancy": (0.5, 2, None),
+        "Faithfulness": (0.5, 2, None),
+        "Contextual Recall": (1.0, 1, None),
+        "Contextual Precision": (1.0, 2, None),
+    }
+
+
+def test_restarted_scorer_asks_nothing_again(spark, qa, tmp_path):
+    chunks = spark.createDataFrame([(0, "Cats sit."), (1, "Dogs fly.")], "chunk_index long, text string")
+    cases = EvaluationSet(TfIdfRag(chunks, k=1), qa).test_cases
+    kept = {"ledger": Ledger(spark, str(tmp_path / "calls")), "in_flight": 2}
+    first = Scorer(cases, judge=lambda ps: ['{"verdict": "yes"}'] * len(ps), calls=kept)
+    first.calculate_scores()
+
+    def gone(prompts):
+        raise AssertionError("asked again")
+
+    again = Scorer(cases, judge=gone, calls=kept)
+    assert as_dict(again.calculate_scores().groupBy("metric").agg(F.avg("score").alias("value"))) == as_dict(first.metric_means())
+    assert again.failures().count() == 0
