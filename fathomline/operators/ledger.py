@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fathomline.operators.generation import ATTEMPTS, BATCH_SIZE, Model, answered, model_column
-from fathomline.storage import broadcast_if_small
+from fathomline.storage import broadcast_if_small, file_store
 
 _ENTRY = pa.schema([("digest", pa.string()), ("output", pa.string()), ("error", pa.string())])
 _KINDS = "digest string, output string, error string"
@@ -43,7 +43,7 @@ class Ledger:
 
     def replies(self) -> DataFrame:
         """``(digest, output, error)``: of each prompt a reply if there is one, else an error."""
-        store, root = _store(self.path)
+        store, root = file_store(self.path)
         store.create_dir(root, recursive=True)
         entries = self.spark.read.schema(_KINDS).option("recursiveFileLookup", True).parquet(self.path)
         best = F.max(F.struct(F.col("error").isNull().alias("told"), "output", "error")).alias("b")
@@ -105,7 +105,7 @@ class _Folder:
     """What one task of one run writes; a task that is run again goes on from it."""
 
     def __init__(self, path: str, run: str, task: int) -> None:
-        self.store, root = _store(path)
+        self.store, root = file_store(path)
         self.path = f"{root}/run-{run}/task-{task:06d}"
         self.store.create_dir(self.path, recursive=True)
 
@@ -122,12 +122,6 @@ class _Folder:
         self.store.move(hidden, whole)
 
 
-def _store(path: str) -> tuple[fs.FileSystem, str]:
-    if "://" in path or path.startswith("file:"):
-        return fs.FileSystem.from_uri("file://" + path[5:] if path.startswith("file:/") and path[6:7] != "/" else path)
-    return fs.LocalFileSystem(), path
-
-
 def generate_once(
     df: DataFrame,
     ledger: Ledger,

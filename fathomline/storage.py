@@ -13,6 +13,7 @@ import tempfile
 import uuid
 from collections.abc import Callable, Sequence
 
+from pyarrow import fs
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -53,6 +54,14 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def file_store(path: str) -> tuple[fs.FileSystem, str]:
+    """A client for a path that Python code opens itself, on the driver or in a task, and the
+    path within it: a plain path of a mounted folder, or a URI that ``pyarrow.fs`` knows."""
+    if re.match(r"file:/(?!/)", path):
+        path = "file://" + path[len("file:") :]
+    return fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
+
+
 def bucket_count(spark: SparkSession, rows: int, rows_per_bucket: int = ROWS_PER_BUCKET) -> int:
     """Buckets for a table of ``rows`` chunks: one per ``rows_per_bucket``, at least one
     per core, and as many as Spark allows at most."""

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from fathomline.schemas import require
 from fathomline.sources.config import DEFAULT_CONFIG, metric_config, select_metrics
 from fathomline.sources.delimited import read_delimited, write_delimited
+from fathomline.sources import documents
 from fathomline.sources.documents import list_documents, load_binary_pages, load_pages
 from fathomline.sources.records import head_n, read_qa_dataset, rename_columns, write_json
 from fathomline.sources.vectors import load_vectors
@@ -48,14 +49,37 @@ def test_rename_ignores_unknown_names(spark):
     assert rename_columns(spark.range(1), None).columns == ["id"]
 
 
-def test_listing_filters_names_and_prunes_content(spark, tmp_path):
-    (tmp_path / "sub").mkdir()
-    for name in ("a.pdf", "b.PDF", "c.txt", "sub/d.pdf"):
-        (tmp_path / name).write_text("x")
-    found = list_documents(spark, str(tmp_path))
-    assert sorted(r.path.rsplit("/", 1)[-1] for r in found.collect()) == ["a.pdf", "d.pdf"]
-    plan = found._jdf.queryExecution().executedPlan().toString()
-    assert "content" not in plan.split("ReadSchema")[-1]
+def test_listing_filters_names_and_keeps_hidden_ones(spark, tmp_path, monkeypatch):
+    (tmp_path / "sub" / "_deep").mkdir(parents=True)
+    for name in ("a.pdf", "b.PDF", "c.txt", "sub/d.pdf", "_c.pdf", ".e.pdf", "sub/_deep/f g.pdf", "ü.pdf"):
+        (tmp_path / name).write_text("x" * len(name))
+
+    def names(root, **options):
+        found = list_documents(spark, str(root), **options).collect()
+        return sorted((r.path.removeprefix(f"{tmp_path}/"), r.length) for r in found)
+
+    every = ["a.pdf", "sub/d.pdf", "_c.pdf", ".e.pdf", "sub/_deep/f g.pdf", "ü.pdf"]
+    expected = sorted((n, len(n)) for n in every)
+    assert names(tmp_path) == expected
+    assert names(f"file://{tmp_path}") == expected
+    # tasks list what the driver has not opened
+    monkeypatch.setattr(documents, "OPENED_FOLDERS", 1)
+    assert names(tmp_path) == expected
+    assert names(tmp_path / "a.pdf") == [("a.pdf", 5)] and names(tmp_path / "c.txt") == []
+    assert names(tmp_path / "none") == [] and names(tmp_path, suffix=".txt") == [("c.txt", 5)]
+
+
+@pytest.mark.parametrize("task_bytes", [1, 40, 1 << 20])
+def test_binary_pages_by_size(spark, tmp_path, task_bytes):
+    (tmp_path / "_hidden").mkdir()
+    sizes = {f"{'_hidden/' if i % 2 else ''}_{i}.bin": i for i in range(30)}
+    for name, size in sizes.items():
+        (tmp_path / name).write_bytes(b"x" * size)
+    pages, failed = load_binary_pages(spark, str(tmp_path), lambda c: [str(len(c)), "end"], ".bin", task_bytes)
+    found = sorted((r.source.removeprefix(f"{tmp_path}/"), r.page_no, r.text) for r in pages.collect())
+    assert found == sorted((n, p, t) for n, size in sizes.items() for p, t in enumerate((str(size), "end")))
+    assert failed.count() == 0 and pages.select("doc_id").distinct().count() == 30
+    assert load_binary_pages(spark, str(tmp_path / "none"), lambda c: [""])[0].count() == 0
 
 
 def test_pages(spark, tmp_path):
