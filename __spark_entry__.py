@@ -48,6 +48,8 @@ from fathomline.sources.records import (
 )
 from fathomline.sources.vectors import load_vectors
 from fathomline.storage import materialise, scratch_path, spread
+from fathomline.streaming.numbering import number_stream, numbered_chunks
+from fathomline.streaming.row_local import read_file_stream
 
 # The training-data operators are a part that can be left out as a whole.
 try:
@@ -208,6 +210,19 @@ def chunk_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def stream_chunk_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that arrive in three portions; the query is started again for each."""
+    path, arriving = scratch_path(spark, "numbered"), documents(spark, sf_dir)
+    for portion in range(3):
+        arriving.where(F.col("doc_id") % 3 == portion).write.mode("append").parquet(f"{path}/arrived")
+        stream = read_file_stream(spark, f"{path}/arrived", arriving.schema)
+        query = number_stream(stream, path, f"{path}/checkpoint")
+        query.awaitTermination()
+    return numbered_chunks(spark, path).select(
+        "chunk_index", "doc_id", "page_no", "chunk_pos", "chunk_token_count"
+    )
+
+
 def chunk_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted_chunk_table(documents(spark, sf_dir))[1]
 
@@ -816,6 +831,7 @@ def own_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "recursive_chunks": recursive_chunks,
         "semantic_chunks": semantic_chunks,
         "chunk_index": chunk_index,
+        "stream_chunk_index": stream_chunk_index,
         "chunk_stats": chunk_stats,
         "term_freq": term_freq,
         "idf": idf,

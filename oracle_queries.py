@@ -523,6 +523,8 @@ def oracle_sql() -> dict[str, str]:
         "recursive_chunks": f"SELECT {CHUNK_COLUMNS} FROM recursive",
         "semantic_chunks": f"SELECT {CHUNK_COLUMNS} FROM semantic",
         "chunk_index": "SELECT chunk_index, doc_id, page_no, chunk_pos, chunk_token_count FROM chunks",
+        "stream_chunk_index": """SELECT row_number() OVER (ORDER BY doc_id % 3, doc_id, page_no, chunk_pos) - 1 AS chunk_index,
+            doc_id, page_no, chunk_pos, chunk_token_count FROM chunks""",
         "chunk_stats": """SELECT 'pages' AS measure, count(*) AS n FROM documents
             UNION ALL SELECT 'chunks', count(*) FROM chunks""",
         "term_freq": "SELECT chunk_index, term, tf FROM tf",
