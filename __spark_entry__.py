@@ -357,8 +357,8 @@ def knn_approximate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def knn_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The form for question sets that must not be broadcast, in small blocks of cells."""
-    return knn_approx(*_vector_pairs(spark, sf_dir), k=10, block_rows=200, small=False)
+    """The form for question sets that must not be broadcast."""
+    return knn_approx(*_vector_pairs(spark, sf_dir), k=10, small=False)
 
 
 def vector_index_reopened(spark: SparkSession, sf_dir: str) -> DataFrame:

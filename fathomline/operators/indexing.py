@@ -1,10 +1,10 @@
-"""The keyword index: postings in blocks of chunks, and corpus statistics.
+"""The keyword index: postings in blocks of chunks, chunk lengths and corpus statistics.
 
-Layout: a row holds the postings of one term in one block of neighbouring chunks, with
-their unit weights and the largest of them. Blocks are hash-partitioned once and written
-in buckets, so whatever groups by block or chunk later reads them without a shuffle, for
-any number of question batches; and a question that a block's largest weights cannot
-lift over its limit leaves that block out.
+Layout: a row holds the postings of one term in one block of neighbouring chunks, and one
+more row of each block the lengths of its chunks. Blocks are hash-partitioned once and
+written in buckets, so whatever groups by block later reads them without a shuffle, for
+any number of question batches. A term that only one block has needs no statistics
+from elsewhere; so most of a large vocabulary never moves again.
 """
 
 from __future__ import annotations
@@ -20,7 +20,6 @@ from pyspark.sql import functions as F
 
 from fathomline.functions import text as txt
 from fathomline.storage import (
-    BROADCAST_BYTES,
     bucket_count,
     bucketed,
     drop_table,
@@ -28,45 +27,49 @@ from fathomline.storage import (
     materialise,
     open_bucketed,
     remove_scratch,
+    table_name,
 )
 
 #: chunks in a block
 BLOCK = 1024
-#: the row of a block that holds the chunk lengths as weights; terms are never empty
+#: the term of the row with a block's lengths; others are never empty
 LENGTHS = ""
-_COUNTS = "block long, term string, chunks array<int>, tfs array<int>"
-_BLOCKS = f"{_COUNTS}, weights array<double>, most double"
+#: of the vocabulary, what may be broadcast
+VOCABULARY_BYTES = 32 * 1024 * 1024
+_POSTINGS = "block long, term string, chunks array<int>, tfs array<int>"
+_BLOCKS = f"{_POSTINGS}, lengths array<double>"
 
 
 @dataclass(frozen=True)
 class TfIdfIndex:
-    """``blocks(block, term, chunks, tfs, weights, most)`` in buckets of ``block``, and
+    """``blocks(block, term, chunks, tfs, lengths)`` in buckets of ``block``, and
     ``idf(term, df, idf)``. ``chunks`` are places within the block."""
 
     blocks: DataFrame
     idf: DataFrame
 
-    def _unfolded(self, *lists: str) -> DataFrame:
+    def _unfolded(self, rows: DataFrame, values: str, name: str) -> DataFrame:
         chunk = (F.col("block") * BLOCK + F.col("_p.chunks")).alias("chunk_index")
-        rows = self.blocks.select("block", "term", F.explode(F.arrays_zip("chunks", *lists)).alias("_p"))
-        return rows.select(chunk, "term", *[F.col(f"_p.{name}").alias(name) for name in lists])
+        pairs = rows.select("block", "term", F.explode(F.arrays_zip("chunks", values)).alias("_p"))
+        return pairs.select(chunk, "term", F.col(f"_p.{values}").alias(name))
 
     @property
     def postings(self) -> DataFrame:
         """``(chunk_index, term, tf)``."""
-        found = self._unfolded("tfs").where(F.col("term") != LENGTHS)
-        return found.select("chunk_index", "term", F.col("tfs").cast("long").alias("tf"))
-
-    @property
-    def weights(self) -> DataFrame:
-        """``(chunk_index, term, weight)`` with weights of unit length per chunk."""
-        return self._unfolded("weights").where(F.col("term") != LENGTHS).withColumnRenamed("weights", "weight")
+        found = self._unfolded(self.blocks.where(F.col("term") != LENGTHS), "tfs", "tf")
+        return found.withColumn("tf", F.col("tf").cast("long"))
 
     @property
     def lengths(self) -> DataFrame:
         """``(chunk_index, length)``: the L2 norm of ``tf * idf`` of every chunk with terms."""
-        found = self._unfolded("weights").where(F.col("term") == LENGTHS)
-        return found.select("chunk_index", F.col("weights").alias("length"))
+        return self._unfolded(self.blocks.where(F.col("term") == LENGTHS), "lengths", "length").drop("term")
+
+    @property
+    def weights(self) -> DataFrame:
+        """``(chunk_index, term, weight)`` with weights of unit length per chunk."""
+        weight = F.col("tf") * F.col("idf") / F.col("length")
+        found = self.postings.join(self.idf.select("term", "idf"), "term").join(self.lengths, "chunk_index")
+        return found.select("chunk_index", "term", weight.alias("weight"))
 
     def close(self, remove: bool = False) -> None:
         """Take the table out of the session; ``remove`` also deletes scratch folders."""
@@ -96,10 +99,10 @@ def term_frequencies(chunks: DataFrame, buckets: int | None = None) -> DataFrame
 def inverse_document_frequency(postings: DataFrame, n_chunks: Column) -> DataFrame:
     """``ln((1 + N) / (1 + df)) + 1`` per term. Counts combine before the shuffle,
     so a term in every chunk costs one row per task."""
-    return _with_idf_column(postings.groupBy("term").agg(F.count("*").alias("df")), n_chunks)
+    return _with_idf(postings.groupBy("term").agg(F.count("*").alias("df")), n_chunks)
 
 
-def _with_idf_column(held: DataFrame, n_chunks: Column) -> DataFrame:
+def _with_idf(held: DataFrame, n_chunks: Column) -> DataFrame:
     return held.withColumn("idf", F.log((n_chunks + 1) / (F.col("df") + 1)) + 1)
 
 
@@ -126,24 +129,6 @@ def _broadcastable_df(idf: DataFrame, limit: int) -> int:
     return 1 << lowest
 
 
-def with_idf(postings: DataFrame, idf: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
-    """Add ``idf`` to postings.
-
-    A vocabulary that measures small is broadcast. Of a larger one only the most
-    frequent terms are, as many as fit; they make up most postings and all hot
-    keys. Just the postings of rare terms shuffle by term.
-    """
-    side = idf.select("term", "df", "idf")
-    if fits_in_memory(side, _term_bytes(), limit):
-        return postings.join(F.broadcast(side.drop("df")), "term")
-    split = _broadcastable_df(side, limit)
-    frequent = F.broadcast(side.where(F.col("df") >= split).drop("df"))
-    rare = side.where(F.col("df") < split).drop("df")
-    looked_up = postings.join(frequent, "term")
-    others = postings.join(frequent.select("term"), "term", "left_anti").join(rare, "term")
-    return looked_up.unionByName(others)
-
-
 def _packed(block: pa.Table) -> pa.Table:
     """The rows of a block from its chunks' terms: one per term, in order."""
     words = block.column("terms").combine_chunks()
@@ -165,73 +150,95 @@ def _packed(block: pa.Table) -> pa.Table:
     )
 
 
-def _weighed(rows: pa.Table) -> pa.Table:
-    """Add unit weights and the largest of every row to the rows of a block, and the row of
-    the chunk lengths."""
+def _measured(rows: pa.Table, rare: pa.Table, size: int) -> pa.Table:
+    """The row with the lengths of a block's chunks, from its rows with ``idf`` where that was
+    looked up, the other shared terms in ``rare``, and terms that only this block has."""
     rows = rows.sort_by("term")
-    chunks, tfs = (rows.column(c).combine_chunks() for c in ("chunks", "tfs"))
-    sizes = pc.list_value_length(chunks).to_numpy()
-    place = chunks.flatten().to_numpy()
-    values = tfs.flatten().to_numpy() * np.repeat(rows.column("idf").to_numpy(), sizes)
+    lists, tfs = (rows.column(c).combine_chunks() for c in ("chunks", "tfs"))
+    sizes = pc.list_value_length(lists).to_numpy()
+    own = pa.array(np.log((size + 1) / (sizes + 1)) + 1)
+    idf = rows.column("idf").combine_chunks()
+    if rare.num_rows:
+        at = pc.index_in(rows.column("term").combine_chunks(), rare.column("term").combine_chunks())
+        idf = pc.coalesce(idf, rare.column("idf").combine_chunks().take(at))
+    idf = pc.coalesce(idf, own).to_numpy()
+    place = lists.flatten().to_numpy()
+    values = tfs.flatten().to_numpy() * np.repeat(idf, sizes)
     lengths = np.sqrt(np.bincount(place, weights=values**2, minlength=BLOCK))
-    weights = values / lengths[place]
     held = np.flatnonzero(lengths)
-    starts = np.concatenate((np.zeros(1, np.int64), np.cumsum(sizes)))
-    lists = lambda flat, kind: pa.ListArray.from_arrays(pa.array(starts, pa.int32()), pa.array(flat, kind))
-    block = rows.column("block")
-    told = pa.table(
+    return pa.table(
         {
-            "block": block,
-            "term": rows.column("term"),
-            "chunks": lists(place, pa.int32()),
-            "tfs": lists(tfs.flatten(), pa.int32()),
-            "weights": lists(weights, pa.float64()),
-            "most": np.maximum.reduceat(weights, starts[:-1]),
+            "block": rows.column("block").slice(0, 1),
+            "term": [LENGTHS],
+            "chunks": pa.array([held], pa.list_(pa.int32())),
+            "tfs": pa.array([None], pa.list_(pa.int32())),
+            "lengths": pa.array([lengths[held]], pa.list_(pa.float64())),
         }
     )
-    whole = {
-        "block": block.slice(0, 1),
-        "term": [LENGTHS],
-        "chunks": pa.array([held], pa.list_(pa.int32())),
-        "tfs": pa.array([np.zeros(len(held))], pa.list_(pa.int32())),
-        "weights": pa.array([lengths[held]], pa.list_(pa.float64())),
-        "most": [0.0],
-    }
-    return pa.concat_tables([pa.table(whole, schema=told.schema), told])
+
+
+def chunk_lengths(postings: DataFrame, statistics: DataFrame, size: int, limit: int = VOCABULARY_BYTES) -> DataFrame:
+    """The rows of lengths for rows of ``postings`` in buckets of ``block``; ``size`` is the number
+    of chunks, ``statistics`` has ``(term, df, idf, blocks)``.
+
+    Only terms of several blocks are looked up. Of these the most frequent are broadcast, as
+    many as fit in ``limit``: they are the hot keys and most rows. The names of the others
+    shuffle by term and come back to their block; the postings stay where they are.
+    """
+    shared = statistics.where("blocks > 1").select("term", "df", "idf")
+    whole = fits_in_memory(shared, _term_bytes(), limit)
+    split = 0 if whole else _broadcastable_df(shared, limit)
+    frequent = F.broadcast(shared.where(F.col("df") >= split).drop("df"))
+    looked_up = postings.join(frequent, "term", "left").select("block", "term", "chunks", "tfs", "idf")
+    if whole:
+        none = pa.table({"term": pa.array([], pa.string()), "idf": pa.array([], pa.float64())})
+        return looked_up.groupBy("block").applyInArrow(lambda rows: _measured(rows, none, size), _BLOCKS)
+    # new names for columns of the same table, which meets itself below
+    names = postings.select(F.col("block").alias("at"), "term").join(frequent.select("term"), "term", "left_anti")
+    rare = names.join(shared.where(F.col("df") < split).drop("df"), "term")
+    rare = rare.select(F.col("at").alias("block"), F.col("term").alias("term"), F.col("idf").alias("idf"))
+
+    def measured(rows: pa.Table, others: pa.Table) -> pa.Table:
+        return _measured(rows, others, size)
+
+    return looked_up.groupBy("block").cogroup(rare.groupBy("block")).applyInArrow(measured, _BLOCKS)
 
 
 def tfidf_index(
-    chunks: DataFrame, path: str | None = None, buckets: int | None = None, limit: int = BROADCAST_BYTES
+    chunks: DataFrame, path: str | None = None, buckets: int | None = None, limit: int = VOCABULARY_BYTES
 ) -> TfIdfIndex:
     """Build and write the index of a numbered chunk table.
 
     With ``path`` it is kept there for ``open_index``; otherwise it lives in scratch
-    folders. ``buckets`` defaults to a number that follows the chunks. A vocabulary of
-    up to ``limit`` bytes is broadcast whole (see ``with_idf``).
+    folders. ``buckets`` defaults to a number that follows the chunks. ``limit`` bounds the
+    broadcast part of the vocabulary (see ``chunk_lengths``).
     """
+    spark, size = chunks.sparkSession, chunks.count()
     if buckets is None:
-        buckets = bucket_count(chunks.sparkSession, chunks.count())
+        buckets = bucket_count(spark, size)
     part = lambda name: None if path is None else f"{path}/{name}"
     block = F.expr(f"chunk_index div {BLOCK}").alias("block")
     # the texts move once, to their bucket
     texts = chunks.select(block, F.col("chunk_index").cast("long").alias("chunk_index"), "text").repartition(buckets, "block")
     words = texts.select("block", "chunk_index", txt.terms(F.col("text")).alias("terms"))
-    counts = bucketed(words.groupBy("block").applyInArrow(_packed, _COUNTS), "block", buckets, "counts")
-    held = counts.groupBy("term").agg(F.sum(F.size("chunks")).cast("long").alias("df"))
-    known = _with_idf_column(held, corpus_size(chunks))
+    packed = words.groupBy("block").applyInArrow(_packed, _POSTINGS)
+    name = table_name("postings")
+    empty = F.lit(None).cast("array<double>").alias("lengths")
+    postings = bucketed(packed.select("*", empty), "block", buckets, name, "term", path=part("postings"))
+    held = postings.groupBy("term").agg(F.sum(F.size("chunks")).cast("long").alias("df"), F.count("*").alias("blocks"))
+    counted = _with_idf(held, F.lit(size)).select("term", "df", "idf", "blocks")
     if path is None:
-        idf = materialise(known, "idf")
+        statistics = materialise(counted, "idf")
     else:
-        known.write.parquet(part("idf"))
-        idf = chunks.sparkSession.read.parquet(part("idf"))
-    weighed = with_idf(counts, idf, limit).groupBy("block").applyInArrow(_weighed, _BLOCKS)
-    blocks = bucketed(weighed, "block", buckets, "postings", "term", path=part("postings"))
-    remove_scratch(counts)
-    drop_table(counts)
+        counted.write.parquet(part("idf"))
+        statistics = spark.read.parquet(part("idf"))
+    lengths = materialise(chunk_lengths(postings, statistics, size, limit), "lengths")
+    blocks = bucketed(lengths.repartition(buckets, "block"), "block", buckets, name, "term")
+    remove_scratch(lengths)
     if path is not None:
-        layout = chunks.sparkSession.createDataFrame([(buckets, BLOCK)], "buckets int, block int")
+        layout = spark.createDataFrame([(buckets, BLOCK)], "buckets int, block int")
         layout.coalesce(1).write.json(part("layout"))
-    return TfIdfIndex(blocks, idf)
+    return TfIdfIndex(blocks, statistics.drop("blocks"))
 
 
 def open_index(spark: SparkSession, path: str) -> TfIdfIndex:
@@ -240,7 +247,7 @@ def open_index(spark: SparkSession, path: str) -> TfIdfIndex:
     if layout["block"] != BLOCK:
         raise ValueError(f"the index has blocks of {layout['block']} chunks, not {BLOCK}; build it again")
     blocks = open_bucketed(spark, f"{path}/postings", _BLOCKS, "block", layout["buckets"], "postings", "term")
-    return TfIdfIndex(blocks, spark.read.parquet(f"{path}/idf"))
+    return TfIdfIndex(blocks, spark.read.parquet(f"{path}/idf").drop("blocks"))
 
 
 def question_terms(questions: DataFrame, idf: DataFrame, small: bool) -> DataFrame:

@@ -12,13 +12,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from fathomline.operators.indexing import BLOCK, TfIdfIndex, corpus_size, question_terms
+from fathomline.operators.indexing import BLOCK, LENGTHS, TfIdfIndex, corpus_size, question_terms
 from fathomline.storage import BROADCAST_BYTES, fits_in_memory, materialise, share
 
 # Fixed value: default number of chunks per question.
 TOP_K = 3
-#: cells of a matrix of terms and questions at a time
-CELLS = 1 << 22
+#: cells of a matrix of terms and chunks at a time
+CELLS = 1 << 21
+#: questions that go through the blocks together
+QUESTIONS_AT_ONCE = 256
 #: up to so many question terms are pushed into the scan of the postings
 PUSHED_TERMS = 20_000
 #: bytes of question terms that meet the index in one pass
@@ -39,40 +41,37 @@ def questions_fit(questions: DataFrame, k: int = 0, limit: int = BROADCAST_BYTES
 def tfidf_scores(asked: DataFrame, index: TfIdfIndex, small: bool) -> DataFrame:
     """Cosine of every question with every chunk that shares a term: a row per pair.
 
-    With a small question side the postings stay in their buckets and the sums are
-    complete within each task. A larger one joins by shuffle on the term. Use
-    ``best_chunks`` where only the best are wanted.
+    Use ``best_chunks`` where only the best are wanted: it makes no rows of pairs.
     """
-    side = asked.select("index", "term", F.col("weight").alias("_asked"))
-    products = index.weights.join(F.broadcast(side) if small else side, "term")
-    sums = products.groupBy("index", "chunk_index").agg(F.sum(F.col("weight") * F.col("_asked")).alias("_dot"))
-    return sums.select("index", "chunk_index", F.round("_dot", 6).alias("score"))
+    side = asked.select("index", "term", (F.col("weight") * F.col("idf")).alias("_asked"))
+    products = index.postings.join(F.broadcast(side) if small else side, "term")
+    sums = products.groupBy("index", "chunk_index").agg(F.sum(F.col("tf") * F.col("_asked")).alias("_dot"))
+    return sums.join(index.lengths, "chunk_index").select(
+        "index", "chunk_index", F.round(F.col("_dot") / F.col("length"), 6).alias("score")
+    )
 
 
 class _Asked:
-    """Questions by term: term ``t`` of ``terms`` stands in ``question[at]`` with
-    ``weight[at]`` for ``at`` in ``bounds[t]:bounds[t + 1]``."""
+    """Question terms by their place in ``terms``: ``question`` (a place in ``names``) and
+    ``weight`` of each, and the ``idf`` of every term."""
 
     def __init__(self, table: pa.Table) -> None:
-        self.names, question = np.unique(table.column("index").to_numpy(), return_inverse=True)
+        self.names, self.question = np.unique(table.column("index").to_numpy(), return_inverse=True)
         encoded = table.column("term").combine_chunks().dictionary_encode()
         self.terms = encoded.dictionary
-        term = encoded.indices.to_numpy(zero_copy_only=False)
-        order = np.lexsort((question, term))
-        self.question = question[order]
-        self.weight = table.column("weight").to_numpy()[order]
-        self.bounds = np.searchsorted(term[order], np.arange(len(self.terms) + 1))
-
-    def places(self, terms: pa.Array) -> np.ndarray:
-        return pc.index_in(terms, self.terms).to_numpy(zero_copy_only=False)
+        self.term = encoded.indices.to_numpy(zero_copy_only=False)
+        self.weight = table.column("weight").to_numpy()
+        self.idf = np.zeros(len(self.terms))
+        self.idf[self.term] = table.column("idf").to_numpy()
 
-    def matrix(self, places: np.ndarray, low: int, high: int) -> np.ndarray:
-        """Weights of the terms at ``places`` in the questions from ``low`` to ``high``."""
-        found = np.zeros((len(places), high - low))
-        for row, t in enumerate(places):
-            a, b = self.bounds[t] + np.searchsorted(self.question[self.bounds[t] : self.bounds[t + 1]], [low, high])
-            found[row, self.question[a:b] - low] = self.weight[a:b]
-        return found
+    def part(self, low: int, high: int) -> tuple[np.ndarray, np.ndarray]:
+        """The terms of the questions from ``low`` to ``high``, in order, and a matrix of their
+        weights, a question a column."""
+        here = np.flatnonzero((self.question >= low) & (self.question < high))
+        terms, row = np.unique(self.term[here], return_inverse=True)
+        weights = np.zeros((len(terms), high - low))
+        weights[row, self.question[here] - low] = self.weight[here]
+        return terms, weights
 
 
 class _Best:
@@ -85,9 +84,17 @@ class _Best:
     def add(self, questions: np.ndarray, chunks: np.ndarray, scores: np.ndarray) -> None:
         """Scores of some questions (rows) with some chunks (columns); zeros do not count."""
         k = self.chunk.shape[1]
-        chunk = np.where(scores > 0, chunks[None, :], np.iinfo(np.int64).max)
+        least = np.maximum(self.score[questions, -1], np.finfo(float).tiny)
+        if scores.shape[1] > k:
+            least = np.maximum(least, np.partition(scores, -k, axis=1)[:, -k])
+        held = scores >= least[:, None]
+        # columns that may count, of every question the same number
+        columns = np.argsort(~held, axis=1, kind="stable")[:, : int(held.sum(axis=1).max())]
+        kept = np.take_along_axis(held, columns, axis=1)
+        chunk = np.where(kept, chunks[columns], np.iinfo(np.int64).max)
+        score = np.where(kept, np.take_along_axis(scores, columns, axis=1), 0.0)
         chunk = np.concatenate((self.chunk[questions], chunk), axis=1)
-        score = np.concatenate((self.score[questions], scores), axis=1)
+        score = np.concatenate((self.score[questions], score), axis=1)
         order = np.lexsort((chunk, -score), axis=-1)[:, :k]
         self.chunk[questions] = np.take_along_axis(chunk, order, axis=1)
         self.score[questions] = np.take_along_axis(score, order, axis=1)
@@ -101,39 +108,56 @@ class _Best:
 
 
 class _Rows:
-    """Rows of the index with places of their terms, in order of their blocks."""
+    """Rows of the index in order of their blocks, with the places of their terms, the unit
+    weights of their postings and the largest of these."""
 
     def __init__(self, asked: _Asked, batches: list[pa.RecordBatch]) -> None:
         table = pa.Table.from_batches(batches)
-        place = asked.places(table.column("term").combine_chunks())
-        known = np.flatnonzero(~np.isnan(place)) if place.dtype.kind == "f" else np.arange(len(place))
+        words = table.column("term").combine_chunks()
+        told = table.filter(pc.equal(words, LENGTHS))
+        place = pc.fill_null(pc.index_in(words, asked.terms), -1).to_numpy()
         block = table.column("block").to_numpy()
+        known = np.flatnonzero(place >= 0)
         known = known[np.argsort(block[known], kind="stable")]
         table = table.take(pa.array(known))
-        self.terms, self.term = np.unique(place[known].astype(np.int64), return_inverse=True)
-        self.blocks, self.starts = np.unique(block[known], return_index=True)
-        self.starts = np.append(self.starts, len(known))
-        self.most = table.column("most").to_numpy()
+        self.term = place[known]
+        self.blocks, self.block = np.unique(block[known], return_inverse=True)
         lists = table.column("chunks").combine_chunks()
-        self.at = np.concatenate((np.zeros(1, np.int64), np.cumsum(pc.list_value_length(lists).to_numpy())))
+        self.sizes = pc.list_value_length(lists).to_numpy().astype(np.int64)
+        self.at = np.concatenate((np.zeros(1, np.int64), np.cumsum(self.sizes)))
         self.chunk = lists.flatten().to_numpy()
-        self.weight = table.column("weights").combine_chunks().flatten().to_numpy()
-
-    def largest(self) -> np.ndarray:
-        """The largest weight of every term (columns) in every block (rows)."""
-        found = np.zeros((len(self.blocks), len(self.terms)))
-        found[np.repeat(np.arange(len(self.blocks)), np.diff(self.starts)), self.term] = self.most
-        return found
-
-    def scores(self, b: int, asked: np.ndarray) -> np.ndarray:
-        """Scores of questions (rows) with the chunks of block ``b``; ``asked`` has the
-        questions' weights of all terms here, a question a column."""
-        rows = slice(self.starts[b], self.starts[b + 1])
-        flat = slice(self.at[self.starts[b]], self.at[self.starts[b + 1]])
-        sizes = np.diff(self.at[self.starts[b] : self.starts[b + 1] + 1])
-        held = np.zeros((BLOCK, len(sizes)))
-        held[self.chunk[flat], np.repeat(np.arange(len(sizes)), sizes)] = self.weight[flat]
-        return np.round((held @ asked[self.term[rows]]).T, 6)
+        values = table.column("tfs").combine_chunks().flatten().to_numpy() * np.repeat(asked.idf[self.term], self.sizes)
+        self.weight = values / self._lengths(told)[np.repeat(self.block, self.sizes), self.chunk]
+        self.most = np.maximum.reduceat(self.weight, self.at[:-1]) if len(known) else np.zeros(0)
+
+    def _lengths(self, told: pa.Table) -> np.ndarray:
+        """Lengths of the chunks of every block (rows) here."""
+        told = told.filter(pa.array(np.isin(told.column("block").to_numpy(), self.blocks)))
+        lengths = np.ones((len(self.blocks), BLOCK))
+        chunks = told.column("chunks").combine_chunks()
+        row = np.searchsorted(self.blocks, told.column("block").to_numpy())
+        owner = np.repeat(row, pc.list_value_length(chunks).to_numpy())
+        lengths[owner, chunks.flatten().to_numpy()] = told.column("lengths").combine_chunks().flatten().to_numpy()
+        return lengths
+
+    def with_terms(self, terms: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The rows of some terms, which are in order, and the place of each row's term there."""
+        at = np.minimum(np.searchsorted(terms, self.term), len(terms) - 1)
+        rows = np.flatnonzero(terms[at] == self.term)
+        return rows, at[rows]
+
+    def scores(self, rows: np.ndarray, weights: np.ndarray) -> np.ndarray:
+        """Scores of questions (rows) with the chunks of one block, from its rows of the index
+        and the questions' weights of their terms (a question a column)."""
+        found = np.zeros((weights.shape[1], BLOCK))
+        for low in range(0, len(rows), CELLS // BLOCK):
+            part = rows[low : low + CELLS // BLOCK]
+            sizes = self.sizes[part]
+            flat = np.repeat(self.at[part] - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
+            held = np.zeros((len(part), BLOCK))
+            held[np.repeat(np.arange(len(part)), sizes), self.chunk[flat]] = self.weight[flat]
+            found += weights[low : low + CELLS // BLOCK].T @ held
+        return np.round(found, 6)
 
 
 def _search(asked: _Asked, rows: _Rows, k: int) -> tuple[_Best, int, int]:
@@ -144,18 +168,22 @@ def _search(asked: _Asked, rows: _Rows, k: int) -> tuple[_Best, int, int]:
     largest weights there cannot lift any chunk over the question's ``k``-th best score.
     """
     best, scored, shared = _Best(len(asked.names), k), 0, 0
-    largest, within = rows.largest(), np.arange(BLOCK)
-    width = max(1, CELLS // max(len(rows.terms), 1))
-    for low in range(0, len(asked.names), width):
-        high = min(low + width, len(asked.names))
-        weights = asked.matrix(rows.terms, low, high)
+    within = np.arange(BLOCK)
+    for low in range(0, len(asked.names), QUESTIONS_AT_ONCE):
+        high = min(low + QUESTIONS_AT_ONCE, len(asked.names))
+        terms, weights = asked.part(low, high)
+        here, place = rows.with_terms(terms)
+        largest = np.zeros((len(rows.blocks), len(terms)))
+        largest[rows.block[here], place] = rows.most[here]
         bounds = largest @ weights
         shared += int((bounds > 0).sum())
+        starts = np.searchsorted(rows.block[here], np.arange(len(rows.blocks) + 1))
         for b in np.argsort(-bounds.max(axis=1), kind="stable"):
             open_ = (bounds[b] > 0) & (bounds[b] + ROUNDED >= best.score[low:high, -1])
             active = np.flatnonzero(open_)
             if len(active):
-                scores = rows.scores(b, weights[:, active])
+                part = slice(starts[b], starts[b + 1])
+                scores = rows.scores(here[part], weights[np.ix_(place[part], active)])
                 best.add(low + active, rows.blocks[b] * BLOCK + within, scores)
                 scored += len(active)
     return best, scored, shared
@@ -179,19 +207,20 @@ def best_chunks(asked: DataFrame, index: TfIdfIndex, k: int, work: Work | None =
     """``(index, chunk_index, score)``: for every question at least its ``k`` best chunks.
 
     ``asked`` are question terms that measure small. They are sent to the buckets of the
-    index, of which only the rows with their terms are read. Each task scores its blocks
-    in NumPy and hands on ``k`` rows per question, so no pair of question and chunk is ever
+    index, of which only the rows with their terms are read. Each task takes the largest
+    weight of every term in every block, scores the blocks that these do not rule out
+    in NumPy, and hands on ``k`` rows per question, so no pair of question and chunk is ever
     a row. ``work`` counts what the bounds saved.
     """
     # measured by the caller
-    questions = _Asked(asked.select("index", "term", "weight").toArrow())
+    questions = _Asked(asked.select("index", "term", "idf", "weight").toArrow())
     shared = share(asked.sparkSession, questions)
     blocks = index.blocks
     terms = questions.terms.to_pylist()
     if len(terms) <= PUSHED_TERMS:
         # one expression text; terms consist of word characters
-        told = ", ".join(f"'{t}'" for t in terms)
-        blocks = blocks.where(f"term IN ({told})" if terms else "false")
+        told = ", ".join(f"'{t}'" for t in [LENGTHS, *terms])
+        blocks = blocks.where(f"term IN ({told})")
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts = [b for b in batches if b.num_rows]
@@ -203,7 +232,7 @@ def best_chunks(asked: DataFrame, index: TfIdfIndex, k: int, work: Work | None =
                 work.shared.add(common)
             yield best.rows(known.names)
 
-    return blocks.select("block", "term", "most", "chunks", "weights").mapInArrow(score, _HITS)
+    return blocks.select("block", "term", "chunks", "tfs", "lengths").mapInArrow(score, _HITS)
 
 
 def best_chunks_in_passes(
@@ -211,7 +240,7 @@ def best_chunks_in_passes(
 ) -> DataFrame:
     """``best_chunks`` for question terms of any size: block after block of questions meets
     the index in its buckets, so the postings never move."""
-    written = materialise(asked.select("index", "term", "weight"), "asked")
+    written = materialise(asked.select("index", "term", "idf", "weight"), "asked")
     size = written.agg(F.sum(F.octet_length("term") + 48).alias("bytes")).first()["bytes"] or 0
     passes = max(1, -(-size // (limit or PASS_BYTES)))
     at = F.pmod(F.xxhash64("index"), F.lit(passes))

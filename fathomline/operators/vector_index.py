@@ -38,6 +38,7 @@ from fathomline.storage import (
     remove_scratch,
     scratch_path,
     share,
+    table_name,
 )
 
 #: bytes of all centres, which every task holds
@@ -279,7 +280,7 @@ def vector_index(
     buckets = max(1, min(most, int((known.block + known.parts).max(initial=1))))
     part = lambda name: None if path is None else f"{path}/{name}"
     placed = _placed(vectors, known).repartition(buckets, "block")
-    written = bucketed(placed, "block", buckets, "vectors", "cell", path=part("vectors"))
+    written = bucketed(placed, "block", buckets, table_name("vectors"), "cell", path=part("vectors"))
     table = pa.table(
         {
             "cell": pa.array(np.arange(len(known.rows))),

@@ -70,22 +70,29 @@ def bucket_count(spark: SparkSession, rows: int, rows_per_bucket: int = ROWS_PER
     return max(1, min(most, max(cores, -(-rows // rows_per_bucket))))
 
 
+def table_name(label: str) -> str:
+    """A new name for a table of ``bucketed``."""
+    return f"fathomline_{label}_{uuid.uuid4().hex}"
+
+
 def bucketed(
-    df: DataFrame, key: str, buckets: int, label: str, *sort: str, path: str | None = None
+    df: DataFrame, key: str, buckets: int, name: str, *sort: str, path: str | None = None
 ) -> DataFrame:
-    """Write ``df`` as a table bucketed by ``key`` and return it.
+    """Write ``df`` as the table ``name`` (see ``table_name``) bucketed by ``key``, or append to
+    it, and return the table.
 
     Grouping or joining such a table by ``key`` needs no shuffle. ``df`` should be
     hash-partitioned by ``key`` into ``buckets``, so that each task writes one file. Rows
-    of a bucket are sorted by ``sort``, so scans that filter by it skip most of them. The
+    of a file are sorted by ``sort``, so scans that filter by it skip most of them. The
     files go to ``path``, or to a scratch folder; ``drop_table`` removes both kinds.
     """
     spark = df.sparkSession
-    name = f"fathomline_{label}_{uuid.uuid4().hex}"
-    writer = df.write.format("parquet").bucketBy(buckets, key)
+    writer = df.write.format("parquet").bucketBy(buckets, key).mode("append")
     if sort:
         writer = writer.sortBy(*sort)
-    writer.option("path", path or scratch_path(spark, label)).saveAsTable(name)
+    if not spark.catalog.tableExists(name):
+        writer = writer.option("path", path or scratch_path(spark, name.split("_")[1]))
+    writer.saveAsTable(name)
     return spark.table(name)
 
 
@@ -93,7 +100,7 @@ def open_bucketed(
     spark: SparkSession, path: str, schema: str, key: str, buckets: int, label: str, *sort: str
 ) -> DataFrame:
     """A table that ``bucketed`` wrote at ``path``, in this or another session."""
-    name = f"fathomline_{label}_{uuid.uuid4().hex}"
+    name = table_name(label)
     order = f"SORTED BY ({', '.join(sort)})" if sort else ""
     spark.sql(
         f"CREATE TABLE {name} ({schema}) USING parquet CLUSTERED BY ({key}) {order} "

@@ -83,9 +83,10 @@ def test_large_question_sets_give_the_same(spark, chunks, questions, index):
     assert rows(hits) == rows(retrieval.tfidf_retrieve(questions, chunks, index, 3, pad=False))
 
 
-def test_rare_terms_by_shuffle_give_the_same_weights(spark, chunks, index):
+def test_rare_terms_by_shuffle_give_the_same_weights(spark, chunks, index, monkeypatch):
     whole = {(r.chunk_index, r.term): r.weight for r in index.weights.collect()}
-    for limit in (0, 200, 400):
+    monkeypatch.setattr(indexing, "BLOCK", 2)
+    for limit in (0, 100, 1 << 20):
         other = tfidf_index(chunks, limit=limit)
         assert {(r.chunk_index, r.term): r.weight for r in other.weights.collect()} == pytest.approx(whole)
 
@@ -136,6 +137,7 @@ def corpus(spark, n=5000, seed=2):
 
 def test_bounds_leave_out_blocks_and_no_hit(spark, monkeypatch):
     monkeypatch.setattr(retrieval, "CELLS", 5000)
+    monkeypatch.setattr(retrieval, "QUESTIONS_AT_ONCE", 10)
     monkeypatch.setattr(retrieval, "BLOCK", 128)
     monkeypatch.setattr(indexing, "BLOCK", 128)
     chunks, questions = corpus(spark, 3000)
@@ -206,9 +208,10 @@ def test_scan_reads_only_question_terms_and_sorts_no_pairs(spark, chunks, questi
     assert "Aggregate" not in found.split("MapInArrow")[0] and "Window" not in found
 
 
-@pytest.mark.parametrize("cells", [1, 7, 1 << 20])
-def test_blocks_do_not_change_the_scores(spark, chunks, questions, index, monkeypatch, cells):
-    monkeypatch.setattr(retrieval, "CELLS", cells)
+@pytest.mark.parametrize("terms, at_once", [(1, 3), (7, 1), (1 << 10, 100)])
+def test_blocks_do_not_change_the_scores(spark, chunks, questions, index, monkeypatch, terms, at_once):
+    monkeypatch.setattr(retrieval, "CELLS", terms * retrieval.BLOCK)
+    monkeypatch.setattr(retrieval, "QUESTIONS_AT_ONCE", at_once)
     monkeypatch.setattr(retrieval, "PASS_BYTES", 100)
     small, large = (
         sorted(map(tuple, retrieval.tfidf_retrieve(questions, chunks, index, 3, small=s).collect())) for s in (True, False)
