@@ -5,7 +5,8 @@ elements is aligned with the closest of its host's reference pages, one for each
 layout, by simple tree matching. Texts at one tag path count over all layouts too. A node whose text stays the same over
 nearly all pages belongs to the template; nodes with varying text are slots. Slots are
 content unless they stand in an element that is furniture by its tag or its names: menus,
-headers, footers, sidebars, notices, adverts, forms and reader comments.
+headers, footers, sidebars, notices, adverts, forms and reader comments. Names are weak
+evidence: they mark no element that holds the article or most of a page's text.
 """
 
 from __future__ import annotations
@@ -55,6 +56,14 @@ NAMES = set(
     "promo promoted related replies reply respond search share sharing sidebar signup social sponsor sponsored "
     "subscribe toolbar widget".split()
 )
+#: names that mark an element however much text it has: what readers wrote
+VOICES = set("comment comments disqus replies reply respond".split())
+#: parts in front of a name that turn it into a remark on the layout, as in ``has-sidebar``
+REMARKS = set("has have no not with without is are hide show".split())
+#: parts in front of ``header`` that make it the page's; others belong to an article or a list
+SITE = set("site main page top global masthead app".split())
+#: a main text outside has so many times the characters of all articles
+OUTWEIGHS = 3
 ROLES = set("navigation banner contentinfo complementary search dialog alert form menu menubar".split())
 #: an element of the key closes an open one of the values, up to the nearest of its limits
 CLOSES = {
@@ -68,7 +77,7 @@ CLOSES = {
 }
 _TAG = re.compile(r"<(?:!--.*?(?:-->|\Z)|[!?][^>]*>|(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>)", re.S)
 _ATTRIBUTE = re.compile(r"(?:^|\s)(class|id|role|hidden|aria-hidden|style)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
-_NAME_WORD = re.compile(r"[a-zA-Z][a-z]*")
+_NAME_PART = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+")
 _HIDING = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
 
@@ -81,6 +90,8 @@ class Node:
     hidden: bool
     article: bool
     depth: int
+    #: the names of its own that mark it, if any
+    names: set[str] = field(default_factory=set)
     #: deepest open element, this or above, that may have children in the tree
     trunk: Node | None = None
     children: list[Node] = field(default_factory=list)
@@ -101,7 +112,8 @@ def parse(source: str) -> tuple[Node, list[Block]]:
     """
     root = Node("", 0, None, False, False, False, 0)
     root.trunk = root
-    count, node, at = 1, root, 0
+    node, at = root, 0
+    nodes = [root]
     path, opened = [root], {}  # open elements by depth, and those that were opened by tag
 
     def nearest(tag: str) -> Node | None:
@@ -153,17 +165,15 @@ def parse(source: str) -> tuple[Node, list[Block]]:
         node = _opened_at(node, tag, nearest)
         if tag in VOID:
             continue
-        furniture, hidden = _judged(tag, rest, node)
-        new = Node(tag, count, node, furniture, hidden, node.article or tag in ARTICLE, node.depth + 1)
+        furniture, hidden, names = _judged(tag, rest, node)
+        new = Node(tag, len(nodes), node, furniture, hidden, node.article or tag in ARTICLE, node.depth + 1, names)
         new.trunk = new if new.depth < DEEPEST else node.trunk
-        count += 1
+        nodes.append(new)
         node.trunk.children.append(new)
         if rest.endswith("/") and tag not in RAW:
             continue
         if tag in RAW:  # its content is no markup
             end = re.compile(rf"</{tag}\s*>", re.I).search(source, at)
-            if tag == "textarea" and end:
-                pass
             at = end.end() if end else len(source)
             continue
         node = new
@@ -172,9 +182,34 @@ def parse(source: str) -> tuple[Node, list[Block]]:
     if at < len(source):
         parts.append(source[at:])
     flush()
+    _mark_named(nodes, blocks)
     return root, blocks
 
 
+def _mark_named(nodes: list[Node], blocks: list[Block]) -> None:
+    """Make named elements furniture, with all that stands in them.
+
+    An element around most of the articles' text is a layout, whatever its name. On a page
+    without articles neither does a name mark an element with most of the text, unless
+    readers wrote it.
+    """
+    size, inside = [0] * len(nodes), [0] * len(nodes)
+    for b in blocks:
+        if not b.node.furniture:
+            size[b.node.number] += len(b.text)
+            inside[b.node.number] += len(b.text) * b.node.article
+    # children come after their parents
+    for node in reversed(nodes[1:]):
+        size[node.parent.number] += size[node.number]
+        inside[node.parent.number] += inside[node.number]
+    for node in nodes[1:]:
+        if inside[0]:
+            layout = not node.article and 2 * inside[node.number] > inside[0]
+        else:
+            layout = 2 * size[node.number] > size[0] and not node.names & VOICES
+        node.furniture |= node.parent.furniture or bool(node.names) and not layout
+
+
 def _opened_at(node: Node, tag: str, nearest: Callable[[str], Node | None]) -> Node:
     """Where a new element goes: open paragraphs and list items end first."""
     if tag in CLOSES:
@@ -189,24 +224,36 @@ def _opened_at(node: Node, tag: str, nearest: Callable[[str], Node | None]) -> N
     return node
 
 
-def _judged(tag: str, rest: str, parent: Node) -> tuple[bool, bool]:
-    """Whether an element is furniture, and whether it is hidden."""
+def _judged(tag: str, rest: str, parent: Node) -> tuple[bool, bool, set[str]]:
+    """Whether an element is furniture by its tag or role, whether it is hidden, and the names
+    that speak for furniture."""
     furniture = parent.furniture or tag in FURNITURE or (tag == "header" and not parent.article)
-    hidden = parent.hidden or tag in HIDDEN
+    hidden, names = parent.hidden or tag in HIDDEN, set()
     if rest and not (furniture and hidden):
         for name, *values in _ATTRIBUTE.findall(rest):
             name, value = name.lower(), next((v for v in values if v), "")
             if name in ("class", "id"):
                 if tag not in ("html", "body", "article", "main"):
-                    words = {w.lower() for w in _NAME_WORD.findall(value)}
-                    furniture = furniture or not words.isdisjoint(NAMES)
+                    for token in value.split():
+                        names |= _furniture_name(token, parent.article)
             elif name == "role":
                 furniture = furniture or value.lower() in ROLES
             elif name == "style":
                 hidden = hidden or bool(_HIDING.search(value))
             elif name == "hidden" or value.lower() == "true":
                 hidden = True
-    return furniture, hidden
+    return furniture, hidden, names
+
+
+def _furniture_name(token: str, in_article: bool) -> set[str]:
+    """The name in a class or id that begins or ends with it, as ``ad-box`` or ``main-menu`` do."""
+    parts = [p.lower() for p in _NAME_PART.findall(token)]
+    if not parts or parts[0] in REMARKS:
+        return set()
+    found = {parts[0], parts[-1]} & NAMES
+    if "header" in found and (in_article or len(parts) > 1 and parts[0] not in SITE | {"header"}):
+        found.discard("header")
+    return found
 
 
 def shape(node: Node) -> str:
@@ -391,7 +438,7 @@ def _aligned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 mapping = alignments[key]
             layouts.append(layout)
             nears.append(share >= NEAR)
-            in_article = any(b.node.article and not b.node.furniture for b in blocks)
+            in_article = _article_is_main(blocks)
             rows = []
             for b in blocks:
                 slot = mapping.get(b.node.number, -1)
@@ -411,6 +458,14 @@ def _aligned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
+def _article_is_main(blocks: list[Block]) -> bool:
+    """Whether the articles of a page are its main text, and not teasers beside a longer one."""
+    plain = [b for b in blocks if not b.node.furniture]
+    inside = sum(len(b.text) for b in plain if b.node.article)
+    outside = sum(len(b.text) for b in plain if not b.node.article and b.linked <= LINK_SHARE * len(b.text))
+    return 0 < inside and outside <= OUTWEIGHS * inside
+
+
 def _reference(source: str) -> tuple[Node, dict[int, set[str]], set[int]]:
     tree, blocks = parse(source)
     texts: dict[int, set[str]] = {}
@@ -424,8 +479,9 @@ def main_text(
 ) -> DataFrame:
     """``(page_id, url, text, n_chars)`` for every row of ``pages``.
 
-    ``text`` is the blocks of the main text in page order, joined by an empty line. Inside
-    an article or main element only its blocks count, if it has any. A block is dropped as
+    ``text`` is the blocks of the main text in page order, joined by an empty line. Only blocks
+    in article or main elements count, if there are any and the text outside has no more than
+    ``OUTWEIGHS`` times their characters. A block is dropped as
     template if at least ``constant_pages`` distinct pages of its layout, and ``constant_share``
     of them all, have the reference's text there, or as many of the distinct pages of its host
     have the text at the same tag path. Pages with the same texts are one page, so copies give
@@ -491,7 +547,7 @@ def main_text(
             F.filter(F.array(evidence(own, True, F.lit(0))), lambda _: F.col("near")),
         )
     )
-    constant = (
+    counts = (
         blocks.where(F.size("blocks") > 0)
         .select("host", F.xxhash64(F.transform("blocks", lambda b: b["text"])).alias("copy"), found.alias("found"))
         .groupBy("host", "copy")
@@ -500,19 +556,17 @@ def main_text(
         .groupBy("host", "e.layout", "e.page", "e.value")
         .agg(F.count("*").alias("same"))
         .where(F.col("page") | (F.col("same") >= constant_pages))
+    )
+    counts = materialise(counts, "evidence")
+    # one row per host and layout; what is constant on most of its pages is no more than a page holds
+    distinct = counts.where("page").select("host", "layout", F.col("same").alias("pages"))
+    small = F.broadcast(distinct) if fits_in_memory(distinct, F.octet_length("host") + 24, REFERENCE_BYTES) else distinct
+    constant = (
+        counts.where("not page")
+        .join(small, ["host", "layout"])
+        .where(F.col("same") >= F.col("pages") * constant_share)
         .groupBy("host", "layout")
-        .agg(
-            F.max(F.when(F.col("page"), F.col("same"))).alias("pages"),
-            F.collect_list(F.when(~F.col("page"), F.struct("value", "same"))).alias("found"),
-        )
-        .select(
-            "host",
-            "layout",
-            F.transform(
-                F.filter("found", lambda f: f["same"] >= F.col("pages") * constant_share), lambda f: f["value"]
-            ).alias("template"),
-        )
-        .where(F.size("template") > 0)
+        .agg(F.collect_list("value").alias("template"))
         .groupBy("host")
         .agg(F.map_from_entries(F.collect_list(F.struct("layout", "template"))).alias("templates"))
     )
