@@ -24,6 +24,8 @@ THRESHOLD = 0.9
 SUPPORT = 3
 #: code points on either side of an entity that are its context
 CONTEXT = 160
+#: matches whose lengths are summed together
+BLOCK = 128
 
 _LOCAL = "[A-Za-z0-9._%+-]"
 _LABEL = "[A-Za-z0-9-]"
@@ -40,22 +42,73 @@ TERM = r"(?<=\s)\p{L}{4,}+(?=[.,;:!?]*+\s)"
 _SPAN = "array<struct<start:int,kind:int,end:int,value:string>>"
 
 
+def _bound(value: Column, use) -> Column:
+    """``use(value)`` with ``value`` computed once, not at every mention."""
+    return F.transform(F.array(value), use)[0]
+
+
+def _numbers(count: Column, step: int = 1) -> Column:
+    """``0, step, 2 * step, ...`` below ``count``."""
+    numbers = F.sequence(F.lit(0), count - 1, F.lit(step))
+    return F.when(count > 0, numbers).otherwise(F.array().cast("array<int>"))
+
+
+def _sum(numbers: Column) -> Column:
+    return F.aggregate(numbers, F.lit(0), lambda total, n: total + n)
+
+
 def located(text: Column, pattern: str) -> Column:
-    """``array<struct<start, end, value>>`` of all matches, in code points."""
-    values = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    gaps = F.split(text, pattern, -1)
+    """``array<struct<start, end, value>>`` of all matches, in code points.
 
-    def step(state: Column, i: Column) -> Column:
-        start = state["at"] + F.length(F.get(gaps, i))
-        end = start + F.length(F.get(values, i))
-        found = F.struct(start.alias("start"), end.alias("end"), F.get(values, i).alias("value"))
-        return F.struct(end.alias("at"), F.array_append(state["found"], found).alias("found"))
+    A match begins behind all gaps and matches before it. Their lengths are summed for blocks
+    of ``BLOCK`` matches first and then inside a match's block, so that the work does not
+    grow with the square of the matches.
+    """
 
-    nothing = F.array().cast("array<struct<start:int,end:int,value:string>>")
-    numbers = F.when(F.size(values) > 0, F.sequence(F.lit(0), F.size(values) - 1)).otherwise(
-        F.array().cast("array<int>")
-    )
-    return F.aggregate(numbers, F.struct(F.lit(0).alias("at"), nothing.alias("found")), step)["found"]
+    def within(m: Column) -> Column:
+        """Matches from their values and the lengths of gaps and values."""
+        count, sums = F.size(m["values"]), F.zip_with(m["gaps"], m["lengths"], lambda g, n: g + n)
+
+        def starts(both: Column) -> Column:
+            totals = F.transform(_numbers(count, BLOCK), lambda at: _sum(F.slice(both, at + 1, F.lit(BLOCK))))
+
+            def place(before: Column) -> Column:
+                return F.transform(
+                    _numbers(count),
+                    lambda i: F.get(before, F.floor(i / BLOCK).cast("int"))
+                    + _sum(F.slice(both, F.floor(i / BLOCK).cast("int") * BLOCK + 1, i % BLOCK))
+                    + F.get(m["gaps"], i),
+                )
+
+            running = F.aggregate(
+                totals,
+                F.array(F.lit(0)),
+                lambda done, n: F.array_append(done, F.element_at(done, F.lit(-1)) + n),
+            )
+            return _bound(running, place)
+
+        return _bound(
+            _bound(sums, starts),
+            lambda first: F.transform(
+                _numbers(count),
+                lambda i: F.struct(
+                    F.get(first, i).alias("start"),
+                    (F.get(first, i) + F.get(m["lengths"], i)).alias("end"),
+                    F.get(m["values"], i).alias("value"),
+                ),
+            ),
+        )
+
+    def measured(values: Column) -> Column:
+        gaps = F.slice(F.split(text, pattern, -1), F.lit(1), F.size(values))
+        return F.struct(
+            values.alias("values"),
+            F.transform(gaps, lambda g: F.length(g)).alias("gaps"),
+            F.transform(values, lambda v: F.length(v)).alias("lengths"),
+        )
+
+    values = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    return _bound(_bound(values, measured), within)
 
 
 def _digits(value: Column) -> Column:

@@ -52,6 +52,7 @@ TEXTS = [
     "1" * 5000,
     "a" * 5000 + "@" + "b" * 5000,
     "1.1.1.1 " * 300,
+    "1.1.1.1 a@b.c " * 1000,
     "me@x.y\nme@x.y\tyou@x.y",
 ]
 
