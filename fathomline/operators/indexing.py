@@ -23,7 +23,6 @@ from fathomline.storage import (
     bucket_count,
     bucketed,
     drop_table,
-    fits_in_memory,
     materialise,
     open_bucketed,
     remove_scratch,
@@ -34,8 +33,8 @@ from fathomline.storage import (
 BLOCK = 1024
 #: the term of the row with a block's lengths; others are never empty
 LENGTHS = ""
-#: of the vocabulary, what may be broadcast
-VOCABULARY_BYTES = 32 * 1024 * 1024
+#: of the vocabulary, the most frequent terms are broadcast, up to so many bytes: the hot keys
+VOCABULARY_BYTES = 4 * 1024 * 1024
 _POSTINGS = "block long, term string, chunks array<int>, tfs array<int>"
 _BLOCKS = f"{_POSTINGS}, lengths array<double>"
 
@@ -182,17 +181,13 @@ def chunk_lengths(postings: DataFrame, statistics: DataFrame, size: int, limit:
     of chunks, ``statistics`` has ``(term, df, idf, blocks)``.
 
     Only terms of several blocks are looked up. Of these the most frequent are broadcast, as
-    many as fit in ``limit``: they are the hot keys and most rows. The names of the others
-    shuffle by term and come back to their block; the postings stay where they are.
+    many as fit in ``limit``: the hot keys. The names of the others shuffle by term and
+    come back to their block; the postings stay where they are.
     """
     shared = statistics.where("blocks > 1").select("term", "df", "idf")
-    whole = fits_in_memory(shared, _term_bytes(), limit)
-    split = 0 if whole else _broadcastable_df(shared, limit)
+    split = _broadcastable_df(shared, limit)
     frequent = F.broadcast(shared.where(F.col("df") >= split).drop("df"))
     looked_up = postings.join(frequent, "term", "left").select("block", "term", "chunks", "tfs", "idf")
-    if whole:
-        none = pa.table({"term": pa.array([], pa.string()), "idf": pa.array([], pa.float64())})
-        return looked_up.groupBy("block").applyInArrow(lambda rows: _measured(rows, none, size), _BLOCKS)
     # new names for columns of the same table, which meets itself below
     names = postings.select(F.col("block").alias("at"), "term").join(frequent.select("term"), "term", "left_anti")
     rare = names.join(shared.where(F.col("df") < split).drop("df"), "term")
