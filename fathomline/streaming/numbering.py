@@ -39,8 +39,10 @@ def number_stream(
 
     def number(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        # an empty row makes the folder, so that the first read finds it
-        spark.createDataFrame([(-1, 0, 0)], _NUMBERS).coalesce(1).write.mode("overwrite").parquet(f"{path}/numbers/start")
+        if batch_id == 0:
+            # the row before the first one
+            start = spark.createDataFrame([(-1, 0, 0)], _NUMBERS)
+            start.coalesce(1).write.mode("overwrite").parquet(f"{path}/numbers/start")
         last = _numbers(spark, path).where(F.col("batch") < batch_id).orderBy(F.desc("batch")).first()
         first = last["first"] + last["n"]
         chunks, counts = counted_chunk_table(batch, chunker, chunk_size, **options)
