@@ -44,7 +44,8 @@ def clean(text: Column) -> Column:
 
 def _cut(text: Column, after: str) -> Column:
     parts = F.split(F.regexp_replace(text, after, "$1" + MARK), MARK)
-    return F.filter(F.transform(parts, F.trim), lambda part: part != "")
+    # a bare F.trim would take the position as the characters to cut off
+    return F.filter(F.transform(parts, lambda part: F.trim(part)), lambda part: part != "")
 
 
 def sentences(cleaned: Column) -> Column:

@@ -42,6 +42,12 @@ def test_sentences(spark):
     assert found == [["3.5 m.", "Next"], ["Hi!?", "Yes"], ["no end"], ["!!"], [], ["A.", "B.", "C."]]
 
 
+def test_pieces_keep_the_digits_at_their_ends(spark):
+    texts = ["0 a. 1 b 1. 21.2.3.4 c. 33", " 0, 1; 112 "]
+    assert column_of(spark, texts, txt.sentences) == [["0 a.", "1 b 1.", "21.2.3.4 c.", "33"], ["0, 1; 112"]]
+    assert column_of(spark, texts, txt.clauses)[1] == ["0,", "1;", "112"]
+
+
 def test_token_counters(spark):
     assert column_of(spark, ["a b c", "a"], txt.count_tokens) == [3, 1]
     assert column_of(spark, ["abcde"], lambda x: txt.count_tokens(x, "chars")) == [2]
