@@ -2,13 +2,13 @@
 
 Distances are doubles rounded to six digits, and ties go to the lower id, so
 results do not depend on the partitioning. No pair of question and vector is ever
-a row: NumPy compares blocks and each block hands on at most ``k`` per question.
+a row: NumPy compares blocks and each task hands on at most ``k`` per question.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -16,14 +16,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from fathomline.storage import fits_in_memory
+from fathomline.storage import fits_in_memory, materialise
 
 QUESTION_BYTES = 32 * 1024 * 1024
 BLOCK_ROWS = 8192
 ROWS_AT_ONCE = 256
+VECTORS_AT_ONCE = 2048
+#: tasks for the pairs of blocks
+TASKS_PER_CORE = 4
 PAIRS_AT_ONCE = 1 << 15
 #: more than the six digits of a distance can hide
 ROUNDING = 2e-6
+_PACKED = "block long, ids binary, vectors binary, single boolean, limits binary, wanted array<long>"
 NEIGHBOURS = "index long, vec_id long, distance double"
 _ARROW = pa.schema(
     [("index", pa.int64()), ("vec_id", pa.int64()), ("distance", pa.float64())]
@@ -54,38 +58,91 @@ def _best(owner: np.ndarray, ids: np.ndarray, distance: np.ndarray, k: int):
     return owner[keep], ids[keep], distance[keep]
 
 
-def _nearest(asked: np.ndarray, vectors: np.ndarray, ids: np.ndarray, k: int):
-    """Positions of questions, vector ids and distances: up to ``k`` per question.
+class _Nearest:
+    """Up to ``k`` nearest vectors of some questions."""
 
-    Products of blocks give squared distances with a known error bound. They only
-    choose the vectors that may be among the first ``k``; the distances of these are
-    computed again from the differences, so they do not depend on the blocks.
-    """
-    if vectors.shape[1] != asked.shape[1]:
-        raise ValueError(f"dimension {asked.shape[1]} differs from {vectors.shape[1]}")
-    found = []
-    squares = (vectors**2).sum(axis=1)
-    for start in range(0, len(asked), ROWS_AT_ONCE):
-        part = asked[start : start + ROWS_AT_ONCE]
-        sums = (part**2).sum(axis=1)[:, None] + squares[None, :]
-        squared = sums - 2.0 * (part @ vectors.T)
-        if len(ids) > k:
-            error = sums * (4 * np.finfo(np.float64).eps * (vectors.shape[1] + 4))
-            reach = np.partition(squared + error, k - 1, axis=1)[:, k - 1 : k]
-            # rounding to six digits may make a slightly farther vector equal
-            reach = (np.sqrt(np.maximum(reach, 0.0)) + ROUNDING) ** 2
-            rows, cols = np.nonzero(squared - error <= reach)
-        else:
-            rows, cols = np.nonzero(np.ones_like(squared, dtype=bool))
-        distance = np.concatenate(
-            [np.zeros(0)]
-            + [
-                np.sqrt(((part[rows[at : at + PAIRS_AT_ONCE]] - vectors[cols[at : at + PAIRS_AT_ONCE]]) ** 2).sum(axis=1))
-                for at in range(0, len(rows), PAIRS_AT_ONCE)
-            ]
-        )
-        found.append(_best(rows + start, ids[cols], np.round(distance, 6), k))
-    return tuple(np.concatenate(parts) for parts in zip(*found))
+    def __init__(self, questions: int, k: int) -> None:
+        self.ids = np.full((questions, k), np.iinfo(np.int64).max)
+        self.distance = np.full((questions, k), np.inf)
+
+    def add(self, rows: np.ndarray, owner: np.ndarray, ids: np.ndarray, distance: np.ndarray) -> None:
+        """Hits of ``rows[owner]``, in order of ``owner``."""
+        k = self.ids.shape[1]
+        place = np.arange(len(owner)) - np.searchsorted(owner, owner, side="left")
+        new = _Nearest(len(rows), k)
+        new.ids[owner, place], new.distance[owner, place] = ids, distance
+        ids = np.concatenate((self.ids[rows], new.ids), axis=1)
+        distance = np.concatenate((self.distance[rows], new.distance), axis=1)
+        order = np.lexsort((ids, distance), axis=-1)[:, :k]
+        self.ids[rows] = np.take_along_axis(ids, order, axis=1)
+        self.distance[rows] = np.take_along_axis(distance, order, axis=1)
+
+    def improve(
+        self, asked: np.ndarray, vectors: np.ndarray, ids: np.ndarray, limits: np.ndarray | None = None
+    ) -> None:
+        """Compare every question with some more vectors.
+
+        Products of blocks give lower bounds of squared distances with a known error. They
+        only choose the vectors that may be among the first ``k``, and not beyond
+        ``limits``; the distances of these are computed again from the differences, so they do
+        not depend on the blocks. No more than ``ROWS_AT_ONCE`` by ``VECTORS_AT_ONCE`` cells
+        are held at a time.
+        """
+        if len(vectors) and len(asked) and vectors.shape[1] != asked.shape[1]:
+            raise ValueError(f"dimension {asked.shape[1]} differs from {vectors.shape[1]}")
+        k = self.ids.shape[1]
+        slack = 8 * np.finfo(np.float64).eps * (asked.shape[1] + 4)
+        own = (asked**2).sum(axis=1)
+        lifted = np.column_stack((asked * -2.0, np.ones(len(asked))))
+        for first in range(0, len(ids), VECTORS_AT_ONCE):
+            some, names = vectors[first : first + VECTORS_AT_ONCE], ids[first : first + VECTORS_AT_ONCE]
+            squares = (some**2).sum(axis=1)
+            right = np.column_stack((some, squares * (1 - slack)))
+            for low in range(0, len(asked), ROWS_AT_ONCE):
+                at = slice(low, low + ROWS_AT_ONCE)
+                part, base = asked[at], own[at] * (1 - slack)
+                # least squared distance, less ``base``
+                least = lifted[at] @ right.T
+                limit = self.distance[at, -1]
+                if limits is not None:
+                    limit = np.minimum(limit, limits[at])
+                free = np.isinf(limit)
+                # rounding to six digits may make a slightly farther vector equal
+                reach = (limit + ROUNDING) ** 2 - base
+                if free.any() and len(names) > k:
+                    most = np.partition(least[free] + 2 * slack * squares, k - 1, axis=1)[:, k - 1]
+                    most = np.sqrt(np.maximum(most + base[free] + 2 * slack * own[at][free], 0.0))
+                    reach[free] = (most + ROUNDING) ** 2 - base[free]
+                rows, cols = np.nonzero(least <= reach[:, None])
+                distance = np.concatenate(
+                    [np.zeros(0)]
+                    + [
+                        np.sqrt(((part[rows[x : x + PAIRS_AT_ONCE]] - some[cols[x : x + PAIRS_AT_ONCE]]) ** 2).sum(axis=1))
+                        for x in range(0, len(rows), PAIRS_AT_ONCE)
+                    ]
+                )
+                distance = np.round(distance, 6)
+                held = distance <= limit[rows]
+                owner, near, distance = _best(rows[held], names[cols[held]], distance[held], k)
+                if len(owner):
+                    who, place = np.unique(owner, return_inverse=True)
+                    self.add(low + who, place, near, distance)
+
+    def hits(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Positions of questions, vector ids and distances."""
+        owner, place = np.nonzero(np.isfinite(self.distance))
+        return owner, self.ids[owner, place], self.distance[owner, place]
+
+    def rows(self, names: np.ndarray) -> pa.RecordBatch:
+        owner, ids, distance = self.hits()
+        return pa.RecordBatch.from_arrays([pa.array(names[owner]), pa.array(ids), pa.array(distance)], schema=_ARROW)
+
+
+def _nearest(asked: np.ndarray, vectors: np.ndarray, ids: np.ndarray, k: int):
+    """Positions of questions, vector ids and distances: up to ``k`` per question."""
+    best = _Nearest(len(asked), k)
+    best.improve(asked, vectors, ids)
+    return best.hits()
 
 
 def knn_exact(
@@ -99,7 +156,8 @@ def knn_exact(
 
     ``questions`` is ``(index, embedding)``, ``vectors`` is ``(vec_id, embedding)``.
     Questions that measure small are broadcast and the vectors stay in place.
-    Otherwise both sides are cut into blocks that meet in grouped tasks.
+    Otherwise both sides are packed into blocks of about ``block_rows`` that meet in pairs
+    (see ``meet``); no row is copied for that.
     """
     if k < 1:
         raise ValueError("k must be positive")
@@ -109,14 +167,11 @@ def knn_exact(
         small = fits_in_memory(questions, F.size("embedding") * 8 + 8, QUESTION_BYTES)
     if small:
         return rank_neighbours(_against_broadcast(questions, vectors, k), k)
-    q_blocks = F.lit(max(1, math.ceil(questions.count() / block_rows)))
-    v_blocks = F.lit(max(1, math.ceil(vectors.count() / block_rows)))
-    found = _by_blocks(
-        questions.withColumns({"_qs": q_blocks, "_vs": v_blocks}),
-        vectors.withColumns({"_qs": q_blocks, "_vs": v_blocks}),
-        k,
+    asked, stored = (
+        packed(side.withColumn("block", _hash_block(side, name, block_rows)), name)
+        for side, name in ((questions, "index"), (vectors, "vec_id"))
     )
-    return rank_neighbours(found, k)
+    return rank_neighbours(meet(asked, stored, k), k)
 
 
 def rank_neighbours(found: DataFrame, k: int) -> DataFrame:
@@ -136,28 +191,82 @@ def _against_broadcast(questions: DataFrame, vectors: DataFrame, k: int) -> Data
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         labels, asked = shared.value
-        best = None
+        best = _Nearest(len(labels), k)
         for batch in batches:
-            if batch.num_rows == 0 or len(labels) == 0:
-                continue
-            new = _nearest(
-                asked, _matrix(batch.column("embedding")), batch.column("vec_id").to_numpy(), k
-            )
-            if best is not None:
-                new = _best(*(np.concatenate(pair) for pair in zip(best, new)), k)
-            best = new
-        if best is not None:
-            owner, ids, distance = best
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(labels[owner]), pa.array(ids), pa.array(distance)], schema=_ARROW
-            )
+            if batch.num_rows and len(labels):
+                best.improve(asked, _matrix(batch.column("embedding")), batch.column("vec_id").to_numpy())
+        yield best.rows(labels)
 
     return vectors.mapInArrow(search, NEIGHBOURS)
 
 
-def _by_blocks(
-    questions: DataFrame, vectors: DataFrame, k: int, keys: tuple[str, ...] = ()
-) -> DataFrame:
+def _hash_block(df: DataFrame, name: str, block_rows: int) -> Column:
+    return F.pmod(F.xxhash64(name), F.lit(max(1, math.ceil(df.count() / block_rows)))).cast("long")
+
+
+def packed(rows: DataFrame, name: str, limit: str | None = None, wanted: Callable | None = None) -> DataFrame:
+    """Write one row per ``block``: its ids and vectors as bytes, and their limits.
+
+    ``wanted`` gives the blocks that some vectors with limits want to meet."""
+    single = dict(rows.dtypes)["embedding"] == "array<float>"
+
+    def pack(table: pa.Table) -> pa.Table:
+        matrix = _matrix(table.column("embedding"))
+        limits = None if limit is None else table.column(limit).to_numpy()
+        return pa.table(
+            {
+                "block": table.column("block").slice(0, 1),
+                "ids": [table.column(name).to_numpy().tobytes()],
+                "vectors": [matrix.astype(np.float32 if single else np.float64).tobytes()],
+                "single": [single],
+                "limits": pa.array([None if limits is None else limits.tobytes()], pa.binary()),
+                "wanted": pa.array([None if wanted is None else wanted(matrix, limits)], pa.list_(pa.int64())),
+            }
+        )
+
+    grouped = rows.groupBy("block").applyInArrow(pack, _PACKED)
+    return materialise(grouped, "blocks")
+
+
+def _unpacked(ids: pa.BinaryScalar, vectors: pa.BinaryScalar, single: bool) -> tuple[np.ndarray, np.ndarray]:
+    names = np.frombuffer(ids.as_buffer(), np.uint8).copy().view(np.int64)
+    flat = np.frombuffer(vectors.as_buffer(), np.uint8).copy().view(np.float32 if single else np.float64)
+    return names, flat.astype(np.float64).reshape(len(names), -1)
+
+
+def meet(asked: DataFrame, stored: DataFrame, k: int) -> DataFrame:
+    """Compare two tables of ``packed``, every block of one with those it wants of the other.
+
+    Partitions of both sides meet in pairs, each read where it was written: nothing is copied
+    or shuffled for a pair, and a question leaves a task with ``k`` rows at most.
+    """
+    side = math.ceil(math.sqrt(TASKS_PER_CORE * asked.sparkSession.sparkContext.defaultParallelism))
+    left = asked.select([F.col(c).alias(f"q_{c}") for c in asked.columns]).repartition(side)
+    right = stored.select("block", "ids", "vectors", "single").repartition(side)
+    met = F.col("q_wanted").isNull() | F.array_contains("q_wanted", F.col("block"))
+    pairs = left.hint("shuffle_replicate_nl").join(right, met).drop("q_wanted", "block")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, best, names, matrix, limits = None, None, None, None, None
+        for batch in batches:
+            c = {name: batch.column(name) for name in batch.schema.names}
+            for row in range(batch.num_rows):
+                if at != (block := c["q_block"][row].as_py()):
+                    if best is not None:
+                        yield best.rows(names)
+                    names, matrix = _unpacked(c["q_ids"][row], c["q_vectors"][row], c["q_single"][row].as_py())
+                    told = c["q_limits"][row].as_py()
+                    limits = None if told is None else np.frombuffer(told, np.float64)
+                    at, best = block, _Nearest(len(names), k)
+                ids, vectors = _unpacked(c["ids"][row], c["vectors"][row], c["single"][row].as_py())
+                best.improve(matrix, vectors, ids, limits)
+        if best is not None:
+            yield best.rows(names)
+
+    return pairs.mapInArrow(compare, NEIGHBOURS)
+
+
+def _by_blocks(questions: DataFrame, vectors: DataFrame, k: int, keys: tuple[str, ...]) -> DataFrame:
     """Compare questions and vectors that share ``keys``, block against block.
 
     ``_qs`` and ``_vs`` say into how many blocks each side of a key is cut; every

@@ -26,7 +26,10 @@ from fathomline.operators.neighbours import (
     ROWS_AT_ONCE,
     _by_blocks,
     _matrix,
+    _Nearest,
     _nearest,
+    meet,
+    packed,
     rank_neighbours,
 )
 from fathomline.storage import (
@@ -315,33 +318,6 @@ def _read_blocks(vectors: DataFrame, cells: Cells, wanted: np.ndarray) -> DataFr
     return vectors.where(F.col("block").isin(sorted(int(b) for b in blocks)))
 
 
-class _Nearest:
-    """Up to ``k`` nearest vectors of some questions."""
-
-    def __init__(self, questions: int, k: int) -> None:
-        self.ids = np.full((questions, k), np.iinfo(np.int64).max)
-        self.distance = np.full((questions, k), np.inf)
-
-    def add(self, rows: np.ndarray, owner: np.ndarray, ids: np.ndarray, distance: np.ndarray) -> None:
-        """Hits of ``rows[owner]``, in order of ``owner``."""
-        k = self.ids.shape[1]
-        place = np.arange(len(owner)) - np.searchsorted(owner, owner, side="left")
-        new = _Nearest(len(rows), k)
-        new.ids[owner, place], new.distance[owner, place] = ids, distance
-        ids = np.concatenate((self.ids[rows], new.ids), axis=1)
-        distance = np.concatenate((self.distance[rows], new.distance), axis=1)
-        order = np.lexsort((ids, distance), axis=-1)[:, :k]
-        self.ids[rows] = np.take_along_axis(ids, order, axis=1)
-        self.distance[rows] = np.take_along_axis(distance, order, axis=1)
-
-    def rows(self, names: np.ndarray) -> pa.RecordBatch:
-        owner, place = np.nonzero(np.isfinite(self.distance))
-        return pa.RecordBatch.from_arrays(
-            [pa.array(names[owner]), pa.array(self.ids[owner, place]), pa.array(self.distance[owner, place])],
-            schema=_ARROW,
-        )
-
-
 def _by_cell(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Matrix and ids of a batch in order of cells, the cells there, and where each begins."""
     cell = batch.column("cell").to_numpy()
@@ -374,8 +350,9 @@ def _compare(asked, limits, best: _Nearest, cells: Cells, batch: pa.RecordBatch,
             active = np.flatnonzero(open_[:, now].any(axis=1))
             if len(active):
                 chosen = np.concatenate([np.arange(begins[c], begins[c + 1]) for c in now])
-                found = _nearest(asked[rows[active]], matrix[chosen], ids[chosen], k)
-                best.add(rows[active], *found)
+                part_best = _Nearest(len(active), k)
+                part_best.improve(asked[rows[active]], matrix[chosen], ids[chosen], limit[active])
+                best.add(rows[active], *part_best.hits())
                 pairs += len(active) * len(chosen)
             look *= 4
     return pairs
@@ -445,13 +422,13 @@ def _search_small(
 def _search_blocks(
     vectors: DataFrame, cells: Cells, questions: DataFrame, k: int, compared: Accumulator | None
 ) -> DataFrame:
-    """Questions meet the blocks of their nearest cells, which limits them, and then all
-    blocks within the limit."""
+    """Questions meet the blocks of their nearest cells, which limits them. Then those of one
+    home are packed together and meet all blocks within their limits."""
     shared = share(questions.sparkSession, cells)
     kind = dict(questions.dtypes)["embedding"]
     stored = vectors.select("block", "vec_id", "embedding")
 
-    def sent(rows: DataFrame, pick, label: str) -> DataFrame:
+    def sent(rows: DataFrame, pick) -> DataFrame:
         """Questions with every block that ``pick`` names for them."""
 
         def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -461,40 +438,46 @@ def _search_blocks(
                     asked = _matrix(part.column("embedding"))
                     if asked.shape[1] != cells.middle.shape[1]:
                         raise ValueError(f"dimension {asked.shape[1]} differs from {cells.middle.shape[1]}")
-                    owner, block = pick(cells, asked, part)
+                    owner, block = pick(cells, asked)
                     rows = part.take(pa.array(owner))
                     yield pa.RecordBatch.from_arrays(
                         [rows.column("index"), rows.column("embedding"), pa.array(block)], ["index", "embedding", "block"]
                     )
 
-        return materialise(rows.mapInArrow(send, f"index long, embedding {kind}, block long"), label)
+        return materialise(rows.mapInArrow(send, f"index long, embedding {kind}, block long"), "home")
 
-    def met(rows: DataFrame) -> DataFrame:
+    def sized(rows: DataFrame) -> DataFrame:
         counts = rows.groupBy("block").agg(F.count("*").alias("_n"))
-        sizes = counts.select("block", F.ceil(F.col("_n") / BLOCK_ROWS).cast("int").alias("_qs"), F.lit(1).alias("_vs"))
         # one row per block, whose cells fit in memory
-        sizes = F.broadcast(sizes)
-        return _by_blocks(rows.join(sizes, "block"), stored.join(sizes, "block"), k, ("block",))
+        return F.broadcast(
+            counts.select("block", F.ceil(F.col("_n") / BLOCK_ROWS).cast("int").alias("_qs"), F.lit(1).alias("_vs"))
+        )
 
-    def home(cells: Cells, asked: np.ndarray, part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    def home(cells: Cells, asked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         owner, cell = cells.home(asked, k)
         pair = np.unique(np.stack((owner, cells.block[cell] + owner % cells.parts[cell])), axis=1)
         return pair[0], pair[1]
 
-    def within(cells: Cells, asked: np.ndarray, part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
-        owner, cell = np.nonzero(cells.reached(asked, part.column("distance").to_numpy()))
-        copies = cells.parts[cell]
-        first = np.repeat(cells.block[cell], copies)
-        step = np.arange(copies.sum()) - np.repeat(np.cumsum(copies) - copies, copies)
-        pair = np.unique(np.stack((np.repeat(owner, copies), first + step)), axis=1)
-        return pair[0], pair[1]
-
-    tried = rank_neighbours(met(sent(questions, home, "home")), k)
+    def within(asked: np.ndarray, limits: np.ndarray) -> list[int]:
+        cells, needed = shared(), False
+        for low in range(0, len(asked), ROWS_AT_ONCE):
+            at = slice(low, low + ROWS_AT_ONCE)
+            needed = needed | cells.reached(asked[at], limits[at]).any(axis=0)
+        return sorted({int(b) for c in np.flatnonzero(needed) for b in range(cells.block[c], cells.block[c] + cells.parts[c])})
+
+    homes = sent(questions, home)
+    sizes = sized(homes)
+    tried = rank_neighbours(
+        _by_blocks(homes.join(sizes, "block"), stored.join(sizes, "block"), k, ("block",)), k
+    )
     limits = materialise(tried.where(F.col("rank") == k).select("index", "distance"), "limits")
-    limited = questions.join(limits, "index", "left").withColumn(
-        "distance", F.coalesce("distance", F.lit(float("inf")))
+    # one home each, in parts of a bounded size
+    asked = homes.groupBy("index", "embedding").agg(F.min("block").alias("block")).join(limits, "index", "left")
+    part = F.pmod(F.xxhash64("index"), F.col("_qs"))
+    asked = asked.join(sizes, "block").withColumns(
+        {"distance": F.coalesce("distance", F.lit(float("inf"))), "block": F.col("block") * _PARTS + part}
     )
-    return met(sent(limited, within, "within"))
+    return meet(packed(asked, "index", "distance", within), packed(stored, "vec_id"), k)
 
 
 def knn_approx(

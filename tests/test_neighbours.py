@@ -77,6 +77,15 @@ def test_all_against_all_of_one_table(spark, data):
     assert found(knn_exact(asked, table, 3, small=False, block_rows=50)) == brute(stored, stored, 3)
 
 
+def test_blocks_meet_without_copies_of_rows(spark, data):
+    _, stored = data
+    table = frame(spark, stored, "vec_id")
+    result = knn_exact(table.withColumnRenamed("vec_id", "index"), table, 3, small=False, block_rows=7)
+    plan = result._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" in plan and "Generate" not in plan
+    assert found(result) == brute(stored, stored, 3)
+
+
 def test_embedder_callable(spark):
     df = spark.createDataFrame([(1, "ab"), (2, None)], "id long, text string")
 
