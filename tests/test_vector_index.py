@@ -70,6 +70,14 @@ def test_reopened_reads_only_near_blocks(spark, tmp_path):
     index.close()
 
 
+def test_blocks_within_the_limits_meet_without_copies(spark, data):
+    _, stored = data
+    table = frame(spark, stored, "vec_id")
+    result = knn_approx(table.withColumnRenamed("vec_id", "index"), table, 3, block_rows=20, small=False)
+    assert "CartesianProduct" in result._jdf.queryExecution().executedPlan().toString()
+    assert found(result) == brute(stored, stored, 3)
+
+
 def test_hot_cell_is_cut_into_blocks(spark):
     rows = np.concatenate((np.tile([1.0, 2.0, 3.0], (500, 1)), clustered(5, 20, 3)))
     index = vector_index(frame(spark, rows, "vec_id"), block_rows=64)
