@@ -19,6 +19,8 @@ from fathomline.storage import BROADCAST_BYTES, fits_in_memory, materialise, sha
 TOP_K = 3
 #: cells of a matrix of terms and chunks at a time
 CELLS = 1 << 21
+#: cells of a matrix product that take the time of one pair of a question and a posting
+PAIR_COST = 64
 #: questions that go through the blocks together
 QUESTIONS_AT_ONCE = 256
 #: up to so many question terms are pushed into the scan of the postings
@@ -82,19 +84,26 @@ class _Best:
         self.score = np.zeros((questions, k))
 
     def add(self, questions: np.ndarray, chunks: np.ndarray, scores: np.ndarray) -> None:
-        """Scores of some questions (rows) with some chunks (columns); zeros do not count."""
+        """Scores of some questions (rows) with some chunks (columns), to be rounded; zeros do
+        not count. Only those that may be among the best are looked at again."""
         k = self.chunk.shape[1]
         least = np.maximum(self.score[questions, -1], np.finfo(float).tiny)
-        if scores.shape[1] > k:
-            least = np.maximum(least, np.partition(scores, -k, axis=1)[:, -k])
-        held = scores >= least[:, None]
-        # columns that may count, of every question the same number
-        columns = np.argsort(~held, axis=1, kind="stable")[:, : int(held.sum(axis=1).max())]
-        kept = np.take_along_axis(held, columns, axis=1)
-        chunk = np.where(kept, chunks[columns], np.iinfo(np.int64).max)
-        score = np.where(kept, np.take_along_axis(scores, columns, axis=1), 0.0)
-        chunk = np.concatenate((self.chunk[questions], chunk), axis=1)
-        score = np.concatenate((self.score[questions], score), axis=1)
+        few = np.flatnonzero(self.score[questions, -1] == 0)
+        if len(few) and scores.shape[1] > k:
+            least[few] = np.maximum(least[few], np.partition(scores[few], -k, axis=1)[:, -k] - ROUNDED)
+        owner, column = np.nonzero(scores >= (least - ROUNDED)[:, None])
+        score, chunk = np.round(scores[owner, column], 6), chunks[column]
+        order = np.lexsort((chunk, -score, owner))
+        owner, chunk, score = owner[order], chunk[order], score[order]
+        place = np.arange(len(owner)) - np.searchsorted(owner, owner, side="left")
+        kept = (place < k) & (score > 0)
+        owner, place, chunk, score = owner[kept], place[kept], chunk[kept], score[kept]
+        who, row = np.unique(owner, return_inverse=True)
+        new_chunk, new_score = np.full((len(who), k), np.iinfo(np.int64).max), np.zeros((len(who), k))
+        new_chunk[row, place], new_score[row, place] = chunk, score
+        questions = questions[who]
+        chunk = np.concatenate((self.chunk[questions], new_chunk), axis=1)
+        score = np.concatenate((self.score[questions], new_score), axis=1)
         order = np.lexsort((chunk, -score), axis=-1)[:, :k]
         self.chunk[questions] = np.take_along_axis(chunk, order, axis=1)
         self.score[questions] = np.take_along_axis(score, order, axis=1)
@@ -146,18 +155,57 @@ class _Rows:
         rows = np.flatnonzero(terms[at] == self.term)
         return rows, at[rows]
 
-    def scores(self, rows: np.ndarray, weights: np.ndarray) -> np.ndarray:
-        """Scores of questions (rows) with the chunks of one block, from its rows of the index
-        and the questions' weights of their terms (a question a column)."""
-        found = np.zeros((weights.shape[1], BLOCK))
-        for low in range(0, len(rows), CELLS // BLOCK):
-            part = rows[low : low + CELLS // BLOCK]
-            sizes = self.sizes[part]
-            flat = np.repeat(self.at[part] - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
-            held = np.zeros((len(part), BLOCK))
-            held[np.repeat(np.arange(len(part)), sizes), self.chunk[flat]] = self.weight[flat]
-            found += weights[low : low + CELLS // BLOCK].T @ held
-        return np.round(found, 6)
+    def _spread(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The postings of some rows, and how many each row has."""
+        sizes = self.sizes[rows]
+        return np.repeat(self.at[rows] - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum()), sizes
+
+    def scores(self, rows: np.ndarray, place: np.ndarray, weights: np.ndarray, held: "_Held") -> np.ndarray:
+        """Scores of questions (rows) with the chunks of one block, from its rows of the index,
+        the places of their terms, and the questions' weights (a question a column).
+
+        A term of many questions and chunks is a row of a matrix product; for the others the
+        pairs of its questions and its chunks are added up, which are far fewer than cells.
+        """
+        questions = weights.shape[1]
+        pairs = held.count[place] * self.sizes[rows]
+        many = pairs * PAIR_COST > questions * BLOCK
+        few = np.flatnonzero(~many & (pairs > 0))
+        found = np.zeros(questions * BLOCK)
+        for low, high in _runs(pairs[few], CELLS):
+            part = few[low:high]
+            count = held.count[place[part]]
+            at = np.repeat(held.at[place[part]] - (np.cumsum(count) - count), count) + np.arange(count.sum())
+            flat, sizes = self._spread(np.repeat(rows[part], count))
+            cell = np.repeat(held.question[at] * BLOCK, sizes) + self.chunk[flat]
+            found += np.bincount(cell, np.repeat(held.weight[at], sizes) * self.weight[flat], questions * BLOCK)
+        found = found.reshape(questions, BLOCK)
+        dense = np.flatnonzero(many)
+        for low in range(0, len(dense), CELLS // BLOCK):
+            part = dense[low : low + CELLS // BLOCK]
+            flat, sizes = self._spread(rows[part])
+            matrix = np.zeros((len(part), BLOCK))
+            matrix[np.repeat(np.arange(len(part)), sizes), self.chunk[flat]] = self.weight[flat]
+            found += weights[place[part]].T @ matrix
+        return found
+
+
+class _Held:
+    """The questions that hold each term, from a matrix of weights (a question a column):
+    ``count`` of them from ``at`` on."""
+
+    def __init__(self, weights: np.ndarray) -> None:
+        term, self.question = np.nonzero(weights)
+        self.weight = weights[term, self.question]
+        self.count = np.bincount(term, minlength=len(weights))
+        self.at = np.cumsum(self.count) - self.count
+
+
+def _runs(sizes: np.ndarray, limit: int) -> list[tuple[int, int]]:
+    """Cut a list in runs of about ``limit`` together."""
+    cuts = np.flatnonzero(np.diff((np.cumsum(sizes) - 1) // limit)) + 1
+    edges = [0, *cuts.tolist(), len(sizes)]
+    return [(low, high) for low, high in zip(edges, edges[1:]) if high > low]
 
 
 def _search(asked: _Asked, rows: _Rows, k: int) -> tuple[_Best, int, int]:
@@ -172,6 +220,7 @@ def _search(asked: _Asked, rows: _Rows, k: int) -> tuple[_Best, int, int]:
     for low in range(0, len(asked.names), QUESTIONS_AT_ONCE):
         high = min(low + QUESTIONS_AT_ONCE, len(asked.names))
         terms, weights = asked.part(low, high)
+        every = _Held(weights)
         here, place = rows.with_terms(terms)
         largest = np.zeros((len(rows.blocks), len(terms)))
         largest[rows.block[here], place] = rows.most[here]
@@ -183,7 +232,11 @@ def _search(asked: _Asked, rows: _Rows, k: int) -> tuple[_Best, int, int]:
             active = np.flatnonzero(open_)
             if len(active):
                 part = slice(starts[b], starts[b + 1])
-                scores = rows.scores(here[part], weights[np.ix_(place[part], active)])
+                if len(active) == high - low:
+                    scores = rows.scores(here[part], place[part], weights, every)
+                else:
+                    mine = weights[:, active]
+                    scores = rows.scores(here[part], place[part], mine, _Held(mine))
                 best.add(low + active, rows.blocks[b] * BLOCK + within, scores)
                 scored += len(active)
     return best, scored, shared

@@ -217,3 +217,13 @@ def test_blocks_do_not_change_the_scores(spark, chunks, questions, index, monkey
         sorted(map(tuple, retrieval.tfidf_retrieve(questions, chunks, index, 3, small=s).collect())) for s in (True, False)
     )
     assert small == large
+
+
+@pytest.mark.parametrize("cost", [0, 64, 1 << 40])
+def test_pairs_and_products_give_the_same_scores(spark, chunks, questions, index, monkeypatch, cost):
+    """Cost 0 makes every term one of pairs, the largest makes every term a row of a product."""
+    asked = retrieval.question_terms(questions, index.idf, True)
+    every = {(r["index"], r["chunk_index"]): r["score"] for r in retrieval.best_chunks(asked, index, 5).collect()}
+    monkeypatch.setattr(retrieval, "PAIR_COST", cost)
+    found = {(r["index"], r["chunk_index"]): r["score"] for r in retrieval.best_chunks(asked, index, 5).collect()}
+    assert found == every
