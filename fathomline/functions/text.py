@@ -14,9 +14,11 @@ from pyspark.sql import functions as F
 # Patterns every caller must agree on. Java, Python and RE2 give
 # different meanings to a bare \s, so the class spells out the characters.
 DOT_RUN = r"\.{2,}"
-WHITESPACE_RUN = (
-    r"[\s\x0b\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+"
-)
+_SPACES = r"\s\x0b\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+# Java tries the parts of a class one by one: the ranges in front settle most characters. A
+# single plain space is no match, as nothing would change.
+_SPACE = rf"[\x00-\x20\x7f-\uffff&&[{_SPACES}]]"
+WHITESPACE_RUN = rf"[\x00-\x1f\x7f-\uffff&&[{_SPACES}]]{_SPACE}*| {_SPACE}+"
 SENTENCE_END = r"([.!?]+) "
 CLAUSE_END = r"([,;:]+) "
 TERM = r"[\p{L}\p{N}_]{2,}"

@@ -36,6 +36,14 @@ def test_clean_equals_python(spark):
     assert column_of(spark, every, txt.clean) == [python_clean(t) for t in every]
 
 
+def test_only_runs_that_change_are_replaced(spark):
+    # spaces between words made most of the time of cleaning
+    texts = ["a b c", " ", "a  b", " \ta\n b", "\u3000 a\x1c"]
+    counted = column_of(spark, texts, lambda x: F.regexp_count(x, F.lit(txt.WHITESPACE_RUN)))
+    assert counted == [0, 0, 1, 2, 2]
+    assert column_of(spark, texts, txt.collapse_whitespace) == ["a b c", " ", "a b", " a b", " a "]
+
+
 def test_sentences(spark):
     texts = ["3.5 m. Next", "Hi!? Yes", "no end", "!!", "", "A. B. C."]
     found = column_of(spark, texts, lambda x: txt.sentences(txt.clean(x)))
