@@ -1,7 +1,16 @@
-"""Row-local feature-hashing vectors and similarities, in the JVM."""
+"""Row-local feature-hashing vectors and similarities.
+
+Lists of few terms are hashed in the JVM. For whole texts the terms go to Arrow, where each
+different term of a batch is hashed once.
+"""
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -49,22 +58,32 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(products, F.lit(0.0), lambda total, x: total + x)
 
 
-def normalise(vector: Column) -> Column:
-    """Scale to unit length; a zero vector stays zero."""
-    return bind(
-        vector,
-        lambda v: bind(
-            F.sqrt(dot(v, v)),
-            lambda norm: F.transform(
-                v, lambda x: F.when(norm > 0, x.cast("double") / norm).otherwise(F.lit(0.0))
-            ),
-        ),
-    )
+def unit_counts(terms: pa.ListArray, dim: int = DIMENSION) -> pa.ListArray:
+    """Per row the counts of its terms by bucket (see ``buckets``), scaled to unit length;
+    zeros without terms, null for a null row."""
+    known = terms.is_valid().to_numpy(zero_copy_only=False)
+    coded = terms.flatten().dictionary_encode()
+    names = coded.dictionary.cast(pa.binary()).to_pylist()
+    digests = b"".join(hashlib.md5(name, usedforsecurity=False).digest()[:4] for name in names)
+    bucket = np.frombuffer(digests, ">u4").astype(np.int64) % dim
+    row = np.repeat(np.arange(len(terms)), terms.value_lengths().fill_null(0).to_numpy())
+    places = row * dim + bucket[coded.indices.to_numpy()]
+    counts = np.bincount(places, minlength=len(terms) * dim).reshape(-1, dim)
+    units = counts / np.maximum(np.sqrt((counts**2).sum(axis=1)), 1.0)[:, None]
+    bounds = np.append(0, np.cumsum(known * dim))
+    offsets = pa.array(bounds, pa.int32(), mask=np.append(~known, False))
+    return pa.ListArray.from_arrays(offsets, pa.array(units[known].ravel()))
 
 
 def hash_embedding(text: Column, dim: int = DIMENSION) -> Column:
     """Unit vector of term counts per hash bucket; zeros when there is no term."""
-    return normalise(bucket_counts(terms(text), dim))
+
+    @F.arrow_udf("array<double>")
+    def embed(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for found in batches:
+            yield unit_counts(found, dim)
+
+    return embed(terms(text))
 
 
 def neighbour_similarities(vectors: Column) -> Column:

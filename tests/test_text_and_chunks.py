@@ -129,6 +129,25 @@ def test_hash_embedding(spark):
         assert vector == pytest.approx([c / norm for c in counts])
 
 
+def test_each_different_term_is_hashed_once(monkeypatch):
+    import hashlib
+    import math
+
+    import pyarrow as pa
+
+    seen, real = [], hashlib.md5
+    monkeypatch.setattr(hashlib, "md5", lambda term, **told: seen.append(term) or real(term, **told))
+    rows = [["ab", "cd", "ab"], None, [], ["ab", "é" * 2]]
+    found = hashing.unit_counts(pa.array([["zz"], *rows, ["yy"]], pa.list_(pa.string())).slice(1, 4), 7).to_pylist()
+    assert sorted(seen) == sorted(t.encode() for t in ("ab", "cd", "éé"))
+    for row, vector in zip(rows, found):
+        counts = [0] * 7
+        for term in row or []:
+            counts[int(real(term.encode()).hexdigest()[:8], 16) % 7] += 1
+        norm = math.sqrt(sum(c * c for c in counts)) or 1.0
+        assert vector == (None if row is None else [c / norm for c in counts])
+
+
 def test_neighbour_similarities(spark):
     vectors = [[[1.0, 0.0], [1.0, 1.0], [0.0, 0.0], [2.0, 0.0]], []]
     found = column_of(spark, vectors, hashing.neighbour_similarities, "array<array<double>>")
