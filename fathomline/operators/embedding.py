@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -28,7 +29,7 @@ def embed_texts(
 ) -> DataFrame:
     """Add a vector column.
 
-    The default hashes terms in the JVM. A caller's ``embedder`` (picklable, a
+    The default hashes terms (``hash_embedding``). A caller's ``embedder`` (picklable, a
     list of texts to a matrix), or the one that ``make_embedder`` builds once per task,
     runs on ``AT_ONCE`` texts per call; only the text column crosses to Python. A failing
     call ends the job, unless ``error`` names a column: then it is repeated on halves
@@ -38,8 +39,8 @@ def embed_texts(
         hashed = df.withColumn(name, hash_embedding(F.col(text), dim).cast("array<float>"))
         return hashed if error is None else hashed.withColumn(error, F.lit(None).cast("string"))
 
-    @F.pandas_udf("vector array<float>, error string")
-    def embed(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    @F.arrow_udf("vector array<float>, error string")
+    def embed(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         client = embedder if make_embedder is None else make_embedder()
 
         def vectors(texts: list[str]) -> list:
@@ -48,15 +49,16 @@ def embed_texts(
                 raise ValueError(f"the embedder returned shape {matrix.shape}")
             return list(matrix)
 
+        def answers(texts: pa.Array) -> pa.StructArray:
+            given = texts.fill_null("").to_pylist()
+            found = [(v, None) for v in vectors(given)] if error is None else _halved(vectors, given)
+            told = [pa.array([v for v, _ in found], pa.list_(pa.float32())), pa.array([e for _, e in found], pa.string())]
+            return pa.StructArray.from_arrays(told, ["vector", "error"])
+
         for texts in batches:
-            given, found = texts.fillna("").tolist(), []
-            for at in range(0, len(given), AT_ONCE):
-                part = given[at : at + AT_ONCE]
-                if error is None:
-                    found += [(v, None) for v in vectors(part)]
-                else:
-                    found += _halved(vectors, part)
-            yield pd.DataFrame({"vector": [v for v, _ in found], "error": [e for _, e in found]}, index=texts.index)
+            # only the texts of one call are Python strings at a time
+            parts = [answers(texts.slice(at, AT_ONCE)) for at in range(0, len(texts), AT_ONCE)]
+            yield pa.concat_arrays(parts or [answers(texts)])
 
     told = df.withColumn("_told", embed.asNondeterministic()(F.col(text)))
     columns = {name: F.col("_told.vector")} | ({} if error is None else {error: F.col("_told.error")})

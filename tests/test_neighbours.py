@@ -98,6 +98,24 @@ def test_embedder_callable(spark):
         embed_texts(df, embedder=lengths, dim=3).select(F.size("embedding")).collect()
 
 
+def test_an_embedders_texts_are_not_all_strings_at_once(spark):
+    def make():
+        import tracemalloc
+
+        tracemalloc.start()
+
+        def measured(texts):
+            return [[tracemalloc.get_traced_memory()[1] / 1e6, len(texts)] for _ in texts]
+
+        return measured
+
+    df = spark.range(0, 8000, 1, 1).select("id", F.repeat(F.lit("x"), 10_000).alias("text"))
+    most = embed_texts(df, make_embedder=make, dim=2).agg(F.max(F.get("embedding", 0)), F.max(F.get("embedding", 1)))
+    held, texts = most.first()
+    # 80 MB of texts come as one batch, and are read as bytes; 1,024 of them are strings besides
+    assert texts == 1024 and held < 110
+
+
 def test_every_text_is_embedded_once(spark, tmp_path):
     from fathomline.plans.rag import DenseRag
 
