@@ -25,6 +25,10 @@ VECTORS_AT_ONCE = 2048
 #: tasks for the pairs of blocks
 TASKS_PER_CORE = 4
 PAIRS_AT_ONCE = 1 << 15
+#: squared lengths up to which products fit single precision, and its hits a question that
+#: are looked at again in double precision first
+SINGLE_LIMIT = 1e30
+SINGLE_HITS = 8
 #: more than the six digits of a distance can hide
 ROUNDING = 2e-6
 _PACKED = "block long, ids binary, vectors binary, single boolean, limits binary, wanted array<long>"
@@ -58,6 +62,16 @@ def _best(owner: np.ndarray, ids: np.ndarray, distance: np.ndarray, k: int):
     return owner[keep], ids[keep], distance[keep]
 
 
+def _true(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and columns of the few true cells of a matrix, in order; eight cells are read at once."""
+    flat = mask.ravel()
+    whole = len(flat) // 8 * 8
+    eights = np.flatnonzero(flat[:whole].view(np.uint64))
+    cell, place = np.nonzero(flat[:whole].reshape(-1, 8)[eights])
+    found = np.concatenate((eights[cell] * 8 + place, np.flatnonzero(flat[whole:]) + whole))
+    return np.divmod(found, max(1, mask.shape[1]))
+
+
 class _Nearest:
     """Up to ``k`` nearest vectors of some questions."""
 
@@ -85,35 +99,49 @@ class _Nearest:
         Products of blocks give lower bounds of squared distances with a known error. They
         only choose the vectors that may be among the first ``k``, and not beyond
         ``limits``; the distances of these are computed again from the differences, so they do
-        not depend on the blocks. No more than ``ROWS_AT_ONCE`` by ``VECTORS_AT_ONCE`` cells
-        are held at a time.
+        not depend on the blocks. Questions with a limit are multiplied in single precision,
+        with the wider bounds of its error; where these choose many, double precision chooses
+        again. No more than ``ROWS_AT_ONCE`` by ``VECTORS_AT_ONCE`` cells are held at a time.
         """
         if len(vectors) and len(asked) and vectors.shape[1] != asked.shape[1]:
             raise ValueError(f"dimension {asked.shape[1]} differs from {vectors.shape[1]}")
         k = self.ids.shape[1]
-        slack = 8 * np.finfo(np.float64).eps * (asked.shape[1] + 4)
+        slack, wide = (8 * np.finfo(kind).eps * (asked.shape[1] + 4) for kind in (np.float64, np.float32))
         own = (asked**2).sum(axis=1)
         lifted = np.column_stack((asked * -2.0, np.ones(len(asked))))
+        short = len(own) > 0 and own.max() < SINGLE_LIMIT and wide < 1
+        single = lifted.astype(np.float32) if short else None
         for first in range(0, len(ids), VECTORS_AT_ONCE):
             some, names = vectors[first : first + VECTORS_AT_ONCE], ids[first : first + VECTORS_AT_ONCE]
             squares = (some**2).sum(axis=1)
             right = np.column_stack((some, squares * (1 - slack)))
+            quick = None
+            if short and squares.max() < SINGLE_LIMIT:
+                quick = np.column_stack((some, squares * (1 - wide))).astype(np.float32)
             for low in range(0, len(asked), ROWS_AT_ONCE):
                 at = slice(low, low + ROWS_AT_ONCE)
                 part, base = asked[at], own[at] * (1 - slack)
-                # least squared distance, less ``base``
-                least = lifted[at] @ right.T
                 limit = self.distance[at, -1]
                 if limits is not None:
                     limit = np.minimum(limit, limits[at])
                 free = np.isinf(limit)
                 # rounding to six digits may make a slightly farther vector equal
                 reach = (limit + ROUNDING) ** 2 - base
-                if free.any() and len(names) > k:
-                    most = np.partition(least[free] + 2 * slack * squares, k - 1, axis=1)[:, k - 1]
-                    most = np.sqrt(np.maximum(most + base[free] + 2 * slack * own[at][free], 0.0))
-                    reach[free] = (most + ROUNDING) ** 2 - base[free]
-                rows, cols = np.nonzero(least <= reach[:, None])
+                found = None
+                if quick is not None and not free.any():
+                    bound = (limit + ROUNDING) ** 2 - own[at] * (1 - wide)
+                    with np.errstate(over="ignore"):  # infinity then, which leaves nothing out
+                        bound = np.nextafter(bound.astype(np.float32), np.float32(np.inf))
+                    found = _true(single[at] @ quick.T <= bound[:, None])
+                if found is None or len(found[0]) > SINGLE_HITS * len(part):
+                    # least squared distance, less ``base``
+                    least = lifted[at] @ right.T
+                    if free.any() and len(names) > k:
+                        most = np.partition(least[free] + 2 * slack * squares, k - 1, axis=1)[:, k - 1]
+                        most = np.sqrt(np.maximum(most + base[free] + 2 * slack * own[at][free], 0.0))
+                        reach[free] = (most + ROUNDING) ** 2 - base[free]
+                    found = _true(least <= reach[:, None])
+                rows, cols = found
                 distance = np.concatenate(
                     [np.zeros(0)]
                     + [

@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from fathomline.operators import neighbours
 from fathomline.operators.embedding import embed_texts
 from fathomline.operators.neighbours import knn_exact, recall
 
@@ -137,3 +138,27 @@ def test_every_text_is_embedded_once(spark, tmp_path):
         assert len(seen) == len(set(seen)) == 35
         for f in tmp_path.iterdir():
             f.unlink()
+
+
+def test_true_cells_of_a_matrix():
+    rng = np.random.default_rng(2)
+    for shape, share in [((0, 5), 0.5), ((3, 0), 0.5), ((7, 9), 0.2), ((16, 64), 0.01), ((5, 5), 1.0)]:
+        mask = rng.random(shape) < share
+        assert [x.tolist() for x in neighbours._true(mask)] == [x.tolist() for x in np.nonzero(mask)]
+
+
+@pytest.mark.parametrize(
+    "scale, moved", [(1.0, 0.0), (1.0, 1e4), (1e3, 2e3), (1e-4, 0.0), (1e18, 0.0), (1e20, 0.0), (0.0, 3.0)]
+)
+def test_limited_questions_miss_nothing(scale, moved):
+    rng = np.random.default_rng(3)
+    stored, ids = rng.normal(size=(900, 16)) * scale + moved, np.arange(900)
+    stored[300:320] = stored[7]
+    distance = np.round(np.sqrt(((stored[:60, None] - stored[None]) ** 2).sum(axis=2)), 6)
+    expected = [sorted(ids, key=lambda i: (row[i], i))[:5] for row in distance]
+    limits = np.sort(distance, axis=1)[:, 6]
+    best = neighbours._Nearest(60, 5)
+    for low in (600, 0, 300):
+        best.improve(stored[:60], stored[low : low + 300], ids[low : low + 300], limits)
+    assert best.ids.tolist() == expected
+    assert best.distance.tolist() == np.take_along_axis(distance, best.ids, axis=1).tolist()
