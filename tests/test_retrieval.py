@@ -227,3 +227,33 @@ def test_pairs_and_products_give_the_same_scores(spark, chunks, questions, index
     monkeypatch.setattr(retrieval, "PAIR_COST", cost)
     found = {(r["index"], r["chunk_index"]): r["score"] for r in retrieval.best_chunks(asked, index, 5).collect()}
     assert found == every
+
+
+@pytest.mark.parametrize("groups, cells", [(1, 1 << 23), (5, 1 << 23), (1000, 1 << 23), (3, 8 * 128 * 4), (3, 0)])
+def test_bounds_of_groups_leave_out_no_hit(spark, monkeypatch, groups, cells):
+    """Chunks share terms, so that groups of columns bound scores from far above."""
+    for name, value in (("GROUPS", groups), ("WIDE_CELLS", cells), ("QUESTIONS_AT_ONCE", 20), ("BLOCK", 128)):
+        monkeypatch.setattr(retrieval, name, value)
+    monkeypatch.setattr(indexing, "BLOCK", 128)
+    chunks, questions = corpus(spark, 1000)
+    index = tfidf_index(chunks, buckets=1)
+    asked = indexing.question_terms(questions, index.idf, small=True)
+    every = rows(retrieval.top_k(retrieval.tfidf_scores(asked, index, True).where("score > 0"), 5))
+    assert rows(retrieval.top_k(retrieval.best_chunks(asked, index, 5), 5)) == every
+
+
+def test_later_buckets_only_look_for_better_chunks(spark, monkeypatch):
+    monkeypatch.setattr(retrieval, "ROUNDS_FROM", 1, raising=False)
+    monkeypatch.setattr(retrieval, "BLOCK", 64)
+    monkeypatch.setattr(indexing, "BLOCK", 64)
+    chunks, questions = corpus(spark, 3000)
+    # every bucket has some of every topic
+    chunks = chunks.withColumn("chunk_index", F.expr("chunk_index * 1009 % 3000"))
+    buckets = 6 * spark.sparkContext.defaultParallelism
+    index = tfidf_index(chunks, buckets=buckets)
+    asked = indexing.question_terms(questions, index.idf, small=True)
+    every = rows(retrieval.top_k(retrieval.tfidf_scores(asked, index, True).where("score > 0"), 5))
+    hits = retrieval.best_chunks_in_passes(asked, index, 5)
+    assert rows(retrieval.top_k(hits, 5)) == every
+    # every bucket handed on five chunks a question
+    assert hits.groupBy("index").count().agg(F.sum("count")).first()[0] < 4 * 5 * questions.count()
