@@ -24,6 +24,8 @@ ROWS_AT_ONCE = 256
 VECTORS_AT_ONCE = 2048
 #: tasks for the pairs of blocks
 TASKS_PER_CORE = 4
+#: bytes of vectors that meet others together
+MEETING_BYTES = 4 * 1024 * 1024
 PAIRS_AT_ONCE = 1 << 15
 #: squared lengths up to which products fit single precision, and its hits a question that
 #: are looked at again in double precision first
@@ -66,7 +68,7 @@ def _true(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Rows and columns of the few true cells of a matrix, in order; eight cells are read at once."""
     flat = mask.ravel()
     whole = len(flat) // 8 * 8
-    eights = np.flatnonzero(flat[:whole].view(np.uint64))
+    eights = np.flatnonzero(flat[:whole].view(np.uint64) != 0)
     cell, place = np.nonzero(flat[:whole].reshape(-1, 8)[eights])
     found = np.concatenate((eights[cell] * 8 + place, np.flatnonzero(flat[whole:]) + whole))
     return np.divmod(found, max(1, mask.shape[1]))
@@ -199,7 +201,7 @@ def knn_exact(
         packed(side.withColumn("block", _hash_block(side, name, block_rows)), name)
         for side, name in ((questions, "index"), (vectors, "vec_id"))
     )
-    return rank_neighbours(meet(asked, stored, k), k)
+    return rank_neighbours(meet(asked, stored, k, together=True), k)
 
 
 def rank_neighbours(found: DataFrame, k: int) -> DataFrame:
@@ -262,15 +264,45 @@ def _unpacked(ids: pa.BinaryScalar, vectors: pa.BinaryScalar, single: bool) -> t
     return names, flat.astype(np.float64).reshape(len(names), -1)
 
 
-def meet(asked: DataFrame, stored: DataFrame, k: int) -> DataFrame:
+def _together(blocks: DataFrame) -> DataFrame:
+    """Blocks of ``packed`` that have no limits put together to rows of about ``MEETING_BYTES``, each
+    with the number of one of its blocks. As each row goes to a task once for every row that it
+    meets, small blocks would move their bytes far more often than comparing them takes."""
+
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[dict] = []
+        size = 0
+
+        def joined() -> pa.RecordBatch:
+            row = held[0] | {name: b"".join(h[name] for h in held) for name in ("ids", "vectors")}
+            return pa.RecordBatch.from_pylist([row], schema=batch.schema)
+
+        for batch in batches:
+            for at in range(batch.num_rows):
+                held += batch.slice(at, 1).to_pylist()
+                size += len(held[-1]["vectors"])
+                if size >= MEETING_BYTES:
+                    yield joined()
+                    held, size = [], 0
+        if held:
+            yield joined()
+
+    return blocks.mapInArrow(join, blocks.schema)
+
+
+def meet(asked: DataFrame, stored: DataFrame, k: int, together: bool = False) -> DataFrame:
     """Compare two tables of ``packed``, every block of one with those it wants of the other.
 
     Partitions of both sides meet in pairs, each read where it was written: nothing is copied
-    or shuffled for a pair, and a question leaves a task with ``k`` rows at most.
+    or shuffled for a pair, and a question leaves a task with ``k`` rows at most. Blocks without
+    limits may meet ``together``, as many as ``MEETING_BYTES`` hold.
     """
     side = math.ceil(math.sqrt(TASKS_PER_CORE * asked.sparkSession.sparkContext.defaultParallelism))
-    left = asked.select([F.col(c).alias(f"q_{c}") for c in asked.columns]).repartition(side)
-    right = stored.select("block", "ids", "vectors", "single").repartition(side)
+    asked, stored = (x.repartition(side) for x in (asked, stored.select("block", "ids", "vectors", "single")))
+    if together:
+        # written once: each partition is read for every partition of the other side
+        asked, stored = (materialise(_together(x), "together").repartition(side) for x in (asked, stored))
+    left, right = asked.select([F.col(c).alias(f"q_{c}") for c in asked.columns]), stored
     met = F.col("q_wanted").isNull() | F.array_contains("q_wanted", F.col("block"))
     pairs = left.hint("shuffle_replicate_nl").join(right, met).drop("q_wanted", "block")
 

@@ -87,6 +87,26 @@ def test_blocks_meet_without_copies_of_rows(spark, data):
     assert found(result) == brute(stored, stored, 3)
 
 
+@pytest.mark.parametrize("size", [1, 40 * 8 * 8, 1 << 22])
+def test_small_blocks_meet_together(spark, data, monkeypatch, tmp_path, size):
+    """Blocks of seven vectors do not send their bytes to a task once for every other block."""
+    _, stored = data
+    monkeypatch.setattr(neighbours, "MEETING_BYTES", size, raising=False)
+    seen = spark.sparkContext.accumulator(0)
+    unpacked = neighbours._unpacked
+
+    def counted(*row):
+        seen.add(1)
+        return unpacked(*row)
+
+    monkeypatch.setattr(neighbours, "_unpacked", counted)
+    table = frame(spark, stored, "vec_id")
+    result = knn_exact(table.withColumnRenamed("vec_id", "index"), table, 3, small=False, block_rows=7)
+    assert found(result) == brute(stored, stored, 3)
+    # 43 blocks a side; otherwise a row for every partition at most
+    assert (seen.value > 43 * 43) == (size == 1)
+
+
 def test_embedder_callable(spark):
     df = spark.createDataFrame([(1, "ab"), (2, None)], "id long, text string")
 
