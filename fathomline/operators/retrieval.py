@@ -22,7 +22,7 @@ from fathomline.storage import BROADCAST_BYTES, fits_in_memory, materialise, sha
 # Fixed value: default number of chunks per question.
 TOP_K = 3
 #: pairs of a question and a posting at a time
-CELLS = 1 << 21
+CELLS = 1 << 19
 #: cells of a matrix product that take the time of one pair of a question and a posting
 PAIR_COST = 2048
 #: cells of all columns of a task, their groups, and about how many chunks tell which go together
@@ -36,7 +36,7 @@ QUESTIONS_AT_ONCE = 1024
 #: up to so many question terms are pushed into the scan of the postings
 PUSHED_TERMS = 20_000
 #: bytes of question terms that meet the index in one pass
-PASS_BYTES = 128 * 1024 * 1024
+PASS_BYTES = 64 * 1024 * 1024
 #: an index of that many buckets a core is searched in two rounds
 ROUNDS_FROM = 3
 #: scores have six digits, so a bound must be that much lower to rule a chunk out
@@ -149,36 +149,38 @@ class _Rows:
     and the largest of these. ``rows`` has their places by term, and ``first`` where a term's begin."""
 
     def __init__(self, asked: _Asked, batches: Iterator[pa.RecordBatch]) -> None:
-        told, kept, places = [], [], []
-        for some in _tables(batches, ROWS_AT_ONCE + 2 * len(asked.terms)):
+        told, kept = [], []
+        for some in _tables(batches, ROWS_AT_ONCE + len(asked.terms)):
             words = some.column("term").combine_chunks()
             told.append(some.filter(pc.equal(words, LENGTHS)).select(["block", "chunks", "lengths"]))
             place = pc.index_in(words, asked.terms)
             # most terms of a large index may be in no question
-            kept.append(some.filter(place.is_valid()).select(["block", "chunks", "tfs"]))
-            places.append(place.drop_null().to_numpy().astype(np.int32))
-        table, place = pa.concat_tables(kept), np.concatenate(places)
-        del some, words, kept, places
-        block = table.column("block").to_numpy()
+            some = some.filter(place.is_valid())
+            chunks, tfs = (some.column(c).combine_chunks() for c in ("chunks", "tfs"))
+            columns = some.column("block"), place.drop_null(), pc.list_value_length(chunks), chunks.flatten(), tfs.flatten()
+            types = np.int64, np.int32, np.int32, np.min_scalar_type(BLOCK), np.int32
+            kept.append([column.to_numpy().astype(kind) for column, kind in zip(columns, types)])
+        del some, words, place, chunks, tfs, columns
+        pa.default_memory_pool().release_unused()
+        block, place, sizes, self.chunk, self.tf = (np.concatenate(column) for column in zip(*kept))
+        del kept
         order = np.lexsort((place, block))
-        table = table.take(pa.array(order))
-        self.term = place[order]
+        flat = _spread((np.cumsum(sizes, dtype=np.int64) - sizes)[order], sizes[order])
+        self.chunk, self.tf = self.chunk[flat], self.tf[flat]
+        del flat
+        self.term, self.sizes = place[order], sizes[order].astype(np.int64)
         self.rows = np.argsort(self.term, kind="stable")
         self.first = np.searchsorted(self.term[self.rows], np.arange(len(asked.terms) + 1))
         self.blocks, self.block = np.unique(block[order], return_inverse=True)
-        lists = table.column("chunks").combine_chunks()
-        self.sizes = pc.list_value_length(lists).to_numpy().astype(np.int64)
         self.at = np.concatenate((np.zeros(1, np.int64), np.cumsum(self.sizes)))
-        self.chunk = lists.flatten().to_numpy()
-        self.tf = table.column("tfs").combine_chunks().flatten().to_numpy()
-        self.weight = self.tf * np.repeat(asked.idf[self.term], self.sizes)
         self.lengths = self._lengths(pa.concat_tables(told))
+        self.weight = np.empty(len(self.tf))
         for low, high in _runs(self.sizes, CELLS):
-            part = slice(self.at[low], self.at[high])
-            self.weight[part] /= self.lengths[np.repeat(self.block[low:high], self.sizes[low:high]), self.chunk[part]]
+            part, some = slice(self.at[low], self.at[high]), self.sizes[low:high]
+            values = self.tf[part] * np.repeat(asked.idf[self.term[low:high]], some)
+            self.weight[part] = values / self.lengths[np.repeat(self.block[low:high], some), self.chunk[part]]
         self.most = np.maximum.reduceat(self.weight, self.at[:-1]) if len(order) else np.zeros(0)
         self._columns(asked)
-        pa.default_memory_pool().release_unused()
 
     def _lengths(self, told: pa.Table) -> np.ndarray:
         """Lengths of the chunks of every block (rows) here."""
